@@ -32,15 +32,19 @@ def running_sums(
     order: Sequence[str],
     sums: dict[str, Column],
     max_group: int = MAX_WINDOW_GROUP,
+    fits: bool | None = None,
 ) -> DataFrame:
     """Add, per row, the sum of each expression over the earlier rows of its key (0 for the first row).
 
     Groups known to fit one task use an ordinary window. Otherwise rows are range partitioned by
     (keys, order), each partition's totals are summed up per key, and every row adds the total of the
-    partitions before it to a running sum inside its own partition.
+    partitions before it to a running sum inside its own partition. ``fits`` passes on the answer of an
+    earlier size check of the same groups.
     """
     keys, order = list(keys), list(order)
-    if largest_group(df, keys) <= max_group:
+    if fits is None:
+        fits = largest_group(df, keys) <= max_group
+    if fits:
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
         return df.withColumns({n: F.coalesce(F.sum(c).over(w), F.lit(0)) for n, c in sums.items()})
 
