@@ -42,6 +42,10 @@ VIEWS: dict[str, str] = {
         SELECT LEAST(d1, COALESCE(d2, 24)) AS u, GREATEST(d1, COALESCE(d2, 24)) AS v,
                CAST(ROUND(1000 * LN((1 - MIN(p)) / MIN(p))) AS BIGINT) AS w, MIN_BY(obs_mask, err_id) AS obs_mask
         FROM fx_err WHERE d2 IS NULL OR d1 <> d2 GROUP BY 1, 2""",
+    # Four islands of six nodes with short links; only the first two have a boundary edge (NULL v).
+    "fx_local": """
+        SELECT u, CASE WHEN v < 24 THEN v END AS v, w, obs_mask FROM fx_edge
+        WHERE (v < 24 AND FLOOR(u / 6) = FLOOR(v / 6) AND v - u <= 2) OR (v = 24 AND u IN (0, 6))""",
     "fx_stats": """
         SELECT event_id AS seq, CONCAT(event_type, '-', user_id) AS strong_id, event_type AS decoder, user_id % 8 AS d,
                CAST(100 + event_id % 900 AS BIGINT) AS shots, CAST(FLOOR(value) AS BIGINT) % 50 AS errors,
