@@ -379,7 +379,8 @@ def sample_mechanisms(errors: DataFrame, n_shots: int, seed: int) -> DataFrame:
     last = (n_shots - 1) // _SHOT_BLOCK
     blocks = errors.filter("p > 0").select("err_id", "p", F.explode(F.sequence(F.lit(0), F.lit(last))).alias("block")) if n_shots else errors.select(
         "err_id", "p", F.lit(0).alias("block")).filter("false")
-    spread = blocks.repartition("err_id", "block")
+    # An explicit count: the rows are few and light, the draws they stand for are not.
+    spread = blocks.repartition(4 * errors.sparkSession.sparkContext.defaultParallelism, "err_id", "block")
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
