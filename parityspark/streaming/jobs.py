@@ -10,9 +10,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import events as ev
 from ..operators import stats as st
@@ -20,13 +21,21 @@ from ..operators import windows as wn
 
 
 def run_available(
-    stream: DataFrame, outputs: Callable[[DataFrame, int], dict[str, DataFrame]], sink: str, checkpoint: str, mode: str = "append"
+    stream: DataFrame, outputs: Callable[[DataFrame, int], dict[str, DataFrame]], sink: str, checkpoint: str, mode: str = "append",
+    reread: bool = False,
 ) -> None:
-    """Process what has arrived, one result folder per output and batch id, and stop; the checkpoint resumes."""
+    """Process what has arrived, one result folder per output and batch id, and stop; the checkpoint resumes.
+
+    ``reread`` keeps a batch that its outputs scan several times, so the stream's plan runs once.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        if reread:
+            batch.persist(StorageLevel.DISK_ONLY)
         for name, df in outputs(batch, batch_id).items():
             df.write.mode("overwrite").parquet(f"{sink}/{name}/batch={batch_id}")
+        if reread:
+            batch.unpersist()
 
     q = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
@@ -50,7 +59,7 @@ def stream_m2d(meas: DataFrame, det_def: DataFrame, expected: DataFrame | None,
     def events(batch: DataFrame, _: int) -> dict[str, DataFrame]:
         return {"events": ev.measurements_to_events(batch, batch.select("shot_id", F.explode("meas").alias("meas")), det_def, expected)}
 
-    run_available(meas, events, sink, checkpoint)
+    run_available(meas, events, sink, checkpoint, reread=True)
 
 
 def stream_postselect(shots: DataFrame, mask: DataFrame, sink: str, checkpoint: str) -> None:
@@ -60,7 +69,7 @@ def stream_postselect(shots: DataFrame, mask: DataFrame, sink: str, checkpoint:
         parts = ev.postselect_shots(batch, batch.select("shot_id", F.explode("dets").alias("det")), mask)
         return {"kept": parts["kept_shots"], "dropped": parts["dropped_shots"]}
 
-    run_available(shots, split, sink, checkpoint)
+    run_available(shots, split, sink, checkpoint, reread=True)
 
 
 def _running_totals(stats: DataFrame) -> DataFrame:
@@ -115,61 +124,17 @@ def stream_stop_rule(batches: DataFrame, max_shots: int, max_errors: int, sink:
         now = both.groupBy("strong_id").agg(F.sum("shots").alias("shots"), F.sum("errors").alias("errors"))
         return {"accepted": taken, "used": now}
 
-    run_available(batches, accept, sink, checkpoint)
-
-
-class RoundBuffer(StatefulProcessor):
-    """Rounds of one shot, held until a window is complete or the shot is known to be over."""
+    run_available(batches, accept, sink, checkpoint, reread=True)
 
-    state = "start int, top int, rounds array<int>, dets array<int>"
 
-    def __init__(self, commit: int, window: int, patience_ms: int):
-        self.commit, self.window, self.patience_ms = commit, window, patience_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.buffer = handle.getValueState("rounds", self.state)
-
-    def _emit(self, shot: int, start: int, top: int, held: list, close: bool):
-        """Windows that are complete (all that hold hits, when closing), and what stays buffered."""
-        out = []
-        while (held if close else top >= start + self.window - 1):
-            out += [(shot, d, start // self.commit, r < start + self.commit, False) for r, d in held if r < start + self.window]
-            start += self.commit
-            held = [(r, d) for r, d in held if r >= start]
-        return start, held, out
-
-    def _frame(self, rows: list) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=["shot_id", "det", "win", "in_commit", "late"])
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        shot = int(key[0])
-        old = self.buffer.get() if self.buffer.exists() else None
-        start, top = (old[0], old[1]) if old else (0, -1)
-        held = list(zip(old[2], old[3])) if old else []
-        out, last = [], 0
-        for pdf in rows:
-            for r, dets, at in zip(pdf["round_id"], pdf["dets"], pdf["ts"]):
-                top, last = max(top, int(r)), max(last, int(at.timestamp() * 1000))
-                if r < start:
-                    out += [(shot, int(d), -1, False, True) for d in dets]
-                else:
-                    held += [(int(r), int(d)) for d in dets]
-        start, held, done = self._emit(shot, start, top, held, False)
-        self.buffer.update((start, top, [r for r, _ in held], [d for _, d in held]))
-        self.handle.registerTimer(last + self.patience_ms)
-        yield self._frame(out + done)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        out = []
-        if self.buffer.exists():
-            start, top, rounds, dets = self.buffer.get()
-            _, _, out = self._emit(int(key[0]), start, top, list(zip(rounds, dets)), True)
-            self.buffer.clear()
-        yield self._frame(out)
-
-    def close(self) -> None:
-        pass
+def _complete_windows(shot: int, start: int, top: int, held: list, commit: int, window: int, close: bool) -> tuple[int, list, list]:
+    """Rows of the windows that are complete (all that hold hits, when closing), and what stays buffered."""
+    out = []
+    while held if close else top >= start + window - 1:
+        out += [(shot, d, start // commit, r < start + commit, False) for r, d in held if r < start + window]
+        start += commit
+        held = [(r, d) for r, d in held if r >= start]
+    return start, held, out
 
 
 def stream_windowed_rounds(rounds: DataFrame, commit: int, window: int, delay: str, patience_ms: int, sink: str, checkpoint: str) -> None:
@@ -178,16 +143,36 @@ def stream_windowed_rounds(rounds: DataFrame, commit: int, window: int, delay: s
     ``rounds(shot_id, round_id, dets array, ts)``. A shot is closed ``patience_ms`` after its last round in
     event time. State per shot is what one window can hold.
     """
-    rounds.sparkSession.conf.set(
-        "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-    )
-    out = rounds.withWatermark("ts", delay).groupBy("shot_id").transformWithStateInPandas(
-        statefulProcessor=RoundBuffer(commit, window, patience_ms),
-        outputStructType="shot_id bigint, det int, win int, in_commit boolean, late boolean",
-        outputMode="Append", timeMode="EventTime",
+
+    def buffer(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        shot = int(key[0])
+        start, top, rounds_held, dets_held = state.get if state.exists else (0, -1, [], [])
+        held = list(zip(rounds_held, dets_held))
+        if state.hasTimedOut:
+            out = _complete_windows(shot, start, top, held, commit, window, True)[2]
+            state.remove()
+        else:
+            late, last = [], 0
+            for pdf in batches:
+                for r, dets, at in zip(pdf["round_id"], pdf["dets"], pdf["ts"]):
+                    top, last = max(top, int(r)), max(last, int(at.timestamp() * 1000))
+                    if r < start:
+                        late += [(shot, int(d), -1, False, True) for d in dets]
+                    else:
+                        held += [(int(r), int(d)) for d in dets]
+            start, held, out = _complete_windows(shot, start, top, held, commit, window, False)
+            out = late + out
+            state.update((start, top, [r for r, _ in held], [d for _, d in held]))
+            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs() + 1) + patience_ms)
+        if out:
+            yield pd.DataFrame(out, columns=["shot_id", "det", "win", "in_commit", "late"])
+
+    out = rounds.withWatermark("ts", delay).groupBy("shot_id").applyInPandasWithState(
+        buffer, "shot_id bigint, det int, win int, in_commit boolean, late boolean", "start int, top int, rounds array<int>, dets array<int>",
+        "append", GroupStateTimeout.EventTimeTimeout,
     )
     split = lambda batch, _: {"windows": batch.filter("NOT late").drop("late"), "late": batch.filter("late").select("shot_id", "det")}
-    run_available(out, split, sink, checkpoint)
+    run_available(out, split, sink, checkpoint, reread=True)
 
 
 def stream_progress(stats: DataFrame, tasks: DataFrame, workers: int, sink: str, checkpoint: str) -> None:
