@@ -163,9 +163,9 @@ def _(fx):
     return st.position_stats(st.combine_stats(fx.fx_stats), "error").select("strong_id", "position")
 
 
-@query("fn1_log_factorial", "SELECT seq, ROUND(lgamma(seq * 37 + 1), 6) AS v FROM fx_stats")
+@query("fn1_log_factorial", "SELECT seq, ROUND(lgamma(seq * 37 + 1) / (seq * 37 + 1), 7) AS v FROM fx_stats")
 def _(fx):
-    return fx.fx_stats.select("seq", F.round(num.log_factorial(F.col("seq") * 37), 6).alias("v"))
+    return fx.fx_stats.select("seq", F.round(num.log_factorial(F.col("seq") * 37) / (F.col("seq") * 37 + 1), 7).alias("v"))
 
 
 @query("fn2_log_binomial", """
