@@ -1,7 +1,14 @@
-"""Numeric column functions: likelihoods, rates, weights, masks. All are built-in expressions."""
+"""Numeric column functions: likelihoods, rates, weights, masks.
+
+All are built-in expressions except the likelihood interval, which is a vectorised pandas function.
+"""
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,53 +41,48 @@ def log_binomial(p: Column, n: Column, hits: Column) -> Column:
 _GRID = 100  # interval ends are found on a grid of 1/(100 n)
 
 
+def _log_likelihood(x: np.ndarray, n: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Log-likelihood at grid point x, i.e. p = x / (100 n), without the binomial coefficient."""
+    p = x / (_GRID * n)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(h == 0, 0.0, np.log(p) * h) + np.where(n == h, 0.0, np.log1p(-p) * (n - h))
+
+
+def _grid_search(lo: np.ndarray, hi: np.ndarray, rising: bool, n: np.ndarray, h: np.ndarray, goal: np.ndarray) -> np.ndarray:
+    """Grid point whose likelihood is nearest to the goal, by bisection of all rows together."""
+    while (open_ := hi > lo + 1).any():
+        mid = (lo + hi) // 2
+        short = _log_likelihood(mid, n, h) < goal if rising else _log_likelihood(mid, n, h) > goal
+        lo, hi = np.where(open_ & short, mid, lo), np.where(open_ & ~short, mid, hi)
+    gaps = []
+    for x in (lo, hi):
+        v = _log_likelihood(x, n, h)
+        with np.errstate(invalid="ignore"):
+            gaps.append(np.where(v == goal, 0.0, np.abs(v - goal)))
+    return np.where(gaps[1] < gaps[0], hi, lo) / (_GRID * n)
+
+
 def fit_binomial(shots: Column, hits: Column, factor: float) -> Column:
     """Best ratio and the lowest and highest ratio whose likelihood is within ``factor`` of the best (FN3).
 
-    Bisection on the integer grid, folded over a short sequence; the binomial coefficient cancels.
+    Bisection on the integer grid, over whole Arrow batches: the same search as a fold over a sequence runs
+    interpreted and took over ten times as long on 100,000 rows.
     """
     if factor < 1:
         raise ValueError(f"likelihood factor {factor} is below 1")
-    n = F.greatest(shots.cast("long"), F.lit(1).cast("long"))
-    h = hits.cast("long")
-    top = n * _GRID
-
-    def likelihood(x: Column) -> Column:
-        p = x.cast("double") / top.cast("double")
-        a = F.when(h == 0, F.lit(0.0)).when(x <= 0, NEG_INF()).otherwise(F.log(p) * h)
-        b = F.when(n == h, F.lit(0.0)).when(x >= top, NEG_INF()).otherwise(F.log1p(-p) * (n - h))
-        return a + b
-
-    target = likelihood(h * _GRID) - F.log(F.lit(float(factor)))
-    steps = F.sequence(F.lit(1), F.ceil(F.log2(top.cast("double"))).cast("int") + 1)
-
-    def search(lo: Column, hi: Column, sign: int) -> Column:
-        def step(acc: Column, _: Column) -> Column:
-            mid = F.shiftright(acc["lo"] + acc["hi"], 1)
-            value, goal = likelihood(mid) * sign, target * sign
-            open_ = acc["hi"] > acc["lo"] + 1
-            return F.struct(
-                F.when(open_ & (value <= goal), mid).otherwise(acc["lo"]).alias("lo"),
-                F.when(open_ & (value >= goal), mid).otherwise(acc["hi"]).alias("hi"),
-            )
-
-        def nearer(acc: Column) -> Column:
-            def gap(x: Column) -> Column:
-                v = likelihood(x)
-                return F.when(v == target, F.lit(0.0)).otherwise(F.abs(v - target))
-
-            return F.when(gap(acc["hi"]) < gap(acc["lo"]), acc["hi"]).otherwise(acc["lo"])
-
-        return F.aggregate(steps, F.struct(lo.alias("lo"), hi.alias("hi")), step, nearer)
-
-    low = search(F.lit(0).cast("long"), h * _GRID, 1).cast("double") / top
-    high = search(h * _GRID, top, -1).cast("double") / top
-    empty = shots == 0
-    return F.struct(
-        F.when(empty, F.lit(0.0)).otherwise(low).alias("low"),
-        F.when(empty, F.lit(0.5)).otherwise(h / n.cast("double")).alias("best"),
-        F.when(empty, F.lit(1.0)).otherwise(high).alias("high"),
-    )
+    log_factor = math.log(factor)
+
+    @F.pandas_udf("low double, best double, high double")
+    def fit(shots: pd.Series, hits: pd.Series) -> pd.DataFrame:
+        empty = (shots == 0).to_numpy()
+        n, h = np.where(empty, 1, shots.to_numpy()), hits.to_numpy()
+        goal = _log_likelihood(_GRID * h, n, h) - log_factor
+        low = _grid_search(np.zeros_like(h), _GRID * h, True, n, h, goal)
+        high = _grid_search(_GRID * h, _GRID * n, False, n, h, goal)
+        pick = lambda v, default: np.where(empty, default, v)
+        return pd.DataFrame({"low": pick(low, 0.0), "best": pick(h / n, 0.5), "high": pick(high, 1.0)})
+
+    return fit(shots.cast("long"), hits.cast("long"))
 
 
 def piece_rate(shot_rate: Column, pieces: Column | float, values: Column | float = 1) -> Column:

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..lineage import cut
 from ..ordered import MAX_WINDOW_GROUP, largest_group, running_sums
 
 
@@ -61,7 +62,8 @@ def unroll(rows: DataFrame, key: str, counters: dict[str, Column]) -> Unrolled:
     if depth:
         starts = {level: (opens & (F.col("_lvl") == level - 1)).cast("int") for level in levels}
         work = running_sums(work, [key], ["seq"], {f"_o{level}": s for level, s in starts.items()}, fits=fits)
-        work = work.withColumns({f"_o{level}": F.col(f"_o{level}") + s for level, s in starts.items()})
+        # Every level joins the rows with a few of themselves; materialise them once instead of per branch.
+        work = cut(work.withColumns({f"_o{level}": F.col(f"_o{level}") + s for level, s in starts.items()}), "blocks")
         for level in levels:
             block = work.filter(starts[level] == 1).select(key, f"_o{level}", F.col("reps").alias(f"_reps{level}"))
             work = work.join(block, [key, f"_o{level}"], "left").withColumn(
@@ -76,6 +78,8 @@ def unroll(rows: DataFrame, key: str, counters: dict[str, Column]) -> Unrolled:
 
     sums = {f"_r_{c}_{level}": F.col(f"_c_{c}") * reps_below(level) for c in counters for level in range(depth + 1)}
     work = running_sums(work, [key], ["seq"], sums, fits=fits)
+    if depth:
+        work = cut(work, "block-sums")
     for level in levels:
         edge = F.col("_lvl") == level - 1
         aggs = [F.max(F.when(opens, F.col("seq"))).alias(f"open{level}")]

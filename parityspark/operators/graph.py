@@ -200,15 +200,17 @@ def connected_components(nodes: DataFrame, links: DataFrame, max_rounds: int = 6
     """
     both = cut(links.select("grp", "u", "v").unionByName(links.select("grp", F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "links")
     labels = cut(nodes.select("grp", "node", F.col("node").alias("label")), "labels")
+    own = F.lit(None).cast(labels.schema["label"].dataType)
     for _ in range(max_rounds):
-        near = both.join(labels.select("grp", F.col("node").alias("v"), "label"), ["grp", "v"]).select("grp", F.col("u").alias("node"), "label")
-        low = near.unionByName(labels).groupBy("grp", "node").agg(F.min("label").alias("label"))
+        near = both.join(labels.select("grp", F.col("node").alias("v"), "label"), ["grp", "v"]).select("grp", F.col("u").alias("node"), "label", own.alias("old"))
+        low = near.unionByName(labels.select("grp", "node", "label", F.col("label").alias("old"))).groupBy("grp", "node").agg(
+            F.min("label").alias("label"), F.max("old").alias("old")
+        )
+        low = cut(low, "low")
         jump = low.select("grp", F.col("node").alias("label"), F.col("label").alias("_up"))
-        moved = low.join(jump, ["grp", "label"]).select("grp", "node", F.least("label", "_up").alias("label"))
-        new = cut(moved, "labels")
-        changed = new.join(labels.withColumnRenamed("label", "_old"), ["grp", "node"]).filter("label <> _old")
-        labels = new
-        if changed.isEmpty():
+        moved = cut(low.join(jump, ["grp", "label"]).select("grp", "node", F.least("label", "_up").alias("label"), "old"), "labels")
+        labels = moved.select("grp", "node", "label")
+        if moved.filter("label <> old").isEmpty():
             return labels
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 

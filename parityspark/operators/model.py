@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numeric as num
+from ..lineage import cut
 from ..ordered import running_sums
 from .blocks import Unrolled, unroll
 from .parity import canonical_targets, merge_weights, xor_probability, xor_reduce
@@ -38,6 +39,7 @@ def shift_counters(axes: int, shift: str) -> dict[str, Column]:
 
 
 def unroll_model(instr: DataFrame) -> tuple[Unrolled, int]:
+    instr = cut(instr, "instructions")  # parsed once for the passes below
     axes = _axes(instr, "shift_detectors")
     return unroll(instr, "model_id", shift_counters(axes, "shift_detectors")), axes
 
@@ -217,6 +219,7 @@ def circuit_stats(instr: DataFrame) -> DataFrame:
 
 def qubit_coordinates(instr: DataFrame) -> DataFrame:
     """Final coordinates per qubit: running shifts applied, the last declaration wins (MDL20)."""
+    instr = cut(instr, "instructions")
     axes = _axes(instr, "SHIFT_COORDS")
     is_shift = F.col("name") == "SHIFT_COORDS"
     u = unroll(instr, "circuit_id", {f"x{a}": F.coalesce(F.when(is_shift, F.get("args", F.lit(a))), F.lit(0.0)) for a in range(axes)})
