@@ -14,19 +14,35 @@ from ..ordered import global_index
 COUNTS = "map<string,bigint>"
 
 
+METRICS = ("shots", "errors", "discards", "seconds")
+
+
+def _by_identity(stats: DataFrame, extra: Sequence[str] = (), sums: Sequence[str] = METRICS) -> DataFrame:
+    """Sums per id and identity columns.
+
+    With the strings among the keys the big aggregation is a plain hash aggregate; what is left for the
+    checks and picks below is about one row per id.
+    """
+    keys = ["strong_id", *[c for c in ("decoder", "json_metadata") if c in stats.columns], *extra]
+    return stats.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums])
+
+
+def _canonical(c: str) -> Column:
+    return F.col(c) if c == "decoder" else F.coalesce(txt.canonical_json(F.col(c)), F.lit("null"))
+
+
 def combine_stats(stats: DataFrame, strict: bool = False) -> DataFrame:
     """Sum shots, errors, discards and seconds per strong id (AGG11); strict mode refuses conflicting identities."""
-    ident = [c for c in ("decoder", "json_metadata") if c in stats.columns]
-    aggs = [F.sum(c).alias(c) for c in ("shots", "errors", "discards", "seconds")]
-    for c in ident:
-        canon = F.col(c) if c == "decoder" else F.coalesce(txt.canonical_json(F.col(c)), F.lit("null"))
+    aggs = [F.sum(c).alias(c) for c in METRICS]
+    for c in ("decoder", "json_metadata"):
+        if c not in stats.columns:
+            continue
         value = F.min(c)
         if strict:
-            value = F.when(
-                F.min(canon) != F.max(canon), F.raise_error(F.concat(F.lit(f"conflicting {c} under "), F.col("strong_id"))).cast("string")
-            ).otherwise(value)
+            clash = F.raise_error(F.concat(F.lit(f"conflicting {c} under "), F.col("strong_id"))).cast("string")
+            value = F.when(F.min(_canonical(c)) != F.max(_canonical(c)), clash).otherwise(value)
         aggs.append(value.alias(c))
-    return stats.groupBy("strong_id").agg(*aggs)
+    return _by_identity(stats).groupBy("strong_id").agg(*aggs)
 
 
 def count_rows(stats: DataFrame) -> DataFrame:
@@ -45,26 +61,26 @@ def fold_stats(stats: DataFrame, strict: bool = False) -> DataFrame:
     """AGG11 and AGG12 in one pass.
 
     Each statistic becomes one row of totals (name NULL) plus one row per count; rows are summed per
-    (id, name) with map-side combine, and only those sums are gathered per id.
+    (id, identity, name) with map-side combine, and only those sums are gathered per id.
     """
     total = F.struct(F.lit(None).cast("string").alias("name"), F.lit(None).cast("bigint").alias("n"))
     counts = F.transform(
         F.map_entries(F.coalesce("custom_counts", F.create_map().cast(COUNTS))),
         lambda e: F.struct(e["key"].alias("name"), e["value"].cast("bigint").alias("n")),
     )
-    metrics = ["shots", "errors", "discards", "seconds"]
-    long = stats.select(
-        "strong_id", "decoder", "json_metadata", *metrics, F.explode(F.concat(F.array(total), counts)).alias("_c")
-    ).select("strong_id", "_c.*", *[F.when(F.col("_c.name").isNull(), F.col(m)).alias(m) for m in ["decoder", "json_metadata", *metrics]])
-    canon = F.coalesce(txt.canonical_json(F.col("json_metadata")), F.when(F.col("name").isNull(), "null"))
-    sums = long.groupBy("strong_id", "name").agg(
-        F.sum("n").alias("n"), *[F.sum(m).alias(m) for m in metrics],
-        F.min("decoder").alias("decoder"), F.max("decoder").alias("_dec2"),
-        F.min("json_metadata").alias("json_metadata"), F.min(canon).alias("_c1"), F.max(canon).alias("_c2"),
+    own = F.col("_c.name").isNull()
+    long = stats.select("strong_id", "decoder", "json_metadata", *METRICS, F.explode(F.concat(F.array(total), counts)).alias("_c")).select(
+        "strong_id", "decoder", "json_metadata", "_c.name", "_c.n", *[F.when(own, F.col(m)).alias(m) for m in METRICS]
+    )
+    sums = _by_identity(long, ["name"], [*METRICS, "n"])
+    per_name = sums.groupBy("strong_id", "name").agg(
+        *[F.sum(m).alias(m) for m in (*METRICS, "n")],
+        F.min("decoder").alias("decoder"), F.max("decoder").alias("_dec2"), F.min("json_metadata").alias("json_metadata"),
+        F.min(_canonical("json_metadata")).alias("_c1"), F.max(_canonical("json_metadata")).alias("_c2"),
     )
     kept = F.when(F.col("name").isNotNull() & (F.col("n") > 0), F.struct("name", "n"))
-    folded = sums.groupBy("strong_id").agg(
-        *[F.sum(m).alias(m) for m in metrics],
+    folded = per_name.groupBy("strong_id").agg(
+        *[F.sum(m).alias(m) for m in METRICS],
         F.min("decoder").alias("decoder"), F.max("_dec2").alias("_dec2"),
         F.min("json_metadata").alias("json_metadata"), F.min("_c1").alias("_c1"), F.max("_c2").alias("_c2"),
         F.map_from_entries(F.array_sort(F.collect_list(kept))).alias("custom_counts"),
@@ -73,15 +89,16 @@ def fold_stats(stats: DataFrame, strict: bool = False) -> DataFrame:
         clash = (F.col("decoder") != F.col("_dec2")) | (F.col("_c1") != F.col("_c2"))
         message = F.concat(F.lit("conflicting identity under "), F.col("strong_id"))
         folded = folded.withColumn("decoder", F.when(clash, F.raise_error(message).cast("string")).otherwise(F.col("decoder")))
-    return folded.select("strong_id", "decoder", "json_metadata", *metrics, "custom_counts")
+    return folded.select("strong_id", "decoder", "json_metadata", *METRICS, "custom_counts")
 
 
 def stat_conflicts(stats: DataFrame) -> DataFrame:
     """Ids recorded with more than one decoder or metadata document (AGG13)."""
-    canon = F.coalesce(txt.canonical_json(F.col("json_metadata")), F.lit("null"))
+    differs = lambda c: F.min(_canonical(c)) != F.max(_canonical(c))
     return (
-        stats.groupBy("strong_id")
-        .agg((F.min("decoder") != F.max("decoder")).alias("decoder_conflict"), (F.min(canon) != F.max(canon)).alias("metadata_conflict"))
+        stats.select("strong_id", "decoder", "json_metadata").distinct()
+        .groupBy("strong_id")
+        .agg(differs("decoder").alias("decoder_conflict"), differs("json_metadata").alias("metadata_conflict"))
         .filter("decoder_conflict OR metadata_conflict")
     )
 
