@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..lineage import cut
-from .graph import pair_distances, path_edges
+from .graph import connected_components, pair_distances, path_edges
 from .matching import by_size, lowered_costs, matrix, solutions, unfold
 from .parity import xor_reduce
 
@@ -82,15 +82,12 @@ def _pairs(a: Column, b: Column) -> Column:
     return F.transform(F.arrays_zip(a.alias("a"), b.alias("b")), lambda p: F.struct(p["a"].alias("a"), F.when(p["b"] >= 0, p["b"]).alias("b")))
 
 
-def decode_greedy(syndromes: DataFrame, dist: DataFrame, boundary: int = -1) -> DataFrame:
-    """Approximate matching of syndromes of any size: rounds of mutually nearest partners (DEC3).
+def _local_options(nodes: DataFrame, dist: DataFrame, boundary: int) -> tuple[DataFrame, DataFrame]:
+    """Partners and boundary exits worth considering for the hits nodes(sid, det).
 
-    A pair that costs more than sending both ends to the boundary is never a candidate, so candidates stay
-    local. All options are compared in one total order, so each round settles at least the cheapest option
-    of every open syndrome.
+    A pair that costs at least as much as sending both ends to the boundary can be replaced by these two
+    exits without loss, so it is never a candidate.
     """
-    ids = cut(syndromes.select("key").withColumn("sid", F.monotonically_increasing_id()), "greedy-ids")
-    nodes = ids.select("sid", F.explode("key").alias("det"))
     near = dist.select("src", "node", F.col("dist").cast("double").alias("dist"), "obs")
     rim = near.filter(F.col("node") == boundary).select(F.col("src").alias("det"), F.col("dist").alias("rim"), F.col("obs").alias("rim_obs"))
     local = nodes.join(rim, "det", "left")
@@ -102,6 +99,17 @@ def decode_greedy(syndromes: DataFrame, dist: DataFrame, boundary: int = -1) ->
         .select("sid", F.col("src").alias("lo"), F.col("node").alias("hi"), "dist", "obs")
     )
     ends = local.filter("rim IS NOT NULL").select("sid", F.lit(boundary).alias("lo"), F.col("det").alias("hi"), F.col("rim").alias("dist"), F.col("rim_obs").alias("obs"))
+    return pairs, ends
+
+
+def decode_greedy(syndromes: DataFrame, dist: DataFrame, boundary: int = -1) -> DataFrame:
+    """Approximate matching of syndromes of any size: rounds of mutually nearest partners (DEC3).
+
+    All options are compared in one total order, so each round settles at least the cheapest option of
+    every open syndrome.
+    """
+    ids = cut(syndromes.select("key").withColumn("sid", F.monotonically_increasing_id()), "greedy-ids")
+    pairs, ends = _local_options(ids.select("sid", F.explode("key").alias("det")), dist, boundary)
     options = cut(pairs.unionByName(ends), "greedy-options")
     matched = None
     while not options.isEmpty():
@@ -127,11 +135,42 @@ def decode_greedy(syndromes: DataFrame, dist: DataFrame, boundary: int = -1) ->
     )
 
 
+def decode_by_clusters(syndromes: DataFrame, dist: DataFrame, boundary: int = -1, max_hits: int = MAX_HITS) -> DataFrame:
+    """Matching of large syndromes by independent clusters.
+
+    Hits linked by candidate pairs form clusters that a best matching never crosses, so each cluster is
+    solved on its own and every distinct cluster once. Only a cluster that is itself above ``max_hits`` is
+    matched greedily, and its syndromes say so in ``reason``.
+    """
+    ids = cut(syndromes.select("key").withColumn("sid", F.monotonically_increasing_id()), "cluster-ids")
+    nodes = ids.select("sid", F.explode("key").alias("det"))
+    pairs, _ = _local_options(nodes, dist, boundary)
+    labels = connected_components(
+        nodes.select(F.col("sid").alias("grp"), F.col("det").alias("node")), pairs.select(F.col("sid").alias("grp"), F.col("lo").alias("u"), F.col("hi").alias("v"))
+    )
+    parts = cut(labels.groupBy("grp", "label").agg(F.array_sort(F.collect_list("node")).alias("part")).select(F.col("grp").alias("sid"), "part"), "clusters")
+    each = cut(parts.select(F.col("part").alias("key")).distinct(), "distinct-clusters")
+    solved = decode_small_exact(each.filter(F.size("key") <= max_hits), dist, boundary, max_hits)
+    wide = each.filter(F.size("key") > max_hits)
+    if not wide.isEmpty():
+        solved = solved.unionByName(decode_greedy(wide, dist, boundary))
+    joined = parts.join(solved.withColumnRenamed("key", "part"), "part")
+    whole = joined.groupBy("sid").agg(
+        F.bool_and(F.col("w").isNotNull()).alias("_ok"), F.bool_or(F.col("reason") == "greedy").alias("_g"), F.sum("w").alias("w"), F.bit_xor("obs").alias("obs"),
+        F.array_sort(F.flatten(F.collect_list("pairs"))).alias("pairs"),
+    )
+    ok = F.col("_ok")
+    return ids.join(whole, "sid").select(
+        "key", F.when(ok, F.col("w")).alias("w"), F.when(ok, F.col("obs")).alias("obs"), F.when(ok, F.col("pairs")).alias("pairs"),
+        F.when(~ok, "infeasible").when(F.col("_g"), "greedy").otherwise("exact").alias("reason"),
+    )
+
+
 def decode(syndromes: DataFrame, dist: DataFrame, boundary: int = -1, max_hits: int = MAX_HITS) -> DataFrame:
-    """Exact where the syndrome is small enough, greedy otherwise; every syndrome is answered."""
+    """Exact where the syndrome or all its clusters are small enough; every syndrome is answered."""
     small = decode_small_exact(syndromes.filter(F.size("key") <= max_hits), dist, boundary, max_hits)
     large = cut(syndromes.filter(F.size("key") > max_hits).select("key"), "large")
-    return small if large.isEmpty() else small.unionByName(decode_greedy(large, dist, boundary))
+    return small if large.isEmpty() else small.unionByName(decode_by_clusters(large, dist, boundary, max_hits))
 
 
 def matched_pairs(decoded: DataFrame) -> DataFrame:

@@ -18,37 +18,24 @@ def key_text(df):
     return df.withColumn("key", F.array_join(F.transform("key", lambda d: d.cast("string")), " "))
 
 
-def small_sql(max_hits: int = 4) -> str:
-    """Every pairing of up to four hits, in the order the matching prefers them, and the best of each syndrome."""
-    def rim(i):
-        return f"(SELECT dist FROM paths p WHERE p.src = k[{i}] AND p.node = 24)"
-
-    keys = f"keys AS (SELECT DISTINCT key AS k FROM ({SYN_SQL}) WHERE len(key) <= {max_hits})"
-    pairings = {1: [[(1,)]], 2: [[(1,), (2,)], [(1, 2)]]}
-    pairings[3] = [[(1,), *p] for p in ([(2,), (3,)], [(2, 3)])] + [[(1, 2), (3,)], [(1, 3), (2,)]]
-
-    def extend(items):
-        if not items:
-            return [[]]
-        low, rest = items[0], items[1:]
-        out = [[(low,), *p] for p in extend(rest)]
-        for j in rest:
-            out += [[(low, j), *p] for p in extend([x for x in rest if x != j])]
-        return out
-
-    parts = []
-    for n in range(1, max_hits + 1):
-        for at, pairing in enumerate(extend(list(range(1, n + 1)))):
-            for pair in pairing:
-                a, b = pair[0], (f"k[{pair[1]}]" if len(pair) == 2 else "24")
-                parts.append(f"SELECT k, {at} AS alt, k[{a}] AS a, {b} AS b FROM keys WHERE len(k) = {n}")
-    union = " UNION ALL ".join(parts)
-    return f"""WITH {distance_sql()}, {keys}, parts AS ({union}),
-  alts AS (SELECT k, alt, SUM(p.dist) AS w, bit_xor(p.obs) AS obs FROM parts JOIN paths p ON p.src = a AND p.node = b GROUP BY 1, 2),
-  best AS (SELECT k, arg_min(alt, struct_pack(w := w, alt := alt)) AS alt, MIN(w) AS w, arg_min(obs, struct_pack(w := w, alt := alt)) AS obs FROM alts GROUP BY 1)"""
+def matching_sql(rounds: int = 16) -> str:
+    """Exact matching of every syndrome as a chain of CTEs ending in best(k, key, w, obs, c).
+
+    A round matches the lowest open hit to the boundary or to another open hit and keeps the best way into
+    each remaining set; ties go to the boundary, then to the lowest partner, for the lowest hit first.
+    """
+    out = f"""{distance_sql()}, keys AS (SELECT DISTINCT key AS k, CAST(list_sum([1::BIGINT << d FOR d IN key]) AS BIGINT) AS m FROM ({SYN_SQL})),
+  opts AS (SELECT src, CASE WHEN node = 24 THEN -1 ELSE node END AS b, CASE WHEN node = 24 THEN 0::BIGINT ELSE 1::BIGINT << node END AS bit, dist, obs FROM paths WHERE src <> node),
+  m0 AS (SELECT k, m AS rem, {{'w': 0::BIGINT, 'c': CAST([] AS STRUCT(a INT, b INT)[]), 'o': 0::BIGINT}} AS s FROM keys)"""
+    for r in range(rounds):
+        out += f""", m{r + 1} AS (SELECT k, rem & ~((1::BIGINT << low) | bit) AS rem, MIN({{'w': s.w + dist, 'c': list_append(s.c, {{'a': low, 'b': b}}), 'o': xor(s.o, obs)}}) AS s
+    FROM (SELECT k, rem, s, CAST(bit_count((rem & -rem) - 1) AS INT) AS low FROM m{r} WHERE rem <> 0) x JOIN opts ON src = low AND (b = -1 OR (rem & bit) <> 0) GROUP BY 1, 2)"""
+    done = " UNION ALL ".join(f"SELECT k, s FROM m{r + 1} WHERE rem = 0" for r in range(rounds))
+    return out + f", best AS (SELECT k, CAST(s.w AS DOUBLE) AS w, s.o AS obs, s.c AS c FROM (SELECT k, MIN(s) AS s FROM ({done}) GROUP BY 1))"
 
 
 KEY_TEXT = "array_to_string(k, ' ')"
+PAIRS_SQL = f"pairs AS (SELECT k, p.a AS a, p.b AS b FROM (SELECT k, unnest(c) AS p FROM best WHERE len(k) <= {dc.MAX_HITS}))"
 
 
 @query("dec1_distinct_syndromes", f"SELECT array_to_string(key, ' ') AS key, COUNT(*) AS n FROM ({SYN_SQL}) GROUP BY 1")
@@ -60,17 +47,16 @@ def syndromes(fx):
     return cut(dc.distinct_syndromes(dc.shot_syndromes(fx.fx_hits)), "distinct")
 
 
-@query("dec2_decode_small_exact", small_sql() + f"""
-  SELECT {KEY_TEXT} AS key, CAST(w AS DOUBLE) AS w, obs, 'exact' AS reason FROM best
-  UNION ALL SELECT DISTINCT array_to_string(key, ' '), NULL, NULL, 'too many hits' FROM ({SYN_SQL}) WHERE len(key) > 4""")
+@query("dec2_decode_small_exact", f"""WITH {matching_sql()}
+  SELECT {KEY_TEXT} AS key, CASE WHEN len(k) <= {dc.MAX_HITS} THEN w END AS w, CASE WHEN len(k) <= {dc.MAX_HITS} THEN obs END AS obs,
+         CASE WHEN len(k) <= {dc.MAX_HITS} THEN 'exact' ELSE 'too many hits' END AS reason FROM best""")
 def _(fx):
-    return key_text(dc.decode_small_exact(syndromes(fx), paths(fx), BOUNDARY, 4)).drop("pairs")
+    return key_text(dc.decode_small_exact(syndromes(fx), paths(fx), BOUNDARY)).drop("pairs")
 
 
-@query("dec2_decode_exact_large")
+@query("dec2_decode_by_clusters", f"WITH {matching_sql()} SELECT {KEY_TEXT} AS key, w, 'exact' AS reason FROM best")
 def _(fx):
-    """The same matching with its usual limit, so that all but a few syndromes are exact."""
-    return key_text(dc.decode_small_exact(syndromes(fx), paths(fx), BOUNDARY)).drop("pairs")
+    return key_text(dc.decode_by_clusters(syndromes(fx), paths(fx), BOUNDARY, 14)).select("key", "w", "reason")
 
 
 @query("dec3_decode_greedy")
@@ -78,37 +64,38 @@ def _(fx):
     return key_text(dc.decode_greedy(syndromes(fx), paths(fx), BOUNDARY)).drop("pairs")
 
 
-@query("dec4_matched_pairs", small_sql() + f"SELECT {KEY_TEXT} AS key, p.a AS a, CASE WHEN p.b < 24 THEN p.b END AS b FROM best JOIN parts p USING (k, alt)")
+def solved(fx, p):
+    return cut(dc.decode_small_exact(syndromes(fx), p, BOUNDARY).filter("w IS NOT NULL"), "solved")
+
+
+@query("dec4_matched_pairs", f"WITH {matching_sql()}, {PAIRS_SQL} SELECT {KEY_TEXT} AS key, a, CASE WHEN b >= 0 THEN b END AS b FROM pairs")
 def _(fx):
-    solved = dc.decode_small_exact(syndromes(fx), paths(fx), BOUNDARY, 4).filter("reason = 'exact'")
-    return key_text(dc.matched_pairs(solved))
+    return key_text(dc.matched_pairs(solved(fx, paths(fx))))
 
 
-@query("dec4_mates", small_sql() + f"""
-  SELECT {KEY_TEXT} AS key, p.a AS det, CAST(CASE WHEN p.b < 24 THEN p.b ELSE -1 END AS INT) AS mate FROM best JOIN parts p USING (k, alt)
-  UNION ALL SELECT {KEY_TEXT}, p.b, p.a FROM best JOIN parts p USING (k, alt) WHERE p.b < 24""")
+@query("dec4_mates", f"""WITH {matching_sql()}, {PAIRS_SQL}
+  SELECT {KEY_TEXT} AS key, a AS det, b AS mate FROM pairs UNION ALL SELECT {KEY_TEXT}, b, a FROM pairs WHERE b >= 0""")
 def _(fx):
-    return key_text(dc.mates(dc.decode_small_exact(syndromes(fx), paths(fx), BOUNDARY, 4).filter("reason = 'exact'")))
+    return key_text(dc.mates(solved(fx, paths(fx))))
 
 
-@query("dec5_solution_edges", small_sql().replace("WITH ", "WITH RECURSIVE ", 1) + f""", walk AS (SELECT src, node, node AS cur FROM paths WHERE src <> node
+@query("dec5_solution_edges", f"""WITH RECURSIVE {matching_sql()}, {PAIRS_SQL}, walk AS (SELECT src, node, node AS cur FROM paths WHERE src <> node
     UNION ALL SELECT w.src, w.node, p.prev FROM walk w JOIN paths p ON p.src = w.src AND p.node = w.cur WHERE w.cur <> w.src),
   steps AS (SELECT w.src, w.node, LEAST(p.prev, w.cur) AS u, GREATEST(p.prev, w.cur) AS v FROM walk w JOIN paths p ON p.src = w.src AND p.node = w.cur WHERE w.cur <> w.src)
-  SELECT {KEY_TEXT} AS key, s.u AS u, s.v AS v FROM best JOIN parts p USING (k, alt) JOIN steps s ON s.src = p.a AND s.node = p.b GROUP BY 1, 2, 3 HAVING COUNT(*) % 2 = 1""")
+  SELECT {KEY_TEXT} AS key, s.u AS u, s.v AS v FROM pairs q JOIN steps s ON s.src = q.a AND s.node = CASE WHEN q.b < 0 THEN 24 ELSE q.b END GROUP BY 1, 2, 3 HAVING COUNT(*) % 2 = 1""")
 def _(fx):
     p = paths(fx)
-    solved = cut(dc.decode_small_exact(syndromes(fx), p, BOUNDARY, 4).filter("reason = 'exact'"), "solved")
-    return key_text(dc.solution_edges(dc.matched_pairs(solved), p, BOUNDARY))
+    return key_text(dc.solution_edges(dc.matched_pairs(solved(fx, p)), p, BOUNDARY))
 
 
-@query("dec6_predictions", small_sql() + f"""
-  SELECT s.shot_id, CASE WHEN y.key IS NULL THEN 0 ELSE obs END AS pred_mask, CASE WHEN y.key IS NULL THEN CAST(0 AS DOUBLE) ELSE CAST(w AS DOUBLE) END AS w,
-         CASE WHEN y.key IS NULL THEN 'empty' WHEN len(y.key) > 4 THEN 'too many hits' ELSE 'exact' END AS reason
+@query("dec6_predictions", f"""WITH {matching_sql()}
+  SELECT s.shot_id, CASE WHEN y.key IS NULL THEN 0 WHEN len(y.key) <= {dc.MAX_HITS} THEN obs END AS pred_mask, CASE WHEN y.key IS NULL THEN CAST(0 AS DOUBLE) WHEN len(y.key) <= {dc.MAX_HITS} THEN w END AS w,
+         CASE WHEN y.key IS NULL THEN 'empty' WHEN len(y.key) <= {dc.MAX_HITS} THEN 'exact' ELSE 'too many hits' END AS reason
   FROM fx_shots s LEFT JOIN ({SYN_SQL}) y ON y.shot_id = s.shot_id LEFT JOIN best ON best.k = y.key""")
 def _(fx):
     per_shot = cut(dc.shot_syndromes(fx.fx_hits), "syndromes")
-    solved = dc.decode_small_exact(dc.distinct_syndromes(per_shot), paths(fx), BOUNDARY, 4)
-    return dc.predictions(fx.fx_shots, per_shot, solved)
+    answers = dc.decode_small_exact(dc.distinct_syndromes(per_shot), paths(fx), BOUNDARY)
+    return dc.predictions(fx.fx_shots, per_shot, answers)
 
 
 def null_rim(df):

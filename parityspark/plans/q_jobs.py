@@ -30,12 +30,12 @@ def model_lines(fx):
 
 
 @query("pipe1_predict", """
-  SELECT s.shot_id, b.shot_id IS NOT NULL AS discarded, CASE WHEN b.shot_id IS NOT NULL THEN NULL WHEN h.n IS NULL THEN 'empty' WHEN h.n <= 10 THEN 'exact' ELSE 'greedy' END AS reason
+  SELECT s.shot_id, b.shot_id IS NOT NULL AS discarded, CASE WHEN b.shot_id IS NOT NULL THEN NULL WHEN h.n IS NULL THEN 'empty' ELSE 'matched' END AS reason
   FROM fx_shots s LEFT JOIN (SELECT DISTINCT h.shot_id FROM fx_hits h JOIN fx_det d USING (det) WHERE d.post_flag = 1) b ON b.shot_id = s.shot_id
   LEFT JOIN (SELECT shot_id, COUNT(*) AS n FROM fx_hits GROUP BY 1) h ON h.shot_id = s.shot_id""")
 def _(fx):
     out = jobs.predict(fx.spark, shot_file(fx, "dets"), "dets", LAYOUT, model_lines(fx), fx.fx_shots.select("shot_id"), postselect_coord=3)
-    kept = out["predictions"].select("shot_id", F.lit(False).alias("discarded"), "reason")
+    kept = out["predictions"].select("shot_id", F.lit(False).alias("discarded"), F.when(F.col("reason").isin("exact", "greedy"), "matched").otherwise(F.col("reason")).alias("reason"))
     return kept.unionByName(out["discards"].select("shot_id", F.lit(True).alias("discarded"), F.lit(None).cast("string").alias("reason")))
 
 

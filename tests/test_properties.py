@@ -129,6 +129,17 @@ def test_large_syndromes_are_answered(spark):
     assert got == {15: "greedy", 2: "exact"}
 
 
+def test_far_apart_clusters_are_solved_exactly(spark):
+    edges = [(i, i + 1, 2, i % 2) for i in range(59)] + [(i, 99, 5, 1) for i in range(60)]
+    paths = gr.pair_distances(spark.createDataFrame(edges, "u int, v int, w bigint, obs_mask bigint"), 99)
+    key = [0, 1, 2, 10, 11, 20, 21, 22, 23, 30, 40, 41, 50, 51, 52]
+    got = dc.decode(spark.createDataFrame([(key,)], "key array<int>"), paths, 99, max_hits=5).first()
+    dist, rim = lookup(paths)
+    parts = [[0, 1, 2], [10, 11], [20, 21, 22, 23], [30], [40, 41], [50, 51, 52]]
+    assert got.reason == "exact" and got.w == sum(brute(p, dist, rim) for p in parts)
+    assert sorted(d for p in got.pairs for d in (p.a, p.b) if d is not None) == key
+
+
 def test_one_wide_window_equals_global_decoding(spark):
     edges = graph(spark, 5)
     rim = edges.withColumn("v", F.when(F.col("v") != 99, F.col("v")))
