@@ -34,6 +34,19 @@ def matching_sql(rounds: int = 16) -> str:
     return out + f", best AS (SELECT k, CAST(s.w AS DOUBLE) AS w, s.o AS obs, s.c AS c FROM (SELECT k, MIN(s) AS s FROM ({done}) GROUP BY 1))"
 
 
+def greedy_sql(rounds: int = 16) -> str:
+    """Greedy matching as repeated picks of the cheapest open option, ending in picked(k, s)."""
+    out = f"""{distance_sql()}, keys AS (SELECT DISTINCT key AS k FROM ({SYN_SQL})), loc AS (
+    SELECT k, det, p.dist AS rim, p.obs AS ro FROM (SELECT k, unnest(k) AS det FROM keys) h LEFT JOIN paths p ON p.src = det AND p.node = 24),
+  o0 AS (SELECT a.k, a.det AS lo, b.det AS hi, p.dist AS d, p.obs AS o FROM loc a JOIN loc b ON a.k = b.k AND a.det < b.det JOIN paths p ON p.src = a.det AND p.node = b.det
+           WHERE a.rim IS NULL OR b.rim IS NULL OR p.dist < a.rim + b.rim
+         UNION ALL SELECT k, 24, det, rim, ro FROM loc WHERE rim IS NOT NULL)"""
+    for r in range(rounds):
+        out += f""", p{r} AS (SELECT k, MIN({{'d': d, 'lo': lo, 'hi': hi, 'o': o}}) AS s FROM o{r} GROUP BY 1),
+  o{r + 1} AS (SELECT o.* FROM o{r} o JOIN p{r} p ON o.k = p.k WHERE (o.lo = 24 OR (o.lo <> p.s.lo AND o.lo <> p.s.hi)) AND o.hi <> p.s.hi AND o.hi <> p.s.lo)"""
+    return out + ", picked AS (" + " UNION ALL ".join(f"SELECT * FROM p{r}" for r in range(rounds)) + ")"
+
+
 KEY_TEXT = "array_to_string(k, ' ')"
 PAIRS_SQL = f"pairs AS (SELECT k, p.a AS a, p.b AS b FROM (SELECT k, unnest(c) AS p FROM best WHERE len(k) <= {dc.MAX_HITS}))"
 
@@ -59,7 +72,9 @@ def _(fx):
     return key_text(dc.decode_by_clusters(syndromes(fx), paths(fx), BOUNDARY, 14)).select("key", "w", "reason")
 
 
-@query("dec3_decode_greedy")
+@query("dec3_decode_greedy", f"""WITH {greedy_sql()}, tot AS (
+    SELECT k, CAST(SUM(s.d) AS DOUBLE) AS w, bit_xor(s.o) AS obs, SUM(CASE WHEN s.lo = 24 THEN 1 ELSE 2 END) = len(k) AS whole FROM picked GROUP BY k)
+  SELECT {KEY_TEXT} AS key, CASE WHEN whole THEN w END AS w, CASE WHEN whole THEN obs END AS obs, CASE WHEN whole THEN 'greedy' ELSE 'infeasible' END AS reason FROM tot""")
 def _(fx):
     return key_text(dc.decode_greedy(syndromes(fx), paths(fx), BOUNDARY)).drop("pairs")
 

@@ -153,6 +153,24 @@ def test_one_wide_window_equals_global_decoding(spark):
     assert out["left"].isEmpty()
 
 
+def test_two_level_decoding_without_inner_hits_is_the_outer_decoder(spark):
+    edges = graph(spark, 6)
+    paths = gr.pair_distances(edges, 99)
+    rnd = random.Random(2)
+    hits = spark.createDataFrame([(s, d) for s in range(30) for d in range(8) if rnd.random() < 0.3], "shot_id bigint, det int")
+    shots = spark.range(30).withColumnRenamed("id", "shot_id")
+    routed = hits.select("shot_id", F.lit("outer").alias("stream"), F.col("det").alias("idx"), F.col("det").alias("outer_idx"))
+    rim = edges.withColumn("v", F.when(F.col("v") != 99, F.col("v")))
+    rounds = spark.range(8).select(F.col("id").cast("int").alias("det"), F.floor(F.col("id") / 2).cast("int").alias("round_id"))
+    got = dc.decode_two_level(shots, routed, rim, rounds, 8, 4, 4, 4, paths, 99)
+    want = dc.decode_shots(shots, hits, paths, 99).select("shot_id", F.coalesce("pred_mask", F.lit(0).cast("bigint")).alias("pred_mask"))
+    assert rows(got, "shot_id") == rows(want, "shot_id")
+    # With every hit inner and no boundary commit, hits the inner pass cannot pair up move to the outer code.
+    inner = routed.withColumn("stream", F.lit("inner"))
+    both = dc.decode_two_level(shots, inner, rim, rounds, 8, 4, 4, 4, paths, 99)
+    assert both.count() == 30 and both.filter("pred_mask IS NULL").isEmpty()
+
+
 def test_correlated_second_pass_against_brute_force(spark):
     edges = graph(spark, 7)
     paths = gr.pair_distances(edges, 99)
