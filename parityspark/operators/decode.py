@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..lineage import cut
-from .graph import connected_components, pair_distances, path_edges
+from .graph import connected_components, matching_paths, path_edges
 from .matching import by_size, lowered_costs, matrix, solutions, unfold
 from .parity import xor_reduce
 
@@ -229,7 +229,7 @@ def window_paths(edges: DataFrame, det_rounds: DataFrame, n_nodes: int, starts:
     each = placed.filter("v IS NULL OR _rv IS NOT NULL").withColumn("_s", F.explode(slots)).filter(inside("_ru") & (F.col("v").isNull() | inside("_rv")))
     off = F.col("_s.win") * n_nodes
     copies = each.select((off + F.col("u")).alias("u"), F.when(F.col("v").isNull(), F.lit(-1)).otherwise(off + F.col("v")).alias("v"), "w", "obs_mask")
-    return pair_distances(copies, -1)
+    return matching_paths(copies, -1)
 
 
 def decode_windowed(

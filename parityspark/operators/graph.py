@@ -245,11 +245,14 @@ def undecodable_shots(hits: DataFrame, edges: DataFrame) -> DataFrame:
 # ---- shortest paths -----------------------------------------------------------------------------
 
 
-def pair_distances(edges: DataFrame, boundary: int | None = None, max_hops: int = 64, sources: DataFrame | None = None) -> DataFrame:
+def pair_distances(
+    edges: DataFrame, boundary: int | None = None, max_hops: int = 64, sources: DataFrame | None = None, rims: DataFrame | None = None
+) -> DataFrame:
     """Shortest paths between nodes: dist, hops, predecessor and observable parity (MDL15).
 
     Ties go to fewer hops, then to the smaller predecessor. Only labels improved in the last round are
-    extended, and no path continues through the boundary node.
+    extended, and no path continues through the boundary node. With ``rims(node, rim)``, boundary distances,
+    a label longer than both ends' rims together is dropped as soon as it appears (see ``matching_paths``).
     """
     sym = cut(
         edges.filter("u <> v").select("u", "v", "w", "obs_mask").unionByName(
@@ -261,6 +264,10 @@ def pair_distances(edges: DataFrame, boundary: int | None = None, max_hops: int
     if boundary is not None:
         start = start.filter(F.col("src") != boundary)
         sym = sym.filter(F.col("u") != boundary)
+    if rims is not None:
+        of = lambda c, name: rims.select(F.col("node").alias(c), F.col("rim").alias(name))
+        sym = cut(sym.join(of("v", "rim_v"), "v", "left"), "adjacency")
+        limits = cut(of("src", "rim_src"), "rims")
     label = F.struct("dist", "hops", "prev", "obs", "fresh")
     labels = cut(
         start.select("src", F.col("src").alias("node"), F.lit(0).cast("bigint").alias("dist"), F.lit(0).alias("hops"), F.col("src").alias("prev"),
@@ -268,7 +275,11 @@ def pair_distances(edges: DataFrame, boundary: int | None = None, max_hops: int
         "paths",
     )
     for _ in range(max_hops):
-        step = labels.filter("fresh = 1").join(sym, F.col("node") == F.col("u")).select(
+        front = labels.filter("fresh = 1").join(sym, F.col("node") == F.col("u"))
+        if rims is not None:
+            useful = F.coalesce(F.col("dist") + F.col("w") <= F.col("rim_src") + F.col("rim_v"), F.lit(True))
+            front = front.join(limits, "src", "left").filter(useful)
+        step = front.select(
             "src", F.col("v").alias("node"), (F.col("dist") + F.col("w")).alias("dist"), (F.col("hops") + 1).alias("hops"), F.col("u").alias("prev"),
             F.col("obs").bitwiseXOR(F.col("obs_mask").cast("bigint")).alias("obs"), F.lit(1).alias("fresh"),
         )
@@ -279,6 +290,19 @@ def pair_distances(edges: DataFrame, boundary: int | None = None, max_hops: int
     return labels.drop("fresh")
 
 
+def matching_paths(edges: DataFrame, boundary: int, max_hops: int = 64) -> DataFrame:
+    """The shortest paths a minimum-weight matching can use.
+
+    Matching a to b is never cheaper than sending both to the boundary unless dist(a, b) < rim(a) + rim(b),
+    and if that fails at a node it fails at everything beyond it. The table therefore holds each node's
+    neighbourhood out to about its own boundary distance instead of all pairs; nodes without a way to the
+    boundary keep all their paths.
+    """
+    start = edges.sparkSession.range(1).select(F.lit(boundary).alias("src"))
+    rims = pair_distances(edges, None, max_hops, start).filter(F.col("node") != boundary).select("node", F.col("dist").alias("rim"))
+    return pair_distances(edges, boundary, max_hops, rims=rims)
+
+
 def path_edges(paths: DataFrame, pairs: DataFrame) -> DataFrame:
     """Edges on the shortest path of each wanted (src, node), by walking predecessors (MDL16)."""
     link = cut(paths.filter("src <> node").select("src", F.col("node").alias("cur"), "prev"), "links")

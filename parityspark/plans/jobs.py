@@ -37,7 +37,7 @@ def model_paths(errors: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataF
     """Matching edges with integer weights and the shortest paths between their nodes."""
     edges = md.quantize_weights(md.edges_from_model(errors, targets), WEIGHT_LEVELS)
     graph = cut(edges.select("u", F.coalesce("v", F.lit(BOUNDARY)).alias("v"), F.col("q").alias("w"), "obs_mask"), "edges")
-    return graph, gr.pair_distances(graph, BOUNDARY)
+    return graph, gr.matching_paths(graph, BOUNDARY)
 
 
 def predict(

@@ -8,12 +8,16 @@ from ..operators import decode as dc
 from ..operators import events as ev
 from ..operators import graph as gr
 from ..operators import windows as wn
-from .q_graph import BOUNDARY, distance_sql, paths
+from .q_graph import BOUNDARY, distance_sql
 from .registry import query
 
 SYN_SQL = "SELECT shot_id, list(det ORDER BY det) AS key FROM fx_hits GROUP BY 1"
 
 
+def paths(fx):
+    return gr.matching_paths(fx.fx_edge, BOUNDARY)
+
+
 def key_text(df):
     return df.withColumn("key", F.array_join(F.transform("key", lambda d: d.cast("string")), " "))
 
@@ -132,7 +136,7 @@ def _(fx):
     both = cut(routed.join(outer_no, "det").select("shot_id", "stream", "idx", "outer_idx"), "routed")
     inner_edges = null_rim(fx.fx_edge.filter("u < 12 AND (v < 12 OR v = 24)"))
     inner_rounds = fx.fx_det.filter("base_det < 2").select((F.col("round_id") * 2 + F.col("base_det")).alias("det"), "round_id")
-    outer = gr.pair_distances(fx.fx_edge.filter("u < 8 AND (v < 8 OR v = 24)"), BOUNDARY)
+    outer = gr.matching_paths(fx.fx_edge.filter("u < 8 AND (v < 8 OR v = 24)"), BOUNDARY)
     return dc.decode_two_level(fx.fx_shots, both, inner_edges, inner_rounds, 12, 6, 2, 4, outer, BOUNDARY)
 
 
@@ -168,16 +172,22 @@ def lookup_decoder(path):
     return decode
 
 
-@query("dec11_decode_with", f"""
+PLUGIN_SQL = """
   SELECT y.shot_id, CAST(bit_xor(COALESCE(e.obs_mask, 0)) AS BIGINT) AS pred_mask, COUNT(*) > 8 AS discarded
-  FROM fx_hits y LEFT JOIN fx_edge e ON e.u = y.det AND e.v = 24 GROUP BY 1""")
-def _(fx):
+  FROM fx_hits y LEFT JOIN fx_edge e ON e.u = y.det AND e.v = 24 GROUP BY 1"""
+
+
+def plugged(fx):
     dc.register_decoder("boundary-lookup", lookup_decoder)
     model = fx.fx_edge.filter(F.col("v") == BOUNDARY).select(F.col("u").alias("det"), F.col("obs_mask").cast("bigint").alias("obs"))
     full = fx.fx_det.select("det").join(model, "det", "left").select("det", F.coalesce("obs", F.lit(0)).alias("obs"))
     return dc.decode_with(dc.shot_syndromes(fx.fx_hits), "boundary-lookup", full)
 
 
+query("dec11_decode_with", PLUGIN_SQL)(plugged)
+query("udf1_decoder_plugin", PLUGIN_SQL)(plugged)
+
+
 @query("win4_truncate_at_k_errors", """
   SELECT task_id, shot_id FROM (SELECT strong_id AS task_id, seq AS shot_id, COALESCE(SUM(CASE WHEN errors > 30 THEN 1 ELSE 0 END) OVER (PARTITION BY strong_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM fx_stats) WHERE b < 3""")
 def _(fx):

@@ -311,6 +311,11 @@ def _(fx):
     return fx.fx_err.groupBy("d1").agg(F.round(pa.xor_probability(F.col("p")), 9).alias("p"))
 
 
+@query("udaf1_xor_aggregates", "SELECT d1, ROUND(0.5 * (1 - product(1 - 2 * p)), 9) AS p, bit_xor(obs_mask) AS obs FROM fx_err GROUP BY 1")
+def _(fx):
+    return fx.fx_err.groupBy("d1").agg(F.round(pa.xor_probability(F.col("p")), 9).alias("p"), F.bit_xor("obs_mask").alias("obs"))
+
+
 @query("agg4_merge_weights", """
   SELECT d1, obs_mask, ROUND(CASE WHEN SUM(CASE WHEN w < 0 THEN 1 ELSE 0 END) % 2 = 1 THEN -1 ELSE 1 END * ln((1 + t) / (1 - t)), 6) AS w
   FROM (SELECT d1, obs_mask, w, abs(product((exp(w) - 1) / (exp(w) + 1)) OVER (PARTITION BY d1, obs_mask)) AS t

@@ -27,6 +27,10 @@ for _n, _fmt in enumerate(["01", "b8", "hits", "dets", "r8", "ptb64"], 1):
     query(f"src{_n}_read_shots_{_fmt}", ALL_SQL)(lambda fx, fmt=_fmt: round_trip(fx, fmt))
 
 
+# Many hit rows from one file: the table-function surface is the run-length reader's batch decoder.
+query("udtf1_decode_shot_file", ALL_SQL)(lambda fx: round_trip(fx, "r8"))
+
+
 @query("snk1_write_shots_01", """
   SELECT s.shot_id, CONCAT(array_to_string([CASE WHEN list_contains(COALESCE(k, []), i) THEN '1' ELSE '0' END FOR i IN range(24)], ''), CAST(obs_mask % 2 AS VARCHAR), CASE WHEN obs_mask >= 2 THEN '1' ELSE '0' END) AS line
   FROM fx_shots s LEFT JOIN (SELECT shot_id, list(det) AS k FROM fx_hits GROUP BY 1) h ON h.shot_id = s.shot_id""")

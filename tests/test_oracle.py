@@ -11,9 +11,9 @@ from parityspark.plans import catalog
 from tools.check import compare, connect
 
 SF_DIR = "/root/testdata/sf0.001"
-# Iterative and streaming queries take many small jobs; PARITY_FULL=1 runs them too.
-SLOW = ("str", "pipe1", "pipe2", "dec7", "dec8", "dec9", "mdl13", "mdl14", "set4", "dec5", "mdl3_")
-NAMES = [n for n in catalog.callables() if os.environ.get("PARITY_FULL") or not n.startswith(SLOW)]
+# Families of short queries; PARITY_FULL=1 runs every query, iterative and streaming ones included.
+FAST = ("entry", "agg", "flt", "fn", "jn", "srt", "set1", "set2", "set3", "set6", "win", "udaf", "udf3", "dec1_", "dec10", "src7", "src9", "snk4", "mdl4", "mdl5", "mdl9", "mdl10")
+NAMES = [n for n in catalog.callables() if os.environ.get("PARITY_FULL") or n.startswith(FAST)]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test tables not present")
 

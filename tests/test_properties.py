@@ -112,6 +112,16 @@ def test_exact_matching_against_brute_force(spark, seed):
             assert sorted(d for p in r.pairs for d in (p.a, p.b) if d is not None) == key
 
 
+def test_pruned_paths_give_the_same_matchings(spark):
+    keys = spark.createDataFrame([(list(c),) for k in (2, 4, 7) for c in itertools.combinations(range(8), k)], "key array<int>")
+    for seed in (8, 9):
+        edges = graph(spark, seed)
+        everything, pruned = gr.pair_distances(edges, 99), gr.matching_paths(edges, 99)
+        assert pruned.count() <= everything.count()
+        show = lambda p: rows(dc.decode_small_exact(keys, p, 99).select("key", "w", "obs", F.to_json("pairs").alias("p")), "key")
+        assert show(everything) == show(pruned)
+
+
 def test_greedy_is_a_matching_and_never_better(spark):
     paths = gr.pair_distances(graph(spark, 3), 99)
     keys = spark.createDataFrame([(list(c),) for k in (3, 5, 8) for c in itertools.combinations(range(8), k)], "key array<int>")
