@@ -16,14 +16,20 @@ _local_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for intermediate tables: the cluster's own setting, or a fresh local one where none is set."""
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """Folder for intermediate tables: the cluster's own setting.
+
+    Only a session whose executors are threads of the driver may do without one and gets a fresh local folder.
+    """
+    sc = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if configured:
         return configured
-    app = spark.sparkContext.applicationId
+    if not (sc.master == "local" or sc.master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    app = sc.applicationId
     if app not in _local_dirs:
         _local_dirs[app] = tempfile.mkdtemp(prefix="spark-parity-")
-        spark.sparkContext.setCheckpointDir(_local_dirs[app])
+        sc.setCheckpointDir(_local_dirs[app])
     return _local_dirs[app]
 
 
@@ -37,3 +43,13 @@ def cut(df: DataFrame, label: str = "step") -> DataFrame:
     path = new_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables written by ``cut`` that no later step reads."""
+    for table in tables:
+        sc = table.sparkSession.sparkContext
+        home = f"/{sc.applicationId}/"
+        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles() if home in f}:
+            path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
