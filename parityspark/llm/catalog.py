@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..lineage import cut
-from . import op5_byte_bpe, op6_quality_rules, op9_decontamination, op10_url_filter
+from . import op1_toxicity, op2_language_id, op5_byte_bpe, op6_quality_rules, op9_decontamination, op10_url_filter
+from .common import remainder
 from .oracles import ORACLES
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -19,6 +20,21 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def held_out(folds: int, fold: int):
+    return F.coalesce(remainder(F.col("doc_id"), folds) == fold, F.lit(False)).alias("held_out")
+
+
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = op1_toxicity.detect(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return found.select("doc_id", held_out(3, 1), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "evidence", F.size("passages").alias("n_passages"))
+
+
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = op2_language_id.train(docs.filter(op2_language_id.learned(F.col("doc_id"))))
+    return op2_language_id.predict(docs, model).select("doc_id", held_out(4, 2), "lang_pred", "score")
+
+
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = op5_byte_bpe.encode_decode(read(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
     return op5_byte_bpe.digests(coded)
@@ -39,6 +55,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1,
+    "op2_language_id": op2,
     "op5_byte_bpe": op5,
     "op6_quality_rules": op6,
     "op9_decontamination": op9,
