@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from parityspark.lineage import cut
-from parityspark.llm import op5_byte_bpe, op6_quality_rules, op9_decontamination
+from parityspark.llm import op2_language_id, op5_byte_bpe, op6_quality_rules, op7_ngram_jaccard, op9_decontamination
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,6 +14,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return op6_quality_rules.keep(docs, op6_quality_rules.learn(op6_quality_rules.metrics(docs)))
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the corpus names, by a model learned from the documents that name one."""
+    return op2_language_id.keep(docs, op2_language_id.train(docs))
+
+
+def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: five-word shingles, similarity of 0.8 or more."""
+    return op7_ngram_jaccard.representatives(docs)
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark window."""
     return op9_decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -27,6 +37,8 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality_rules", quality_rules),
+    ("language_id", language_id),
+    ("ngram_jaccard", ngram_jaccard),
     ("decontamination", decontamination),
     ("byte_bpe", byte_bpe),
 ]

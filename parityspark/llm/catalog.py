@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..lineage import cut
-from . import op1_toxicity, op2_language_id, op5_byte_bpe, op6_quality_rules, op9_decontamination, op10_url_filter
+from . import op1_toxicity, op2_language_id, op4_sharding, op5_byte_bpe, op6_quality_rules, op7_ngram_jaccard, op9_decontamination, op10_url_filter
 from .common import remainder
 from .oracles import ORACLES
 
@@ -35,6 +35,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2_language_id.predict(docs, model).select("doc_id", held_out(4, 2), "lang_pred", "score")
 
 
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = op4_sharding.assign(read(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = op5_byte_bpe.encode_decode(read(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
     return op5_byte_bpe.digests(coded)
@@ -46,6 +51,10 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("quality", 9).alias("quality"))
 
 
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7_ngram_jaccard.join(read(spark, sf_dir, "documents"), size=4, num=85, den=100)
+
+
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_decontamination.digests(op9_decontamination.find(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
 
@@ -57,8 +66,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1,
     "op2_language_id": op2,
+    "op4_sharding": op4,
     "op5_byte_bpe": op5,
     "op6_quality_rules": op6,
+    "op7_ngram_jaccard": op7,
     "op9_decontamination": op9,
     "op10_url_filter": op10,
 }
