@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..lineage import cut
-from . import op1_toxicity, op2_language_id, op4_sharding, op5_byte_bpe, op6_quality_rules, op7_ngram_jaccard, op9_decontamination, op10_url_filter
+from . import op1_toxicity, op2_language_id, op3_quality_classifier, op4_sharding, op5_byte_bpe, op6_quality_rules, op7_ngram_jaccard, op8_quotation_linking, op9_decontamination, op10_url_filter
 from .common import remainder
 from .oracles import ORACLES
 
@@ -35,6 +35,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2_language_id.predict(docs, model).select("doc_id", held_out(4, 2), "lang_pred", "score")
 
 
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = op3_quality_classifier.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return found.select("doc_id", "n_grams", F.round("perplexity", 6).alias("perplexity"), F.round("fence", 6).alias("fence"), "kept")
+
+
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = op4_sharding.assign(read(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -55,6 +60,10 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_ngram_jaccard.join(read(spark, sf_dir, "documents"), size=4, num=85, den=100)
 
 
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_quotation_linking.link(read(spark, sf_dir, "conversations"))
+
+
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_decontamination.digests(op9_decontamination.find(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
 
@@ -66,10 +75,12 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1,
     "op2_language_id": op2,
+    "op3_quality_classifier": op3,
     "op4_sharding": op4,
     "op5_byte_bpe": op5,
     "op6_quality_rules": op6,
     "op7_ngram_jaccard": op7,
+    "op8_quotation_linking": op8,
     "op9_decontamination": op9,
     "op10_url_filter": op10,
 }
