@@ -235,7 +235,7 @@ def classify(docs: DataFrame, labels: DataFrame, broadcast_rows: int = BROADCAST
     edge = fences(scored.join(trusted, "doc_id", "left_semi").filter("n > 0").select("lang", place))
     default = [r.fence for r in edge.filter("lang IS NULL").collect()]
     joined = scored.join(edge.filter("lang IS NOT NULL"), "lang", "left") if default else scored.withColumn("fence", F.lit(None).cast("double"))
-    fence = F.coalesce("fence", F.lit(default[0] if default else None).cast("double")) + DEVIATIONS * SPREAD / F.sqrt("n")
+    fence = F.coalesce("fence", F.lit(default[0] if default else None).cast("double")) + DEVIATIONS * SPREAD / F.sqrt(F.greatest("n", F.lit(1)))
     return joined.select(
         "doc_id", "lang", F.col("n").alias("n_grams"), F.exp("log_perplexity").alias("perplexity"), F.exp(fence).alias("fence"),
         F.coalesce(F.col("log_perplexity") <= fence, F.col("n") > 0).alias("kept"),

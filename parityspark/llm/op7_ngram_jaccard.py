@@ -132,7 +132,7 @@ def sets(docs: DataFrame, order, size: int, num: int, den: int) -> DataFrame:
 
         return step
 
-    return map_rows(docs.select("doc_id", "text"), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n int, s1 long, s2 long, head array<long>", make)
+    return map_rows(docs.select("doc_id", "text"), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, s1 long, s2 long, head array<long>", make)
 
 
 def segments(docs: DataFrame, nodes: DataFrame, order, size: int) -> DataFrame:
