@@ -8,7 +8,7 @@ Pairs to count come from the head of each set (the shingles of which similar set
 share such a shingle, they are paired, if lengths and positions allow. Where more do, nothing is paired as rows: the classes
 tied by such shingles form a dense cluster, clusters are cut into blocks of at most BLOCK_WORK shingles, and each pair of
 blocks that lengths allow is one bounded task, which counts its overlaps fragment by fragment as matrix products and returns
-only a spanning forest of its links. Work inside one cluster is quadratic in its *different* sets, never in rows moved to one task.
+only which classes its links connect. Work inside one cluster is quadratic in its *different* sets, never in rows moved to one task.
 
 Links are exact up to collisions of 64-bit shingle hashes. Null text, or text without words, has no shingles and no links. Rows without
 doc_id are linked only through an equal set. Repeated rows are copies like others; rows with one doc_id but different texts are one
@@ -17,6 +17,8 @@ document, linked with what either is linked with. Extra columns are not read.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -30,7 +32,7 @@ from .common import map_rows, mix, utf8, word_hashes
 from .graphs import components
 
 SIZE, NUMERATOR, DENOMINATOR = 5, 80, 100
-BITS = 18  # bucket table of the global order: 2 ** BITS counters
+BITS, CHUNK_BITS = 22, 16  # bucket table of the global order: 2 ** BITS counters, dealt in chunks of 2 ** CHUNK_BITS
 FRAGMENTS = 8
 LIGHT = 64
 BLOCK_WORK, DOC_WORK = 250_000, 400
@@ -89,8 +91,12 @@ class Order:
 
 
 def global_order(docs: DataFrame, size: int, fragments: int = FRAGMENTS) -> Order:
-    """Counts shingles by bucket over all documents; 2 ** BITS sums reach the driver, whatever the corpus."""
+    """Counts shingles by bucket over all documents; 2 ** BITS sums reach the driver, whatever the corpus.
+
+    A task packs its counters into compressed chunks, and each chunk's are summed one after the other.
+    """
     ship(docs.sparkSession)
+    chunk = 1 << CHUNK_BITS
 
     def count(batches):
         hashes, total, pending, held = word_hashes(), np.zeros(1 << BITS, np.int64), [], 0
@@ -103,13 +109,26 @@ def global_order(docs: DataFrame, size: int, fragments: int = FRAGMENTS) -> Orde
                     pending, held = [], 0
         if pending:
             total += np.bincount(np.concatenate(pending), minlength=1 << BITS)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"bucket": pa.array(at, pa.int32()), "n": total[at]})
+        yield from _packed({i: part for i, part in enumerate(total.reshape(-1, chunk)) if part.any()})
+
+    def add(batches):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, blob in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist()):
+                part = np.frombuffer(zlib.decompress(blob), np.int64)
+                total[i] = total[i] + part if i in total else part
+        yield from _packed(total)
+
+    kind = "chunk int, counts binary"
+    counts = np.zeros((1 << (BITS - CHUNK_BITS), chunk), np.int64)
+    for r in docs.select("text").mapInArrow(count, kind).repartition("chunk").mapInArrow(add, kind).collect():
+        counts[r.chunk] = np.frombuffer(zlib.decompress(bytes(r.counts)), np.int64)
+    return Order(counts.ravel(), fragments)
+
 
-    rows = docs.select("text").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(1 << BITS, np.int64)
-    counts[rows.column("bucket").to_numpy()] = rows.column("n").to_numpy()
-    return Order(counts, fragments)
+def _packed(parts: dict[int, np.ndarray]):
+    for i, part in parts.items():
+        yield pa.RecordBatch.from_pydict({"chunk": pa.array([i], pa.int32()), "counts": [zlib.compress(part.tobytes(), 1)]})
 
 
 def _signed(s: np.ndarray) -> np.ndarray:
@@ -136,28 +155,35 @@ def sets(docs: DataFrame, order, size: int, num: int, den: int) -> DataFrame:
 
 
 def segments(docs: DataFrame, nodes: DataFrame, order, size: int) -> DataFrame:
-    """(node, frag, tokens): the cut sets of some classes, made from the text of one document each."""
-    some = docs.select("doc_id", "text").join(nodes.select("node", "s1", "s2", F.col("rep").alias("doc_id")), "doc_id")
+    """(node, frag, tokens): the cut sets of some classes (node, s1, s2, rep, twice), made from the text of one document each.
+
+    Where ``twice`` says that several rows carry that doc_id, only one of them counts.
+    """
+    ids = cut(nodes.select(F.col("rep").alias("doc_id")).distinct(), "ids")
+    some = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").join(nodes.select("node", "s1", "s2", "twice", F.col("rep").alias("doc_id")), "doc_id")
 
     def make():
         hashes, o = word_hashes(), order.value
 
         def step(rows):
-            out = {"node": [], "frag": [], "tokens": []}
-            marks = zip(*(rows.column(c).to_pylist() for c in ("node", "s1", "s2")), utf8(rows, "text"))
-            for node, s1, s2, text in marks:
+            out = {"node": [], "frag": [], "tokens": [], "twice": []}
+            marks = zip(*(rows.column(c).to_pylist() for c in ("node", "s1", "s2", "twice")), utf8(rows, "text"))
+            for node, s1, s2, twice, text in marks:
                 s = shingles(text, size, hashes)
                 if signature(s) == (s1, s2):  # another text may carry the same doc_id
                     for f, part in o.cut(s):
                         out["node"].append(node)
                         out["frag"].append(f)
                         out["tokens"].append(_signed(part))
+                        out["twice"].append(twice)
             return out
 
         return step
 
-    cutted = map_rows(some.select("node", "s1", "s2", "text"), "node long, frag int, tokens array<long>", make)
-    return cut(cutted.groupBy("node", "frag").agg(F.any_value("tokens").alias("tokens")), "segments")
+    parts = map_rows(some.select("node", "s1", "s2", "twice", "text"), "node long, frag int, tokens array<long>, twice boolean", make)
+    parts = cut(parts, "segments")
+    again = parts.filter("twice").groupBy("node", "frag").agg(F.any_value("tokens").alias("tokens"))
+    return parts.filter("NOT twice").drop("twice").unionByName(again)
 
 
 def _similar(overlap, na, nb, num: int, den: int):
@@ -183,7 +209,7 @@ def count_pairs(pairs: DataFrame, segs: DataFrame, num: int, den: int) -> DataFr
 
 
 def block_links(rows: pd.DataFrame, num: int, den: int) -> list[tuple[int, int]]:
-    """Spanning forest of the links between two blocks (or inside one): rows (side, node, cluster, n, frag, tokens)."""
+    """What the links between two blocks (or inside one) connect, as (node, smallest node): rows (side, node, cluster, n, frag, tokens)."""
     heads = rows.drop_duplicates(["side", "node"]).sort_values(["side", "node"])
     left, right = heads[heads.side == 0], heads[heads.side == 1]
     inside = right.empty
@@ -217,13 +243,10 @@ def block_links(rows: pd.DataFrame, num: int, den: int) -> list[tuple[int, int]]
             x = root[x]
         return x
 
-    forest = []
     for i, j in np.argwhere(link).tolist():
-        x, y = find(a[i]), find(b[j])
-        if x != y:
-            root[x] = y
-            forest.append((int(a[i]), int(b[j])))
-    return forest
+        x, y = sorted((find(int(a[i])), find(int(b[j]))))
+        root[y] = x
+    return [(x, find(x)) for x in root if find(x) != x]
 
 
 def dense_links(nodes: DataFrame, segs: DataFrame, num: int, den: int, block_work: int) -> DataFrame:
@@ -244,11 +267,17 @@ def dense_links(nodes: DataFrame, segs: DataFrame, num: int, den: int, block_wor
     return sides[0].unionByName(sides[1]).select("b1", "b2", "side", "node", "cluster", "n", "frag", "tokens").groupBy("b1", "b2").applyInPandas(run, "a long, b long")
 
 
-def same_document(every: DataFrame, classes: DataFrame) -> DataFrame:
-    """Links (a, b) between the classes of rows that repeat a doc_id with different sets."""
+def repeated_ids(every: DataFrame) -> DataFrame:
+    """(doc_id, differ): ids of several rows with shingles, and whether their sets differ."""
     mark = F.struct("s1", "s2", "n")
-    several = every.filter("n > 0").groupBy("doc_id").agg(F.min(mark).alias("low"), F.max(mark).alias("high")).filter("low != high").select("doc_id")
-    nodes = every.join(several, "doc_id").join(classes.select("s1", "s2", "n", "node"), ["s1", "s2", "n"]).select("doc_id", "node")
+    found = every.filter("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("k"), F.min(mark).alias("low"), F.max(mark).alias("high"))
+    return cut(found.filter("k > 1").select("doc_id", (F.col("low") != F.col("high")).alias("differ")), "repeated")
+
+
+def same_document(every: DataFrame, classes: DataFrame, repeated: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes of rows that repeat a doc_id with different sets."""
+    rows = every.join(repeated.filter("differ").select("doc_id"), "doc_id")
+    nodes = rows.join(classes.select("s1", "s2", "n", "node"), ["s1", "s2", "n"]).select("doc_id", "node")
     return nodes.join(nodes.groupBy("doc_id").agg(F.min("node").alias("b")), "doc_id").select(F.col("node").alias("a"), "b")
 
 
@@ -268,12 +297,14 @@ def join(docs: DataFrame, size: int = SIZE, num: int = NUMERATOR, den: int = DEN
     star = many.join(many.groupBy("token").agg(F.min("node").alias("b")), "token").select(F.col("node").alias("a"), "b")
     clusters = cut(components(star), "clusters")
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(clusters.select("node")).distinct()
-    segs = segments(docs, cut(classes.drop("head").join(wanted, "node"), "wanted"), order, size)
+    repeated = repeated_ids(every)
+    wanted = classes.drop("head").join(wanted, "node").join(repeated.select(F.col("doc_id").alias("rep"), F.lit(True).alias("twice")), "rep", "left")
+    segs = segments(docs, cut(wanted.withColumn("twice", F.coalesce("twice", F.lit(False))), "wanted"), order, size)
     links = count_pairs(pairs, segs, num, den)
     if not clusters.isEmpty():
         inside = clusters.withColumnRenamed("label", "cluster").join(classes.select("node", "n"), "node")
         links = links.unionByName(dense_links(inside, segs, num, den, block_work))
-    labels = cut(components(links.unionByName(same_document(every, classes))), "labels")
+    labels = cut(components(links.unionByName(same_document(every, classes, repeated))), "labels")
     first = labels.join(classes.select("node", "rep"), "node").groupBy("label").agg(F.min("rep").alias("least"))
     named = classes.drop("head").join(labels, "node", "left").join(first, "label", "left").select("s1", "s2", "n", F.coalesce("least", "rep").alias("component"))
     out = every.drop("head").join(named, ["s1", "s2", "n"], "left")
