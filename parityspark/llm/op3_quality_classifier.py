@@ -222,7 +222,7 @@ def classify(docs: DataFrame, labels: DataFrame, broadcast_rows: int = BROADCAST
     """(doc_id, lang, n_grams, perplexity, fence, kept) of every document."""
     docs = docs.select("doc_id", "lang", "text")
     trusted = labels.filter("quality IS NOT NULL").groupBy("doc_id").agg(F.avg("quality").alias("q")).filter("q > 0.5").select("doc_id")
-    quads = cut(_gathered(docs.join(trusted, "doc_id", "left_semi"), distinct=False), "order4")
+    quads = cut(_gathered(docs.join(trusted.hint("merge"), "doc_id", "left_semi"), distinct=False), "order4")
     universe = _gathered(docs, distinct=True)
     table = cut(probabilities(cut(universe, "universe"), quads), "logp")
     if table.count() <= broadcast_rows:
