@@ -14,7 +14,7 @@ HEADLINE = [
     "entry_failed_shots", "agg1_xor_reduce", "jn1_measurements_to_events", "jn4_replay_errors", "jn6_score_predictions", "jn14_pair_hits_on_edges",
     "flt5_postselect_shots", "agg9_hamming_weight_histogram", "set2_xor_sets", "agg3_merge_duplicate_errors", "mdl5_edges_from_model", "agg18_joint_edge_probabilities",
     "src1_read_shots_01", "src2_read_shots_b8", "src5_read_shots_r8", "src9_read_task_stats", "set1_append_stats", "fn3_fit_binomial", "fn20_line_fit_curves",
-    "srt1_natural_sort_key", "mdl1_flatten_model", "mdl13_components", "mdl15_pair_distances", "dec1_distinct_syndromes", "dec2_decode_small_exact",
+    "srt1_natural_sort_key", "mdl1_flatten_model", "mdl13_components", "mdl15_pair_distances", "dec1_distinct_syndromes", "dec2_decode_exact",
     "dec6_predictions", "win6_round_differences", "win7_assign_windows", "win5_limit_collection", "str3_stream_combine",
 ]
 

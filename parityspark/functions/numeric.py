@@ -163,8 +163,13 @@ def quantize_neg_log(p: Column) -> Column:
 
 def quantize_weight(w: Column, max_abs: Column, all_integer: Column, levels: int) -> Column:
     """Even integers: scale the weights onto ``levels`` - 1 steps, round half away from zero, double (FN13)."""
+    return (F.round(w * weight_scale(max_abs, all_integer, levels) / 2) * 2).cast("long")
+
+
+def weight_scale(max_abs: Column, all_integer: Column, levels: int) -> Column:
+    """What a quantised weight is divided by to get back to the units of the model."""
     factor = F.when(all_integer, F.lit(1.0)).otherwise((levels - 1) / F.nullif(max_abs, F.lit(0.0)))
-    return (F.round(w * F.coalesce(factor, F.lit(1.0))) * 2).cast("long")
+    return 2 * F.coalesce(factor, F.lit(1.0))
 
 
 def mask_pack(idx: Column) -> Column:

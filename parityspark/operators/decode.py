@@ -14,8 +14,6 @@ from .graph import connected_components, matching_paths, path_edges
 from .matching import by_size, lowered_costs, matrix, solutions, unfold
 from .parity import xor_reduce
 
-MAX_HITS = 10  # subset tables grow as 2^hits; larger syndromes take the greedy path
-
 
 def shot_syndromes(hits: DataFrame) -> DataFrame:
     """Sorted hit list of every shot that has hits; a list holds each detector of the model at most once."""
@@ -59,22 +57,14 @@ def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield solutions(batch, "key", rows, matrix(batch, "key", rows, np.int64), rim, pair, rim_obs, pair_obs)
 
 
-def decode_small_exact(syndromes: DataFrame, dist: DataFrame, boundary: int = -1, max_hits: int = MAX_HITS) -> DataFrame:
-    """Exact minimum-weight matching of syndromes with at most ``max_hits`` hits (DEC2).
+def decode_exact(syndromes: DataFrame, dist: DataFrame, boundary: int = -1) -> DataFrame:
+    """Exact minimum-weight matching of whole syndromes (DEC2).
 
-    Returns key, w, obs, the matched pairs and a reason; larger or infeasible syndromes have NULL w and the
-    reason why, and are left to another decoder.
+    Returns key, w, obs, the matched pairs and a reason; infeasible syndromes have NULL w.
     """
-    small = syndromes.filter(F.size("key").between(1, max_hits))
-    solved = _hit_costs(small, dist, boundary).mapInArrow(_solve, _SOLVED)
-    done = solved.select(
-        "key", "w", "obs", _pairs(F.col("a"), F.col("b")).alias("pairs"), F.when(F.col("w").isNull(), "infeasible").otherwise("exact").alias("reason")
-    )
-    return done.unionByName(
-        syndromes.filter(F.size("key") > max_hits).select(
-            "key", F.lit(None).cast("double").alias("w"), F.lit(None).cast("bigint").alias("obs"),
-            F.lit(None).cast("array<struct<a:int,b:int>>").alias("pairs"), F.lit("too many hits").alias("reason"),
-        )
+    solved = _hit_costs(syndromes.filter(F.size("key") > 0), dist, boundary).mapInArrow(_solve, _SOLVED)
+    return solved.select(
+        "key", "w", "obs", F.when(F.col("w").isNotNull(), _pairs(F.col("a"), F.col("b"))).alias("pairs"), F.when(F.col("w").isNull(), "infeasible").otherwise("exact").alias("reason")
     )
 
 
@@ -135,14 +125,13 @@ def decode_greedy(syndromes: DataFrame, dist: DataFrame, boundary: int = -1) ->
     )
 
 
-def decode_by_clusters(syndromes: DataFrame, dist: DataFrame, boundary: int = -1, max_hits: int = MAX_HITS) -> DataFrame:
-    """Matching of large syndromes by independent clusters.
+def decode(syndromes: DataFrame, dist: DataFrame, boundary: int = -1) -> DataFrame:
+    """Exact matching of every syndrome, whatever its size, by independent clusters.
 
     Hits linked by candidate pairs form clusters that a best matching never crosses, so each cluster is
-    solved on its own and every distinct cluster once. Only a cluster that is itself above ``max_hits`` is
-    matched greedily, and its syndromes say so in ``reason``.
+    solved on its own and every distinct cluster once; a syndrome's answer is the sum of its clusters'.
     """
-    ids = cut(syndromes.select("key").withColumn("sid", F.monotonically_increasing_id()), "cluster-ids")
+    ids = cut(syndromes.filter(F.size("key") > 0).select("key").withColumn("sid", F.monotonically_increasing_id()), "cluster-ids")
     nodes = ids.select("sid", F.explode("key").alias("det"))
     pairs, _ = _local_options(nodes, dist, boundary)
     labels = connected_components(
@@ -150,29 +139,17 @@ def decode_by_clusters(syndromes: DataFrame, dist: DataFrame, boundary: int = -1
     )
     parts = cut(labels.groupBy("grp", "label").agg(F.array_sort(F.collect_list("node")).alias("part")).select(F.col("grp").alias("sid"), "part"), "clusters")
     each = cut(parts.select(F.col("part").alias("key")).distinct(), "distinct-clusters")
-    solved = decode_small_exact(each.filter(F.size("key") <= max_hits), dist, boundary, max_hits)
-    wide = each.filter(F.size("key") > max_hits)
-    if not wide.isEmpty():
-        solved = solved.unionByName(decode_greedy(wide, dist, boundary))
-    joined = parts.join(solved.withColumnRenamed("key", "part"), "part")
+    joined = parts.join(decode_exact(each, dist, boundary).withColumnRenamed("key", "part"), "part")
     whole = joined.groupBy("sid").agg(
-        F.bool_and(F.col("w").isNotNull()).alias("_ok"), F.bool_or(F.col("reason") == "greedy").alias("_g"), F.sum("w").alias("w"), F.bit_xor("obs").alias("obs"),
-        F.array_sort(F.flatten(F.collect_list("pairs"))).alias("pairs"),
+        F.bool_and(F.col("w").isNotNull()).alias("_ok"), F.sum("w").alias("w"), F.bit_xor("obs").alias("obs"), F.array_sort(F.flatten(F.collect_list("pairs"))).alias("pairs"),
     )
     ok = F.col("_ok")
     return ids.join(whole, "sid").select(
         "key", F.when(ok, F.col("w")).alias("w"), F.when(ok, F.col("obs")).alias("obs"), F.when(ok, F.col("pairs")).alias("pairs"),
-        F.when(~ok, "infeasible").when(F.col("_g"), "greedy").otherwise("exact").alias("reason"),
+        F.when(ok, "exact").otherwise("infeasible").alias("reason"),
     )
 
 
-def decode(syndromes: DataFrame, dist: DataFrame, boundary: int = -1, max_hits: int = MAX_HITS) -> DataFrame:
-    """Exact where the syndrome or all its clusters are small enough; every syndrome is answered."""
-    small = decode_small_exact(syndromes.filter(F.size("key") <= max_hits), dist, boundary, max_hits)
-    large = cut(syndromes.filter(F.size("key") > max_hits).select("key"), "large")
-    return small if large.isEmpty() else small.unionByName(decode_by_clusters(large, dist, boundary, max_hits))
-
-
 def matched_pairs(decoded: DataFrame) -> DataFrame:
     """Matched pairs of each solution, a NULL ``b`` being the boundary (DEC4)."""
     return decoded.select("key", F.explode("pairs").alias("_p")).select("key", "_p.*")
@@ -204,10 +181,10 @@ def predictions(shots: DataFrame, per_shot: DataFrame, decoded: DataFrame) -> Da
     )
 
 
-def decode_shots(shots: DataFrame, hits: DataFrame, dist: DataFrame, boundary: int = -1, max_hits: int = MAX_HITS) -> DataFrame:
+def decode_shots(shots: DataFrame, hits: DataFrame, dist: DataFrame, boundary: int = -1) -> DataFrame:
     """Hits to predictions in one call."""
     per_shot = cut(shot_syndromes(hits), "syndromes")
-    return predictions(shots, per_shot, decode(distinct_syndromes(per_shot), dist, boundary, max_hits))
+    return predictions(shots, per_shot, decode(distinct_syndromes(per_shot), dist, boundary))
 
 
 def decode_vacuous(shots: DataFrame) -> DataFrame:
@@ -234,7 +211,7 @@ def window_paths(edges: DataFrame, det_rounds: DataFrame, n_nodes: int, starts:
 
 def decode_windowed(
     shots: DataFrame, hits: DataFrame, edges: DataFrame, det_rounds: DataFrame, n_nodes: int, n_rounds: int, commit: int, window: int,
-    no_boundary_commit: bool = False, max_hits: int = MAX_HITS,
+    no_boundary_commit: bool = False,
 ) -> dict[str, DataFrame]:
     """Sliding-window decoding: decode a window, commit the edges touching its first ``commit`` rounds, XOR them
     back into the hits, advance (DEC7).
@@ -245,8 +222,9 @@ def decode_windowed(
     starts = list(range(0, n_rounds, commit))
     paths = window_paths(edges, det_rounds, n_nodes, starts, window)
     rounds = det_rounds.select("det", "round_id")
-    weights = edges.select("u", F.coalesce("v", F.lit(-1)).alias("v"), F.col("obs_mask").cast("bigint").alias("obs_mask")).groupBy(
-        F.least("u", "v").alias("lo"), F.greatest("u", "v").alias("hi")).agg(F.first("obs_mask").alias("obs_mask"))
+    # Of parallel edges a shortest path takes the lightest, on ties the one with the smaller observables.
+    weights = edges.select("u", F.coalesce("v", F.lit(-1)).alias("v"), "w", F.col("obs_mask").cast("bigint").alias("obs_mask")).groupBy(
+        F.least("u", "v").alias("lo"), F.greatest("u", "v").alias("hi")).agg(F.min_by("obs_mask", F.struct("w", "obs_mask")).alias("obs_mask"))
     state = cut(hits.select("shot_id", "det"), "window-hits")
     flips = None
     for i, start in enumerate(starts):
@@ -256,7 +234,7 @@ def decode_windowed(
         sliced = here.join(active, "shot_id", "left_semi").select("shot_id", (F.col("det") + off).alias("det"))
         per_shot = cut(shot_syndromes(sliced), "window-syndromes")
         own = paths.filter((F.col("src") >= off) & (F.col("src") < off + n_nodes))
-        solved = cut(decode(distinct_syndromes(per_shot), own, -1, max_hits), "window-solved")
+        solved = cut(decode(distinct_syndromes(per_shot), own, -1), "window-solved")
         steps = solution_edges(matched_pairs(solved), own).select(
             "key", F.when(F.col("u") < 0, -1).otherwise(F.col("u") - off).alias("lo"), F.when(F.col("v") < 0, -1).otherwise(F.col("v") - off).alias("hi")
         )
@@ -279,33 +257,33 @@ def decode_windowed(
 
 def decode_two_level(
     shots: DataFrame, routed: DataFrame, inner_edges: DataFrame, inner_rounds: DataFrame, inner_nodes: int, n_rounds: int, commit: int, window: int,
-    outer_dist: DataFrame, boundary: int = -1, max_hits: int = MAX_HITS,
+    outer_dist: DataFrame, boundary: int = -1,
 ) -> DataFrame:
     """Inner windowed pass without boundary commits, unexplained hits to the outer pass, XOR of both (DEC8).
 
     ``routed(shot_id, stream, idx, outer_idx)`` carries each hit's number in its stream and in the outer code.
     """
     inner_hits = xor_reduce(routed.filter("stream = 'inner'").select("shot_id", F.col("idx").alias("det")), ["shot_id", "det"])
-    inner = decode_windowed(shots, inner_hits, inner_edges, inner_rounds, inner_nodes, n_rounds, commit, window, True, max_hits)
+    inner = decode_windowed(shots, inner_hits, inner_edges, inner_rounds, inner_nodes, n_rounds, commit, window, True)
     # Only hits that were recorded can move on; bits created by a partial commit stay in the inner code.
     left = inner["left"].withColumnRenamed("det", "idx")
     moved = routed.filter("stream = 'inner'").join(left, ["shot_id", "idx"], "left_semi").select("shot_id", F.col("outer_idx").alias("det"))
     direct = routed.filter("stream = 'outer'").select("shot_id", F.col("idx").alias("det"))
     outer_hits = cut(xor_reduce(direct.unionByName(moved), ["shot_id", "det"]), "outer-hits")
-    outer = decode_shots(shots, outer_hits, outer_dist, boundary, max_hits)
+    outer = decode_shots(shots, outer_hits, outer_dist, boundary)
     return inner["predictions"].withColumnRenamed("pred_mask", "inner_mask").join(
         outer.select("shot_id", F.col("pred_mask").alias("outer_mask")), "shot_id"
     ).select("shot_id", F.col("inner_mask").bitwiseXOR(F.coalesce("outer_mask", F.lit(0).cast("bigint"))).alias("pred_mask"))
 
 
-def decode_correlated(syndromes: DataFrame, paths: DataFrame, edges: DataFrame, implied: DataFrame, boundary: int = -1, max_hits: int = MAX_HITS) -> DataFrame:
+def decode_correlated(syndromes: DataFrame, paths: DataFrame, edges: DataFrame, implied: DataFrame, boundary: int = -1) -> DataFrame:
     """Second pass with the weights implied by the first pass's edges (DEC9).
 
     ``implied(cu, cv, au, av, w)`` names nodes with ``boundary`` for the boundary. Per syndrome only the ends
     of the cheaper edges are added to its hits; distances among these few nodes come from the path table and
-    are then relaxed through the cheaper edges. Syndromes above ``max_hits`` keep the first pass's answer.
+    are then relaxed through the cheaper edges. Syndromes without a cheaper edge keep the first pass's answer.
     """
-    first = cut(decode(syndromes, paths, boundary, max_hits), "first-pass")
+    first = cut(decode(syndromes, paths, boundary), "first-pass")
     used = solution_edges(matched_pairs(first.filter("reason = 'exact'")), paths, boundary)
     order = lambda a, b: (F.least(a, b), F.greatest(a, b))
     c_lo, c_hi = order("cu", "cv")

@@ -62,17 +62,16 @@ def score_predictions(pred: DataFrame, actual: DataFrame, obs_postmask: int = 0,
     """Join predictions to the truth; flag discards, errors and the wrong observables (JN6).
 
     A shot is discarded when postselection dropped it or a postselected observable was mispredicted, and a
-    discarded shot is never an error.
+    discarded shot is never an error. A kept shot without a prediction, or with a NULL one, is an error whose
+    mistake mask is NULL.
     """
-    joined = actual.join(pred, "shot_id", "left").withColumn(
-        "mistake_mask", F.col("obs_mask").bitwiseXOR(F.coalesce("pred_mask", F.lit(0)))
-    )
-    discard: Column = F.col("mistake_mask").bitwiseAND(F.lit(obs_postmask)) != 0
+    joined = actual.join(pred, "shot_id", "left").withColumn("mistake_mask", F.col("obs_mask").bitwiseXOR(F.col("pred_mask")))
+    discard: Column = F.coalesce(F.col("mistake_mask").bitwiseAND(F.lit(obs_postmask)) != 0, F.lit(False))
     if discards is not None:
         joined = joined.join(discards.select("shot_id", F.lit(True).alias("_d")).distinct(), "shot_id", "left")
         discard = discard | F.col("_d").isNotNull()
     return joined.withColumn("discarded", discard).select(
-        "shot_id", "discarded", ((~F.col("discarded")) & (F.col("mistake_mask") != 0)).alias("is_error"), "mistake_mask"
+        "shot_id", "discarded", ((~F.col("discarded")) & F.coalesce(F.col("mistake_mask") != 0, F.lit(True))).alias("is_error"), "mistake_mask"
     )
 
 

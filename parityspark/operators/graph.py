@@ -1,4 +1,4 @@
-"""Matching-graph tables: construction, properties, components, shortest paths, undetectable errors, sampling.
+"""Matching-graph tables: construction, properties, components, shortest paths, undetectable errors.
 
 Iterative operators hand their frontier from round to round through written tables (see ``lineage``), run
 one grouped reduction per round and stop at a fixpoint.
@@ -6,15 +6,11 @@ one grouped reduction per round and stop at a fixpoint.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numeric as num
-from ..lineage import cut
+from ..lineage import cut, drop
 from .events import pair_hits_on_edges
 from .model import component_edges, merge_parallel_edges
 from .parity import xor_probability, xor_reduce
@@ -192,7 +188,7 @@ def simplest_location(locations: DataFrame) -> DataFrame:
 # ---- components ---------------------------------------------------------------------------------
 
 
-def connected_components(nodes: DataFrame, links: DataFrame, max_rounds: int = 64) -> DataFrame:
+def connected_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """Smallest node of each node's component: nodes(grp, node), links(grp, u, v) in one direction.
 
     Every round takes the smallest label of the neighbourhood and then that label's label, so chains of n
@@ -201,7 +197,7 @@ def connected_components(nodes: DataFrame, links: DataFrame, max_rounds: int = 6
     both = cut(links.select("grp", "u", "v").unionByName(links.select("grp", F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "links")
     labels = cut(nodes.select("grp", "node", F.col("node").alias("label")), "labels")
     own = F.lit(None).cast(labels.schema["label"].dataType)
-    for _ in range(max_rounds):
+    while True:
         near = both.join(labels.select("grp", F.col("node").alias("v"), "label"), ["grp", "v"]).select("grp", F.col("u").alias("node"), "label", own.alias("old"))
         low = near.unionByName(labels.select("grp", "node", "label", F.col("label").alias("old"))).groupBy("grp", "node").agg(
             F.min("label").alias("label"), F.max("old").alias("old")
@@ -212,7 +208,6 @@ def connected_components(nodes: DataFrame, links: DataFrame, max_rounds: int = 6
         labels = moved.select("grp", "node", "label")
         if moved.filter("label <> old").isEmpty():
             return labels
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
 def hit_components(hits: DataFrame, edges: DataFrame) -> DataFrame:
@@ -246,17 +241,19 @@ def undecodable_shots(hits: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def pair_distances(
-    edges: DataFrame, boundary: int | None = None, max_hops: int = 64, sources: DataFrame | None = None, rims: DataFrame | None = None
+    edges: DataFrame, boundary: int | None = None, sources: DataFrame | None = None, rims: DataFrame | None = None
 ) -> DataFrame:
     """Shortest paths between nodes: dist, hops, predecessor and observable parity (MDL15).
 
     Ties go to fewer hops, then to the smaller predecessor. Only labels improved in the last round are
-    extended, and no path continues through the boundary node. With ``rims(node, rim)``, boundary distances,
+    extended, until none improves; a negative weight raises, as a cycle through it would never end (see
+    ``normalize_negative_edges``). No path continues through the boundary node. With ``rims(node, rim)``, boundary distances,
     a label longer than both ends' rims together is dropped as soon as it appears (see ``matching_paths``).
     """
+    checked = F.when(F.col("w") < 0, F.raise_error(F.lit("negative edge weight")).cast(edges.schema["w"].dataType)).otherwise(F.col("w")).alias("w")
     sym = cut(
-        edges.filter("u <> v").select("u", "v", "w", "obs_mask").unionByName(
-            edges.filter("u <> v").select(F.col("v").alias("u"), F.col("u").alias("v"), "w", "obs_mask")
+        edges.filter("u <> v").select("u", "v", checked, "obs_mask").unionByName(
+            edges.filter("u <> v").select(F.col("v").alias("u"), F.col("u").alias("v"), checked, "obs_mask")
         ),
         "adjacency",
     )
@@ -274,7 +271,7 @@ def pair_distances(
                      F.lit(0).cast("bigint").alias("obs"), F.lit(1).alias("fresh")),
         "paths",
     )
-    for _ in range(max_hops):
+    while True:
         front = labels.filter("fresh = 1").join(sym, F.col("node") == F.col("u"))
         if rims is not None:
             useful = F.coalesce(F.col("dist") + F.col("w") <= F.col("rim_src") + F.col("rim_v"), F.lit(True))
@@ -284,13 +281,14 @@ def pair_distances(
             F.col("obs").bitwiseXOR(F.col("obs_mask").cast("bigint")).alias("obs"), F.lit(1).alias("fresh"),
         )
         best = labels.withColumn("fresh", F.lit(0)).unionByName(step).groupBy("src", "node").agg(F.min(label).alias("_l"))
-        labels = cut(best.select("src", "node", "_l.*"), "paths")
+        before, labels = labels, cut(best.select("src", "node", "_l.*"), "paths")
+        drop(before)
         if labels.filter("fresh = 1").isEmpty():
             break
     return labels.drop("fresh")
 
 
-def matching_paths(edges: DataFrame, boundary: int, max_hops: int = 64) -> DataFrame:
+def matching_paths(edges: DataFrame, boundary: int) -> DataFrame:
     """The shortest paths a minimum-weight matching can use.
 
     Matching a to b is never cheaper than sending both to the boundary unless dist(a, b) < rim(a) + rim(b),
@@ -299,8 +297,8 @@ def matching_paths(edges: DataFrame, boundary: int, max_hops: int = 64) -> DataF
     boundary keep all their paths.
     """
     start = edges.sparkSession.range(1).select(F.lit(boundary).alias("src"))
-    rims = pair_distances(edges, None, max_hops, start).filter(F.col("node") != boundary).select("node", F.col("dist").alias("rim"))
-    return pair_distances(edges, boundary, max_hops, rims=rims)
+    rims = pair_distances(edges, None, start).filter(F.col("node") != boundary).select("node", F.col("dist").alias("rim"))
+    return pair_distances(edges, boundary, rims=rims)
 
 
 def path_edges(paths: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -334,7 +332,7 @@ def _set_xor(a: Column, b: Column) -> Column:
     return F.array_sort(F.concat(F.array_except(a, b), F.array_except(b, a)))
 
 
-def undetectable_hyper(moves: DataFrame, max_set: int, max_degree: int, no_growth: bool = False, max_depth: int = 64) -> DataFrame:
+def undetectable_hyper(moves: DataFrame, max_set: int, max_degree: int, no_growth: bool = False) -> DataFrame:
     """Fewest mechanisms that together flip an observable and no detector, as rows (dets, obs) (MDL18).
 
     Breadth-first over symptom sets: each state's smallest detector is cancelled by any mechanism touching
@@ -352,7 +350,7 @@ def undetectable_hyper(moves: DataFrame, max_set: int, max_degree: int, no_growt
         moves.filter((F.col("obs") != 0) & (F.size("dets") <= max_set)).select("dets", "obs", none.alias("p_dets"), zero.alias("p_obs")), "layer"
     )
     layers, seen = [layer], layer.select("dets", "obs")
-    for _ in range(max_depth):
+    while True:
         grown = layer.select("dets", "obs", F.get("dets", F.lit(0)).alias("det")).join(touching, "det").select(
             _set_xor(F.col("dets"), F.col("m_dets")).alias("n_dets"), F.col("obs").bitwiseXOR(F.col("m_obs")).alias("n_obs"), "dets", "obs"
         )
@@ -368,7 +366,6 @@ def undetectable_hyper(moves: DataFrame, max_set: int, max_degree: int, no_growt
         if not goal.isEmpty():
             return _walk_back(layers, goal)
         seen = seen.unionByName(layer.select("dets", "obs"))
-    raise ValueError(f"no undetectable logical error within {max_depth} steps")
 
 
 def _walk_back(layers: list[DataFrame], goal: DataFrame) -> DataFrame:
@@ -388,49 +385,3 @@ def shortest_undetectable(edges: DataFrame) -> DataFrame:
     dets = F.when(F.col("v").isNull(), F.array("u")).otherwise(F.array(F.least("u", "v"), F.greatest("u", "v")))
     moves = edges.filter("v IS NULL OR u <> v").select(dets.cast("array<int>").alias("dets"), F.col("obs_mask").cast("bigint").alias("obs")).distinct()
     return undetectable_hyper(moves, 2, 2)
-
-
-# ---- sampling -----------------------------------------------------------------------------------
-
-_SHOT_BLOCK = 1 << 16
-
-
-def sample_mechanisms(errors: DataFrame, n_shots: int, seed: int) -> DataFrame:
-    """Recorded firings (shot_id, err_id): each mechanism fires independently in each of ``n_shots`` shots (MDL11).
-
-    Work is one row per (mechanism, block of shots); a block draws the gaps between its firings, so the cost
-    follows the firings and not shots times mechanisms. The generator is keyed by (seed, mechanism, block):
-    a task that runs again draws the same numbers.
-    """
-    last = (n_shots - 1) // _SHOT_BLOCK
-    blocks = errors.filter("p > 0").select("err_id", "p", F.explode(F.sequence(F.lit(0), F.lit(last))).alias("block")) if n_shots else errors.select(
-        "err_id", "p", F.lit(0).alias("block")).filter("false")
-    # An explicit count: the rows are few and light, the draws they stand for are not.
-    spread = blocks.repartition(4 * errors.sparkSession.sparkContext.defaultParallelism, "err_id", "block")
-
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for err, p, block in zip(pdf["err_id"], pdf["p"], pdf["block"]):
-                width = min(_SHOT_BLOCK, n_shots - block * _SHOT_BLOCK)
-                rng = np.random.Generator(np.random.Philox(key=np.array([seed, err], dtype=np.uint64), counter=[0, 0, 0, int(block)]))
-                at, found = -1, []
-                while at < width:
-                    gaps = rng.geometric(p, size=int(width * p * 1.2) + 16)
-                    where = at + np.cumsum(gaps)
-                    found.append(where[where < width])
-                    at = int(where[-1])
-                shots = np.concatenate(found) + block * _SHOT_BLOCK
-                yield pd.DataFrame({"shot_id": shots.astype(np.int64), "err_id": np.full(len(shots), err, dtype=np.int64)})
-
-    return spread.mapInPandas(draw, "shot_id bigint, err_id bigint")
-
-
-def add_noise(edges: DataFrame, n_shots: int, seed: int) -> DataFrame:
-    """Sampled detection events and observables of a graph; every edge needs a probability (MDL19)."""
-    known = edges.withColumn("p", F.coalesce("p", F.raise_error(F.lit("an edge has no probability")).cast("double")))
-    fired = sample_mechanisms(known.select(F.col("edge_id").alias("err_id"), "p"), n_shots, seed)
-    net = fired.join(edges.withColumnRenamed("edge_id", "err_id"), "err_id")
-    ends = net.select("shot_id", F.explode(F.array("u", "v")).alias("idx")).filter("idx IS NOT NULL").select("shot_id", F.lit("D").alias("kind"), F.col("idx").cast("int").alias("idx"))
-    bits = F.filter(F.sequence(F.lit(0), F.lit(62)), lambda i: F.getbit(F.col("obs_mask").cast("bigint"), i) == 1)
-    obs = net.filter("obs_mask <> 0").select("shot_id", F.lit("L").alias("kind"), F.explode(bits).alias("idx"))
-    return xor_reduce(ends.unionByName(obs), ["shot_id", "kind", "idx"])

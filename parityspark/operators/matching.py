@@ -12,8 +12,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-# Cells of the subset table held at once.
+# Cells of the subset table held at once, and the hits up to which the table is filled densely; above, only the
+# sets that candidate pairs can reach are kept. Both ways are exact and break ties alike.
 _TABLE_CELLS = 1 << 22
+_DENSE_HITS = 12
 
 
 def solve_subsets(rim: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -50,6 +52,47 @@ def solve_subsets(rim: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.nda
     return best[:, -1], mate
 
 
+def solve_reachable(rim: np.ndarray, pair: np.ndarray) -> tuple[float, np.ndarray]:
+    """``solve_subsets`` for one row of many hits: rim (k,) and pair (k, k).
+
+    A pair that costs no less than both ends' way to the boundary is never taken, so hits far apart do not meet and
+    few of the 2^k sets of open hits are reached.
+    """
+    k = len(rim)
+    states: dict[int, tuple[float, tuple]] = {(1 << k) - 1: (0.0, ())}
+    for low in range(k):
+        ways = [(-1, rim[low])] if np.isfinite(rim[low]) else []
+        ways += [(int(j), pair[low, j]) for j in np.flatnonzero(pair[low, low + 1 :] < rim[low] + rim[low + 1 :]) + low + 1]
+        after: dict[int, tuple[float, tuple]] = {}
+        for open_, (w, taken) in states.items():
+            if not open_ >> low & 1:
+                options = [(open_, (w, taken))]
+            else:
+                rest = open_ ^ (1 << low)
+                options = [(rest if j < 0 else rest ^ (1 << j), (w + float(c), (*taken, (low, j)))) for j, c in ways if j < 0 or rest >> j & 1]
+            for left, found in options:
+                if left not in after or found < after[left]:
+                    after[left] = found
+        states = after
+    mate = np.full(k, -1, dtype=np.int64)
+    if 0 not in states:
+        return np.inf, mate
+    total, taken = states[0]
+    for low, j in taken:
+        mate[low] = j
+        if j >= 0:
+            mate[j] = low
+    return total, mate
+
+
+def solve(rim: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Best total and partners of every row, by the way that suits the number of hits."""
+    if rim.shape[1] <= _DENSE_HITS:
+        return solve_subsets(rim, pair)
+    each = [solve_reachable(r, p) for r, p in zip(rim, pair)]
+    return np.array([t for t, _ in each]), np.array([m for _, m in each])
+
+
 def unfold(flat: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Flat cost lists to boundary (B, k) and symmetric pair (B, k, k) arrays."""
     pair = np.full((len(flat), k, k), np.inf if flat.dtype.kind == "f" else 0, dtype=flat.dtype)
@@ -63,7 +106,7 @@ def by_size(batch: pa.RecordBatch, name: str) -> Iterator[tuple[int, np.ndarray]
     sizes = np.asarray(batch.column(name).value_lengths())
     for k in np.unique(sizes):
         rows = np.flatnonzero(sizes == k)
-        step = max(1, _TABLE_CELLS >> int(k))
+        step = max(1, _TABLE_CELLS >> min(int(k), _DENSE_HITS))
         for at in range(0, len(rows), step):
             yield int(k), rows[at : at + step]
 
@@ -79,7 +122,7 @@ def matrix(batch: pa.RecordBatch, name: str, rows: np.ndarray, dtype) -> np.ndar
 
 def solutions(batch: pa.RecordBatch, key_col: str, rows: np.ndarray, hits: np.ndarray, rim, pair, rim_obs, pair_obs) -> pa.RecordBatch:
     """Solve the given rows and lay the answer out as (key, w, obs, a[], b[]); infeasible rows get NULL."""
-    total, mate = solve_subsets(rim, pair)
+    total, mate = solve(rim, pair)
     ok = np.isfinite(total)
     k = hits.shape[1]
     r = np.arange(len(rows))[:, None]

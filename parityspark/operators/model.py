@@ -143,10 +143,11 @@ def component_edges(errors: DataFrame, targets: DataFrame) -> DataFrame:
 def edges_from_model(errors: DataFrame, targets: DataFrame) -> DataFrame:
     """Weighted edges of the graph-like components; parallel ones merged as independent (MDL5).
 
-    Components with no or more than two detectors are left out, as the plain loader does.
+    Components with no or more than two detectors are left out, as the plain loader does, and so are errors that
+    never happen.
     """
-    comps = component_edges(errors, targets).filter("n_det IN (1, 2)")
-    edges = comps.withColumns({"w": num.weight_from_p(F.col("p")), "seq": F.col("err_id") * 64 + F.col("comp")})
+    comps = component_edges(errors, targets).filter("n_det IN (1, 2) AND p > 0")
+    edges = comps.withColumns({"w": num.weight_from_p(F.col("p")), "seq": F.struct("err_id", "comp")})
     return merge_parallel_edges(edges, "independent")
 
 
@@ -338,4 +339,5 @@ def quantize_weights(edges: DataFrame, levels: int, max_weight: float = 2.0**24)
     stats = edges.agg(F.max(F.abs("w")).alias("m"), F.bool_and(F.col("w") == F.rint("w")).alias("i"))
     m = stats.select("m").scalar()
     limited = F.when(F.abs("w") > max_weight, F.raise_error(F.lit("edge weight too large")).cast("double")).otherwise(F.col("w"))
-    return edges.withColumn("q", num.quantize_weight(limited, m, stats.select("i").scalar(), levels))
+    integer = stats.select("i").scalar()
+    return edges.withColumns({"q": num.quantize_weight(limited, m, integer, levels), "scale": num.weight_scale(m, integer, levels)})

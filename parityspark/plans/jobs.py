@@ -33,18 +33,29 @@ def model_tables(lines: DataFrame) -> dict[str, DataFrame]:
     return {"errors": errors.select("err_id", "p", "tag"), "targets": md.split_components(errors), "detectors": detectors}
 
 
-def model_paths(errors: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Matching edges with integer weights and the shortest paths between their nodes."""
-    edges = md.quantize_weights(md.edges_from_model(errors, targets), WEIGHT_LEVELS)
-    graph = cut(edges.select("u", F.coalesce("v", F.lit(BOUNDARY)).alias("v"), F.col("q").alias("w"), "obs_mask"), "edges")
-    return graph, gr.matching_paths(graph, BOUNDARY)
+def model_paths(errors: DataFrame, targets: DataFrame) -> dict[str, DataFrame]:
+    """Matching edges with integer weights of one sign, the shortest paths between their nodes, and what the sign change adds.
+
+    ``base`` has one row: the detectors every shot toggles, and the weight, observables and scale of every solution.
+    """
+    edges = cut(md.quantize_weights(md.edges_from_model(errors, targets), WEIGHT_LEVELS).select("u", "v", F.col("q").alias("w"), "obs_mask", "scale"), "quantised")
+    even = gr.normalize_negative_edges(edges)
+    graph = cut(even["edges"].select("u", F.coalesce("v", F.lit(BOUNDARY)).alias("v"), "w", "obs_mask"), "edges")
+    # At most one detector for each node of the model.
+    flips = even["base_hits"].agg(F.array_sort(F.collect_list(F.col("det").cast("int"))).alias("flips"))
+    scale = edges.agg(F.coalesce(F.max("scale"), F.lit(1.0)))
+    base = even["base"].select("base_w", "base_obs", flips.scalar().alias("flips"), scale.scalar().alias("scale"))
+    return {"edges": graph, "paths": gr.matching_paths(graph, BOUNDARY), "base": cut(base, "base")}
 
 
 def predict(
     spark: SparkSession, path: str, fmt: str, layout: sh.Layout, model_lines: DataFrame, shots: DataFrame | None = None,
-    postselect_coord: int | None = None, max_hits: int = dc.MAX_HITS,
+    postselect_coord: int | None = None,
 ) -> dict[str, DataFrame]:
-    """Predicted observables of shot files under a model, and the shots postselection dropped (PIPE1)."""
+    """Predicted observables and weights, in the model's units, of shot files, and the shots postselection dropped (PIPE1).
+
+    A shot that no set of errors explains has a NULL prediction and the reason ``infeasible``.
+    """
     hits = sh.read_shots(spark, path, fmt, layout).filter("kind = 'D'").select("shot_id", F.col("idx").alias("det"))
     shots = sh.count_shots(spark, path, fmt, layout) if shots is None else shots
     tables = model_tables(model_lines)
@@ -54,15 +65,28 @@ def predict(
         shots, hits, dropped = parts["kept_shots"], parts["kept_hits"], parts["dropped_shots"]
     else:
         dropped = shots.limit(0)
-    _, paths = model_paths(tables["errors"], tables["targets"])
-    return {"predictions": dc.decode_shots(shots, hits, paths, BOUNDARY, max_hits), "discards": dropped.select("shot_id")}
+    model = model_paths(tables["errors"], tables["targets"])
+    flips, base_obs, base_w, scale = model["base"].select("flips", "base_obs", "base_w", "scale").first()
+    per_shot = dc.shot_syndromes(hits)
+    if flips:
+        toggled = F.array(*[F.lit(d) for d in flips])
+        key = F.coalesce("key", F.array().cast("array<int>"))
+        per_shot = shots.select("shot_id").join(per_shot, "shot_id", "left").select(
+            "shot_id", F.array_sort(F.concat(F.array_except(key, toggled), F.array_except(toggled, key))).alias("key")
+        ).filter(F.size("key") > 0)
+    per_shot = cut(per_shot, "syndromes")
+    solved = dc.predictions(shots, per_shot, dc.decode(dc.distinct_syndromes(per_shot), model["paths"], BOUNDARY))
+    found = solved.select(
+        "shot_id", F.col("pred_mask").bitwiseXOR(F.lit(base_obs).cast("bigint")).alias("pred_mask"), ((F.col("w") + base_w) / scale).alias("w"), "reason"
+    )
+    return {"predictions": found, "discards": dropped.select("shot_id")}
 
 
 def count_mistakes(
-    spark: SparkSession, path: str, fmt: str, layout: sh.Layout, actual: DataFrame, model_lines: DataFrame, max_hits: int = dc.MAX_HITS
+    spark: SparkSession, path: str, fmt: str, layout: sh.Layout, actual: DataFrame, model_lines: DataFrame
 ) -> DataFrame:
     """Shots, errors and discards of decoding shot files against their recorded observables (PIPE2)."""
-    pred = predict(spark, path, fmt, layout, model_lines, actual.select("shot_id"), max_hits=max_hits)["predictions"]
+    pred = predict(spark, path, fmt, layout, model_lines, actual.select("shot_id"))["predictions"]
     aligned = ev.align_records(pred.select("shot_id", "pred_mask"), actual, strict=True)
     return ev.count_mistakes(ev.score_predictions(aligned.select("shot_id", "pred_mask"), aligned.select("shot_id", "obs_mask")))
 

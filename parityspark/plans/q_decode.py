@@ -22,13 +22,13 @@ def key_text(df):
     return df.withColumn("key", F.array_join(F.transform("key", lambda d: d.cast("string")), " "))
 
 
-def matching_sql(rounds: int = 16) -> str:
+def matching_sql(rounds: int = 24, edges: str = "fx_edge", syndromes: str = SYN_SQL) -> str:
     """Exact matching of every syndrome as a chain of CTEs ending in best(k, key, w, obs, c).
 
     A round matches the lowest open hit to the boundary or to another open hit and keeps the best way into
     each remaining set; ties go to the boundary, then to the lowest partner, for the lowest hit first.
     """
-    out = f"""{distance_sql()}, keys AS (SELECT DISTINCT key AS k, CAST(list_sum([1::BIGINT << d FOR d IN key]) AS BIGINT) AS m FROM ({SYN_SQL})),
+    out = f"""{distance_sql(edges=edges)}, keys AS (SELECT DISTINCT key AS k, CAST(list_sum([1::BIGINT << d FOR d IN key]) AS BIGINT) AS m FROM ({syndromes})),
   opts AS (SELECT src, CASE WHEN node = 24 THEN -1 ELSE node END AS b, CASE WHEN node = 24 THEN 0::BIGINT ELSE 1::BIGINT << node END AS bit, dist, obs FROM paths WHERE src <> node),
   m0 AS (SELECT k, m AS rem, {{'w': 0::BIGINT, 'c': CAST([] AS STRUCT(a INT, b INT)[]), 'o': 0::BIGINT}} AS s FROM keys)"""
     for r in range(rounds):
@@ -52,7 +52,7 @@ def greedy_sql(rounds: int = 16) -> str:
 
 
 KEY_TEXT = "array_to_string(k, ' ')"
-PAIRS_SQL = f"pairs AS (SELECT k, p.a AS a, p.b AS b FROM (SELECT k, unnest(c) AS p FROM best WHERE len(k) <= {dc.MAX_HITS}))"
+PAIRS_SQL = "pairs AS (SELECT k, p.a AS a, p.b AS b FROM (SELECT k, unnest(c) AS p FROM best))"
 
 
 @query("dec1_distinct_syndromes", f"SELECT array_to_string(key, ' ') AS key, COUNT(*) AS n FROM ({SYN_SQL}) GROUP BY 1")
@@ -64,16 +64,14 @@ def syndromes(fx):
     return cut(dc.distinct_syndromes(dc.shot_syndromes(fx.fx_hits)), "distinct")
 
 
-@query("dec2_decode_small_exact", f"""WITH {matching_sql()}
-  SELECT {KEY_TEXT} AS key, CASE WHEN len(k) <= {dc.MAX_HITS} THEN w END AS w, CASE WHEN len(k) <= {dc.MAX_HITS} THEN obs END AS obs,
-         CASE WHEN len(k) <= {dc.MAX_HITS} THEN 'exact' ELSE 'too many hits' END AS reason FROM best""")
+@query("dec2_decode_exact", f"WITH {matching_sql()} SELECT {KEY_TEXT} AS key, w, obs, 'exact' AS reason FROM best")
 def _(fx):
-    return key_text(dc.decode_small_exact(syndromes(fx), paths(fx), BOUNDARY)).drop("pairs")
+    return key_text(dc.decode_exact(syndromes(fx), paths(fx), BOUNDARY)).drop("pairs")
 
 
-@query("dec2_decode_by_clusters", f"WITH {matching_sql()} SELECT {KEY_TEXT} AS key, w, 'exact' AS reason FROM best")
+@query("dec2_decode_by_clusters", f"WITH {matching_sql()} SELECT {KEY_TEXT} AS key, w, obs, 'exact' AS reason FROM best")
 def _(fx):
-    return key_text(dc.decode_by_clusters(syndromes(fx), paths(fx), BOUNDARY, 14)).select("key", "w", "reason")
+    return key_text(dc.decode(syndromes(fx), paths(fx), BOUNDARY)).drop("pairs")
 
 
 @query("dec3_decode_greedy", f"""WITH {greedy_sql()}, tot AS (
@@ -84,7 +82,7 @@ def _(fx):
 
 
 def solved(fx, p):
-    return cut(dc.decode_small_exact(syndromes(fx), p, BOUNDARY).filter("w IS NOT NULL"), "solved")
+    return cut(dc.decode(syndromes(fx), p, BOUNDARY), "solved")
 
 
 @query("dec4_matched_pairs", f"WITH {matching_sql()}, {PAIRS_SQL} SELECT {KEY_TEXT} AS key, a, CASE WHEN b >= 0 THEN b END AS b FROM pairs")
@@ -108,13 +106,11 @@ def _(fx):
 
 
 @query("dec6_predictions", f"""WITH {matching_sql()}
-  SELECT s.shot_id, CASE WHEN y.key IS NULL THEN 0 WHEN len(y.key) <= {dc.MAX_HITS} THEN obs END AS pred_mask, CASE WHEN y.key IS NULL THEN CAST(0 AS DOUBLE) WHEN len(y.key) <= {dc.MAX_HITS} THEN w END AS w,
-         CASE WHEN y.key IS NULL THEN 'empty' WHEN len(y.key) <= {dc.MAX_HITS} THEN 'exact' ELSE 'too many hits' END AS reason
+  SELECT s.shot_id, CASE WHEN y.key IS NULL THEN 0 ELSE obs END AS pred_mask, CASE WHEN y.key IS NULL THEN CAST(0 AS DOUBLE) ELSE w END AS w,
+         CASE WHEN y.key IS NULL THEN 'empty' ELSE 'exact' END AS reason
   FROM fx_shots s LEFT JOIN ({SYN_SQL}) y ON y.shot_id = s.shot_id LEFT JOIN best ON best.k = y.key""")
 def _(fx):
-    per_shot = cut(dc.shot_syndromes(fx.fx_hits), "syndromes")
-    answers = dc.decode_small_exact(dc.distinct_syndromes(per_shot), paths(fx), BOUNDARY)
-    return dc.predictions(fx.fx_shots, per_shot, answers)
+    return dc.decode_shots(fx.fx_shots, fx.fx_hits, paths(fx), BOUNDARY)
 
 
 def null_rim(df):

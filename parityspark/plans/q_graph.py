@@ -11,10 +11,10 @@ from .registry import query
 BOUNDARY = 24
 
 
-def distance_sql(rounds: int = 6) -> str:
+def distance_sql(rounds: int = 12, edges: str = "fx_edge") -> str:
     """Bellman-Ford rounds over the edge fixture as a chain of CTEs ending in d{rounds}."""
-    out = """adj AS (SELECT u, v, w, CAST(obs_mask AS BIGINT) AS o FROM fx_edge WHERE u <> v AND u <> 24 UNION ALL SELECT v, u, w, CAST(obs_mask AS BIGINT) FROM fx_edge WHERE u <> v AND v <> 24),
-  d0 AS (SELECT DISTINCT u AS src, u AS node, {'dist': 0::BIGINT, 'hops': 0, 'prev': u, 'obs': 0::BIGINT} AS l FROM adj)"""
+    out = f"""adj AS (SELECT u, v, w, CAST(obs_mask AS BIGINT) AS o FROM {edges} WHERE u <> v AND u <> 24 UNION ALL SELECT v, u, w, CAST(obs_mask AS BIGINT) FROM {edges} WHERE u <> v AND v <> 24),
+  d0 AS (SELECT DISTINCT u AS src, u AS node, {{'dist': 0::BIGINT, 'hops': 0, 'prev': u, 'obs': 0::BIGINT}} AS l FROM adj)"""
     for r in range(rounds):
         out += f""", d{r + 1} AS (SELECT src, node, MIN(l) AS l FROM (SELECT src, node, l FROM d{r} UNION ALL
     SELECT d.src, a.v, {{'dist': d.l.dist + a.w, 'hops': d.l.hops + 1, 'prev': a.u, 'obs': xor(d.l.obs, a.o)}} FROM d{r} d JOIN adj a ON a.u = d.node) GROUP BY 1, 2)"""
@@ -22,17 +22,17 @@ def distance_sql(rounds: int = 6) -> str:
 
 
 def columns(fx):
-    """Check matrix of the first components: one column per mechanism."""
-    first = pa.xor_reduce(fx.fx_tgt.filter("comp = 0"), ["err_id", "kind", "idx"])
-    checks = first.filter("kind = 'D'").select(F.col("idx").alias("row"), F.col("err_id").alias("col"))
-    faults = first.filter("kind = 'L'").select(F.col("idx").alias("fault"), F.col("err_id").alias("col"))
+    """Check matrix of the mechanisms: one column per component, two columns a mechanism."""
+    net = pa.xor_reduce(fx.fx_tgt, ["err_id", "comp", "kind", "idx"]).withColumn("col", F.col("err_id") * 2 + F.col("comp"))
+    checks = net.filter("kind = 'D'").select(F.col("idx").alias("row"), "col")
+    faults = net.filter("kind = 'L'").select(F.col("idx").alias("fault"), "col")
     return gr.read_check_matrix(checks, faults)
 
 
 COLS_SQL = """
-  SELECT err_id AS col, COUNT(*) FILTER (kind = 'D') AS n_checks, MIN(idx) FILTER (kind = 'D') AS u, CASE WHEN COUNT(*) FILTER (kind = 'D') >= 2 THEN MAX(idx) FILTER (kind = 'D') END AS v,
+  SELECT err_id * 2 + comp AS col, COUNT(*) FILTER (kind = 'D') AS n_checks, MIN(idx) FILTER (kind = 'D') AS u, CASE WHEN COUNT(*) FILTER (kind = 'D') >= 2 THEN MAX(idx) FILTER (kind = 'D') END AS v,
          CAST(COUNT(*) FILTER (kind = 'L') AS BIGINT) AS obs_mask
-  FROM (SELECT err_id, kind, idx FROM fx_tgt WHERE comp = 0 GROUP BY 1, 2, 3 HAVING COUNT(*) % 2 = 1) GROUP BY 1"""
+  FROM (SELECT err_id, comp, kind, idx FROM fx_tgt GROUP BY 1, 2, 3, 4 HAVING COUNT(*) % 2 = 1) GROUP BY 1"""
 
 
 @query("src10_read_check_matrix", COLS_SQL)
@@ -50,18 +50,17 @@ def _(fx):
 
 
 @query("mdl6_edges_from_check_matrix", f"""
-  WITH c AS ({COLS_SQL}), n AS (SELECT MAX(err_id) + 1 AS n_cols FROM fx_err), e AS (
+  WITH c AS ({COLS_SQL}), n AS (SELECT 2 * MAX(err_id) + 2 AS n_cols FROM fx_err), e AS (
     SELECT u + 24 * rep AS u, CASE WHEN n_checks = 2 THEN v + 24 * rep ELSE 72 END AS v, CAST(ROUND(1000 * ln((1 - p) / p) / 50) AS DOUBLE) AS w, p, c.obs_mask, rep * n_cols + col AS seq
-    FROM c JOIN fx_err ON err_id = col, n, (SELECT unnest([0, 1, 2]) AS rep) WHERE n_checks IN (1, 2)
+    FROM c JOIN fx_err ON err_id = col // 2, n, (SELECT unnest([0, 1, 2]) AS rep) WHERE n_checks IN (1, 2)
     UNION ALL SELECT det + 24 * rep, det + 24 * rep + 24, 40.0 + det, 0.01, 0, 3 * n_cols + 24 * rep + det FROM fx_det, n, (SELECT unnest([0, 1]) AS rep))
   SELECT CAST(u AS BIGINT) AS u, CAST(v AS BIGINT) AS v, r.w AS w, r.p AS p, r.o AS obs_mask FROM (
     SELECT u, v, arg_min(struct_pack(w := w, p := p, o := obs_mask), struct_pack(w := w, s := seq)) AS r FROM (SELECT LEAST(u, v) AS u, GREATEST(u, v) AS v, w, p, obs_mask, seq FROM e) GROUP BY 1, 2)""")
 def _(fx):
-    weights = raw_edges(fx).select(F.col("seq").alias("col"), "w", "p")
+    weights = raw_edges(fx).select(F.explode(F.array(F.col("seq") * 2, F.col("seq") * 2 + 1)).alias("col"), "w", "p")
     timelike = fx.fx_det.select(F.col("det").alias("row"), (40.0 + F.col("det")).alias("w"), F.lit(0.01).alias("p"))
-    n_cols = fx.fx_err.agg(F.max("err_id")).first()[0] + 1
-    narrow = columns(fx).filter("n_checks <= 2")
-    return gr.edges_from_check_matrix(narrow, weights, 24, n_cols, 3, timelike)
+    n_cols = 2 * fx.fx_err.agg(F.max("err_id")).first()[0] + 2
+    return gr.edges_from_check_matrix(columns(fx), weights, 24, n_cols, 3, timelike)
 
 
 @query("mdl7_boundary_collapse", f"""
@@ -114,7 +113,7 @@ def _(fx):
 
 
 @query("agg17_graph_properties", """
-  SELECT CAST(25 AS BIGINT) AS nodes, CAST(24 AS BIGINT) AS detectors, COUNT(*) AS edges, CAST(5 AS INT) AS fault_ids, MAX(ABS(w)) AS max_abs_weight, TRUE AS all_have_probability FROM fx_edge""")
+  SELECT (SELECT COUNT(*) FROM (SELECT u FROM fx_edge UNION SELECT v FROM fx_edge)) AS nodes, (SELECT COUNT(*) FROM (SELECT u FROM fx_edge UNION SELECT v FROM fx_edge) WHERE u <> 24) AS detectors, COUNT(*) AS edges, CAST(5 AS INT) AS fault_ids, MAX(ABS(w)) AS max_abs_weight, TRUE AS all_have_probability FROM fx_edge""")
 def _(fx):
     edges = fx.fx_edge.withColumn("p", num.p_from_weight(F.col("w") / 1000))
     rim = edges.filter(F.col("v") == BOUNDARY).select(F.col("v").alias("node"))
@@ -219,29 +218,14 @@ def _(fx):
     return found.agg(F.count("*").alias("n_edges"), F.bit_xor("obs").alias("obs")).select("n_edges", left.alias("open_detectors"), "obs")
 
 
-@query("mdl18_undetectable_hyper")
+@query("mdl18_undetectable_hyper", """
+  SELECT '' AS dets, CAST(1 AS BIGINT) AS obs WHERE EXISTS (
+    SELECT err_id FROM (SELECT err_id, kind, idx FROM fx_tgt GROUP BY 1, 2, 3 HAVING COUNT(*) % 2 = 1) GROUP BY 1 HAVING COUNT(*) FILTER (kind = 'D') = 0 AND COUNT(*) FILTER (kind = 'L') = 1)""")
 def _(fx):
-    found = gr.undetectable_hyper(gr.hyperedges(fx.fx_tgt).filter(F.size("dets") > 0), 6, 5)
+    found = gr.undetectable_hyper(gr.hyperedges(fx.fx_tgt), 6, 5)
     return found.select(F.array_join(F.transform("dets", lambda d: d.cast("string")), " ").alias("dets"), "obs")
 
 
-def small_edges(fx):
-    return fx.fx_edge.select(
-        (F.col("u") * 100 + F.col("v")).cast("bigint").alias("edge_id"), "u", F.when(F.col("v") != BOUNDARY, F.col("v")).alias("v"), "obs_mask",
-        num.p_from_weight(F.col("w") / 1000).alias("p"),
-    )
-
-
-@query("mdl11_sample_mechanisms")
-def _(fx):
-    return gr.sample_mechanisms(small_edges(fx).select(F.col("edge_id").alias("err_id"), "p"), fx.fx_shots.count(), 7)
-
-
-@query("mdl19_add_noise")
-def _(fx):
-    return gr.add_noise(small_edges(fx), fx.fx_shots.count(), 7)
-
-
 @query("mdl19_missing_probability", "SELECT err_id FROM fx_err WHERE p <= 0.02")
 def _(fx):
     return gr.missing_probability_edges(fx.fx_err.withColumn("p", F.when(F.col("p") > 0.02, F.col("p")))).select("err_id")

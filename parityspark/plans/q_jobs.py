@@ -8,6 +8,7 @@ from ..sources import stats_csv as sc
 from . import jobs
 
 from .q_events import decode_log, mask
+from .q_decode import matching_sql
 from .q_graph import BOUNDARY
 from .q_shots import LAYOUT, hits
 from .q_stats import WRITTEN_SQL, flat, rich
@@ -21,27 +22,46 @@ def shot_file(fx, fmt):
 
 
 def model_lines(fx):
-    """The edge fixture as error-model text: one error line per edge and one declaration per detector."""
-    p = F.concat(F.lit("0."), F.lpad((F.col("w") % 90000 + 10).cast("string"), 6, "0"))
+    """The edge fixture as error-model text: one error line per edge, some likelier than not, some that never happen, and detectors."""
+    place = F.col("u") * 100 + F.col("v")
+    p = F.when(place % 97 == 5, F.lit("0.75")).when(place % 53 == 0, F.lit("0")).otherwise(F.concat(F.lit("0."), F.lpad((F.col("w") % 90000 + 10).cast("string"), 6, "0")))
     ends = F.concat(F.lit(" D"), "u", F.when(F.col("v") < BOUNDARY, F.concat(F.lit(" D"), "v")).otherwise(""))
-    errors = fx.fx_edge.select((F.col("u") * 100 + F.col("v")).cast("bigint").alias("seq"), F.concat(F.lit("error("), p, F.lit(")"), ends, F.when(F.col("obs_mask") == 1, " L0").otherwise("")).alias("line"))
+    errors = fx.fx_edge.select(place.cast("bigint").alias("seq"), F.concat(F.lit("error("), p, F.lit(")"), ends, F.when(F.col("obs_mask") == 1, " L0").otherwise("")).alias("line"))
     dets = fx.fx_det.select((5000 + F.col("det")).cast("bigint").alias("seq"), F.concat(F.lit("detector("), "base_det", F.lit(", 0, "), "round_id", F.lit(", "), "post_flag", F.lit(") D"), "det").alias("line"))
     return errors.unionByName(dets).select(F.lit(0).alias("model_id"), "seq", "line")
 
 
-@query("pipe1_predict", """
-  SELECT s.shot_id, b.shot_id IS NOT NULL AS discarded, CASE WHEN b.shot_id IS NOT NULL THEN NULL WHEN h.n IS NULL THEN 'empty' ELSE 'matched' END AS reason
-  FROM fx_shots s LEFT JOIN (SELECT DISTINCT h.shot_id FROM fx_hits h JOIN fx_det d USING (det) WHERE d.post_flag = 1) b ON b.shot_id = s.shot_id
-  LEFT JOIN (SELECT shot_id, COUNT(*) AS n FROM fx_hits GROUP BY 1) h ON h.shot_id = s.shot_id""")
+def predicted_sql(kept: str) -> str:
+    """Predictions of the shots ``kept`` under the model above, as CTEs ending in predicted(shot_id, pred_mask, w, reason)."""
+    prefix = f"""pm AS (SELECT u, v, CASE WHEN (u * 100 + v) % 97 = 5 THEN 0.75 ELSE CAST(w % 90000 + 10 AS DOUBLE) / 1000000 END AS p, CAST(obs_mask AS BIGINT) AS o FROM fx_edge WHERE NOT ((u * 100 + v) % 53 = 0 AND (u * 100 + v) % 97 <> 5)),
+  lm AS (SELECT u, v, o, ln((1 - p) / p) AS l FROM pm), sc AS (SELECT 2 * 16383 / MAX(ABS(l)) AS scale FROM lm),
+  qm AS (SELECT u, v, o, CAST(round(l * scale / 2) * 2 AS BIGINT) AS q FROM lm, sc), me AS (SELECT u, v, ABS(q) AS w, o AS obs_mask FROM qm),
+  bs AS (SELECT COALESCE(SUM(q), 0) AS bw, COALESCE(bit_xor(o), 0) AS bo FROM qm WHERE q < 0),
+  bd AS (SELECT det FROM (SELECT u AS det FROM qm WHERE q < 0 UNION ALL SELECT v FROM qm WHERE q < 0 AND v < 24) GROUP BY 1 HAVING COUNT(*) % 2 = 1),
+  kept AS ({kept}), syn AS (SELECT shot_id, list(det ORDER BY det) AS key FROM (SELECT shot_id, det FROM (SELECT shot_id, det FROM fx_hits JOIN kept USING (shot_id) UNION ALL SELECT shot_id, det FROM kept, bd) GROUP BY 1, 2 HAVING COUNT(*) % 2 = 1) GROUP BY 1)"""
+    return f"""{prefix}, {matching_sql(edges="me", syndromes="SELECT * FROM syn")},
+  predicted AS (SELECT k.shot_id, CAST(xor(COALESCE(b.obs, 0), bs.bo) AS BIGINT) AS pred_mask, (COALESCE(b.w, 0) + bs.bw) / sc.scale AS w, CASE WHEN y.key IS NULL THEN 'empty' ELSE 'exact' END AS reason
+    FROM kept k CROSS JOIN bs CROSS JOIN sc LEFT JOIN syn y ON y.shot_id = k.shot_id LEFT JOIN best b ON b.k = y.key)"""
+
+
+POST = "SELECT DISTINCT h.shot_id FROM fx_hits h JOIN fx_det d USING (det) WHERE d.post_flag = 1"
+
+
+@query("pipe1_predict", f"""
+  WITH {predicted_sql(f"SELECT shot_id FROM fx_shots WHERE shot_id NOT IN ({POST})")}
+  SELECT shot_id, FALSE AS discarded, pred_mask, ROUND(w, 6) AS w, reason FROM predicted UNION ALL SELECT shot_id, TRUE, NULL, NULL, NULL FROM ({POST})""")
 def _(fx):
     out = jobs.predict(fx.spark, shot_file(fx, "dets"), "dets", LAYOUT, model_lines(fx), fx.fx_shots.select("shot_id"), postselect_coord=3)
-    kept = out["predictions"].select("shot_id", F.lit(False).alias("discarded"), F.when(F.col("reason").isin("exact", "greedy"), "matched").otherwise(F.col("reason")).alias("reason"))
-    return kept.unionByName(out["discards"].select("shot_id", F.lit(True).alias("discarded"), F.lit(None).cast("string").alias("reason")))
+    kept = out["predictions"].select("shot_id", F.lit(False).alias("discarded"), "pred_mask", F.round("w", 6).alias("w"), "reason")
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("pred_mask", "bigint"), ("w", "double"), ("reason", "string"))]
+    return kept.unionByName(out["discards"].select("shot_id", F.lit(True).alias("discarded"), *none))
 
 
-@query("pipe2_count_mistakes")
+@query("pipe2_count_mistakes", f"""
+  WITH {predicted_sql("SELECT shot_id FROM fx_shots")}
+  SELECT COUNT(*) AS shots, COUNT(*) FILTER (p.pred_mask <> s.obs_mask) AS errors, CAST(0 AS BIGINT) AS discards FROM fx_shots s JOIN predicted p USING (shot_id)""")
 def _(fx):
-    actual = fx.fx_shots.select("shot_id", (F.col("obs_mask") % 2).cast("bigint").alias("obs_mask"))
+    actual = fx.fx_shots.select("shot_id", F.col("obs_mask").cast("bigint").alias("obs_mask"))
     return jobs.count_mistakes(fx.spark, shot_file(fx, "b8"), "b8", LAYOUT, actual, model_lines(fx))
 
 

@@ -16,6 +16,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import lineage
 from ..operators.parity import xor_reduce
 
 TEXT_FORMATS = ("01", "hits", "dets")
@@ -135,9 +136,27 @@ def _shot_rows(shots: DataFrame, hits: DataFrame, layout: Layout) -> DataFrame:
 # ---- packed encodings ----------------------------------------------------------------------------
 
 
-def _open(path: str):
-    uri = path if "://" in path else "file://" + (path.removeprefix("file:") if path.startswith("file:") else path)
-    return pafs.FileSystem.from_uri(uri)
+def _qualified(spark: SparkSession, path: str) -> str:
+    """The path with its scheme: one without goes to the cluster's default file system, not to an executor's disk."""
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(p).toString()
+
+
+def _refuse_used(spark: SparkSession, path: str) -> None:
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(sc._jsc.hadoopConfiguration())
+    if fs.exists(p) and len(fs.listStatus(p)):
+        raise FileExistsError(f"{path} already holds files")
+
+
+def _open(uri: str):
+    """File system and name of a qualified path."""
+    scheme, _, rest = uri.partition(":")
+    if scheme == "file":
+        return pafs.LocalFileSystem(), "/" + rest.lstrip("/")
+    return pafs.FileSystem.from_uri(("s3" if scheme in ("s3a", "s3n") else scheme) + ":" + rest)
 
 
 def _ranges(spark: SparkSession, path: str, align: int) -> DataFrame:
@@ -153,7 +172,7 @@ def _ranges(spark: SparkSession, path: str, align: int) -> DataFrame:
     cut = sized.withColumn("start", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("length") - 1, F.lit(step).cast("bigint"))))
     ranges = cut.select("path", "file_first", "start", F.least(F.lit(step).cast("bigint"), F.col("length") - F.col("start")).alias("size"))
     # An explicit count keeps adaptive execution from packing these few, light rows into one task.
-    return ranges.repartition(max(1, min(ranges.count(), 20_000)), "path", "start")
+    return ranges.repartition(max(1, ranges.count()), "path", "start")
 
 
 def _read(path: str, start: int, size: int) -> np.ndarray:
@@ -199,28 +218,31 @@ def _advance(data: np.ndarray) -> np.ndarray:
     return np.where(data == 255, 255, data.astype(np.int64) + 1)
 
 
-def _read_r8(spark: SparkSession, path: str, bits: int) -> DataFrame:
-    """Run-length bytes, read in parallel ranges.
-
-    Every byte moves the position by its value plus one (255 by 255), and every record ends one bit past its
-    width. The position before any byte is therefore a running sum, and record and bit follow by division.
-    """
-    record = bits + 1
-    ranges = _ranges(spark, path, 1)
+def _r8_sums(spark: SparkSession, path: str, record: int) -> tuple[DataFrame, DataFrame]:
+    """Advance of each byte range, read once and kept, and (path, n, file_shots) of each file."""
 
     def total(batches):
         for r in _rows(batches):
             n = int(_advance(_read(r["path"], r["start"], r["size"])).sum())
             yield pa.RecordBatch.from_pylist([{**r, "total": n}], schema=pa.schema([("path", pa.string()), ("file_first", pa.int64()), ("start", pa.int64()), ("size", pa.int64()), ("total", pa.int64())]))
 
-    sums = ranges.mapInArrow(total, "path string, file_first bigint, start bigint, size bigint, total bigint")
-    before = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    sums = lineage.cut(_ranges(spark, path, 1).mapInArrow(total, "path string, file_first bigint, start bigint, size bigint, total bigint"), "r8-sums")
     per_file = sums.groupBy("path").agg(F.sum("total").alias("t"))
     broken = F.raise_error(F.concat(F.lit("last record is incomplete: "), "path")).cast("bigint")
     files_before = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
-    shots = per_file.select("path", F.when(F.col("t") % record != 0, broken).otherwise(F.floor(F.col("t") / record)).alias("n")).select(
-        "path", F.coalesce(F.sum("n").over(files_before), F.lit(0)).alias("file_shots")
-    )
+    shots = per_file.select("path", F.when(F.col("t") % record != 0, broken).otherwise(F.floor(F.col("t") / record)).alias("n"))
+    return sums, shots.select("path", "n", F.coalesce(F.sum("n").over(files_before), F.lit(0)).alias("file_shots"))
+
+
+def _read_r8(spark: SparkSession, path: str, bits: int) -> DataFrame:
+    """Run-length bytes, read in parallel ranges.
+
+    Every byte moves the position by its value plus one (255 by 255), and every record ends one bit past its
+    width. The position before any byte is therefore a running sum, and record and bit follow by division.
+    """
+    record = bits + 1
+    sums, shots = _r8_sums(spark, path, record)
+    before = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     placed = sums.withColumn("at", F.coalesce(F.sum("total").over(before), F.lit(0))).join(shots, "path")
     placed = placed.select("path", "start", "size", "at", "file_shots")
 
@@ -232,8 +254,7 @@ def _read_r8(spark: SparkSession, path: str, bits: int) -> DataFrame:
             real = pos < bits
             yield _hit_batch(shot[real] + r["file_shots"], pos[real])
 
-    n = placed.count()
-    return placed.repartition(max(1, min(n, 20_000)), "path", "start").mapInArrow(decode, "shot_id bigint, pos int")
+    return placed.repartition(max(1, sums.count()), "path", "start").mapInArrow(decode, "shot_id bigint, pos int")
 
 
 def _flatten(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, int]:
@@ -283,6 +304,8 @@ def write_shots_packed(shots: DataFrame, hits: DataFrame, path: str, fmt: str, l
     """
     bits, pack = layout.bits, _PACKERS[fmt]
     step = 64 if fmt == "ptb64" else 1
+    path = _qualified(shots.sparkSession, path)
+    _refuse_used(shots.sparkSession, path)
     ordered = _shot_rows(shots, hits, layout).withColumn("_g", F.floor(F.col("shot_id") / step)).repartitionByRange("_g").sortWithinPartitions("shot_id").drop("_g")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -343,7 +366,8 @@ def count_shots(spark: SparkSession, path: str, fmt: str, layout: Layout) -> Dat
     if fmt in TEXT_FORMATS:
         return read_lines(spark, path).select("shot_id")
     if fmt == "r8":
-        raise ValueError("run-length files do not reveal their shot count without decoding; give the shots table")
+        files = _r8_sums(spark, path, layout.bits + 1)[1].filter("n > 0")
+        return files.select(F.explode(F.sequence("file_shots", F.col("file_shots") + F.col("n") - 1)).alias("shot_id"))
     width = (layout.bits + 7) // 8 if fmt == "b8" else 8 * layout.bits
     per = 1 if fmt == "b8" else 64
     r = _ranges(spark, path, width)

@@ -59,7 +59,7 @@ def chain(spark):
 
 def test_matched_pairs_on_a_chain(spark):
     key = spark.createDataFrame([([1, 4, 6],)], "key array<int>")
-    solved = dc.decode_small_exact(key, gr.pair_distances(chain(spark), -1))
+    solved = dc.decode_exact(key, gr.pair_distances(chain(spark), -1))
     assert table(dc.matched_pairs(solved).select("a", "b"), "a") == [(1, None), (4, 6)]
     assert solved.first().w == 4.0
     assert table(dc.mates(solved).select("det", "mate"), "det") == [(1, -1), (4, 6), (6, 4)]
@@ -72,7 +72,7 @@ def test_check_matrix_correction(spark):
     weights = spark.createDataFrame([(c, 1.0, None) for c in range(5)], "col bigint, w double, p double")
     edges = gr.edges_from_check_matrix(gr.read_check_matrix(checks, faults), weights, 4, 5, virtual_boundary=True)
     full = edges.select(F.col("u").cast("int").alias("u"), F.coalesce("v", F.lit(-1)).cast("int").alias("v"), F.col("w").cast("bigint").alias("w"), "obs_mask")
-    got = dc.decode_small_exact(spark.createDataFrame([([1],)], "key array<int>"), gr.pair_distances(full, -1)).first()
+    got = dc.decode_exact(spark.createDataFrame([([1],)], "key array<int>"), gr.pair_distances(full, -1)).first()
     assert (got.obs, got.w) == (0b00011, 2.0)
 
 

@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +11,7 @@ from parityspark import ordered
 from parityspark.operators import decode as dc
 from parityspark.operators import events as ev
 from parityspark.operators import graph as gr
+from parityspark.operators.matching import solve_reachable, solve_subsets
 from parityspark.operators import model as md
 from parityspark.operators import parity as pa
 from parityspark.operators import stats as st
@@ -97,7 +99,7 @@ def lookup(paths):
 def test_exact_matching_against_brute_force(spark, seed):
     paths = gr.pair_distances(graph(spark, seed), 99)
     keys = [list(c) for k in range(1, 9) for c in itertools.combinations(range(8), k)]
-    solved = dc.decode_small_exact(spark.createDataFrame([(k,) for k in keys], "key array<int>"), paths, 99)
+    solved = dc.decode_exact(spark.createDataFrame([(k,) for k in keys], "key array<int>"), paths, 99)
     dist, rim = lookup(paths)
     got = {tuple(r.key): r for r in solved.collect()}
     obs = {(r.src, r.node): r.obs for r in paths.collect()}
@@ -118,14 +120,14 @@ def test_pruned_paths_give_the_same_matchings(spark):
         edges = graph(spark, seed)
         everything, pruned = gr.pair_distances(edges, 99), gr.matching_paths(edges, 99)
         assert pruned.count() <= everything.count()
-        show = lambda p: rows(dc.decode_small_exact(keys, p, 99).select("key", "w", "obs", F.to_json("pairs").alias("p")), "key")
+        show = lambda p: rows(dc.decode_exact(keys, p, 99).select("key", "w", "obs", F.to_json("pairs").alias("p")), "key")
         assert show(everything) == show(pruned)
 
 
 def test_greedy_is_a_matching_and_never_better(spark):
     paths = gr.pair_distances(graph(spark, 3), 99)
     keys = spark.createDataFrame([(list(c),) for k in (3, 5, 8) for c in itertools.combinations(range(8), k)], "key array<int>")
-    exact = {tuple(r.key): r.w for r in dc.decode_small_exact(keys, paths, 99).collect()}
+    exact = {tuple(r.key): r.w for r in dc.decode_exact(keys, paths, 99).collect()}
     for r in dc.decode_greedy(keys, paths, 99).collect():
         if r.w is not None:
             assert sorted(d for p in r.pairs for d in (p.a, p.b) if d is not None) == list(r.key)
@@ -135,15 +137,38 @@ def test_greedy_is_a_matching_and_never_better(spark):
 def test_large_syndromes_are_answered(spark):
     chain = spark.createDataFrame([(i, i + 1, 2, 0) for i in range(29)] + [(i, 99, 7, 1) for i in range(30)], "u int, v int, w bigint, obs_mask bigint")
     keys = spark.createDataFrame([(list(range(0, 30, 2)),), ([1, 2],)], "key array<int>")
-    got = {len(r.key): r.reason for r in dc.decode(keys, gr.pair_distances(chain, 99), 99).collect()}
-    assert got == {15: "greedy", 2: "exact"}
+    paths = gr.pair_distances(chain, 99)
+    got = {len(r.key): r for r in dc.decode(keys, paths, 99).collect()}
+    dist, rim = lookup(paths)
+    # Seven neighbours at distance 4 and one way out at 7.
+    assert {k: r.reason for k, r in got.items()} == {15: "exact", 2: "exact"} and got[15].w == 7 * 4 + 7 and got[2].w == 2
+
+
+def test_reachable_sets_agree_with_the_full_table():
+    rng = np.random.default_rng(4)
+    for k in (1, 2, 5, 8):
+        rim, pair = rng.integers(1, 9, (40, k)).astype(float), rng.integers(1, 9, (40, k, k)).astype(float)
+        pair = np.minimum(pair, pair.transpose(0, 2, 1))
+        rim[rng.random((40, k)) < 0.2] = np.inf
+        total, mate = solve_subsets(rim, pair)
+        for i in range(40):
+            t, m = solve_reachable(rim[i], pair[i])
+            assert t == total[i] and (not np.isfinite(t) or (m == mate[i]).all())
+
+
+def test_paths_reach_along_a_chain_of_200_nodes(spark):
+    chain = spark.createDataFrame([(i, i + 1, 1, 0) for i in range(199)] + [(0, 999, 1, 1)], "u int, v int, w bigint, obs_mask bigint")
+    found = gr.matching_paths(chain, 999)
+    assert found.filter("node = 999").agg(F.max("dist"), F.count("*")).first()[:] == (200, 200)
+    with pytest.raises(Exception, match="negative edge weight"):
+        gr.pair_distances(chain.withColumn("w", -F.col("w")), 999).count()
 
 
 def test_far_apart_clusters_are_solved_exactly(spark):
     edges = [(i, i + 1, 2, i % 2) for i in range(59)] + [(i, 99, 5, 1) for i in range(60)]
     paths = gr.pair_distances(spark.createDataFrame(edges, "u int, v int, w bigint, obs_mask bigint"), 99)
     key = [0, 1, 2, 10, 11, 20, 21, 22, 23, 30, 40, 41, 50, 51, 52]
-    got = dc.decode(spark.createDataFrame([(key,)], "key array<int>"), paths, 99, max_hits=5).first()
+    got = dc.decode(spark.createDataFrame([(key,)], "key array<int>"), paths, 99).first()
     dist, rim = lookup(paths)
     parts = [[0, 1, 2], [10, 11], [20, 21, 22, 23], [30], [40, 41], [50, 51, 52]]
     assert got.reason == "exact" and got.w == sum(brute(p, dist, rim) for p in parts)
@@ -191,7 +216,7 @@ def test_correlated_second_pass_against_brute_force(spark):
     keys = [list(c) for k in (2, 3, 4) for c in itertools.combinations(range(8), k)]
     frame = spark.createDataFrame([(k,) for k in keys], "key array<int>")
     got = {tuple(r.key): r.w for r in dc.decode_correlated(frame, paths, edges, implied, 99).collect()}
-    first = dc.decode_small_exact(frame, paths, 99)
+    first = dc.decode_exact(frame, paths, 99)
     used = {}
     for r in dc.solution_edges(dc.matched_pairs(first), paths, 99).collect():
         used.setdefault(tuple(r.key), []).append(tuple(sorted((r.u, r.v))))
@@ -241,19 +266,6 @@ def test_hyperedge_search_against_brute_force(spark):
         assert not acc and o
 
 
-def test_sampling_mean_and_replay(spark):
-    errors = spark.createDataFrame([(i, p) for i, p in enumerate([0.001, 0.02, 0.3, 0.9, 0.0, 1.0])], "err_id bigint, p double")
-    n = 150_000
-    fired = gr.sample_mechanisms(errors, n, 3)
-    got = {r.err_id: r["count"] for r in fired.groupBy("err_id").count().collect()}
-    for i, p in enumerate([0.001, 0.02, 0.3, 0.9]):
-        assert abs(got[i] - n * p) <= 5 * (n * p * (1 - p)) ** 0.5
-    assert got[5] == n and 4 not in got
-    assert fired.agg(F.max("shot_id")).first()[0] == n - 1 and fired.count() == fired.distinct().count()
-    small = gr.sample_mechanisms(errors.filter("p < 0.1"), 5000, 3)
-    assert rows(small, "err_id", "shot_id") == rows(gr.sample_mechanisms(errors.filter("p < 0.1").repartition(5), 5000, 3), "err_id", "shot_id")
-
-
 def test_merge_is_order_independent(spark):
     rnd = random.Random(1)
     data = [(f"t{i % 4}", "d", "{}", rnd.randint(1, 99), rnd.randint(0, 9), 0, float(rnd.randint(0, 9)), {"k": 1}) for i in range(200)]
