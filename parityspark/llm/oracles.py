@@ -40,4 +40,40 @@ SELECT page_id, host, path, rule, CASE
 FROM fit
 """
 
-ORACLES: dict[str, str] = {"op9_decontamination": OP9, "op10_url_filter": OP10}
+# Quotes linked to the first message of the conversation that says the same, whole, by paragraph or by line.
+_NORMAL = "trim(regexp_replace(lower({}), '[ \t\r\n\f]+', ' ', 'g'))"
+_MARKS = r"regexp_extract(line, '^[> 	]*')"
+_LEVEL = f"(length({_MARKS}) - length(replace({_MARKS}, '>', '')))"
+OP8 = rf"""
+WITH RECURSIVE lines AS (
+  SELECT conv_id, turn, role, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM conversations
+),
+leveled AS (SELECT conv_id, turn, i, {_LEVEL} AS level, CASE WHEN {_LEVEL} > 0 THEN substr(line, length({_MARKS}) + 1) ELSE line END AS line FROM lines),
+islands AS (SELECT *, i - row_number() OVER (PARTITION BY conv_id, turn, level ORDER BY i) AS run FROM leveled),
+quotes AS (
+  SELECT conv_id, turn, level, {_NORMAL.format("string_agg(line, chr(10) ORDER BY i)")} AS t FROM islands WHERE level > 0 GROUP BY conv_id, turn, level, run
+),
+own AS (SELECT conv_id, turn, regexp_replace(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (level = 0), ''), '^[
+]+|[
+]+$', '', 'g') AS text FROM leveled GROUP BY conv_id, turn),
+parts AS (
+  SELECT conv_id, turn, text AS t FROM own UNION ALL SELECT conv_id, turn, unnest(regexp_split_to_array(text, '
+[ 	]*
+')) FROM own
+  UNION ALL SELECT conv_id, turn, unnest(string_split(text, chr(10))) FROM own
+),
+origins AS (SELECT conv_id, {_NORMAL.format("t")} AS t, min(turn) AS origin FROM parts WHERE {_NORMAL.format("t")} <> '' GROUP BY ALL),
+linked AS (SELECT q.conv_id, q.turn, q.level, origin FROM quotes q JOIN origins o ON o.conv_id = q.conv_id AND o.t = q.t AND origin < q.turn WHERE q.t <> ''),
+answers AS (SELECT conv_id, turn, max(struct_pack(l := -level, o := origin)).o AS parent, count(*) AS n FROM linked GROUP BY conv_id, turn),
+up AS (
+  SELECT conv_id, turn, parent AS root, 1 AS depth FROM answers
+  UNION ALL SELECT u.conv_id, u.turn, a.parent, u.depth + 1 FROM up u JOIN answers a ON a.conv_id = u.conv_id AND a.turn = u.root
+),
+roots AS (SELECT conv_id, turn, min(root) AS root, max(depth) AS depth FROM up GROUP BY conv_id, turn),
+nq AS (SELECT conv_id, turn, count(*) AS n FROM quotes WHERE t <> '' GROUP BY conv_id, turn)
+SELECT c.conv_id, c.turn, c.role, o.text, a.parent AS parent_turn, coalesce(r.root, c.turn) AS root_turn, CAST(coalesce(r.depth, 0) AS INT) AS depth,
+       row_number() OVER (PARTITION BY c.conv_id ORDER BY coalesce(r.root, c.turn), c.turn) - 1 AS position, CAST(coalesce(nq.n, 0) AS INT) AS n_quotes, coalesce(a.n, 0) AS n_linked
+FROM conversations c JOIN own o USING (conv_id, turn) LEFT JOIN answers a USING (conv_id, turn) LEFT JOIN roots r USING (conv_id, turn) LEFT JOIN nq USING (conv_id, turn)
+"""
+
+ORACLES: dict[str, str] = {"op8_quotation_linking": OP8, "op9_decontamination": OP9, "op10_url_filter": OP10}
