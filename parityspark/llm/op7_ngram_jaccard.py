@@ -317,9 +317,11 @@ def representatives(docs: DataFrame, **how) -> DataFrame:
     Rows without doc_id or without shingles are in no component and stay. All columns are untouched.
     """
     found = cut(join(docs, **how), "found")
-    gone = found.filter((F.col("doc_id") != F.col("component_id")) & (F.col("n_shingles") > 0)).select("doc_id").distinct()
+    gone = cut(found.filter((F.col("doc_id") != F.col("component_id")) & (F.col("n_shingles") > 0)).select("doc_id").distinct(), "gone")
     again = cut(found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "again")
     kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    if again.isEmpty():
+        return kept
     single = kept.join(again, "doc_id", "left_anti").select(*docs.columns)
     repeated = kept.join(again, "doc_id", "left_semi")
     body = F.struct(*[F.col(c) for c in docs.columns])
