@@ -174,7 +174,13 @@ def weight_scale(max_abs: Column, all_integer: Column, levels: int) -> Column:
 
 def mask_pack(idx: Column) -> Column:
     """Aggregate: set bits ``idx`` (0..62) of a mask (FN15)."""
-    return F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), idx))
+    return F.bit_or(bit(idx))
+
+
+def bit(idx: Column) -> Column:
+    """Mask with one bit set. Masks hold observables 0 to 62; another index raises instead of wrapping around."""
+    outside = F.raise_error(F.concat(F.lit("masks hold observables 0 to 62, not "), idx.cast("string"))).cast("bigint")
+    return F.when(idx.between(0, 62), F.call_function("shiftleft", F.lit(1).cast("bigint"), idx.cast("int"))).when(idx.isNotNull(), outside)
 
 
 def mask_unpack(mask: Column, n_bits: int) -> Column:

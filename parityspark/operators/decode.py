@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..lineage import cut
 from .graph import connected_components, matching_paths, path_edges
-from .matching import by_size, lowered_costs, matrix, solutions, unfold
+from .matching import DENSE_HITS, by_size, lowered_costs, matrix, solutions, unfold
 from .parity import xor_reduce
 
 
@@ -125,8 +125,8 @@ def decode_greedy(syndromes: DataFrame, dist: DataFrame, boundary: int = -1) ->
     )
 
 
-def decode(syndromes: DataFrame, dist: DataFrame, boundary: int = -1) -> DataFrame:
-    """Exact matching of every syndrome, whatever its size, by independent clusters.
+def decode_by_clusters(syndromes: DataFrame, dist: DataFrame, boundary: int = -1) -> DataFrame:
+    """Exact matching of syndromes of any size by independent clusters.
 
     Hits linked by candidate pairs form clusters that a best matching never crosses, so each cluster is
     solved on its own and every distinct cluster once; a syndrome's answer is the sum of its clusters'.
@@ -150,6 +150,13 @@ def decode(syndromes: DataFrame, dist: DataFrame, boundary: int = -1) -> DataFra
     )
 
 
+def decode(syndromes: DataFrame, dist: DataFrame, boundary: int = -1) -> DataFrame:
+    """Exact matching of every syndrome: few hits in one table, many by clusters. Both give the same answer."""
+    small = decode_exact(syndromes.filter(F.size("key") <= DENSE_HITS), dist, boundary)
+    large = cut(syndromes.filter(F.size("key") > DENSE_HITS).select("key"), "large")
+    return small if large.isEmpty() else small.unionByName(decode_by_clusters(large, dist, boundary))
+
+
 def matched_pairs(decoded: DataFrame) -> DataFrame:
     """Matched pairs of each solution, a NULL ``b`` being the boundary (DEC4)."""
     return decoded.select("key", F.explode("pairs").alias("_p")).select("key", "_p.*")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import numeric as num
 from .parity import xor_reduce
 
 # Joins in this module carry no broadcast hints: the planner broadcasts a side when its measured size is
@@ -108,7 +109,7 @@ def postselect_mask_from_predicate(detectors: DataFrame, tasks: DataFrame, expr:
 def postselect_obs_mask(tasks: DataFrame, n_obs: int, expr: str) -> DataFrame:
     """Per task, a mask of the observables for which a SQL predicate over (obs, metadata) holds (FLT3)."""
     chosen = tasks.withColumn("obs", F.explode(F.sequence(F.lit(0), F.lit(n_obs - 1))))
-    bit = F.when(F.expr(expr), F.expr("shiftleft(1L, obs)")).otherwise(F.lit(0).cast("long"))
+    bit = F.when(F.expr(expr), num.bit(F.col("obs"))).otherwise(F.lit(0).cast("long"))
     return chosen.groupBy("task_id").agg(F.bit_or(bit).alias("obs_mask"))
 
 

@@ -22,7 +22,7 @@ from .parity import xor_probability, xor_reduce
 def read_check_matrix(checks: DataFrame, faults: DataFrame) -> DataFrame:
     """One row per column of a check/fault matrix pair with its check count; column counts must agree (SRC10)."""
     h = checks.groupBy("col").agg(F.count("*").alias("n_checks"), F.min("row").alias("u"), F.max("row").alias("_hi"))
-    f = faults.groupBy("col").agg(F.bit_or(F.expr("shiftleft(1L, fault)")).alias("obs_mask"))
+    f = faults.groupBy("col").agg(F.bit_or(num.bit(F.col("fault"))).alias("obs_mask"))
     n_h, n_f = (df.agg(F.max("col")).scalar() for df in (checks, faults))
     joined = h.join(f, "col", "full_outer")
     return joined.select(
@@ -39,7 +39,7 @@ def read_edge_list(edges: DataFrame) -> DataFrame:
     pick = lambda c, default: F.coalesce(c, default) if c in has else default
     mask = F.lit(0).cast("bigint")
     if "fault_ids" in has:
-        mask = F.coalesce(F.aggregate("fault_ids", mask, lambda m, i: m.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), i))), mask)
+        mask = F.coalesce(F.aggregate("fault_ids", mask, lambda m, i: m.bitwiseXOR(num.bit(i))), mask)
     return edges.select(
         "u", "v", pick("weight", F.lit(1.0)).cast("double").alias("w"),
         (F.col("error_probability") if "error_probability" in has else F.lit(None)).cast("double").alias("p"),
@@ -322,7 +322,7 @@ def hyperedges(targets: DataFrame, max_degree: int | None = None) -> DataFrame:
     net = xor_reduce(targets, ["err_id", "kind", "idx"])
     sets = net.groupBy("err_id").agg(
         F.array_sort(F.collect_list(F.when(F.col("kind") == "D", F.col("idx")))).alias("dets"),
-        F.coalesce(F.bit_or(F.when(F.col("kind") == "L", F.expr("shiftleft(1L, idx)"))), F.lit(0)).cast("bigint").alias("obs"),
+        F.coalesce(F.bit_or(F.when(F.col("kind") == "L", num.bit(F.col("idx")))), F.lit(0)).cast("bigint").alias("obs"),
     )
     out = sets.select("dets", "obs").distinct()
     return out if max_degree is None else out.filter(F.size("dets") <= max_degree)

@@ -15,7 +15,7 @@ import pyarrow as pa
 # Cells of the subset table held at once, and the hits up to which the table is filled densely; above, only the
 # sets that candidate pairs can reach are kept. Both ways are exact and break ties alike.
 _TABLE_CELLS = 1 << 22
-_DENSE_HITS = 12
+DENSE_HITS = 12
 
 
 def solve_subsets(rim: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -87,7 +87,7 @@ def solve_reachable(rim: np.ndarray, pair: np.ndarray) -> tuple[float, np.ndarra
 
 def solve(rim: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Best total and partners of every row, by the way that suits the number of hits."""
-    if rim.shape[1] <= _DENSE_HITS:
+    if rim.shape[1] <= DENSE_HITS:
         return solve_subsets(rim, pair)
     each = [solve_reachable(r, p) for r, p in zip(rim, pair)]
     return np.array([t for t, _ in each]), np.array([m for _, m in each])
@@ -106,7 +106,7 @@ def by_size(batch: pa.RecordBatch, name: str) -> Iterator[tuple[int, np.ndarray]
     sizes = np.asarray(batch.column(name).value_lengths())
     for k in np.unique(sizes):
         rows = np.flatnonzero(sizes == k)
-        step = max(1, _TABLE_CELLS >> min(int(k), _DENSE_HITS))
+        step = max(1, _TABLE_CELLS >> min(int(k), DENSE_HITS))
         for at in range(0, len(rows), step):
             yield int(k), rows[at : at + step]
 

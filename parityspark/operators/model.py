@@ -131,7 +131,7 @@ def component_edges(errors: DataFrame, targets: DataFrame) -> DataFrame:
     """One row per error component: its one or two detectors, observables mask, and how many detectors it has."""
     net = xor_reduce(targets, ["err_id", "comp", "kind", "idx"])
     det = F.when(F.col("kind") == "D", F.col("idx"))
-    mask = F.when(F.col("kind") == "L", F.expr("shiftleft(1L, idx)")).otherwise(F.lit(0).cast("bigint"))
+    mask = F.when(F.col("kind") == "L", num.bit(F.col("idx"))).otherwise(F.lit(0).cast("bigint"))
     shape = net.groupBy("err_id", "comp").agg(
         F.count(det).alias("n_det"), F.min(det).alias("u"), F.max(det).alias("_hi"), F.bit_or(mask).alias("obs_mask")
     )

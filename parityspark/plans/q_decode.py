@@ -71,7 +71,7 @@ def _(fx):
 
 @query("dec2_decode_by_clusters", f"WITH {matching_sql()} SELECT {KEY_TEXT} AS key, w, obs, 'exact' AS reason FROM best")
 def _(fx):
-    return key_text(dc.decode(syndromes(fx), paths(fx), BOUNDARY)).drop("pairs")
+    return key_text(dc.decode_by_clusters(syndromes(fx), paths(fx), BOUNDARY)).drop("pairs")
 
 
 @query("dec3_decode_greedy", f"""WITH {greedy_sql()}, tot AS (
