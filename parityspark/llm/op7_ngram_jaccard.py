@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from ..lineage import cut
 from ..ordered import running_sums
 from ..shipping import ship
-from .common import map_rows, mix, utf8, word_hashes
+from .common import map_rows, mix, slices, utf8, word_hashes
 from .graphs import components
 
 SIZE, NUMERATOR, DENOMINATOR = 5, 80, 100
@@ -36,7 +36,6 @@ BITS, CHUNK_BITS = 22, 16  # bucket table of the global order: 2 ** BITS counter
 FRAGMENTS = 8
 LIGHT = 64
 BLOCK_WORK, DOC_WORK = 250_000, 400
-PENDING = 2_000_000  # shingles gathered before they are counted
 COLUMNS = 4096  # shingles multiplied at once
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -90,25 +89,20 @@ class Order:
         return [(int(f), s[place == f]) for f in np.unique(place)]
 
 
-def global_order(docs: DataFrame, size: int, fragments: int = FRAGMENTS) -> Order:
-    """Counts shingles by bucket over all documents; 2 ** BITS sums reach the driver, whatever the corpus.
+def bucket_counts(rows: DataFrame, make) -> np.ndarray:
+    """How often each of 2 ** BITS buckets occurs; ``make()`` gives a function from a batch to its bucket numbers.
 
-    A task packs its counters into compressed chunks, and each chunk's are summed one after the other.
+    A task packs its counters into compressed chunks, and each chunk's are summed one after the other, so the driver gets the
+    same few megabytes whatever the corpus.
     """
-    ship(docs.sparkSession)
+    ship(rows.sparkSession)
     chunk = 1 << CHUNK_BITS
 
     def count(batches):
-        hashes, total, pending, held = word_hashes(), np.zeros(1 << BITS, np.int64), [], 0
+        buckets, total = make(), np.zeros(1 << BITS, np.int64)
         for batch in batches:
-            for text in utf8(batch, "text"):
-                pending.append((shingles(text, size, hashes) >> np.uint64(64 - BITS)).astype(np.int64))
-                held += len(pending[-1])
-                if held > PENDING:
-                    total += np.bincount(np.concatenate(pending), minlength=1 << BITS)
-                    pending, held = [], 0
-        if pending:
-            total += np.bincount(np.concatenate(pending), minlength=1 << BITS)
+            for part in slices(batch):
+                np.add.at(total, buckets(part), 1)
         yield from _packed({i: part for i, part in enumerate(total.reshape(-1, chunk)) if part.any()})
 
     def add(batches):
@@ -121,9 +115,24 @@ def global_order(docs: DataFrame, size: int, fragments: int = FRAGMENTS) -> Orde
 
     kind = "chunk int, counts binary"
     counts = np.zeros((1 << (BITS - CHUNK_BITS), chunk), np.int64)
-    for r in docs.select("text").mapInArrow(count, kind).repartition("chunk").mapInArrow(add, kind).collect():
+    for r in rows.mapInArrow(count, kind).repartition("chunk").mapInArrow(add, kind).collect():
         counts[r.chunk] = np.frombuffer(zlib.decompress(bytes(r.counts)), np.int64)
-    return Order(counts.ravel(), fragments)
+    return counts.ravel()
+
+
+def global_order(docs: DataFrame, size: int, fragments: int = FRAGMENTS) -> Order:
+    """The order of all shingles of all documents."""
+
+    def make():
+        hashes = word_hashes()
+
+        def buckets(batch):
+            found = [shingles(t, size, hashes) >> np.uint64(64 - BITS) for t in utf8(batch, "text")]
+            return np.concatenate(found).astype(np.int64)
+
+        return buckets
+
+    return Order(bucket_counts(docs.select("text"), make), fragments)
 
 
 def _packed(parts: dict[int, np.ndarray]):
@@ -157,31 +166,35 @@ def sets(docs: DataFrame, order, size: int, num: int, den: int) -> DataFrame:
 def segments(docs: DataFrame, nodes: DataFrame, order, size: int) -> DataFrame:
     """(node, frag, tokens): the cut sets of some classes (node, s1, s2, rep, twice), made from the text of one document each.
 
-    Where ``twice`` says that several rows carry that doc_id, only one of them counts.
+    A bitmap of the wanted ids, of fixed size, tells tasks which texts to take apart; texts themselves are not moved. Where
+    ``twice`` says that several rows carry a doc_id, only one of them counts.
     """
-    ids = cut(nodes.select(F.col("rep").alias("doc_id")).distinct(), "ids")
-    some = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").join(nodes.select("node", "s1", "s2", "twice", F.col("rep").alias("doc_id")), "doc_id")
+    mask = (1 << BITS) - 1
+    wanted = bucket_counts(nodes.select(F.xxhash64("rep").alias("h")), lambda: lambda batch: batch.column("h").to_numpy() & mask)
+    bitmap = docs.sparkSession.sparkContext.broadcast(np.packbits(wanted > 0))
 
     def make():
-        hashes, o = word_hashes(), order.value
+        hashes, o, held = word_hashes(), order.value, np.unpackbits(bitmap.value).astype(bool)
 
         def step(rows):
-            out = {"node": [], "frag": [], "tokens": [], "twice": []}
-            marks = zip(*(rows.column(c).to_pylist() for c in ("node", "s1", "s2", "twice")), utf8(rows, "text"))
-            for node, s1, s2, twice, text in marks:
+            rows = rows.filter(pa.array(held[rows.column("h").to_numpy() & mask]))
+            out = {"doc_id": [], "s1": [], "s2": [], "frag": [], "tokens": []}
+            for doc_id, text in zip(rows.column("doc_id").to_pylist(), utf8(rows, "text")):
                 s = shingles(text, size, hashes)
-                if signature(s) == (s1, s2):  # another text may carry the same doc_id
-                    for f, part in o.cut(s):
-                        out["node"].append(node)
-                        out["frag"].append(f)
-                        out["tokens"].append(_signed(part))
-                        out["twice"].append(twice)
+                s1, s2 = signature(s)
+                for f, part in o.cut(s):
+                    for name, value in zip(out, (doc_id, s1, s2, f, _signed(part))):
+                        out[name].append(value)
             return out
 
         return step
 
-    parts = map_rows(some.select("node", "s1", "s2", "twice", "text"), "node long, frag int, tokens array<long>, twice boolean", make)
-    parts = cut(parts, "segments")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    texts = docs.filter("doc_id IS NOT NULL").select("doc_id", "text", F.xxhash64("doc_id").alias("h"))
+    made = map_rows(texts, f"doc_id {kind}, s1 long, s2 long, frag int, tokens array<long>", make)
+    # Another text may carry the same doc_id, so the signature is part of the key; dealt by key at every size.
+    keyed = nodes.select("node", "s1", "s2", "twice", F.col("rep").alias("doc_id")).hint("merge")
+    parts = cut(made.join(keyed, ["doc_id", "s1", "s2"]).select("node", "frag", "tokens", "twice"), "segments")
     again = parts.filter("twice").groupBy("node", "frag").agg(F.any_value("tokens").alias("tokens"))
     return parts.filter("NOT twice").drop("twice").unionByName(again)
 
