@@ -86,7 +86,10 @@ def fit_binomial(shots: Column, hits: Column, factor: float) -> Column:
 
 
 def piece_rate(shot_rate: Column, pieces: Column | float, values: Column | float = 1) -> Column:
-    """Failure rate per piece when a shot's failure is an OR over ``values`` of XORs over ``pieces`` (FN4)."""
+    """Failure rate per piece when a shot's failure is an OR over ``values`` of XORs over ``pieces`` (FN4).
+
+    A rate outside 0 to 1, or a number of pieces that is not positive, raises.
+    """
     n = pieces if isinstance(pieces, Column) else F.lit(float(pieces))
     v = values if isinstance(values, Column) else F.lit(float(values))
     s = shot_rate.cast("double")
@@ -103,7 +106,8 @@ def piece_rate(shot_rate: Column, pieces: Column | float, values: Column | float
     def join_or(p: Column) -> Column:
         return F.when(p == 1, F.lit(1.0)).otherwise(-F.expm1(F.log1p(-p) * v))
 
-    return F.when(n == 1, s).when(v == 1, xor_root(s)).otherwise(join_or(xor_root(split_or(s))))
+    refuse = F.raise_error(F.lit("a rate must lie between 0 and 1 and the number of pieces be positive")).cast("double")
+    return F.when((s < 0) | (s > 1) | (n <= 0), refuse).when(n == 1, s).when(v == 1, xor_root(s)).otherwise(join_or(xor_root(split_or(s))))
 
 
 def fit_line(x: Column, y: Column) -> dict[str, Column]:

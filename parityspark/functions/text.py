@@ -61,7 +61,7 @@ def json_equal(a: Column, b: Column) -> Column:
 
 
 def key_values_from_path(path: Column, strict: bool = True) -> Column:
-    """Typed JSON metadata from a file name such as ``dir/d=5,r=3.5,x=abc.ext`` (FN9).
+    """Typed JSON metadata from a file name such as ``runs/size=7,rate=0.25,kind=memory.txt`` (FN9).
 
     Malformed names raise, or give NULL when not strict.
     """

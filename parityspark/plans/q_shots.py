@@ -27,8 +27,16 @@ for _n, _fmt in enumerate(["01", "b8", "hits", "dets", "r8", "ptb64"], 1):
     query(f"src{_n}_read_shots_{_fmt}", ALL_SQL)(lambda fx, fmt=_fmt: round_trip(fx, fmt))
 
 
-# Many hit rows from one file: the table-function surface is the run-length reader's batch decoder.
-query("udtf1_decode_shot_file", ALL_SQL)(lambda fx: round_trip(fx, "r8"))
+@query("udtf1_decode_shot_file", ALL_SQL)
+def _(fx):
+    # A file is named after its first shot; SQL calls the table function for each file's bytes.
+    path = new_path(fx.spark, "table-function")
+    sh.write_shots(fx.fx_shots, hits(fx), path, "b8", LAYOUT)
+    sh.register_functions(fx.spark)
+    fx.spark.read.format("binaryFile").load(path).createOrReplaceTempView("shot_file")
+    return fx.spark.sql(f"""
+      SELECT CAST(regexp_extract(path, 'shots-([0-9]+)', 1) AS BIGINT) + t.shot AS shot_id, CASE WHEN t.pos < {LAYOUT.n_det} THEN 'D' ELSE 'L' END AS kind, t.pos % {LAYOUT.n_det} AS idx
+      FROM shot_file, LATERAL decode_b8(content, {LAYOUT.bits}) t""")
 
 
 @query("snk1_write_shots_01", """

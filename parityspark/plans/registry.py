@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..shipping import ship
 from .fixtures import Fixtures, cte_prefix
 
 
@@ -33,7 +34,11 @@ def query(name: str, oracle: str | None = None):
 
 def callables() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bind(entry: Entry):
-        return lambda spark, sf_dir: entry.build(Fixtures(spark, sf_dir))
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return entry.build(Fixtures(spark, sf_dir))
+
+        return run
 
     return {name: bind(e) for name, e in ENTRIES.items()}
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from .. import lineage
 from ..operators.parity import xor_reduce
+from ..shipping import ship
 
 TEXT_FORMATS = ("01", "hits", "dets")
 PACKED_FORMATS = ("b8", "r8", "ptb64")
@@ -353,6 +354,21 @@ def read_shots(spark: SparkSession, path: str, fmt: str, layout: Layout, dedup:
     return _canonical(reader(spark, path, layout.bits), layout)
 
 
+class DecodeB8:
+    """Table function over the bytes of one packed file: a row (shot, pos) for every set bit (UDTF1)."""
+
+    def eval(self, content: bytes, bits: int):
+        data = np.frombuffer(content, dtype=np.uint8).reshape(-1, (bits + 7) // 8)
+        shot, pos = np.nonzero(np.unpackbits(data, axis=1, bitorder="little")[:, :bits])
+        yield from zip(shot.tolist(), pos.tolist())
+
+
+def register_functions(spark: SparkSession) -> None:
+    """Make ``decode_b8(content, bits)`` available to SQL, for use with files that Spark reads whole."""
+    ship(spark)
+    spark.udtf.register("decode_b8", F.udtf(DecodeB8, returnType="shot bigint, pos int"))
+
+
 def write_shots(shots: DataFrame, hits: DataFrame, path: str, fmt: str, layout: Layout) -> None:
     """Write shot files in shot order (SNK1, SNK2)."""
     if fmt in TEXT_FORMATS:

@@ -274,6 +274,14 @@ def test_masks_refuse_an_observable_that_would_wrap(spark):
         md.edges_from_model(errors, parts(64)).collect()
 
 
+def test_piece_rates_refuse_bad_ranges(spark):
+    from parityspark.functions import numeric as num
+
+    for rate, pieces in ((1.5, 2), (-0.1, 2), (0.5, 0)):
+        with pytest.raises(Exception, match="number of pieces"):
+            spark.range(1).select(num.piece_rate(F.lit(rate) + F.col("id"), pieces)).collect()
+
+
 def test_a_missing_prediction_is_never_right(spark):
     actual = spark.createDataFrame([(0, 0), (1, 0), (2, 1)], "shot_id bigint, obs_mask bigint")
     pred = spark.createDataFrame([(0, 0), (1, None)], "shot_id bigint, pred_mask bigint")
