@@ -4,8 +4,9 @@ Equal shingle sets become one class first, so copies cost one row each. A global
 first, is cut into FRAGMENTS; a class's set is cut likewise, overlaps are counted fragment by fragment, and the partial
 counts of a pair are summed and compared with the threshold.
 
-Pairs to count come from the head of each set (the shingles of which similar sets must share one). Where up to LIGHT classes
-share such a shingle, they are paired, if lengths and positions allow. Where more do, nothing is paired as rows: the classes
+Pairs to count come from the heads of the sets: their first shingles, so many that similar sets must share at least one in SHARE of
+them, and one more, within their heads. A class with fewer shared shingles in its head has no links. Where up to LIGHT classes
+share a head shingle, they are paired, if enough of these meet and lengths and positions allow. Where more do, nothing is paired as rows: the classes
 tied by such shingles form a dense cluster, clusters are cut into blocks of at most BLOCK_WORK shingles, and each pair of
 blocks that lengths allow is one bounded task, which counts its overlaps fragment by fragment as matrix products and returns
 only which classes its links connect. Work inside one cluster is quadratic in its *different* sets, never in rows moved to one task.
@@ -22,7 +23,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..lineage import cut
@@ -34,6 +35,7 @@ from .graphs import components
 SIZE, NUMERATOR, DENOMINATOR = 5, 80, 100
 BITS, CHUNK_BITS = 22, 16  # bucket table of the global order: 2 ** BITS counters, dealt in chunks of 2 ** CHUNK_BITS
 FRAGMENTS = 8
+SHARE = 20
 LIGHT = 64
 BLOCK_WORK, DOC_WORK = 250_000, 400
 COLUMNS = 4096  # shingles multiplied at once
@@ -80,8 +82,8 @@ class Order:
         return (self.level[(s >> np.uint64(64 - BITS)).astype(np.int64)] << np.uint64(50)) | (s >> np.uint64(14))
 
     def head(self, s: np.ndarray, num: int, den: int) -> np.ndarray:
-        """The first shingles, of which any similar set must hold one."""
-        n = len(s) - -(-len(s) * num // den) + 1
+        """The first shingles: any similar set y has at least ``common(min(len(s), len(y)))`` of them in its own head."""
+        n = len(s) - -(-len(s) * num // den) + 1 + len(s) // SHARE
         return s[np.argsort(self.key(s), kind="stable")[:n]]
 
     def cut(self, s: np.ndarray) -> list[tuple[int, np.ndarray]]:
@@ -140,6 +142,11 @@ def _packed(parts: dict[int, np.ndarray]):
         yield pa.RecordBatch.from_pydict({"chunk": pa.array([i], pa.int32()), "counts": [zlib.compress(part.tobytes(), 1)]})
 
 
+def common(n: Column) -> Column:
+    """How many head shingles similar sets share, the smaller one having ``n``."""
+    return 1 + F.floor(n / SHARE)
+
+
 def _signed(s: np.ndarray) -> np.ndarray:
     return s.view(np.int64)
 
@@ -204,13 +211,20 @@ def _similar(overlap, na, nb, num: int, den: int):
 
 
 def light_pairs(shared: DataFrame, light: int, num: int, den: int) -> DataFrame:
-    """(a, na, b, nb): classes that share a head shingle held by few, if lengths and positions let them be similar."""
+    """(a, na, b, nb): classes that share head shingles held by few, if their number, lengths and positions let them be similar.
+
+    Shingles held by many are not paired here; a class with ``many`` of them may share up to so many more.
+    """
     few = shared.filter(F.col("m") <= light)
-    a = few.select("token", *[F.col(c).alias(f"{c}a") for c in ("node", "n", "pos")])
-    b = few.select("token", *[F.col(c).alias(f"{c}b") for c in ("node", "n", "pos")])
-    most = 1 + F.least(F.col("na") - F.col("posa") - 1, F.col("nb") - F.col("posb") - 1)
-    pairs = a.join(b, "token").filter((F.col("nodea") < F.col("nodeb")) & _similar(most.cast("long"), F.col("na"), F.col("nb"), num, den))
-    return pairs.select(F.col("nodea").alias("a"), "na", F.col("nodeb").alias("b"), "nb").distinct()
+    a = few.select("token", *[F.col(c).alias(f"{c}a") for c in ("node", "n", "pos", "many")])
+    b = few.select("token", *[F.col(c).alias(f"{c}b") for c in ("node", "n", "pos", "many")])
+    met = a.join(b, "token").filter((F.col("nodea") < F.col("nodeb")) & (F.least("na", "nb") * den >= F.greatest("na", "nb") * num))
+    pairs = met.groupBy("nodea", "na", "manya", "nodeb", "nb", "manyb").agg(
+        F.count("*").alias("k"), F.max(F.least(F.col("na") - F.col("posa"), F.col("nb") - F.col("posb"))).alias("most")
+    )
+    more = F.least("manya", "manyb")
+    likely = (F.col("k") + more >= common(F.least("na", "nb"))) & _similar(F.least(F.col("most") + more, F.least("na", "nb")), F.col("na"), F.col("nb"), num, den)
+    return pairs.filter(likely).select(F.col("nodea").alias("a"), "na", F.col("nodeb").alias("b"), "nb")
 
 
 def count_pairs(pairs: DataFrame, segs: DataFrame, num: int, den: int) -> DataFrame:
@@ -303,8 +317,12 @@ def join(docs: DataFrame, size: int = SIZE, num: int = NUMERATOR, den: int = DEN
     classes = every.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.any_value("head").alias("head"))
     classes = cut(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     held = classes.select("node", "n", F.posexplode("head").alias("pos", "token"))
-    common = held.groupBy("token").agg(F.count("*").alias("m")).filter("m > 1")
-    shared = cut(held.join(common, "token"), "shared")
+    several = held.groupBy("token").agg(F.count("*").alias("m")).filter("m > 1")
+    shared = cut(held.join(several, "token"), "heads")
+    # A similar set may be smaller than this one, but not by more than the threshold.
+    least = common(F.ceil(F.first("n") * num / den))
+    able = shared.groupBy("node").agg(F.count("*").alias("k"), F.count_if(F.col("m") > light).alias("many"), least.alias("least")).filter("k >= least")
+    shared = cut(shared.join(able.select("node", "many"), "node"), "shared")
     pairs = cut(light_pairs(shared, light, num, den), "pairs")
     many = shared.filter(F.col("m") > light)
     star = many.join(many.groupBy("token").agg(F.min("node").alias("b")), "token").select(F.col("node").alias("a"), "b")
