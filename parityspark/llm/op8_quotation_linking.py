@@ -2,8 +2,10 @@
 
 A line's quote level is the number of ``>`` among the marks it begins with; lines of one level in a row form a passage.
 Quoted passages are normalised (marks off, lower case, blanks run together), hashed and joined, within their conversation, to the
-first message whose own words, taken whole, by paragraph or by line, have that hash and that stands before them. A message answers
-the latest such original of its shallowest quotes. Conversations come out message by message in reply order: threads by
+first message whose own words, taken whole, by paragraph or by line, have that hash and that stands before them. Passages of several
+lines that match none of these go to the first message before them whose own words hold the same lines one after another: hashes
+of all its runs of as many lines are joined, for the lengths that its conversation lacks. Empty lines and quotes between a message's
+own lines do not count; a line that was wrapped anew or trimmed within is another line. A message answers the latest such original of its shallowest quotes. Conversations come out message by message in reply order: threads by
 their first turn, and inside a thread by turn, so each answer follows what it answers; quotes are gone from the text.
 
 One row comes out for each row in. Null text counts as empty. Rows without conv_id or turn answer nothing and are not quoted;
@@ -55,12 +57,39 @@ def passages(parsed: Column) -> Column:
     )
 
 
+def said(text: Column) -> Column:
+    """The normalised lines that are not empty."""
+    return F.filter(F.transform(F.split(text, "\n", -1), normal), lambda x: x != "")
+
+
+def windows(hashes: Column, n: Column) -> Column:
+    """One hash for every run of ``n`` (2 or more) of these hashes, from those of the two longest powers of two that cover it."""
+    span = lambda w: F.size(hashes) - F.size(w) + 1
+    pairs = lambda w, step, last: F.transform(F.sequence(F.lit(0), last), lambda i: F.md5(F.concat(F.get(w, i), F.get(w, i + step))))
+    return F.aggregate(
+        F.sequence(F.lit(1), F.length(F.bin(n)) - 1), hashes,
+        lambda w, _: pairs(w, span(w), F.size(w) - span(w) - 1), lambda w: pairs(w, n - span(w), F.size(hashes) - n),
+    )
+
+
 def own_text(parsed: Column) -> Column:
     """The lines that quote nothing, without empty lines at either end."""
     kept = F.array_join(F.filter(parsed, lambda x: x["level"] == 0)["line"], "\n")
     return F.regexp_replace(kept, r"^[\r\n]+|[\r\n]+$", "")
 
 
+def _by_lines(messages: DataFrame, missed: DataFrame) -> DataFrame:
+    """(row, conv_id, turn, level, origin) of passages whose lines an earlier message holds one after another.
+
+    Rows are a conversation's lines times the lengths missed in it; equal runs collapse before they move, so a hot line makes no pairs.
+    """
+    lengths = missed.groupBy("conv_id").agg(F.collect_set("n").alias("lengths"))
+    bodies = messages.select("conv_id", "turn", F.transform(said(F.col("text")), F.md5).alias("lines")).join(lengths, "conv_id")
+    runs = bodies.select("conv_id", "turn", "lines", F.explode("lengths").alias("n")).filter("size(lines) >= n")
+    held = runs.select("conv_id", "turn", "n", F.explode(windows(F.col("lines"), F.col("n"))).alias("w")).groupBy("conv_id", "n", "w").agg(F.min("turn").alias("origin"))
+    return missed.join(held, ["conv_id", "n", "w"]).filter("origin < turn").select("row", "conv_id", "turn", "level", "origin")
+
+
 def _roots(answers: DataFrame) -> DataFrame:
     """(conv_id, turn, root, depth) of turns that answer another, by doubling the steps towards the first turn."""
     state = cut(answers.select("conv_id", "turn", F.col("parent").alias("root"), F.lit(1).alias("depth")), "roots")
@@ -75,14 +104,19 @@ def _roots(answers: DataFrame) -> DataFrame:
 def link(conversations: DataFrame) -> DataFrame:
     """(conv_id, turn, role, text, parent_turn, root_turn, depth, position, n_quotes, n_linked) of every message."""
     parsed = conversations.select("conv_id", "turn", "role", F.monotonically_increasing_id().alias("row"), lines(F.col("text")).alias("lines"))
-    runs = F.transform(F.filter(passages(F.col("lines")), lambda p: p["level"] > 0), lambda p: F.struct(p["level"].alias("level"), normal(p["text"]).alias("text")))
-    messages = cut(parsed.select("conv_id", "turn", "role", "row", own_text(F.col("lines")).alias("text"), F.filter(runs, lambda p: p["text"] != "").alias("quotes")), "messages")
-    quotes = messages.select("row", "conv_id", "turn", F.explode("quotes").alias("q")).select("row", "conv_id", "turn", "q.level", F.md5("q.text").alias("h"))
+    runs = F.transform(F.filter(passages(F.col("lines")), lambda p: p["level"] > 0), lambda p: F.struct(p["level"].alias("level"), said(p["text"]).alias("lines")))
+    messages = cut(parsed.select("conv_id", "turn", "role", "row", own_text(F.col("lines")).alias("text"), F.filter(runs, lambda p: F.size(p["lines"]) > 0).alias("quotes")), "messages")
+    quotes = messages.select("row", "conv_id", "turn", F.explode("quotes").alias("q")).select(
+        "row", "conv_id", "turn", "q.level", F.md5(F.array_join("q.lines", " ")).alias("h"), F.size("q.lines").alias("n"), F.transform("q.lines", F.md5).alias("lines")
+    )
+    quotes = quotes.select("row", "conv_id", "turn", "level", "h", "n", F.when(F.col("n") > 1, F.get(windows(F.col("lines"), F.col("n")), F.lit(0))).alias("w"))
     parts = F.concat(F.array("text"), F.split("text", r"\n[ \t\r]*\n", -1), F.split("text", "\n", -1))
     hashes = F.array_distinct(F.transform(F.filter(F.transform(parts, normal), lambda x: x != ""), lambda x: F.md5(x)))
     quoting = quotes.select("conv_id").distinct()
     origins = messages.join(quoting, "conv_id", "left_semi").select("conv_id", "turn", F.explode(hashes).alias("h")).groupBy("conv_id", "h").agg(F.min("turn").alias("origin"))
-    linked = quotes.join(origins, ["conv_id", "h"]).filter("origin < turn")
+    found = quotes.join(origins, ["conv_id", "h"], "left").select("row", "conv_id", "turn", "level", "n", "w", F.expr("CASE WHEN origin < turn THEN origin END").alias("origin"))
+    found = cut(found, "quotes")
+    linked = found.filter("origin IS NOT NULL").drop("n", "w").unionByName(_by_lines(messages, found.filter("origin IS NULL AND n > 1").drop("origin")))
     answers = cut(
         linked.groupBy("row", "conv_id", "turn").agg(F.max(F.struct(-F.col("level"), "origin"))["origin"].alias("parent"), F.count("*").alias("n_linked")), "answers"
     )

@@ -444,6 +444,24 @@ def test_a_long_chain_of_answers_has_one_root(spark):
     assert all((r.root_turn, r.depth, r.position) == (0, k, k) for k, r in got.items())
 
 
+def test_parts_of_messages_are_found_by_their_lines(spark):
+    long = [f"Step {k}" for k in range(30)]
+    turns = [
+        (1, 0, "u", "One\nTwo\nThree"), (1, 1, "a", "> two\n>  Three\nAnswer A1\nAnswer A2"),
+        (1, 2, "u", "> > Two\n> > Three\n> Answer A1\n> Answer A2\nFirst reply\nmore of it\n> Answer A2\nSecond reply"),
+        (1, 3, "a", "> First reply\n> more of it\nok"), (1, 4, "u", "> Two\n> One\nreversed"), (1, 5, "u", "> One\n> Three\nwith a gap"),
+        (1, 6, "a", "P1 a\nP1 b\n\nP2\n\nP3"), (1, 7, "u", "> P1 b\n>\n> P2\nyes"), (1, 8, "u", "> Two\n> Three\n> Four\ntoo long"), (1, 9, "u", "> Later one\n> Later two\nno"),
+        (1, 10, "u", "Later one\nLater two\nLater three"), (2, 0, "u", "\n".join(long)), (2, 0, "u", "Step 99\nStep 98"), (2, 1, "u", "\n".join(f"> {x}" for x in long[3:26]) + "\nyes"),
+        (2, 2, "u", "\n".join(f"> {x}" for x in long[3:19]) + "\nyes"), (2, 3, "u", "> Step 29\n> Step 99\nof two rows"), (2, 4, "u", "> Two\n> Three\nelsewhere"),
+    ]
+    turns += [(3, k, "u", "hot\nhot\n" * 5 + f"> hot\n> hot\n> hot\nend {k}") for k in range(20)]
+    got = op8_quotation_linking.link(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()
+    parents = {(r.conv_id, r.turn): r.parent_turn for r in got}
+    assert [parents[1, k] for k in range(11)] == [None, 0, 1, 2, None, None, None, 6, None, None, None]
+    assert [parents[2, k] for k in range(5)] == [None, 0, 0, None, None] and [parents[3, k] for k in range(20)] == [None] + [0] * 19
+    assert {(r.turn, r.root_turn, r.n_quotes, r.n_linked) for r in got if r.conv_id == 1} >= {(1, 0, 1, 1), (2, 0, 3, 3), (3, 0, 1, 1), (7, 6, 1, 1), (8, 8, 1, 0)}
+
+
 # --- decontamination ----------------------------------------------------------------------------------------------
 
 
