@@ -36,7 +36,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = op3_quality_classifier.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    found = op3_quality_classifier.classify_in_context(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return found.select("doc_id", "n_grams", F.round("perplexity", 6).alias("perplexity"), F.round("fence", 6).alias("fence"), "kept")
 
 

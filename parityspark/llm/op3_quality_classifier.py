@@ -1,13 +1,21 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-The model is over characters inside words, four at a time, with three start marks before and one end mark after each word. Counts of
-trusted text are tables keyed by n-gram; contexts, continuation counts and discounts are group-bys, and the probability of
-every n-gram that the corpus holds comes from joins of those tables on the n-gram, its context and its suffixes, all dealt by
-hash. A document's perplexity is that of its words, and it is kept up to a fence drawn from the quartiles of trusted documents of
-its language: third quartile plus FENCE times the distance of the quartiles, in logarithms, to the next GRAIN, and wider for short texts, whose
-mean log probability scatters.
-
-The n-gram table is broadcast while it has at most BROADCAST_ROWS rows, which is counted. Beyond that each document's
+Words are judged in their context: ``classify_in_context`` counts word trigrams of trusted text, across word and line borders, with two start
+marks before each text, and interpolates trigram, bigram and unigram with the spelling of the word as the lowest order. Words are 64-bit hashes of
+what stands between blanks. Counts are tables that grow with trusted text; the trigrams of every document, added up inside it, are joined
+with them by hash, none is gathered or left out. A trusted text knows its own trigrams, so one trusted document in HELD_OUT, by doc_id, is not
+counted and the fence is drawn from these alone; without any there is no fence and every document with words is kept.
+
+The spelling is a model over characters inside words, four at a time, with three start marks before and one end mark after each word; ``classify``
+is this model alone, which is blind to the order of words. Counts of trusted text are tables keyed by n-gram; contexts,
+continuation counts and discounts are group-bys, and the probability of every n-gram that the corpus holds comes from joins of those
+tables on the n-gram, its context and its suffixes, all dealt by hash. Characters beyond the basic plane share its private-use codes in
+the spelling, not in the hashes of words.
+
+A document is kept up to a fence drawn from the quartiles of trusted documents of its language: third quartile plus FENCE times the distance
+of the quartiles, in logarithms, to the next GRAIN, and wider for short texts, whose mean log probability scatters.
+
+The character table is broadcast while it has at most BROADCAST_ROWS rows, which is counted. Beyond that each document's
 distinct words are joined with the words' probabilities, which come from a join with the n-gram table.
 
 Texts without words (null and empty ones too) have no perplexity and are not kept. A null language, and languages without
@@ -18,6 +26,8 @@ Without trusted text there is no fence and every document with words is kept.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -25,14 +35,16 @@ from pyspark.sql import functions as F
 
 from ..lineage import cut
 from ..shipping import ship
-from .common import map_rows, utf8
+from .common import map_rows, remainder, utf8, word_hashes
 
 START, END, OTHER = "\x02", "\x03", "\x01"
 FENCE, GRAIN = 3.0, 1000  # bins per unit of log perplexity
 DEVIATIONS, SPREAD = 3.0, 1.8  # allowance for short texts: standard errors, and the deviation of one character's log probability
+WORD_SPREAD = 3.0  # the deviation of one word's log probability that is allowed for, a choice
 BROADCAST_ROWS = 4_000_000
 KEPT_WORDS = 300_000
 LONGEST_KEPT = 64
+HELD_OUT = 10
 _CLEAN = str.maketrans({START: OTHER, END: OTHER})
 MASK = {3: (1 << 48) - 1, 2: (1 << 32) - 1, 1: (1 << 16) - 1}
 
@@ -218,25 +230,161 @@ def fences(scored: DataFrame) -> DataFrame:
     return scored.sparkSession.createDataFrame(out, "lang string, fence double")
 
 
+def _trusted(labels: DataFrame) -> DataFrame:
+    return labels.filter("quality IS NOT NULL").groupBy("doc_id").agg(F.avg("quality").alias("q")).filter("q > 0.5").select("doc_id")
+
+
+def _characters(docs: DataFrame, counted: DataFrame) -> DataFrame:
+    """(gram, logp) of the characters of all documents under a model of the counted ones."""
+    quads = cut(_gathered(counted, distinct=False), "order4")
+    return cut(probabilities(cut(_gathered(docs, distinct=True), "universe"), quads), "logp")
+
+
+def _judged(scored: DataFrame, trusted: DataFrame, scatter: float) -> DataFrame:
+    """``scored`` (doc_id, lang, n, log_perplexity) against fences of its trusted rows; ``scatter`` over the root of n is allowed besides."""
+    place = F.floor(F.col("log_perplexity") * GRAIN).cast("int").alias("bin")
+    edge = fences(scored.join(trusted, "doc_id", "left_semi").filter("n > 0").select("lang", place))
+    default = [r.fence for r in edge.filter("lang IS NULL").collect()]
+    joined = scored.join(edge.filter("lang IS NOT NULL"), "lang", "left") if default else scored.withColumn("fence", F.lit(None).cast("double"))
+    fence = F.coalesce("fence", F.lit(default[0] if default else None).cast("double")) + scatter / F.sqrt(F.greatest("n", F.lit(1)))
+    return joined.select(
+        "doc_id", "lang", F.col("n").alias("n_grams"), F.exp("log_perplexity").alias("perplexity"), F.exp(fence).alias("fence"),
+        F.coalesce(F.col("log_perplexity") <= fence, F.col("n") > 0).alias("kept"),
+    )
+
+
 def classify(docs: DataFrame, labels: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(doc_id, lang, n_grams, perplexity, fence, kept) of every document."""
     docs = docs.select("doc_id", "lang", "text")
-    trusted = labels.filter("quality IS NOT NULL").groupBy("doc_id").agg(F.avg("quality").alias("q")).filter("q > 0.5").select("doc_id")
-    quads = cut(_gathered(docs.join(trusted.hint("merge"), "doc_id", "left_semi"), distinct=False), "order4")
-    universe = _gathered(docs, distinct=True)
-    table = cut(probabilities(cut(universe, "universe"), quads), "logp")
+    trusted = _trusted(labels)
+    table = _characters(docs, docs.join(trusted.hint("merge"), "doc_id", "left_semi"))
     if table.count() <= broadcast_rows:
         scored = _score_by_broadcast(docs, table)
     else:
         keyed = cut(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
         scored = keyed.select("row", "doc_id", "lang").join(_score_by_join(keyed, table), "row").drop("row")
     scored = cut(scored.withColumn("log_perplexity", F.when(F.col("n") > 0, -F.col("s") / F.col("n"))), "scored")
-    place = F.floor(F.col("log_perplexity") * GRAIN).cast("int").alias("bin")
-    edge = fences(scored.join(trusted, "doc_id", "left_semi").filter("n > 0").select("lang", place))
-    default = [r.fence for r in edge.filter("lang IS NULL").collect()]
-    joined = scored.join(edge.filter("lang IS NOT NULL"), "lang", "left") if default else scored.withColumn("fence", F.lit(None).cast("double"))
-    fence = F.coalesce("fence", F.lit(default[0] if default else None).cast("double")) + DEVIATIONS * SPREAD / F.sqrt(F.greatest("n", F.lit(1)))
-    return joined.select(
-        "doc_id", "lang", F.col("n").alias("n_grams"), F.exp("log_perplexity").alias("perplexity"), F.exp(fence).alias("fence"),
-        F.coalesce(F.col("log_perplexity") <= fence, F.col("n") > 0).alias("kept"),
-    )
+    return _judged(scored, trusted, DEVIATIONS * SPREAD)
+
+
+# --- words in context -------------------------------------------------------------------------------------------
+
+
+def _trigrams(text: bytes | None, known: dict) -> Counter:
+    ids = [0, 0, *(known[w.encode()] for w in words(text))]
+    return Counter(zip(ids, ids[1:], ids[2:]))
+
+
+def _signed(some: list[int]) -> np.ndarray:
+    return np.array(some, np.uint64).view(np.int64)
+
+
+def _columns(tally: dict, n: str) -> dict:
+    return {c: _signed([t[i] for t in tally]) for i, c in enumerate("uvw")} | {n: np.fromiter(tally.values(), np.int64, len(tally))}
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    """(u, v, w, n): counts of word trigrams of all texts, summed per task before they are dealt."""
+    ship(docs.sparkSession)
+
+    def count(batches):
+        known, tally = word_hashes(), Counter()
+        for batch in batches:
+            for text in utf8(batch, "text"):
+                tally.update(_trigrams(text, known))
+                if len(tally) > KEPT_WORDS:
+                    yield pa.RecordBatch.from_pydict(_columns(tally, "n"))
+                    tally.clear()
+        yield pa.RecordBatch.from_pydict(_columns(tally, "n"))
+
+    rows = docs.select("text").mapInArrow(count, "u long, v long, w long, n long")
+    return rows.groupBy("u", "v", "w").agg(F.sum("n").alias("n"))
+
+
+def _of_rows(docs: DataFrame) -> DataFrame:
+    """(row, u, v, w, k): the word trigrams of each document and how often it has them."""
+
+    def make():
+        known = word_hashes()
+
+        def step(batch):
+            parts, held = [], batch.column("row").to_pylist()
+            for row, text in zip(held, utf8(batch, "text")):
+                tally = _trigrams(text, known)
+                parts.append({"row": np.full(len(tally), row, np.int64)} | _columns(tally, "k"))
+            return {c: np.concatenate([p[c] for p in parts]) if parts else np.empty(0, np.int64) for c in ("row", "u", "v", "w", "k")}
+
+        return step
+
+    return map_rows(docs.select("row", "text"), "row long, u long, v long, w long, k long", make)
+
+
+def _spelled(docs: DataFrame, table: DataFrame, broadcast_rows: int) -> DataFrame:
+    """(w, s): the log probability of each distinct word's spelling."""
+    ship(docs.sparkSession)
+
+    def distinct(batches):
+        known, seen = word_hashes(), set()
+        for batch in batches:
+            new = {w for text in utf8(batch, "text") for w in words(text)} - seen
+            if len(seen) > KEPT_WORDS:
+                seen.clear()
+            seen |= new
+            some = list(new)
+            for i in range(0, len(some), 20_000):
+                part = some[i : i + 20_000]
+                yield pa.RecordBatch.from_pydict({"w": _signed([known[x.encode()] for x in part]), "word": pa.array(part, pa.string())})
+
+    each = cut(docs.select("text").mapInArrow(distinct, "w long, word string").distinct(), "words")
+    if table.count() <= broadcast_rows:
+        rows = table.sort("gram").toArrow()
+        shared = docs.sparkSession.sparkContext.broadcast((rows.column("gram").to_numpy(), rows.column("logp").to_numpy()))
+
+        def make():
+            known = Known(*shared.value)
+            return lambda batch: {"w": batch.column("w"), "s": known._sums(batch.column("word").to_pylist()) if batch.num_rows else []}
+
+        return map_rows(each, "w long, s double", make)
+
+    def cut_up():
+        def step(batch):
+            some = batch.column("word").to_pylist()
+            keys, sizes = grams(some) if some else (np.empty(0, np.int64), np.empty(0, np.int64))
+            return {"w": np.repeat(batch.column("w").to_numpy(), sizes), "gram": keys}
+
+        return step
+
+    return map_rows(each, "w long, gram long", cut_up).join(table, "gram").groupBy("w").agg(F.sum(F.col("logp").cast("double")).alias("s"))
+
+
+def _interpolated(rows: DataFrame, counts: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with the probability p of the order below turned into that of the order with these keys, the last of which is the word."""
+    d, n, lower = _discounts(counts), F.col("n"), F.col("p")
+    sums = counts.groupBy(*keys[:-1]).agg(F.sum("n").alias("total"), (F.sum(_discount(n, d)) / F.sum("n")).alias("rest"))
+    if len(keys) == 1:
+        total, rest = sums.first()
+        total, rest = (F.lit(x).cast("double") for x in (total, rest))
+    else:
+        rows, total, rest = rows.join(sums, keys[:-1], "left"), F.col("total"), F.col("rest")
+    rows = rows.join(counts, keys, "left")
+    p = F.when(total.isNull(), lower).otherwise(F.coalesce((n - _discount(n, d)) / total, F.lit(0.0)) + rest * lower)
+    return rows.withColumn("p", p).drop("n", "total", "rest")
+
+
+def classify_in_context(docs: DataFrame, labels: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """(doc_id, lang, n_grams, perplexity, fence, kept) of every document, per word and by words in their order; n_grams counts words."""
+    docs = cut(docs.select("doc_id", "lang", "text", F.monotonically_increasing_id().alias("row")), "rows")
+    trusted = cut(_trusted(labels), "trusted")
+    out = F.coalesce(remainder(F.col("doc_id"), HELD_OUT) == 0, F.lit(False))
+    counted = docs.join(trusted.filter(~out).hint("merge"), "doc_id", "left_semi")
+    spelled = _spelled(docs, _characters(docs, counted), broadcast_rows)
+    three = cut(_counted(counted), "trigrams")
+    two = cut(three.groupBy("v", "w").agg(F.count("*").alias("n")), "bigrams")
+    one = cut(two.groupBy("w").agg(F.count("*").alias("n")), "unigrams")
+    held = cut(_of_rows(docs), "held")
+    first = _interpolated(spelled.select("w", F.exp("s").alias("p")), one, ["w"])
+    second = _interpolated(held.select("v", "w").distinct().join(first, "w"), two, ["v", "w"])
+    third = _interpolated(held.join(cut(second, "second"), ["v", "w"]), three, ["u", "v", "w"])
+    sums = third.groupBy("row").agg(F.sum(F.log("p") * F.col("k")).alias("s"), F.sum("k").alias("n"))
+    scored = docs.select("row", "doc_id", "lang").join(sums, "row", "left").withColumns({"n": F.coalesce("n", F.lit(0)), "log_perplexity": -F.col("s") / F.col("n")})
+    return _judged(cut(scored.select("doc_id", "lang", "n", "log_perplexity"), "scored"), trusted.filter(out), DEVIATIONS * WORD_SPREAD)

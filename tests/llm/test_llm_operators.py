@@ -193,6 +193,54 @@ def test_perplexity_is_kneser_ney_on_both_ways(spark, docs, empty):
     assert {r.kept for r in op3_quality_classifier.classify(docs, marks.limit(0)).collect() if r.n_grams} == {True}
 
 
+def trigram_perplexity(trusted, t):
+    """Word trigrams by the textbook recursion over dictionaries, above the spelling."""
+    orders = {3: Counter(g for x in trusted for w in [["", "", *x.split()]] for g in zip(w, w[1:], w[2:]))}
+    for k in (2, 1):
+        orders[k] = Counter(g[1:] for g in orders[k + 1])
+    pad, spell, first = kneser_ney(trusted)
+
+    def p(g, v):
+        if not g:
+            raise ValueError
+        k, c = len(g), orders[len(g)]
+        n = Counter(c.values())
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] + n[2] else 0.5
+        raw = [1 - 2 * y * n[2] / n[1] if n[1] else 0.5, 2 - 3 * y * n[3] / n[2] if n[2] else 1.0, 3 - 4 * y * n[4] / n[3] if n[3] else 1.5]
+        d = [min(max(a, 0.05), top) for a, top in zip(raw, (0.95, 1.95, 2.95))]
+        w = g[-1]
+        lower = p(g[1:], v) if k > 1 else float(np.prod([spell(pad(w)[i : i + 4], v) for i in range(len(w) + 1)]))
+        same = [m for h, m in c.items() if h[:-1] == g[:-1]]
+        if not same:
+            return lower
+        m = c.get(g, 0)
+        return (m - d[min(m, 3) - 1] if m else 0) / sum(same) + sum(d[min(x, 3) - 1] for x in same) / sum(same) * lower
+
+    return lambda v: np.exp(-np.mean([np.log(p(g, v)) for w in [["", "", *t.split()]] for g in zip(w, w[1:], w[2:])]))
+
+
+def test_perplexity_knows_the_order_of_words(spark, empty):
+    phrases = ["the cat sat on the mat", "a dog ran over the hill", "we saw the cat run", "the hill was green and the dog slept", "on the mat a cat slept"]
+    some = [(i, " ".join(phrases[(i * k + k) % 5] for k in range(1, 8)), "en") for i in range(60)]
+    clean = " ".join(phrases[k] for k in (3, 1, 4, 0, 2))
+    some += [(100, clean, "en"), (101, " ".join(sorted(clean.split())), "en"), (102, "", "en"), (103, None, None), (104, "😀 x😀", "xx")]
+    docs = spark.createDataFrame(some, "doc_id long, text string, lang string")
+    marks = spark.createDataFrame([(i, 1) for i in range(60)], "doc_id long, quality int")
+    got = {r.doc_id: r for r in op3_quality_classifier.classify_in_context(docs, marks).collect()}
+    other = {r.doc_id: r for r in op3_quality_classifier.classify_in_context(docs, marks, broadcast_rows=0).collect()}
+    assert len(got) == len(some) and got[100].n_grams == got[101].n_grams == len(clean.split())
+    trusted = [t for i, t, _ in some if i < 60 and zlib.crc32(str(i).encode()) % op3_quality_classifier.HELD_OUT]
+    v = len({c for _, t, _ in some for w in (t or "").split() for c in w + "\x03"}) + 1
+    for i in (0, 100, 101):
+        want = trigram_perplexity(trusted, some[i if i < 60 else i - 40][1])(v)
+        assert got[i].perplexity == pytest.approx(want, rel=1e-4) and other[i].perplexity == pytest.approx(want, rel=1e-4)
+    assert got[101].perplexity > 3 * got[100].perplexity and got[100].kept and not got[102].kept and got[103].perplexity is None
+    by_spelling = {r.doc_id: r.perplexity for r in op3_quality_classifier.classify(docs, marks).collect()}
+    assert by_spelling[100] == pytest.approx(by_spelling[101])
+    assert op3_quality_classifier.classify_in_context(empty, marks).count() == 0
+    assert {r.kept for r in op3_quality_classifier.classify_in_context(docs, marks.limit(0)).collect() if r.n_grams} == {True}
+
+
 # --- sharding ---------------------------------------------------------------------------------------------------
 
 
