@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..lineage import cut
+from ..lineage import cut, drop
 from .graph import connected_components, matching_paths, path_edges
 from .matching import DENSE_HITS, by_size, lowered_costs, matrix, solutions, unfold
 from .parity import xor_reduce
@@ -57,12 +57,50 @@ def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield solutions(batch, "key", rows, matrix(batch, "key", rows, np.int64), rim, pair, rim_obs, pair_obs)
 
 
+def _by_rounds(costs: DataFrame) -> DataFrame:
+    """Exact matching as rounds over (row, open hits): each round settles one hit in every set of open hits that has it.
+
+    Sets are rows, so those of one cluster spread over tasks and disk. A set keeps its lightest way, on ties the one that prefers the
+    boundary, then the earliest partner, for the lowest hit first; a pair that costs no less than both exits is no option.
+    """
+    costs = cut(costs.withColumn("cid", F.monotonically_increasing_id()), "dense-costs")
+    k = F.size("key")
+    at = lambda i, j: (k + i * k - F.floor(i * (i + 1) / 2) + j - i - 1).cast("int")
+    option = lambda i, j, pos: F.struct(i.cast("int").alias("lo"), j.cast("int").alias("hi"), F.get("d", pos).alias("cost"), F.get("o", pos).alias("obs"))
+    every = F.sequence(F.lit(0), k - 1)
+    pairs = F.flatten(F.transform(every, lambda i: F.transform(F.filter(every, lambda j: j > i), lambda j: option(i, j, at(i, j)))))
+    ends = F.transform(every, lambda i: option(i, F.lit(-1), i))
+    asked = costs.select("cid", "d", F.explode(F.concat(ends, pairs)).alias("c")).select("cid", "c.*", F.get("d", F.col("c.lo")).alias("ra"), F.when(F.col("c.hi") >= 0, F.get("d", F.greatest(F.col("c.hi"), F.lit(0)))).alias("rb"))
+    options = cut(asked.filter("cost IS NOT NULL AND (hi < 0 OR ra IS NULL OR rb IS NULL OR cost < ra + rb)").drop("ra", "rb"), "dense-options")
+    nothing = F.array().cast("array<struct<lo:int,hi:int,obs:bigint>>")
+    state = cut(costs.select("cid", every.alias("open"), F.lit(0.0).alias("w"), nothing.alias("pairs")), "dense-round")
+    for low in range(costs.agg(F.max(k)).first()[0] or 0):
+        mine = F.coalesce(F.get("open", F.lit(0)) == low, F.lit(False))
+        moved = state.filter(mine).join(options.filter(F.col("lo") == low), "cid").filter("hi < 0 OR array_contains(open, hi)")
+        moved = moved.select("cid", F.array_except("open", F.array("lo", "hi")).alias("open"), (F.col("w") + F.col("cost")).alias("w"), F.concat("pairs", F.array(F.struct("lo", "hi", "obs"))).alias("pairs"))
+        best = moved.unionByName(state.filter(~mine)).groupBy("cid", "open").agg(F.min(F.struct("w", "pairs")).alias("best"))
+        after = cut(best.select("cid", "open", "best.*"), "dense-round")
+        drop(state)
+        state = after
+    found = costs.select("cid", "key").join(state.filter("size(open) = 0").drop("open"), "cid", "left")
+    return found.select(
+        "key", "w", F.aggregate("pairs", F.lit(0).cast("bigint"), lambda x, p: x.bitwiseXOR(p["obs"])).alias("obs"),
+        F.transform("pairs", lambda p: F.get("key", p["lo"])).alias("a"),
+        F.transform("pairs", lambda p: F.when(p["hi"] >= 0, F.get("key", F.greatest(p["hi"], F.lit(0)))).otherwise(-1)).alias("b"),
+    )
+
+
 def decode_exact(syndromes: DataFrame, dist: DataFrame, boundary: int = -1) -> DataFrame:
-    """Exact minimum-weight matching of whole syndromes (DEC2).
+    """Exact minimum-weight matching of whole syndromes (DEC2): few hits inside a task, more by rounds of Spark joins.
 
     Returns key, w, obs, the matched pairs and a reason; infeasible syndromes have NULL w.
     """
-    solved = _hit_costs(syndromes.filter(F.size("key") > 0), dist, boundary).mapInArrow(_solve, _SOLVED)
+    few = _exact(_hit_costs(syndromes.filter(F.size("key").between(1, DENSE_HITS)), dist, boundary).mapInArrow(_solve, _SOLVED))
+    many = cut(syndromes.filter(F.size("key") > DENSE_HITS).select("key"), "dense")
+    return few if many.isEmpty() else few.unionByName(_exact(_by_rounds(_hit_costs(many, dist, boundary))))
+
+
+def _exact(solved: DataFrame) -> DataFrame:
     return solved.select(
         "key", "w", "obs", F.when(F.col("w").isNotNull(), _pairs(F.col("a"), F.col("b"))).alias("pairs"), F.when(F.col("w").isNull(), "infeasible").otherwise("exact").alias("reason")
     )
@@ -152,7 +190,7 @@ def decode_by_clusters(syndromes: DataFrame, dist: DataFrame, boundary: int = -1
 
 def decode(syndromes: DataFrame, dist: DataFrame, boundary: int = -1) -> DataFrame:
     """Exact matching of every syndrome: few hits in one table, many by clusters. Both give the same answer."""
-    small = decode_exact(syndromes.filter(F.size("key") <= DENSE_HITS), dist, boundary)
+    small = _exact(_hit_costs(syndromes.filter(F.size("key").between(1, DENSE_HITS)), dist, boundary).mapInArrow(_solve, _SOLVED))
     large = cut(syndromes.filter(F.size("key") > DENSE_HITS).select("key"), "large")
     return small if large.isEmpty() else small.unionByName(decode_by_clusters(large, dist, boundary))
 

@@ -1,7 +1,7 @@
 """Minimum-weight matching of small clusters, vectorised over the rows of an Arrow batch.
 
 Rows with the same number of hits k are solved together: a table over subsets of hits is filled for all of
-them at once, subset by subset. Costs arrive as one flat list per row, the k boundary costs first and then
+them at once, subset by subset. Plain decoding sends only rows of at most DENSE_HITS hits here; ``decode._by_rounds`` takes larger ones. Costs arrive as one flat list per row, the k boundary costs first and then
 the pairs (0,1), (0,2), ..., (k-2,k-1).
 """
 

@@ -156,6 +156,33 @@ def test_reachable_sets_agree_with_the_full_table():
             assert t == total[i] and (not np.isfinite(t) or (m == mate[i]).all())
 
 
+def test_rounds_in_spark_agree_with_the_tables(spark):
+    rng = np.random.default_rng(5)
+    cases, want = [], {}
+    for n, k in enumerate([1, 2, 3, 5, 5, 6, 6, 7, 13]):
+        rim, pair = rng.integers(3, 9, k).astype(float), rng.integers(1, 9, (k, k)).astype(float)
+        pair = np.minimum(pair, pair.T)
+        rim[rng.random(k) < 0.3] = np.inf
+        if n == 3:
+            rim[:], pair[0, :], pair[:, 0] = np.inf, np.inf, np.inf
+        total, mate = solve_reachable(rim, pair)
+        key = [100 * n + i for i in range(k)]
+        flat = [*rim, *pair[np.triu_indices(k, 1)]]
+        obs = [int(x) for x in rng.integers(0, 8, len(flat))]
+        cases.append((key, [None if np.isinf(x) else float(x) for x in flat], obs))
+        pairs = [(i, int(j)) for i, j in enumerate(mate) if j < 0 or j > i]
+        where = {(i, j): k + m for m, (i, j) in enumerate(itertools.combinations(range(k), 2))} | {(i, -1): i for i in range(k)}
+        mask = 0
+        for x in pairs:
+            mask ^= obs[where[x]]
+        want[tuple(key)] = (total, mask, [(key[i], key[j] if j >= 0 else -1) for i, j in pairs]) if np.isfinite(total) else (None, None, None)
+    got = dc._by_rounds(spark.createDataFrame(cases, "key array<int>, d array<double>, o array<bigint>")).collect()
+    assert {tuple(r.key): (r.w, r.obs, r.a and list(zip(r.a, r.b))) for r in got} == want and sum(w is None for w, _, _ in want.values()) > 0
+    paths = gr.pair_distances(spark.createDataFrame([(i, j, 1 + (i * j) % 3, i % 2) for i in range(14) for j in range(i)], "u int, v int, w bigint, obs_mask bigint"), 99)
+    dense = dc.decode_exact(spark.createDataFrame([(list(range(14)),)], "key array<int>"), paths, 99)
+    assert dense.first().reason == "exact" and len(dense.first().pairs) == 7
+
+
 def test_paths_reach_along_a_long_chain(spark):
     chain = spark.createDataFrame([(i, i + 1, 1, 0) for i in range(70)] + [(0, 999, 1, 1)], "u int, v int, w bigint, obs_mask bigint").coalesce(1)
     found = gr.pair_distances(chain, 999, sources=spark.createDataFrame([(70,)], "src int"))
