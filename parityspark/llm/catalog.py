@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..lineage import cut
-from . import op1_toxicity, op2_language_id, op3_quality_classifier, op4_sharding, op5_byte_bpe, op6_quality_rules, op7_ngram_jaccard, op8_quotation_linking, op9_decontamination, op10_url_filter
+from . import op1_toxicity, op2_language_id, op3_quality_classifier, op4_sharding, op5_byte_bpe, op6_quality_rules, op7_ngram_jaccard, op8_quotation_linking, op9_decontamination, op10_url_filter, op11_exact_dedup, op12_structure_repair, op13_merkle_manifest
 from .common import remainder
 from .oracles import ORACLES
 
@@ -72,6 +72,22 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_url_filter.filter_urls(read(spark, sf_dir, "pages"))
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = op11_exact_dedup.dedup(read(spark, sf_dir, "documents"), all_digests=True)
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha256")).alias("text_sha256"))
+
+
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_structure_repair.repair(op12_structure_repair.damage(read(spark, sf_dir, "conversations")))
+
+
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changed = F.when(remainder(F.col("doc_id"), 7) == 0, F.col("n_chars") + 1)
+    found = op13_merkle_manifest.manifest(read(spark, sf_dir, "documents"), changed)
+    digests = [F.lower(F.hex(c)).alias(c) for c in ("leaf", "subroot", "root", "folded_root")]
+    return found.select("doc_id", *digests, "proof_sha256", "verified")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1,
     "op2_language_id": op2,
@@ -83,6 +99,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quotation_linking": op8,
     "op9_decontamination": op9,
     "op10_url_filter": op10,
+    "op11_exact_dedup": op11,
+    "op12_structure_repair": op12,
+    "op13_merkle_manifest": op13,
 }
 
 
