@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import bits
+
 
 def NEG_INF() -> Column:
     return F.lit(float("-inf"))
@@ -176,20 +178,27 @@ def weight_scale(max_abs: Column, all_integer: Column, levels: int) -> Column:
     return 2 * F.coalesce(factor, F.lit(1.0))
 
 
-def mask_pack(idx: Column) -> Column:
-    """Aggregate: set bits ``idx`` (0..62) of a mask (FN15)."""
-    return F.bit_or(bit(idx))
+def mask_pack(idx: Column, n_bits: int = bits.NARROW) -> Column:
+    """Aggregate: set bits ``idx`` of a mask (FN15): one BIGINT for up to 63 bits, an array of words for more."""
+    n_words = bits.words_for(n_bits)
+    return bits.or_of(idx, n_words) if n_words else F.bit_or(bit(idx))
 
 
 def bit(idx: Column) -> Column:
-    """Mask with one bit set. Masks hold observables 0 to 62; another index raises instead of wrapping around."""
+    """BIGINT mask with one bit set, 0 to 62; another index raises instead of wrapping around (see ``bits`` for more)."""
     outside = F.raise_error(F.concat(F.lit("masks hold observables 0 to 62, not "), idx.cast("string"))).cast("bigint")
     return F.when(idx.between(0, 62), F.call_function("shiftleft", F.lit(1).cast("bigint"), idx.cast("int"))).when(idx.isNotNull(), outside)
 
 
 def mask_unpack(mask: Column, n_bits: int) -> Column:
     """Indices of the set bits, lowest first."""
-    return F.filter(F.sequence(F.lit(0), F.lit(n_bits - 1)), lambda i: F.getbit(mask, i) == 1)
+    return bits.Masks(bits.words_for(n_bits) > 0).indices(mask, n_bits)
+
+
+def mask_of(idx: Column, n_bits: int) -> Column:
+    """Mask of the kind that ``mask_pack`` makes, with one bit set."""
+    n_words = bits.words_for(n_bits)
+    return bits.single(idx, n_words) if n_words else bit(idx)
 
 
 def fixed_text(x: Column, digits: int) -> Column:

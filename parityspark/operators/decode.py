@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import bits
 from ..lineage import cut, drop
 from .graph import connected_components, matching_paths, path_edges
 from .matching import DENSE_HITS, by_size, lowered_costs, matrix, solutions, unfold
@@ -25,6 +27,29 @@ def distinct_syndromes(per_shot: DataFrame) -> DataFrame:
     return per_shot.groupBy("key").agg(F.count("*").alias("n"))
 
 
+def carries_observables(decoder):
+    """Let a decoder of BIGINT observables serve paths whose observables are arrays of words.
+
+    Matching does not depend on observables, and those of a solution are the XOR over its pairs' paths. So the pairs are found first and
+    then meet their paths once, one row a pair of each distinct syndrome.
+    """
+
+    @wraps(decoder)
+    def run(syndromes: DataFrame, dist: DataFrame, boundary: int = -1) -> DataFrame:
+        m = bits.Masks.of(dist, "obs")
+        if not m.words:
+            return decoder(syndromes, dist, boundary)
+        plain = dist.withColumn("obs", F.lit(0).cast("bigint"))
+        solved = cut(decoder(syndromes, plain, boundary), "solved")
+        ends = matched_pairs(solved).select("key", F.col("a").alias("src"), F.coalesce("b", F.lit(boundary)).alias("node"))
+        total = m.xor_over(ends.join(dist.select("src", "node", F.col("obs").alias("total")), ["src", "node"]), ["key"], "total")
+        return solved.drop("obs").join(total, "key", "left").select(
+            "key", "w", F.when(F.col("w").isNotNull(), F.coalesce("total", m.zero())).alias("obs"), "pairs", "reason"
+        )
+
+    return run
+
+
 def _hit_costs(syndromes: DataFrame, dist: DataFrame, boundary: int) -> DataFrame:
     """Cost lists of each syndrome in the order the matching expects (boundary first, then pairs)."""
     k = F.size("key")
@@ -90,6 +115,7 @@ def _by_rounds(costs: DataFrame) -> DataFrame:
     )
 
 
+@carries_observables
 def decode_exact(syndromes: DataFrame, dist: DataFrame, boundary: int = -1) -> DataFrame:
     """Exact minimum-weight matching of whole syndromes (DEC2): few hits inside a task, more by rounds of Spark joins.
 
@@ -130,6 +156,7 @@ def _local_options(nodes: DataFrame, dist: DataFrame, boundary: int) -> tuple[Da
     return pairs, ends
 
 
+@carries_observables
 def decode_greedy(syndromes: DataFrame, dist: DataFrame, boundary: int = -1) -> DataFrame:
     """Approximate matching of syndromes of any size: rounds of mutually nearest partners (DEC3).
 
@@ -163,6 +190,7 @@ def decode_greedy(syndromes: DataFrame, dist: DataFrame, boundary: int = -1) ->
     )
 
 
+@carries_observables
 def decode_by_clusters(syndromes: DataFrame, dist: DataFrame, boundary: int = -1) -> DataFrame:
     """Exact matching of syndromes of any size by independent clusters.
 
@@ -188,6 +216,7 @@ def decode_by_clusters(syndromes: DataFrame, dist: DataFrame, boundary: int = -1
     )
 
 
+@carries_observables
 def decode(syndromes: DataFrame, dist: DataFrame, boundary: int = -1) -> DataFrame:
     """Exact matching of every syndrome: few hits in one table, many by clusters. Both give the same answer."""
     small = _exact(_hit_costs(syndromes.filter(F.size("key").between(1, DENSE_HITS)), dist, boundary).mapInArrow(_solve, _SOLVED))
@@ -217,10 +246,11 @@ def solution_edges(pairs: DataFrame, paths: DataFrame, boundary: int = -1) -> Da
 
 def predictions(shots: DataFrame, per_shot: DataFrame, decoded: DataFrame) -> DataFrame:
     """Predicted observables and weight of every shot, those without hits included (DEC6)."""
+    zero = bits.Masks.of(decoded, "obs").zero()
     answer = per_shot.join(decoded.select("key", "w", "obs", "reason"), "key").select("shot_id", "w", "obs", "reason")
     return shots.select("shot_id").join(answer, "shot_id", "left").select(
         "shot_id",
-        F.when(F.col("reason").isNull(), F.lit(0).cast("bigint")).otherwise(F.col("obs")).alias("pred_mask"),
+        F.when(F.col("reason").isNull(), zero).otherwise(F.col("obs")).alias("pred_mask"),
         F.when(F.col("reason").isNull(), F.lit(0.0)).otherwise(F.col("w")).alias("w"),
         F.coalesce("reason", F.lit("empty")).alias("reason"),
     )

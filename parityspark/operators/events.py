@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import bits
 from ..functions import numeric as num
 from .parity import xor_reduce
 
@@ -64,15 +65,19 @@ def score_predictions(pred: DataFrame, actual: DataFrame, obs_postmask: int = 0,
 
     A shot is discarded when postselection dropped it or a postselected observable was mispredicted, and a
     discarded shot is never an error. A kept shot without a prediction, or with a NULL one, is an error whose
-    mistake mask is NULL.
+    mistake mask is NULL. Masks are BIGINT or arrays of words; ``obs_postmask`` is a Python number of any size.
     """
-    joined = actual.join(pred, "shot_id", "left").withColumn("mistake_mask", F.col("obs_mask").bitwiseXOR(F.col("pred_mask")))
-    discard: Column = F.coalesce(F.col("mistake_mask").bitwiseAND(F.lit(obs_postmask)) != 0, F.lit(False))
+    pred, actual = bits.alike(pred, "pred_mask", actual, "obs_mask")
+    m = bits.Masks.of(actual, "obs_mask")
+    # A NULL prediction gives a NULL mistake, as it does between numbers.
+    mistake = F.when(F.col("pred_mask").isNotNull(), m.xor(F.col("obs_mask"), F.col("pred_mask")))
+    joined = actual.join(pred, "shot_id", "left").withColumn("mistake_mask", mistake)
+    discard: Column = F.coalesce(m.any(m.both(F.col("mistake_mask"), m.value(obs_postmask))), F.lit(False))
     if discards is not None:
         joined = joined.join(discards.select("shot_id", F.lit(True).alias("_d")).distinct(), "shot_id", "left")
         discard = discard | F.col("_d").isNotNull()
     return joined.withColumn("discarded", discard).select(
-        "shot_id", "discarded", ((~F.col("discarded")) & F.coalesce(F.col("mistake_mask") != 0, F.lit(True))).alias("is_error"), "mistake_mask"
+        "shot_id", "discarded", ((~F.col("discarded")) & F.coalesce(m.any(F.col("mistake_mask")), F.lit(True))).alias("is_error"), "mistake_mask"
     )
 
 
@@ -87,15 +92,25 @@ def count_mistakes(scored: DataFrame) -> DataFrame:
 
 def count_mistake_combos(scored: DataFrame, n_obs: int) -> DataFrame:
     """How often each combination of wrong observables occurs among kept shots (AGG8)."""
-    label = F.translate(F.reverse(F.lpad(F.bin("mistake_mask"), n_obs, "0")), "01", "_E")
+    label = mistake_label(F.col("mistake_mask"), n_obs, bits.Masks.of(scored, "mistake_mask"))
     return (
         scored.filter("is_error")
         .groupBy("mistake_mask")
         .agg(F.count("*").alias("n"))
-        .select(F.concat(F.lit("obs_mistake_mask="), label).alias("combo"), "n")
+        .select(label.alias("combo"), "n")
     )
 
 
+def mistake_label(mask: Column, n_obs: int, masks: bits.Masks) -> Column:
+    """Name of a combination of wrong observables: one letter an observable, E for wrong."""
+    if masks.words:
+        wrong = masks.indices(mask)
+        letters = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(n_obs - 1)), lambda i: F.when(F.array_contains(wrong, i), "E").otherwise("_")), "")
+    else:
+        letters = F.translate(F.reverse(F.lpad(F.bin(mask), n_obs, "0")), "01", "_E")
+    return F.concat(F.lit("obs_mistake_mask="), F.when(mask.isNotNull(), letters))
+
+
 def postselect_mask_from_coord(detectors: DataFrame, k: int = 3) -> DataFrame:
     """Detectors whose coordinate ``k`` exists and is not zero (FLT1)."""
     return detectors.filter((F.size("coords") > k) & (F.get("coords", F.lit(k)) != 0)).select("det")
@@ -109,8 +124,8 @@ def postselect_mask_from_predicate(detectors: DataFrame, tasks: DataFrame, expr:
 def postselect_obs_mask(tasks: DataFrame, n_obs: int, expr: str) -> DataFrame:
     """Per task, a mask of the observables for which a SQL predicate over (obs, metadata) holds (FLT3)."""
     chosen = tasks.withColumn("obs", F.explode(F.sequence(F.lit(0), F.lit(n_obs - 1))))
-    bit = F.when(F.expr(expr), num.bit(F.col("obs"))).otherwise(F.lit(0).cast("long"))
-    return chosen.groupBy("task_id").agg(F.bit_or(bit).alias("obs_mask"))
+    mask = num.mask_pack(F.when(F.expr(expr), F.col("obs")), n_obs)
+    return chosen.groupBy("task_id").agg((mask if bits.words_for(n_obs) else F.coalesce(mask, F.lit(0).cast("long"))).alias("obs_mask"))
 
 
 def predict_discards(shots: DataFrame, hits: DataFrame, mask: DataFrame) -> DataFrame:
@@ -224,7 +239,8 @@ def hamming_weight_histogram(log: DataFrame) -> DataFrame:
 
 def decoder_summary(log: DataFrame, score_trivial: bool = False) -> DataFrame:
     """Errors, trials, rate and mean times of a decode log; shots without hits are trials but not scored (AGG10)."""
-    wrong = F.col("pred_mask") != F.col("obs_mask")
+    m = bits.Masks.of(log, "pred_mask")
+    wrong = m.any(m.xor(F.col("pred_mask"), F.col("obs_mask"))) if m.words else F.col("pred_mask") != F.col("obs_mask")
     if not score_trivial:
         wrong = wrong & (F.col("hw") > 0)
     return log.agg(
@@ -272,7 +288,9 @@ def compare_decoders(log_a: DataFrame, log_b: DataFrame) -> DataFrame:
     """Shots on which two decoders disagree (DEC12)."""
     a = log_a.select("shot_id", F.col("pred_mask").alias("pred_a"))
     b = log_b.select("shot_id", F.col("pred_mask").alias("pred_b"))
-    return a.join(b, "shot_id").filter("pred_a <> pred_b")
+    a, b = bits.alike(a, "pred_a", b, "pred_b")
+    m = bits.Masks.of(a, "pred_a")
+    return a.join(b, "shot_id").filter(m.any(m.xor(F.col("pred_a"), F.col("pred_b"))) if m.words else F.col("pred_a") != F.col("pred_b"))
 
 
 def leftover_events(inner: DataFrame, committed: DataFrame, outer: DataFrame) -> DataFrame:

@@ -9,37 +9,49 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import bits
 from ..functions import numeric as num
 from ..lineage import cut, drop
 from .events import pair_hits_on_edges
-from .model import component_edges, merge_parallel_edges
+from .model import component_edges, merge_parallel_edges, observable_count
 from .parity import xor_probability, xor_reduce
 
 
 # ---- construction -------------------------------------------------------------------------------
 
 
-def read_check_matrix(checks: DataFrame, faults: DataFrame) -> DataFrame:
-    """One row per column of a check/fault matrix pair with its check count; column counts must agree (SRC10)."""
+def read_check_matrix(checks: DataFrame, faults: DataFrame, n_obs: int | None = None) -> DataFrame:
+    """One row per column of a check/fault matrix pair with its check count; column counts must agree (SRC10).
+
+    ``n_obs`` is the number of rows of the fault matrix, looked up if not given; above 63 the masks are arrays of words.
+    """
+    n_obs = (faults.agg(F.max("fault")).first()[0] or 0) + 1 if n_obs is None else n_obs
+    none = F.array_repeat(F.lit(0).cast("bigint"), bits.words_for(n_obs)) if bits.words_for(n_obs) else F.lit(0)
     h = checks.groupBy("col").agg(F.count("*").alias("n_checks"), F.min("row").alias("u"), F.max("row").alias("_hi"))
-    f = faults.groupBy("col").agg(F.bit_or(num.bit(F.col("fault"))).alias("obs_mask"))
+    f = faults.groupBy("col").agg(num.mask_pack(F.col("fault"), n_obs).alias("obs_mask"))
     n_h, n_f = (df.agg(F.max("col")).scalar() for df in (checks, faults))
     joined = h.join(f, "col", "full_outer")
     return joined.select(
         F.when((F.col("n_checks").isNull()) & (F.col("col") > n_h), F.raise_error(F.lit("fault matrix has more columns than check matrix")).cast("bigint"))
         .otherwise(F.col("col")).alias("col"),
         F.coalesce("n_checks", F.lit(0)).alias("n_checks"), "u", F.when(F.col("n_checks") >= 2, F.col("_hi")).alias("v"),
-        F.coalesce("obs_mask", F.lit(0)).alias("obs_mask"), n_f.alias("last_fault_col"),
+        F.coalesce("obs_mask", none).alias("obs_mask"), n_f.alias("last_fault_col"),
     )
 
 
-def read_edge_list(edges: DataFrame) -> DataFrame:
-    """Edge attributes with their defaults: weight 1, no probability, no observables (SRC11)."""
+def read_edge_list(edges: DataFrame, n_obs: int | None = None) -> DataFrame:
+    """Edge attributes with their defaults: weight 1, no probability, no observables (SRC11).
+
+    ``n_obs`` is the number of fault ids, looked up if not given; above 63 the masks are arrays of words.
+    """
     has = set(edges.columns)
     pick = lambda c, default: F.coalesce(c, default) if c in has else default
     mask = F.lit(0).cast("bigint")
     if "fault_ids" in has:
-        mask = F.coalesce(F.aggregate("fault_ids", mask, lambda m, i: m.bitwiseXOR(num.bit(i))), mask)
+        n_obs = (edges.agg(F.max(F.array_max("fault_ids"))).first()[0] or 0) + 1 if n_obs is None else n_obs
+        kind = bits.Masks(bits.words_for(n_obs) > 0)
+        mask = F.array_repeat(mask, bits.words_for(n_obs)) if kind.words else mask
+        mask = F.coalesce(F.aggregate("fault_ids", mask, lambda m, i: kind.xor(m, num.mask_of(i, n_obs))), mask)
     return edges.select(
         "u", "v", pick("weight", F.lit(1.0)).cast("double").alias("w"),
         (F.col("error_probability") if "error_probability" in has else F.lit(None)).cast("double").alias("p"),
@@ -71,7 +83,7 @@ def edges_from_check_matrix(
         link = timelike.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 2))))
         low = (F.col("row") + F.col("rep") * n_rows).cast("bigint")
         edges = edges.unionByName(link.select(
-            low.alias("u"), (low + n_rows).alias("v"), "w", "p", F.lit(0).cast("bigint").alias("obs_mask"),
+            low.alias("u"), (low + n_rows).alias("v"), "w", "p", bits.Masks.of(columns, "obs_mask").zero().alias("obs_mask"),
             (F.lit(reps).cast("bigint") * n_cols + F.col("rep") * n_rows + F.col("row")).alias("seq"),
         ))
     return merge_parallel_edges(edges, strategy)
@@ -98,11 +110,13 @@ def normalize_negative_edges(edges: DataFrame) -> dict[str, DataFrame]:
     """
     neg = edges.filter("w < 0")
     ends = neg.select(F.explode(F.array("u", "v")).alias("det")).filter("det IS NOT NULL")
-    return {
-        "edges": edges.withColumn("w", F.abs("w")),
-        "base_hits": xor_reduce(ends, ["det"]),
-        "base": neg.agg(F.coalesce(F.sum("w"), F.lit(0)).alias("base_w"), F.coalesce(F.bit_xor("obs_mask"), F.lit(0)).alias("base_obs")),
-    }
+    m = bits.Masks.of(edges, "obs_mask")
+    if m.words:
+        obs = m.xor_over(neg, [], "obs_mask").scalar()
+        base = neg.agg(F.coalesce(F.sum("w"), F.lit(0)).alias("base_w")).select("base_w", F.coalesce(obs, m.zero()).alias("base_obs"))
+    else:
+        base = neg.agg(F.coalesce(F.sum("w"), F.lit(0)).alias("base_w"), F.coalesce(F.bit_xor("obs_mask"), F.lit(0)).alias("base_obs"))
+    return {"edges": edges.withColumn("w", F.abs("w")), "base_hits": xor_reduce(ends, ["det"]), "base": base}
 
 
 def toggle_base_hits(shots: DataFrame, hits: DataFrame, base_hits: DataFrame) -> DataFrame:
@@ -128,7 +142,10 @@ def set_boundary(nodes: DataFrame, boundary: DataFrame) -> DataFrame:
 def graph_properties(edges: DataFrame, boundary: DataFrame | None = None, min_observables: int = 0) -> DataFrame:
     """Nodes, detectors, edges, fault ids, largest weight, and whether all probabilities are known (AGG17)."""
     top = F.greatest(F.max("u"), F.coalesce(F.max("v"), F.lit(0))) + 1
-    faults = F.when(F.bit_or("obs_mask") == 0, 0).otherwise(F.floor(F.log2(F.bit_or("obs_mask").cast("double"))).cast("int") + 1)
+    if bits.Masks.of(edges, "obs_mask").words:
+        faults = F.coalesce(F.max(F.array_max(bits.indices(F.col("obs_mask")))) + 1, F.lit(0))
+    else:
+        faults = F.when(F.bit_or("obs_mask") == 0, 0).otherwise(F.floor(F.log2(F.bit_or("obs_mask").cast("double"))).cast("int") + 1)
     out = edges.agg(
         top.cast("bigint").alias("nodes"), F.count("*").alias("edges"), F.greatest(faults, F.lit(min_observables)).cast("int").alias("fault_ids"),
         F.max(F.abs("w")).alias("max_abs_weight"), (F.count("p") == F.count("*")).alias("all_have_probability"),
@@ -151,7 +168,7 @@ def joint_edge_probabilities(errors: DataFrame, targets: DataFrame) -> DataFrame
     Errors with the same components are fused before pairs are formed: the pairs then follow the distinct
     decompositions of the model, however often each is repeated.
     """
-    comps = component_edges(errors, targets).filter("n_det IN (1, 2) AND p > 0")
+    comps = component_edges(errors, targets, 1).filter("n_det IN (1, 2) AND p > 0")
     edge = F.struct("u", F.coalesce("v", F.lit(-1)).alias("v"))
     sets = comps.groupBy("err_id").agg(F.array_sort(F.collect_list(edge)).alias("parts"), F.first("p").alias("p"))
     fused = sets.groupBy("parts").agg(xor_probability(F.col("p")).alias("p"))
@@ -265,10 +282,11 @@ def pair_distances(
         of = lambda c, name: rims.select(F.col("node").alias(c), F.col("rim").alias(name))
         sym = cut(sym.join(of("v", "rim_v"), "v", "left"), "adjacency")
         limits = cut(of("src", "rim_src"), "rims")
+    m = bits.Masks.of(edges, "obs_mask")
     label = F.struct("dist", "hops", "prev", "obs", "fresh")
     labels = cut(
         start.select("src", F.col("src").alias("node"), F.lit(0).cast("bigint").alias("dist"), F.lit(0).alias("hops"), F.col("src").alias("prev"),
-                     F.lit(0).cast("bigint").alias("obs"), F.lit(1).alias("fresh")),
+                     m.zero().alias("obs"), F.lit(1).alias("fresh")),
         "paths",
     )
     while True:
@@ -278,7 +296,7 @@ def pair_distances(
             front = front.join(limits, "src", "left").filter(useful)
         step = front.select(
             "src", F.col("v").alias("node"), (F.col("dist") + F.col("w")).alias("dist"), (F.col("hops") + 1).alias("hops"), F.col("u").alias("prev"),
-            F.col("obs").bitwiseXOR(F.col("obs_mask").cast("bigint")).alias("obs"), F.lit(1).alias("fresh"),
+            m.xor(F.col("obs"), F.col("obs_mask").cast(m.type)).alias("obs"), F.lit(1).alias("fresh"),
         )
         best = labels.withColumn("fresh", F.lit(0)).unionByName(step).groupBy("src", "node").agg(F.min(label).alias("_l"))
         before, labels = labels, cut(best.select("src", "node", "_l.*"), "paths")
@@ -317,12 +335,14 @@ def path_edges(paths: DataFrame, pairs: DataFrame) -> DataFrame:
 # ---- undetectable errors ------------------------------------------------------------------------
 
 
-def hyperedges(targets: DataFrame, max_degree: int | None = None) -> DataFrame:
+def hyperedges(targets: DataFrame, max_degree: int | None = None, n_obs: int | None = None) -> DataFrame:
     """Distinct detector sets and observable masks of the mechanisms (duplicates do not change any distance)."""
+    n_obs = observable_count(targets) if n_obs is None else n_obs
+    mask = num.mask_pack(F.when(F.col("kind") == "L", F.col("idx")), n_obs)
     net = xor_reduce(targets, ["err_id", "kind", "idx"])
     sets = net.groupBy("err_id").agg(
         F.array_sort(F.collect_list(F.when(F.col("kind") == "D", F.col("idx")))).alias("dets"),
-        F.coalesce(F.bit_or(F.when(F.col("kind") == "L", num.bit(F.col("idx")))), F.lit(0)).cast("bigint").alias("obs"),
+        (mask if bits.words_for(n_obs) else F.coalesce(mask, F.lit(0)).cast("bigint")).alias("obs"),
     )
     out = sets.select("dets", "obs").distinct()
     return out if max_degree is None else out.filter(F.size("dets") <= max_degree)
@@ -339,22 +359,23 @@ def undetectable_hyper(moves: DataFrame, max_set: int, max_degree: int, no_growt
     it. Limits on set size, mechanism degree and growth prune the search; with both sizes 2 it is exact for
     graph-like models (MDL17).
     """
+    m = bits.Masks.of(moves, "obs")
     moves = cut(moves.filter(F.size("dets") <= max_degree), "moves")
-    direct = moves.filter((F.size("dets") == 0) & (F.col("obs") != 0)).orderBy("obs").limit(1)
+    direct = moves.filter((F.size("dets") == 0) & m.any(F.col("obs"))).orderBy("obs").limit(1)
     if not direct.isEmpty():
         return direct
     touching = cut(moves.select(F.explode("dets").alias("det"), F.col("dets").alias("m_dets"), F.col("obs").alias("m_obs")), "touching")
     none = F.array().cast("array<int>")
-    zero = F.lit(0).cast("bigint")
+    zero = m.zero()
     layer = cut(
-        moves.filter((F.col("obs") != 0) & (F.size("dets") <= max_set)).select("dets", "obs", none.alias("p_dets"), zero.alias("p_obs")), "layer"
+        moves.filter(m.any(F.col("obs")) & (F.size("dets") <= max_set)).select("dets", "obs", none.alias("p_dets"), zero.alias("p_obs")), "layer"
     )
     layers, seen = [layer], layer.select("dets", "obs")
     while True:
         grown = layer.select("dets", "obs", F.get("dets", F.lit(0)).alias("det")).join(touching, "det").select(
-            _set_xor(F.col("dets"), F.col("m_dets")).alias("n_dets"), F.col("obs").bitwiseXOR(F.col("m_obs")).alias("n_obs"), "dets", "obs"
+            _set_xor(F.col("dets"), F.col("m_dets")).alias("n_dets"), m.xor(F.col("obs"), F.col("m_obs")).alias("n_obs"), "dets", "obs"
         )
-        grown = grown.filter((F.size("n_dets") <= max_set) & ~((F.size("n_dets") == 0) & (F.col("n_obs") == 0)))
+        grown = grown.filter((F.size("n_dets") <= max_set) & ~((F.size("n_dets") == 0) & ~m.any(F.col("n_obs"))))
         if no_growth:
             grown = grown.filter(F.size("n_dets") <= F.size("dets"))
         new = grown.groupBy(F.col("n_dets").alias("dets"), F.col("n_obs").alias("obs")).agg(F.min(F.struct(F.col("dets").alias("p_dets"), F.col("obs").alias("p_obs"))).alias("_p"))
@@ -372,7 +393,7 @@ def _walk_back(layers: list[DataFrame], goal: DataFrame) -> DataFrame:
     """Mechanisms between consecutive states, from the goal to the start; a mechanism used twice cancels."""
     state, used = goal, None
     for earlier in [*reversed(layers[:-1]), None]:
-        step = state.select(_set_xor(F.col("dets"), F.col("p_dets")).alias("dets"), F.col("obs").bitwiseXOR(F.col("p_obs")).alias("obs"))
+        step = state.select(_set_xor(F.col("dets"), F.col("p_dets")).alias("dets"), bits.Masks.of(state, "obs").xor(F.col("obs"), F.col("p_obs")).alias("obs"))
         used = step if used is None else used.unionByName(step)
         if earlier is not None:
             before = state.select(F.col("p_dets").alias("dets"), F.col("p_obs").alias("obs"))
@@ -383,5 +404,5 @@ def _walk_back(layers: list[DataFrame], goal: DataFrame) -> DataFrame:
 def shortest_undetectable(edges: DataFrame) -> DataFrame:
     """Shortest graph-like undetectable logical error of edges(u, v, obs_mask) (MDL17)."""
     dets = F.when(F.col("v").isNull(), F.array("u")).otherwise(F.array(F.least("u", "v"), F.greatest("u", "v")))
-    moves = edges.filter("v IS NULL OR u <> v").select(dets.cast("array<int>").alias("dets"), F.col("obs_mask").cast("bigint").alias("obs")).distinct()
+    moves = edges.filter("v IS NULL OR u <> v").select(dets.cast("array<int>").alias("dets"), F.col("obs_mask").cast(bits.Masks.of(edges, "obs_mask").type).alias("obs")).distinct()
     return undetectable_hyper(moves, 2, 2)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import bits
 from ..functions import numeric as num
 from ..lineage import cut
 from ..ordered import running_sums
@@ -127,26 +128,37 @@ def split_components(errors: DataFrame, key: str = "err_id") -> DataFrame:
     return words.filter("_t <> ''").select(key, "comp", F.substring("_t", 1, 1).alias("kind"), index_of(F.col("_t")).cast("int").alias("idx"))
 
 
-def component_edges(errors: DataFrame, targets: DataFrame) -> DataFrame:
-    """One row per error component: its one or two detectors, observables mask, and how many detectors it has."""
+def observable_count(targets: DataFrame) -> int:
+    """Observables that a model's targets name: the highest index plus one."""
+    return (targets.filter("kind = 'L'").agg(F.max("idx")).first()[0] or 0) + 1
+
+
+def component_edges(errors: DataFrame, targets: DataFrame, n_obs: int | None = None) -> DataFrame:
+    """One row per error component: its one or two detectors, observables mask, and how many detectors it has.
+
+    The mask is a BIGINT for up to 63 observables and an array of words for more (see ``functions.bits``). ``n_obs`` saves
+    a look at the targets for the highest index.
+    """
+    n_obs = observable_count(targets) if n_obs is None else n_obs
     net = xor_reduce(targets, ["err_id", "comp", "kind", "idx"])
     det = F.when(F.col("kind") == "D", F.col("idx"))
-    mask = F.when(F.col("kind") == "L", num.bit(F.col("idx"))).otherwise(F.lit(0).cast("bigint"))
+    mask = num.mask_pack(F.when(F.col("kind") == "L", F.col("idx")), n_obs)
+    mask = mask if bits.words_for(n_obs) else F.coalesce(mask, F.lit(0).cast("bigint"))
     shape = net.groupBy("err_id", "comp").agg(
-        F.count(det).alias("n_det"), F.min(det).alias("u"), F.max(det).alias("_hi"), F.bit_or(mask).alias("obs_mask")
+        F.count(det).alias("n_det"), F.min(det).alias("u"), F.max(det).alias("_hi"), mask.alias("obs_mask")
     )
     return shape.join(errors.select("err_id", "p"), "err_id").select(
         "err_id", "comp", "n_det", "u", F.when(F.col("n_det") == 2, F.col("_hi")).alias("v"), "obs_mask", "p"
     )
 
 
-def edges_from_model(errors: DataFrame, targets: DataFrame) -> DataFrame:
+def edges_from_model(errors: DataFrame, targets: DataFrame, n_obs: int | None = None) -> DataFrame:
     """Weighted edges of the graph-like components; parallel ones merged as independent (MDL5).
 
     Components with no or more than two detectors are left out, as the plain loader does, and so are errors that
     never happen.
     """
-    comps = component_edges(errors, targets).filter("n_det IN (1, 2) AND p > 0")
+    comps = component_edges(errors, targets, n_obs).filter("n_det IN (1, 2) AND p > 0")
     edges = comps.withColumns({"w": num.weight_from_p(F.col("p")), "seq": F.struct("err_id", "comp")})
     return merge_parallel_edges(edges, "independent")
 
@@ -169,7 +181,7 @@ def merge_parallel_edges(edges: DataFrame, strategy: str) -> DataFrame:
         )
     if strategy == "disallow":
         message = F.concat(F.lit("parallel edge at node "), F.first("_u").cast("string"))
-        picked = F.when(F.count("*") > 1, F.raise_error(message).cast("struct<w:double,p:double,obs_mask:bigint>")).otherwise(F.first(row))
+        picked = F.when(F.count("*") > 1, F.raise_error(message).cast(f"struct<w:double,p:double,obs_mask:{edges.schema['obs_mask'].dataType.simpleString()}>")).otherwise(F.first(row))
     elif strategy == "smallest-weight":
         picked = F.min_by(row, F.struct("w", "seq"))
     elif strategy == "keep-original":
@@ -315,7 +327,7 @@ def model_diff(a: DataFrame, b: DataFrame, atol: float) -> DataFrame:
 
 def validate_for_correlations(errors: DataFrame, targets: DataFrame) -> DataFrame:
     """Rows that the correlated loader refuses, with the reason (MDL10)."""
-    comps = component_edges(errors, targets)
+    comps = component_edges(errors, targets, 1)
     parts = targets.groupBy("err_id").agg((F.max("comp") + 1).alias("n_comp"))
     too_likely = errors.filter("p > 0.5").select("err_id", F.lit("probability above one half").alias("reason"))
     wide = comps.filter("n_det > 2 AND p > 0").select("err_id", F.lit("three or more detectors").alias("reason")).distinct()

@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import bits
 from ..lineage import cut
 from ..operators import decode as dc
 from ..operators import events as ev
@@ -33,12 +34,12 @@ def model_tables(lines: DataFrame) -> dict[str, DataFrame]:
     return {"errors": errors.select("err_id", "p", "tag"), "targets": md.split_components(errors), "detectors": detectors}
 
 
-def model_paths(errors: DataFrame, targets: DataFrame) -> dict[str, DataFrame]:
+def model_paths(errors: DataFrame, targets: DataFrame, n_obs: int | None = None) -> dict[str, DataFrame]:
     """Matching edges with integer weights of one sign, the shortest paths between their nodes, and what the sign change adds.
 
     ``base`` has one row: the detectors every shot toggles, and the weight, observables and scale of every solution.
     """
-    edges = cut(md.quantize_weights(md.edges_from_model(errors, targets), WEIGHT_LEVELS).select("u", "v", F.col("q").alias("w"), "obs_mask", "scale"), "quantised")
+    edges = cut(md.quantize_weights(md.edges_from_model(errors, targets, n_obs), WEIGHT_LEVELS).select("u", "v", F.col("q").alias("w"), "obs_mask", "scale"), "quantised")
     even = gr.normalize_negative_edges(edges)
     graph = cut(even["edges"].select("u", F.coalesce("v", F.lit(BOUNDARY)).alias("v"), "w", "obs_mask"), "edges")
     # At most one detector for each node of the model.
@@ -54,7 +55,8 @@ def predict(
 ) -> dict[str, DataFrame]:
     """Predicted observables and weights, in the model's units, of shot files, and the shots postselection dropped (PIPE1).
 
-    A shot that no set of errors explains has a NULL prediction and the reason ``infeasible``.
+    A shot that no set of errors explains has a NULL prediction and the reason ``infeasible``. Predictions are BIGINT masks, or arrays of words
+    where layout or model name more than 63 observables.
     """
     hits = sh.read_shots(spark, path, fmt, layout).filter("kind = 'D'").select("shot_id", F.col("idx").alias("det"))
     shots = sh.count_shots(spark, path, fmt, layout) if shots is None else shots
@@ -65,7 +67,7 @@ def predict(
         shots, hits, dropped = parts["kept_shots"], parts["kept_hits"], parts["dropped_shots"]
     else:
         dropped = shots.limit(0)
-    model = model_paths(tables["errors"], tables["targets"])
+    model = model_paths(tables["errors"], tables["targets"], max(layout.n_obs, md.observable_count(tables["targets"])))
     flips, base_obs, base_w, scale = model["base"].select("flips", "base_obs", "base_w", "scale").first()
     per_shot = dc.shot_syndromes(hits)
     if flips:
@@ -76,8 +78,9 @@ def predict(
         ).filter(F.size("key") > 0)
     per_shot = cut(per_shot, "syndromes")
     solved = dc.predictions(shots, per_shot, dc.decode(dc.distinct_syndromes(per_shot), model["paths"], BOUNDARY))
+    m = bits.Masks.of(solved, "pred_mask")
     found = solved.select(
-        "shot_id", F.col("pred_mask").bitwiseXOR(F.lit(base_obs).cast("bigint")).alias("pred_mask"), ((F.col("w") + base_w) / scale).alias("w"), "reason"
+        "shot_id", F.when(F.col("pred_mask").isNotNull(), m.xor(F.col("pred_mask"), m.value(base_obs))).alias("pred_mask"), ((F.col("w") + base_w) / scale).alias("w"), "reason"
     )
     return {"predictions": found, "discards": dropped.select("shot_id")}
 
@@ -106,16 +109,17 @@ def collect(
     for name in decoders:
         mine = todo.filter(F.col("decoder") == name).select("strong_id", "part", F.lit(name).alias("decoder"))
         rows = recorded(name).join(mine, "part").join(bad, "shot_id", "left").join(per_shot, "shot_id", "left")
-        mistake = F.col("pred_mask").bitwiseXOR(F.col("obs_mask"))
+        m = bits.Masks.of(rows, "pred_mask")
+        mistake = m.xor(F.col("pred_mask"), F.col("obs_mask"))
         kept = F.col("_bad").isNull()
         # Statistics of one shot: totals plus the counts of fired detectors and of each mistake combination.
         one = rows.select(
             F.concat("strong_id", F.lit("/"), "decoder").alias("strong_id"), "decoder", F.lit(1).cast("bigint").alias("shots"),
-            (kept & (mistake != 0)).cast("bigint").alias("errors"), (~kept).cast("bigint").alias("discards"), "seconds",
-            F.coalesce("hw", F.lit(0)).alias("detection_events"), F.when(kept & (mistake != 0), mistake).alias("mistake"),
+            (kept & m.any(mistake)).cast("bigint").alias("errors"), (~kept).cast("bigint").alias("discards"), "seconds",
+            F.coalesce("hw", F.lit(0)).alias("detection_events"), F.when(kept & m.any(mistake), mistake).alias("mistake"),
         )
         out = one if out is None else out.unionByName(one)
-    label = lambda m: F.concat(F.lit("obs_mistake_mask="), F.translate(F.reverse(F.lpad(F.bin(m), n_obs, "0")), "01", "_E"))
+    label = lambda m: ev.mistake_label(m, n_obs, bits.Masks.of(out, "mistake"))
     # Fold identical mistakes first, then one row per task.
     by_mistake = out.groupBy("strong_id", "decoder", "mistake").agg(*[F.sum(c).alias(c) for c in ("shots", "errors", "discards", "seconds", "detection_events")])
     combos = F.array_sort(F.collect_list(F.when(F.col("mistake").isNotNull(), F.struct(label(F.col("mistake")).alias("k"), F.col("errors").alias("n")))))
@@ -157,6 +161,7 @@ def evaluate(log: DataFrame, max_errors: int) -> dict[str, DataFrame]:
 
     ``log(task_id, shot_id, hw, us, pred_mask, obs_mask)``.
     """
-    wrong = (F.col("hw") > 0) & (F.col("pred_mask") != F.col("obs_mask"))
+    m = bits.Masks.of(log, "pred_mask")
+    wrong = (F.col("hw") > 0) & (m.any(m.xor(F.col("pred_mask"), F.col("obs_mask"))) if m.words else F.col("pred_mask") != F.col("obs_mask"))
     seen = wn.truncate_at_k_errors(log.withColumn("is_error", wrong), max_errors)
     return {"summary": ev.decoder_summary(seen), "histogram": ev.hamming_weight_histogram(seen)}

@@ -3,6 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from ..functions import bits
 from ..lineage import cut
 from ..operators import decode as dc
 from ..operators import events as ev
@@ -113,6 +114,25 @@ def _(fx):
     return dc.decode_shots(fx.fx_shots, fx.fx_hits, paths(fx), BOUNDARY)
 
 
+FAR_EDGES = "we AS (SELECT u, v, w, CAST(obs_mask + CASE WHEN (u + v) % 5 = 0 THEN 2 ELSE 0 END AS BIGINT) AS obs_mask FROM fx_edge)"
+FAR_TEXT = "CASE {} WHEN 0 THEN '' WHEN 1 THEN '70' WHEN 2 THEN '130' WHEN 3 THEN '70 130' END"
+
+
+def far_edges(fx):
+    """The edge fixture with observables 70 and 130."""
+    far = F.concat(F.when(F.col("obs_mask") == 1, F.array(F.lit(70))).otherwise(F.array().cast("array<int>")), F.when((F.col("u") + F.col("v")) % 5 == 0, F.array(F.lit(130))).otherwise(F.array().cast("array<int>")))
+    listed = gr.read_edge_list(fx.fx_edge.select("u", "v", F.col("w").alias("weight"), far.alias("fault_ids"), F.lit(0).alias("seq")))
+    return listed.select("u", "v", F.col("w").cast("bigint").alias("w"), "obs_mask")
+
+
+@query("dec6_wide_observables", f"""WITH {FAR_EDGES}, {matching_sql(edges="we")}
+  SELECT s.shot_id, {FAR_TEXT.format("CASE WHEN y.key IS NULL THEN 0 ELSE obs END")} AS observables, CASE WHEN y.key IS NULL THEN CAST(0 AS DOUBLE) ELSE w END AS w
+  FROM fx_shots s LEFT JOIN ({SYN_SQL}) y ON y.shot_id = s.shot_id LEFT JOIN best ON best.k = y.key""")
+def _(fx):
+    out = dc.decode_shots(fx.fx_shots, fx.fx_hits, gr.matching_paths(far_edges(fx), BOUNDARY), BOUNDARY)
+    return out.select("shot_id", F.array_join(bits.indices(F.col("pred_mask")).cast("array<string>"), " ").alias("observables"), "w")
+
+
 def null_rim(df):
     return df.withColumn("v", F.when(F.col("v") != BOUNDARY, F.col("v")))
 

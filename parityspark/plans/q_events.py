@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..functions import bits
 from ..operators import events as ev
 from ..operators import parity as pa
 from .registry import query
@@ -195,6 +196,37 @@ def _(fx):
     return ev.postselect_obs_mask(tasks, 8, "obs >= int(get_json_object(json_metadata, '$.d'))")
 
 
+@query("flt3_wide_observables", """
+  SELECT strong_id AS task_id, array_to_string(list(o.obs ORDER BY o.obs) FILTER (o.obs % 13 >= d), ' ') AS observables
+  FROM (SELECT DISTINCT strong_id, d FROM fx_stats) t, (SELECT CAST(range AS INT) AS obs FROM range(131)) o GROUP BY 1""")
+def _(fx):
+    tasks = fx.fx_stats.select(F.col("strong_id").alias("task_id"), F.to_json(F.struct("d")).alias("json_metadata")).distinct()
+    found = ev.postselect_obs_mask(tasks, 131, "obs % 13 >= int(get_json_object(json_metadata, '$.d'))")
+    return found.select("task_id", F.array_join(bits.indices(F.col("obs_mask")).cast("array<string>"), " ").alias("observables"))
+
+
+def far_mask(mask):
+    """The two observables of a fixture mask, moved to 70 and 130."""
+    low = F.when(F.getbit(mask, F.lit(0)) == 1, bits.single(F.lit(70), 3)).otherwise(bits.literal(0, 3))
+    return bits.Masks(True).xor(low, F.when(F.getbit(mask, F.lit(1)) == 1, bits.single(F.lit(130), 3)).otherwise(bits.literal(0, 3)))
+
+
+@query("jn6_wide_observables", """
+  SELECT shot_id, xor(obs_mask, pred_mask) >= 2 AS discarded, xor(obs_mask, pred_mask) = 1 AS is_error, CASE xor(obs_mask, pred_mask) WHEN 0 THEN '' WHEN 1 THEN '70' WHEN 2 THEN '130' ELSE '70 130' END AS wrong FROM fx_shots""")
+def _(fx):
+    far = fx.fx_shots.select("shot_id", far_mask(F.col("obs_mask")).alias("obs_mask"), far_mask(F.col("pred_mask")).alias("pred_mask"))
+    scored = ev.score_predictions(far.select("shot_id", "pred_mask"), far.select("shot_id", "obs_mask"), obs_postmask=1 << 130)
+    return scored.select("shot_id", "discarded", "is_error", F.array_join(bits.indices(F.col("mistake_mask")).cast("array<string>"), " ").alias("wrong"))
+
+
+@query("agg8_wide_observables", """
+  SELECT CONCAT('obs_mistake_mask=', repeat('_', 70), CASE WHEN m % 2 = 1 THEN 'E' ELSE '_' END, repeat('_', 59), CASE WHEN m >= 2 THEN 'E' ELSE '_' END) AS combo, COUNT(*) AS n
+  FROM (SELECT xor(obs_mask, pred_mask) AS m FROM fx_shots) WHERE m <> 0 GROUP BY 1""")
+def _(fx):
+    far = fx.fx_shots.select("shot_id", far_mask(F.col("obs_mask")).alias("obs_mask"), far_mask(F.col("pred_mask")).alias("pred_mask"))
+    return ev.count_mistake_combos(ev.score_predictions(far.select("shot_id", "pred_mask"), far.select("shot_id", "obs_mask")), 131)
+
+
 @query("flt4_predict_discards", """
   SELECT s.shot_id, EXISTS (SELECT 1 FROM fx_hits h JOIN fx_det d USING (det) WHERE d.post_flag = 1 AND h.shot_id = s.shot_id) AS discarded
   FROM fx_shots s""")

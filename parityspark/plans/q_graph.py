@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..functions import bits
 from ..functions import numeric as num
 from ..operators import graph as gr
 from ..operators import parity as pa
@@ -49,6 +50,15 @@ def _(fx):
     return gr.read_edge_list(attrs)
 
 
+@query("src10_wide_observables", f"""
+  SELECT col, CAST(n_checks AS BIGINT) AS n_checks, CASE WHEN obs_mask = 1 THEN CASE WHEN col % 4 = 0 THEN '70' ELSE '130' END ELSE '' END AS observables FROM ({COLS_SQL})""")
+def _(fx):
+    net = pa.xor_reduce(fx.fx_tgt, ["err_id", "comp", "kind", "idx"]).withColumn("col", F.col("err_id") * 2 + F.col("comp"))
+    faults = net.filter("kind = 'L'").select(F.when(F.col("col") % 4 == 0, 70).otherwise(130).alias("fault"), "col")
+    found = gr.read_check_matrix(net.filter("kind = 'D'").select(F.col("idx").alias("row"), "col"), faults)
+    return found.select("col", F.col("n_checks").cast("bigint").alias("n_checks"), F.array_join(bits.indices(F.col("obs_mask")).cast("array<string>"), " ").alias("observables"))
+
+
 @query("mdl6_edges_from_check_matrix", f"""
   WITH c AS ({COLS_SQL}), n AS (SELECT 2 * MAX(err_id) + 2 AS n_cols FROM fx_err), e AS (
     SELECT u + 24 * rep AS u, CASE WHEN n_checks = 2 THEN v + 24 * rep ELSE 72 END AS v, CAST(ROUND(1000 * ln((1 - p) / p) / 50) AS DOUBLE) AS w, p, c.obs_mask, rep * n_cols + col AS seq
@@ -120,6 +130,13 @@ def _(fx):
     return gr.graph_properties(edges, rim, min_observables=5)
 
 
+@query("agg17_wide_observables", "SELECT COUNT(*) AS edges, CAST(MAX(CASE WHEN obs_mask = 1 THEN 131 ELSE 71 END) AS INT) AS fault_ids FROM fx_edge")
+def _(fx):
+    ids = F.when(F.col("obs_mask") == 1, F.array(F.lit(70), F.lit(130))).otherwise(F.array(F.lit(70)))
+    edges = gr.read_edge_list(fx.fx_edge.select("u", "v", F.col("w").alias("weight"), ids.alias("fault_ids"), F.lit(0).alias("seq")))
+    return gr.graph_properties(edges).select("edges", "fault_ids")
+
+
 JOINT = f"""
   WITH c AS (SELECT err_id, comp, u, COALESCE(v, -1) AS v, p FROM ({COMP_SQL}) WHERE n_det IN (1, 2) AND p > 0),
   joint AS (SELECT a.u AS u0, a.v AS v0, b.u AS u1, b.v AS v1, 0.5 * (1 - product(1 - 2 * a.p)) AS p FROM c a JOIN c b ON a.err_id = b.err_id GROUP BY 1, 2, 3, 4)"""

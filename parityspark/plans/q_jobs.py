@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..functions import bits
 from ..lineage import new_path
 from ..sources import shots as sh
 from ..sources import stats_csv as sc
@@ -21,19 +22,23 @@ def shot_file(fx, fmt):
     return path
 
 
-def model_lines(fx):
+#: Further observables of each edge: the second half of predicted_sql's mask is bit 1, observable 130; bit 0 is observable 70.
+FAR_OBS = "CAST(obs_mask + CASE WHEN (u + v) % 5 = 0 THEN 2 ELSE 0 END AS BIGINT)"
+
+
+def model_lines(fx, near="L0", far=""):
     """The edge fixture as error-model text: one error line per edge, some likelier than not, some that never happen, and detectors."""
     place = F.col("u") * 100 + F.col("v")
     p = F.when(place % 97 == 5, F.lit("0.75")).when(place % 53 == 0, F.lit("0")).otherwise(F.concat(F.lit("0."), F.lpad((F.col("w") % 90000 + 10).cast("string"), 6, "0")))
     ends = F.concat(F.lit(" D"), "u", F.when(F.col("v") < BOUNDARY, F.concat(F.lit(" D"), "v")).otherwise(""))
-    errors = fx.fx_edge.select(place.cast("bigint").alias("seq"), F.concat(F.lit("error("), p, F.lit(")"), ends, F.when(F.col("obs_mask") == 1, " L0").otherwise("")).alias("line"))
+    errors = fx.fx_edge.select(place.cast("bigint").alias("seq"), F.concat(F.lit("error("), p, F.lit(")"), ends, F.when(F.col("obs_mask") == 1, f" {near}").otherwise(""), F.when((F.col("u") + F.col("v")) % 5 == 0, far).otherwise("")).alias("line"))
     dets = fx.fx_det.select((5000 + F.col("det")).cast("bigint").alias("seq"), F.concat(F.lit("detector("), "base_det", F.lit(", 0, "), "round_id", F.lit(", "), "post_flag", F.lit(") D"), "det").alias("line"))
     return errors.unionByName(dets).select(F.lit(0).alias("model_id"), "seq", "line")
 
 
-def predicted_sql(kept: str) -> str:
+def predicted_sql(kept: str, obs: str = "CAST(obs_mask AS BIGINT)") -> str:
     """Predictions of the shots ``kept`` under the model above, as CTEs ending in predicted(shot_id, pred_mask, w, reason)."""
-    prefix = f"""pm AS (SELECT u, v, CASE WHEN (u * 100 + v) % 97 = 5 THEN 0.75 ELSE CAST(w % 90000 + 10 AS DOUBLE) / 1000000 END AS p, CAST(obs_mask AS BIGINT) AS o FROM fx_edge WHERE NOT ((u * 100 + v) % 53 = 0 AND (u * 100 + v) % 97 <> 5)),
+    prefix = f"""pm AS (SELECT u, v, CASE WHEN (u * 100 + v) % 97 = 5 THEN 0.75 ELSE CAST(w % 90000 + 10 AS DOUBLE) / 1000000 END AS p, {obs} AS o FROM fx_edge WHERE NOT ((u * 100 + v) % 53 = 0 AND (u * 100 + v) % 97 <> 5)),
   lm AS (SELECT u, v, o, ln((1 - p) / p) AS l FROM pm), sc AS (SELECT 2 * 16383 / MAX(ABS(l)) AS scale FROM lm),
   qm AS (SELECT u, v, o, CAST(round(l * scale / 2) * 2 AS BIGINT) AS q FROM lm, sc), me AS (SELECT u, v, ABS(q) AS w, o AS obs_mask FROM qm),
   bs AS (SELECT COALESCE(SUM(q), 0) AS bw, COALESCE(bit_xor(o), 0) AS bo FROM qm WHERE q < 0),
@@ -57,6 +62,15 @@ def _(fx):
     return kept.unionByName(out["discards"].select("shot_id", F.lit(True).alias("discarded"), *none))
 
 
+@query("pipe1_wide_observables", f"""
+  WITH {predicted_sql(f"SELECT shot_id FROM fx_shots WHERE shot_id NOT IN ({POST})", FAR_OBS)}
+  SELECT shot_id, CASE pred_mask WHEN 0 THEN '' WHEN 1 THEN '70' WHEN 2 THEN '130' ELSE '70 130' END AS observables, ROUND(w, 6) AS w, reason FROM predicted""")
+def _(fx):
+    lines = model_lines(fx, "L70", " L130")
+    out = jobs.predict(fx.spark, shot_file(fx, "b8"), "b8", LAYOUT, lines, fx.fx_shots.select("shot_id"), postselect_coord=3)["predictions"]
+    return out.select("shot_id", F.array_join(bits.indices(F.col("pred_mask")).cast("array<string>"), " ").alias("observables"), F.round("w", 6).alias("w"), "reason")
+
+
 @query("pipe2_count_mistakes", f"""
   WITH {predicted_sql("SELECT shot_id FROM fx_shots")}
   SELECT COUNT(*) AS shots, COUNT(*) FILTER (p.pred_mask <> s.obs_mask) AS errors, CAST(0 AS BIGINT) AS discards FROM fx_shots s JOIN predicted p USING (shot_id)""")

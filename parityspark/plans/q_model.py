@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..functions import bits
 from ..operators import model as md
 from ..sources import text_models as tm
 from .registry import query
@@ -123,7 +124,16 @@ COMP_SQL = """
 @query("mdl5_edges_from_model", f"""
   SELECT u, v, ROUND(0.5 * (1 - product(1 - 2 * p)), 9) AS p, MIN_BY(obs_mask, err_id * 64 + comp) AS obs_mask FROM ({COMP_SQL}) WHERE n_det IN (1, 2) GROUP BY 1, 2""")
 def _(fx):
-    return md.edges_from_model(fx.fx_err, fx.fx_tgt).select("u", "v", F.round("p", 9).alias("p"), "obs_mask")
+    return md.edges_from_model(fx.fx_err, fx.fx_tgt, 1).select("u", "v", F.round("p", 9).alias("p"), "obs_mask")
+
+
+@query("mdl5_wide_observables", f"""
+  SELECT u, v, ROUND(0.5 * (1 - product(1 - 2 * p)), 9) AS p, MIN_BY(CASE WHEN obs_mask = 0 THEN '' WHEN err_id % 2 = 0 THEN '70' ELSE '130' END, err_id * 64 + comp) AS observables
+  FROM ({COMP_SQL}) WHERE n_det IN (1, 2) GROUP BY 1, 2""")
+def _(fx):
+    far = fx.fx_tgt.withColumn("idx", F.when(F.col("kind") == "L", F.when(F.col("err_id") % 2 == 0, 70).otherwise(130)).otherwise(F.col("idx")))
+    edges = md.edges_from_model(fx.fx_err, far)
+    return edges.select("u", "v", F.round("p", 9).alias("p"), F.array_join(bits.indices(F.col("obs_mask")).cast("array<string>"), " ").alias("observables"))
 
 
 def raw_edges(fx):

@@ -294,6 +294,12 @@ def _(fx):
     return packed.select("shot_id", "mask", F.bit_count("mask").alias("ones"), F.get(num.mask_unpack(F.col("mask"), 24), F.lit(0)).alias("lowest"))
 
 
+@query("fn15_words", "SELECT shot_id, array_to_string(list(det * 6 + 1 ORDER BY det), ' ') AS set_bits FROM fx_hits GROUP BY 1")
+def _(fx):
+    packed = fx.fx_hits.groupBy("shot_id").agg(num.mask_pack(F.col("det") * 6 + 1, 140).alias("mask"))
+    return packed.select("shot_id", F.array_join(num.mask_unpack(F.col("mask"), 140).cast("array<string>"), " ").alias("set_bits"))
+
+
 @query("fn15_mask_unpack", "SELECT shot_id, det FROM fx_hits")
 def _(fx):
     packed = fx.fx_hits.groupBy("shot_id").agg(num.mask_pack(F.col("det")).alias("mask"))

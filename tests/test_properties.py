@@ -293,12 +293,55 @@ def test_hyperedge_search_against_brute_force(spark):
         assert not acc and o
 
 
-def test_masks_refuse_an_observable_that_would_wrap(spark):
+def test_masks_hold_any_observable(spark):
+    from parityspark.functions import bits
+    from parityspark.functions import numeric as num
+
     errors = spark.createDataFrame([(0, 0.1)], "err_id bigint, p double")
     parts = lambda k: spark.createDataFrame([(0, 0, "D", 70), (0, 0, "L", k)], "err_id bigint, comp int, kind string, idx int")
     assert md.edges_from_model(errors, parts(62)).first().obs_mask == 1 << 62
-    with pytest.raises(Exception, match="not 64"):
-        md.edges_from_model(errors, parts(64)).collect()
+    for k in (63, 64, 70, 130, 1000):
+        row = md.edges_from_model(errors, parts(k)).select("obs_mask", bits.indices(F.col("obs_mask")).alias("i")).first()
+        assert row.i == [k] and len(row.obs_mask) == k // 64 + 1
+    with pytest.raises(Exception, match="not 64"):  # never a wrap-around where the number of observables was understated
+        md.edges_from_model(errors, parts(64), n_obs=10).collect()
+    with pytest.raises(Exception, match="not 200"):
+        md.edges_from_model(errors, parts(200), n_obs=100).collect()
+    packed = spark.createDataFrame([(0, 5), (0, 63), (0, 127), (1, None)], "g int, i int").groupBy("g").agg(num.mask_pack(F.col("i"), 130).alias("m"))
+    assert {r.g: r.i for r in packed.select("g", num.mask_unpack(F.col("m"), 130).alias("i")).collect()} == {0: [5, 63, 127], 1: []}
+
+
+def test_vectors_of_words_are_aligned(spark):
+    from parityspark.functions import bits
+
+    rows = [(0, [1, 2]), (0, [3]), (0, [0, 0, -(1 << 63)]), (1, []), (2, None), (2, [7])]
+    df = spark.createDataFrame(rows, "g int, m array<bigint>")
+    assert {r.g: r.m for r in bits.xor_by(df, ["g"], "m").collect()} == {0: [2, 2, -(1 << 63)], 2: [7]}
+    m = bits.Masks(True)
+    value = m.value((1 << 191) + 2)
+    got = df.filter("m is not null").select(m.any(m.both(F.col("m"), value)).alias("hit"), m.xor(F.col("m"), m.zero()).alias("same"), "m").collect()
+    assert [r.hit for r in got] == [False, True, True, False, True] and all(r.same == r.m for r in got)
+
+
+def test_wide_observables_follow_the_narrow_ones(spark):
+    """Every decoder gives the observables of the narrow run, moved beyond one word."""
+    from parityspark.functions import bits
+
+    rng = np.random.default_rng(5)
+    n = 15
+    links = [(i, i + 1, int(rng.integers(1, 20)), int(rng.integers(0, 4))) for i in range(n - 1)] + [(i, int(j), int(rng.integers(1, 40)), int(rng.integers(0, 4))) for i in range(n) for j in rng.integers(0, n, 2) if i != j]
+    links = {(min(a, b), max(a, b)): (w, o) for a, b, w, o in links}
+    rows = [(a, b, w, o) for (a, b), (w, o) in links.items()] + [(0, -1, 9, 1), (7, -1, 25, 2)]
+    narrow = spark.createDataFrame(rows, "u int, v int, w bigint, obs_mask bigint")
+    far = F.when(F.getbit("obs_mask", F.lit(0)) == 1, bits.single(F.lit(64), 3)).otherwise(bits.literal(0, 3))
+    wide = narrow.withColumn("obs_mask", bits.Masks(True).xor(far, F.when(F.getbit("obs_mask", F.lit(1)) == 1, bits.single(F.lit(191), 3)).otherwise(bits.literal(0, 3))))
+    keys = {tuple(sorted(rng.choice(n, size=int(k), replace=False).tolist())) for k in rng.integers(1, n + 1, 12)}
+    syndromes = spark.createDataFrame([(list(k),) for k in keys], "key array<int>")
+    a, b = (gr.matching_paths(e, -1) for e in (narrow, wide))
+    for decoder in (dc.decode, dc.decode_greedy):
+        want = {tuple(r.key): [x for x, y in ((64, 1), (191, 2)) if r.obs & y] for r in decoder(syndromes, a).collect()}
+        got = {tuple(r.key): r.i for r in decoder(syndromes, b).select("key", bits.indices(F.col("obs")).alias("i")).collect()}
+        assert got == want
 
 
 def test_piece_rates_refuse_bad_ranges(spark):
