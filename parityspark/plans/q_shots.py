@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..lineage import new_path
+from ..ordered import global_index
 from ..sources import shots as sh
 from .registry import query
 
@@ -29,14 +30,14 @@ for _n, _fmt in enumerate(["01", "b8", "hits", "dets", "r8", "ptb64"], 1):
 
 @query("udtf1_decode_shot_file", ALL_SQL)
 def _(fx):
-    # A file is named after its first shot; SQL calls the table function for each file's bytes.
+    # SQL calls the table function for bounded pieces of whole records.
     path = new_path(fx.spark, "table-function")
     sh.write_shots(fx.fx_shots, hits(fx), path, "b8", LAYOUT)
     sh.register_functions(fx.spark)
-    fx.spark.read.format("binaryFile").load(path).createOrReplaceTempView("shot_file")
+    sh.scan_packed(fx.spark, path, "b8", LAYOUT, "chunks").createOrReplaceTempView("shot_chunk")
     return fx.spark.sql(f"""
-      SELECT CAST(regexp_extract(path, 'shots-([0-9]+)', 1) AS BIGINT) + t.shot AS shot_id, CASE WHEN t.pos < {LAYOUT.n_det} THEN 'D' ELSE 'L' END AS kind, t.pos % {LAYOUT.n_det} AS idx
-      FROM shot_file, LATERAL decode_b8(content, {LAYOUT.bits}) t""")
+      SELECT first_shot + t.shot AS shot_id, CASE WHEN t.pos < {LAYOUT.n_det} THEN 'D' ELSE 'L' END AS kind, t.pos % {LAYOUT.n_det} AS idx
+      FROM shot_chunk, LATERAL decode_b8(content, {LAYOUT.bits}) t""")
 
 
 @query("snk1_write_shots_01", """
@@ -73,6 +74,54 @@ def _(fx):
     return out
 
 
+def records(fx, fmt, size):
+    """(first shot, hex) of the written bytes, ``size`` bytes a row."""
+    path = new_path(fx.spark, f"contents-{fmt}")
+    sh.write_shots(fx.fx_shots, hits(fx), path, fmt, LAYOUT)
+    pieces = sh.scan_packed(fx.spark, path, fmt, LAYOUT, "chunks")
+    at = F.explode(F.sequence(F.lit(0), F.octet_length("content") - 1, F.lit(size)))
+    return pieces.select("first_shot", "content", at.alias("at")).select("first_shot", "at", F.lower(F.hex(F.substring(F.col("content"), F.col("at") + 1, F.lit(size)))).alias("content"))
+
+
+def swapped(value, n_bytes):
+    """SQL for the little-endian hex text of a number."""
+    return "lower(" + " || ".join(f"printf('%02x', ({value} >> {8 * i}) & 255)" for i in range(n_bytes)) + ")"
+
+
+POSITIONS = f"SELECT shot_id, CASE kind WHEN 'D' THEN idx ELSE 24 + idx END AS p FROM ({ALL_SQL})"
+
+
+@query("snk2_contents_b8", f"""
+  SELECT s.shot_id, {swapped("COALESCE(m, 0)", 4)} AS content FROM fx_shots s LEFT JOIN (SELECT shot_id, CAST(SUM(1::BIGINT << p) AS BIGINT) AS m FROM ({POSITIONS}) GROUP BY 1) USING (shot_id)""")
+def _(fx):
+    # The fixture numbers its shots 0, 1, 2, ... only up to gaps; files number them by place.
+    found = records(fx, "b8", 4).select((F.col("first_shot") + F.floor(F.col("at") / 4)).alias("place"), "content")
+    return shot_places(fx).join(found, "place").select("shot_id", "content")
+
+
+def shot_places(fx):
+    return global_index(fx.fx_shots.select("shot_id"), ["shot_id"], "place")
+
+
+@query("snk2_contents_ptb64", f"""
+  WITH n AS (SELECT shot_id, row_number() OVER (ORDER BY shot_id) - 1 AS i FROM fx_shots), w AS (
+    SELECT i // 64 AS g, p, SUM(CASE WHEN i % 64 < 32 THEN 1::BIGINT << (i % 64) ELSE 0 END) AS lo, SUM(CASE WHEN i % 64 >= 32 THEN 1::BIGINT << (i % 64 - 32) ELSE 0 END) AS hi
+    FROM ({POSITIONS}) JOIN n USING (shot_id) GROUP BY 1, 2)
+  SELECT x.g AS grp, x.b AS bit, {swapped("CAST(COALESCE(lo, 0) AS BIGINT)", 4)} || {swapped("CAST(COALESCE(hi, 0) AS BIGINT)", 4)} AS content
+  FROM (SELECT g, b FROM (SELECT unnest(range((COUNT(*) + 63) // 64)) AS g FROM fx_shots), (SELECT unnest(range(26)) AS b)) x LEFT JOIN w ON w.g = x.g AND w.p = x.b""")
+def _(fx):
+    numbered = shot_places(fx)
+    path = new_path(fx.spark, "contents-ptb64")
+    place = hits(fx).join(numbered, "shot_id").select(F.col("place").alias("shot_id"), "kind", "idx")
+    sh.write_shots(numbered.select(F.col("place").alias("shot_id")), place, path, "ptb64", LAYOUT)
+    pieces = sh.scan_packed(fx.spark, path, "ptb64", LAYOUT, "chunks")
+    words = pieces.select("first_shot", "content", F.explode(F.sequence(F.lit(0), F.octet_length("content") - 1, F.lit(8))).alias("at"))
+    return words.select(
+        (F.floor(F.col("first_shot") / 64) + F.floor(F.col("at") / (8 * LAYOUT.bits))).alias("grp"), (F.floor(F.col("at") / 8) % LAYOUT.bits).alias("bit"),
+        F.lower(F.hex(F.substring(F.col("content"), F.col("at") + 1, F.lit(8)))).alias("content"),
+    )
+
+
 @query("snk3_convert_shots", """
   SELECT shot_id, CASE WHEN part = 'prepend' AND idx < 24 THEN idx + 2 WHEN part = 'prepend' THEN idx - 24 ELSE idx END AS idx, part FROM (
     SELECT shot_id, det AS idx FROM fx_hits UNION ALL SELECT shot_id, 24 FROM fx_shots WHERE obs_mask % 2 = 1 UNION ALL SELECT shot_id, 25 FROM fx_shots WHERE obs_mask >= 2), (SELECT unnest(['append', 'prepend']) AS part)""")

@@ -6,23 +6,19 @@ layout says how many bits of each kind a record holds; files carry no schema of
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import lineage
 from ..operators.parity import xor_reduce
 from ..shipping import ship
+from .shot_source import ShotSource, session_options
 
 TEXT_FORMATS = ("01", "hits", "dets")
 PACKED_FORMATS = ("b8", "r8", "ptb64")
-_CHUNK = 8 << 20
 
 
 @dataclass(frozen=True)
@@ -144,227 +140,88 @@ def _qualified(spark: SparkSession, path: str) -> str:
     return p.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(p).toString()
 
 
-def _refuse_used(spark: SparkSession, path: str) -> None:
-    sc = spark.sparkContext
-    p = sc._jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(sc._jsc.hadoopConfiguration())
-    if fs.exists(p) and len(fs.listStatus(p)):
-        raise FileExistsError(f"{path} already holds files")
-
-
-def _open(uri: str):
-    """File system and name of a qualified path."""
-    scheme, _, rest = uri.partition(":")
-    if scheme == "file":
-        return pafs.LocalFileSystem(), "/" + rest.lstrip("/")
-    return pafs.FileSystem.from_uri(("s3" if scheme in ("s3a", "s3n") else scheme) + ":" + rest)
-
-
-def _ranges(spark: SparkSession, path: str, align: int) -> DataFrame:
-    """Byte ranges of the files, aligned to records, with the number of records before each file."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length").filter("length > 0")
-    ragged = F.raise_error(F.concat(F.lit(f"length is not a multiple of {align} bytes: "), "path")).cast("bigint")
-    before = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
-    sized = files.select(
-        "path", F.when(F.col("length") % align != 0, ragged).otherwise(F.col("length")).alias("length"),
-        F.coalesce(F.sum(F.floor(F.col("length") / align)).over(before), F.lit(0)).alias("file_first"),
-    )
-    step = max(align, _CHUNK // align * align)
-    cut = sized.withColumn("start", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("length") - 1, F.lit(step).cast("bigint"))))
-    ranges = cut.select("path", "file_first", "start", F.least(F.lit(step).cast("bigint"), F.col("length") - F.col("start")).alias("size"))
-    # An explicit count keeps adaptive execution from packing these few, light rows into one task.
-    return ranges.repartition(max(1, ranges.count()), "path", "start")
-
-
-def _read(path: str, start: int, size: int) -> np.ndarray:
-    fs, name = _open(path)
-    with fs.open_input_file(name) as f:
-        return np.frombuffer(f.read_at(size, start), dtype=np.uint8)
-
-
-def _hit_batch(shot: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(shot.astype(np.int64)), pa.array(pos.astype(np.int32))], names=["shot_id", "pos"])
-
-
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    for batch in batches:
-        yield from batch.to_pylist()
-
-
-def _read_b8(spark: SparkSession, path: str, bits: int) -> DataFrame:
-    width = (bits + 7) // 8
-
-    def decode(batches):
-        for r in _rows(batches):
-            data = _read(r["path"], r["start"], r["size"]).reshape(-1, width)
-            row, pos = np.nonzero(np.unpackbits(data, axis=1, bitorder="little")[:, :bits])
-            yield _hit_batch(row + r["file_first"] + r["start"] // width, pos)
-
-    return _ranges(spark, path, width).mapInArrow(decode, "shot_id bigint, pos int")
-
-
-def _read_ptb64(spark: SparkSession, path: str, bits: int) -> DataFrame:
-    group = 8 * bits
-
-    def decode(batches):
-        for r in _rows(batches):
-            data = _read(r["path"], r["start"], r["size"]).reshape(-1, bits, 8)
-            g, pos, lane = np.nonzero(np.unpackbits(data, axis=2, bitorder="little"))
-            yield _hit_batch((g + r["file_first"] + r["start"] // group) * 64 + lane, pos)
-
-    return _ranges(spark, path, group).mapInArrow(decode, "shot_id bigint, pos int")
-
-
-def _advance(data: np.ndarray) -> np.ndarray:
-    return np.where(data == 255, 255, data.astype(np.int64) + 1)
+def _source(spark: SparkSession, path: str, fmt: str, layout: Layout, **options: str):
+    """Reader of the data source over packed files, with the session's split size."""
+    ship(spark)
+    if spark.sparkContext.applicationId not in _registered:
+        spark.dataSource.register(ShotSource)
+        _registered.add(spark.sparkContext.applicationId)
+    return {"path": _qualified(spark, path), "encoding": fmt, "n_meas": str(layout.n_meas), "n_det": str(layout.n_det), "n_obs": str(layout.n_obs)} | session_options(spark) | options
 
 
-def _r8_sums(spark: SparkSession, path: str, record: int) -> tuple[DataFrame, DataFrame]:
-    """Advance of each byte range, read once and kept, and (path, n, file_shots) of each file."""
+_registered: set[str] = set()
 
-    def total(batches):
-        for r in _rows(batches):
-            n = int(_advance(_read(r["path"], r["start"], r["size"])).sum())
-            yield pa.RecordBatch.from_pylist([{**r, "total": n}], schema=pa.schema([("path", pa.string()), ("file_first", pa.int64()), ("start", pa.int64()), ("size", pa.int64()), ("total", pa.int64())]))
 
-    sums = lineage.cut(_ranges(spark, path, 1).mapInArrow(total, "path string, file_first bigint, start bigint, size bigint, total bigint"), "r8-sums")
-    per_file = sums.groupBy("path").agg(F.sum("total").alias("t"))
-    broken = F.raise_error(F.concat(F.lit("last record is incomplete: "), "path")).cast("bigint")
-    files_before = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
-    shots = per_file.select("path", F.when(F.col("t") % record != 0, broken).otherwise(F.floor(F.col("t") / record)).alias("n"))
-    return sums, shots.select("path", "n", F.coalesce(F.sum("n").over(files_before), F.lit(0)).alias("file_shots"))
+def scan_packed(spark: SparkSession, path: str, fmt: str, layout: Layout, view: str, **options: str) -> DataFrame:
+    """One of the data source's views over packed files (see ``shot_source``)."""
+    return spark.read.format("shots").options(**_source(spark, path, fmt, layout, view=view, **options)).load()
 
 
-def _read_r8(spark: SparkSession, path: str, bits: int) -> DataFrame:
-    """Run-length bytes, read in parallel ranges.
+def index_runs(spark: SparkSession, path: str, layout: Layout, **options: str) -> tuple[str, DataFrame]:
+    """Index of run-length files, as the path of a written table, and (file, n, file_shots) of each file.
 
-    Every byte moves the position by its value plus one (255 by 255), and every record ends one bit past its
-    width. The position before any byte is therefore a running sum, and record and bit follow by division.
+    Every byte moves the position by its value plus one (255 by 255), and every record ends one bit past its width. A first pass adds up
+    how far each range moves on; running sums over these few rows say where each begins.
     """
-    record = bits + 1
-    sums, shots = _r8_sums(spark, path, record)
-    before = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
-    placed = sums.withColumn("at", F.coalesce(F.sum("total").over(before), F.lit(0))).join(shots, "path")
-    placed = placed.select("path", "start", "size", "at", "file_shots")
-
-    def decode(batches):
-        for r in _rows(batches):
-            data = _read(r["path"], r["start"], r["size"])
-            where = r["at"] + np.cumsum(_advance(data))[data != 255] - 1
-            shot, pos = where // record, where % record
-            real = pos < bits
-            yield _hit_batch(shot[real] + r["file_shots"], pos[real])
-
-    return placed.repartition(max(1, sums.count()), "path", "start").mapInArrow(decode, "shot_id bigint, pos int")
-
-
-def _flatten(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, int]:
-    col = batch.column("pos")
-    sizes = np.asarray(col.value_lengths())
-    return np.repeat(np.arange(len(sizes)), sizes), col.flatten().to_numpy(zero_copy_only=False).astype(np.int64), len(sizes)
-
-
-def _pack_b8(batch: pa.RecordBatch, bits: int) -> bytes:
-    row, pos, n = _flatten(batch)
-    grid = np.zeros((n, (bits + 7) // 8 * 8), dtype=np.uint8)
-    grid[row, pos] = 1
-    return np.packbits(grid, axis=1, bitorder="little").tobytes()
-
-
-def _pack_r8(batch: pa.RecordBatch, bits: int) -> bytes:
-    row, pos, n = _flatten(batch)
-    # The end mark is a bit just past the record.
-    row = np.concatenate([row, np.arange(n)])
-    pos = np.concatenate([pos, np.full(n, bits)])
-    order = np.lexsort((pos, row))
-    at = (row * (bits + 1) + pos)[order]
-    gaps = np.diff(np.concatenate([[-1], at])) - 1
-    full = gaps // 255
-    out = np.full(int((full + 1).sum()), 255, dtype=np.uint8)
-    out[np.cumsum(full + 1) - 1] = gaps % 255
-    return out.tobytes()
-
-
-def _pack_ptb64(batch: pa.RecordBatch, bits: int) -> bytes:
-    row, pos, n = _flatten(batch)
-    groups = (n + 63) // 64
-    grid = np.zeros((groups, bits, 64), dtype=np.uint8)
-    grid[row // 64, pos, row % 64] = 1
-    return np.packbits(grid, axis=2, bitorder="little").tobytes()
-
-
-_PACKERS = {"b8": _pack_b8, "r8": _pack_r8, "ptb64": _pack_ptb64}
-
-
-def write_shots_packed(shots: DataFrame, hits: DataFrame, path: str, fmt: str, layout: Layout) -> DataFrame:
+    sums = lineage.cut(scan_packed(spark, path, "r8", layout, "advance", **options), "r8-sums")
+    per_file = sums.groupBy("file").agg(F.sum("total").alias("t"))
+    broken = F.raise_error(F.concat(F.lit("last record is incomplete: "), "file")).cast("bigint")
+    files_before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    record = layout.bits + 1
+    shots = per_file.select("file", F.when(F.col("t") % record != 0, broken).otherwise(F.floor(F.col("t") / record)).alias("n"))
+    shots = shots.select("file", "n", F.coalesce(F.sum("n").over(files_before), F.lit(0)).alias("file_shots"))
+    before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    index = lineage.new_path(spark, "r8-index")
+    placed = sums.withColumn("at", F.coalesce(F.sum("total").over(before), F.lit(0))).join(shots, "file")
+    placed.select("file", "start", "size", "at", "file_shots").write.parquet(index)
+    return _qualified(spark, index), shots
+
+
+def write_shots_packed(shots: DataFrame, hits: DataFrame, path: str, fmt: str, layout: Layout, overwrite: bool = False) -> DataFrame:
     """Write byte-encoded files, one per task, and return (file, shots, bytes) (SNK2).
 
-    Files are named by their first shot, so name order is shot order; a task that runs again rewrites the
-    same file. ptb64 packs 64 shots together: ids must then be 0, 1, 2, ...; the last group is padded with
-    empty shots.
+    Files are named by their first shot, so name order is shot order, and appear together when the job commits. ptb64 packs 64 shots
+    together: ids must then be 0, 1, 2, ...; the last group is padded with empty shots. A folder in use is refused unless overwritten.
     """
-    bits, pack = layout.bits, _PACKERS[fmt]
+    spark = shots.sparkSession
     step = 64 if fmt == "ptb64" else 1
-    path = _qualified(shots.sparkSession, path)
-    _refuse_used(shots.sparkSession, path)
     ordered = _shot_rows(shots, hits, layout).withColumn("_g", F.floor(F.col("shot_id") / step)).repartitionByRange("_g").sortWithinPartitions("shot_id").drop("_g")
-
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = _open(path)
-        fs.create_dir(base, recursive=True)
-        temp = f"{base}/_tmp-{uuid.uuid4().hex}"
-        out, first, n, size, rest = None, None, 0, 0, None
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            if out is None:
-                out, first = fs.open_output_stream(temp), batch.column("shot_id")[0].as_py()
-            if rest is not None:
-                joined = pa.Table.from_batches([rest, batch]).combine_chunks()
-                batch = joined.to_batches()[0]
-            whole = batch.num_rows // step * step
-            rest = batch.slice(whole) if whole < batch.num_rows else None
-            for at in range(0, whole, 4096):
-                data = pack(batch.slice(at, min(4096, whole - at)), bits)
-                out.write(data)
-                size += len(data)
-            n += whole
-        if out is None:
-            return
-        if rest is not None:
-            data = pack(rest, bits)
-            out.write(data)
-            size, n = size + len(data), n + rest.num_rows
-        out.close()
-        final = f"{base}/shots-{first:020d}.{fmt}"
-        fs.move(temp, final)
-        yield pa.RecordBatch.from_pylist([{"file": final, "shots": n, "bytes": size}], schema=pa.schema([("file", pa.string()), ("shots", pa.int64()), ("bytes", pa.int64())]))
-
-    return ordered.mapInArrow(write, "file string, shots bigint, bytes bigint")
+    try:
+        ordered.write.format("shots").options(**_source(spark, path, fmt, layout)).mode("overwrite" if overwrite else "append").save()
+    except Exception as failed:
+        if "already holds files" in str(failed):
+            raise FileExistsError(f"{path} already holds files") from failed
+        raise
+    return scan_packed(spark, path, fmt, layout, "files")
 
 
 # ---- front ends ----------------------------------------------------------------------------------
 
 
-def read_shots(spark: SparkSession, path: str, fmt: str, layout: Layout, dedup: str = "xor") -> DataFrame:
-    """Hits (shot_id, kind, idx) of shot files in any encoding (SRC1 - SRC6); shots are numbered in file order."""
+def read_shots(spark: SparkSession, path: str, fmt: str, layout: Layout, dedup: str = "xor", **options: str) -> DataFrame:
+    """Hits (shot_id, kind, idx) of shot files in any encoding (SRC1 - SRC6); shots are numbered in file order.
+
+    ``options`` go to the data source of packed files, such as ``split_bytes``.
+    """
     if fmt in TEXT_FORMATS:
         return parse_shot_lines(read_lines(spark, path), fmt, layout, dedup)
-    reader = {"b8": _read_b8, "r8": _read_r8, "ptb64": _read_ptb64}[fmt]
-    return _canonical(reader(spark, path, layout.bits), layout)
+    if fmt == "r8":
+        options["index"] = index_runs(spark, path, layout, **options)[0]
+    return scan_packed(spark, path, fmt, layout, "hits", **options)
 
 
 class DecodeB8:
-    """Table function over the bytes of one packed file: a row (shot, pos) for every set bit (UDTF1)."""
+    """Table function over a piece of a packed file: a row (shot, pos) for every set bit (UDTF1)."""
 
     def eval(self, content: bytes, bits: int):
         data = np.frombuffer(content, dtype=np.uint8).reshape(-1, (bits + 7) // 8)
-        shot, pos = np.nonzero(np.unpackbits(data, axis=1, bitorder="little")[:, :bits])
-        yield from zip(shot.tolist(), pos.tolist())
+        for first in range(0, len(data), 4096):
+            shot, pos = np.nonzero(np.unpackbits(data[first : first + 4096], axis=1, bitorder="little")[:, :bits])
+            yield from zip((shot + first).tolist(), pos.tolist())
 
 
 def register_functions(spark: SparkSession) -> None:
-    """Make ``decode_b8(content, bits)`` available to SQL, for use with files that Spark reads whole."""
+    """Make ``decode_b8(content, bits)`` available to SQL, for use with the data source's view ``chunks``."""
     ship(spark)
     spark.udtf.register("decode_b8", F.udtf(DecodeB8, returnType="shot bigint, pos int"))
 
@@ -374,7 +231,7 @@ def write_shots(shots: DataFrame, hits: DataFrame, path: str, fmt: str, layout:
     if fmt in TEXT_FORMATS:
         shot_lines(shots, hits, fmt, layout).sort("shot_id").select("line").write.text(path)
     else:
-        write_shots_packed(shots, hits, path, fmt, layout).agg(F.sum("bytes")).first()
+        write_shots_packed(shots, hits, path, fmt, layout)
 
 
 def count_shots(spark: SparkSession, path: str, fmt: str, layout: Layout) -> DataFrame:
@@ -382,13 +239,10 @@ def count_shots(spark: SparkSession, path: str, fmt: str, layout: Layout) -> Dat
     if fmt in TEXT_FORMATS:
         return read_lines(spark, path).select("shot_id")
     if fmt == "r8":
-        files = _r8_sums(spark, path, layout.bits + 1)[1].filter("n > 0")
+        files = index_runs(spark, path, layout)[1].filter("n > 0")
         return files.select(F.explode(F.sequence("file_shots", F.col("file_shots") + F.col("n") - 1)).alias("shot_id"))
-    width = (layout.bits + 7) // 8 if fmt == "b8" else 8 * layout.bits
-    per = 1 if fmt == "b8" else 64
-    r = _ranges(spark, path, width)
-    first = (F.col("file_first") + F.floor(F.col("start") / width)) * per
-    return r.select(F.explode(F.sequence(first, first + F.floor(F.col("size") / width) * per - 1)).alias("shot_id"))
+    ranges = scan_packed(spark, path, fmt, layout, "ranges")
+    return ranges.select(F.explode(F.sequence("first_shot", F.col("first_shot") + F.col("shots") - 1)).alias("shot_id"))
 
 
 def convert_shots(

@@ -62,15 +62,56 @@ def test_shot_files_round_trip(spark, tmp_path, fmt):
         assert sh.count_shots(spark, path, fmt, lay).count() == n
 
 
-def test_packed_reader_splits_files(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(sh, "_CHUNK", 50)
-    lay = sh.Layout(0, 300, 0)
-    data = [(s, "D", (s * 37 + k * 101) % 300) for s in range(90) for k in range(3)]
+@pytest.mark.parametrize("fmt", ["b8", "r8", "ptb64"])
+def test_packed_reader_splits_files_and_pieces(spark, tmp_path, monkeypatch, fmt):
+    from parityspark.sources import shot_source
+
+    lay = sh.Layout(2, 300, 1)
+    data = [(s, "D", (s * 37 + k * 101) % 300) for s in range(192) for k in range(3)] + [(s, "L", 0) for s in range(0, 192, 7)] + [(s, "M", 1) for s in range(0, 192, 5)]
     hits = pa.xor_reduce(spark.createDataFrame(data, "shot_id bigint, kind string, idx int"), ["shot_id", "kind", "idx"])
-    for fmt in ("b8", "r8"):
-        path = str(tmp_path / fmt)
-        sh.write_shots(spark.range(90).withColumnRenamed("id", "shot_id"), hits, path, fmt, lay)
-        assert rows(sh.read_shots(spark, path, fmt, lay), "shot_id", "idx") == rows(hits, "shot_id", "idx")
+    path = str(tmp_path / fmt)
+    files = sh.write_shots_packed(spark.range(192).withColumnRenamed("id", "shot_id"), hits, path, fmt, lay)
+    assert sum(r.shots for r in files.collect()) == 192 and files.count() == len(list((tmp_path / fmt).glob("shots-*")))
+    small = sh.read_shots(spark, path, fmt, lay, split_bytes="60", parallelism="1000")
+    assert small.rdd.getNumPartitions() > files.count() if fmt != "ptb64" else True
+    assert rows(small, "shot_id", "kind", "idx") == rows(hits, "shot_id", "kind", "idx")
+    # The same pieces inside one range, read by the reader itself.
+    monkeypatch.setattr(shot_source, "CHUNK", 64)
+    options = {"split_bytes": "100000000"} | ({"index": sh.index_runs(spark, path, lay)[0]} if fmt == "r8" else {})
+    reader = shot_source.ShotReader(f"file://{path}", shot_source.Shape(fmt, 2, 300, 1), "hits", options)
+    parts = reader.partitions()
+    batches = [b for p in parts for b in reader.read(p)]
+    assert len(parts) < len(batches)
+    assert sorted(tuple(r.values()) for b in batches for r in b.to_pylist()) == rows(hits, "shot_id", "kind", "idx")
+
+
+def test_packed_writes_appear_whole_or_not_at_all(spark, tmp_path):
+    lay, path = sh.Layout(0, 8, 0), tmp_path / "out"
+    shots = spark.range(1000).withColumnRenamed("id", "shot_id")
+    hits = shots.select("shot_id", F.lit("D").alias("kind"), F.lit(3).alias("idx"))
+    dying = hits.withColumn("idx", F.when(F.col("shot_id") == 900, F.raise_error(F.lit("power cut")).cast("int")).otherwise(F.col("idx")))
+    late = sh._shot_rows(shots, hits, lay).repartitionByRange(4, "shot_id").sortWithinPartitions("shot_id")
+    late = late.withColumn("pos", F.when(F.col("shot_id") == 999, F.raise_error(F.lit("power cut")).cast("array<int>")).otherwise(F.col("pos")))
+    for failing in (lambda: sh.write_shots(shots, dying, str(path), "b8", lay), lambda: late.write.format("shots").options(**sh._source(spark, str(path), "b8", lay)).mode("append").save()):
+        with pytest.raises(Exception, match="power cut"):
+            failing()
+        assert not list(path.rglob("*"))  # neither files nor what the finished tasks had written
+    sh.write_shots(shots, hits, str(path), "b8", lay)
+    assert sh.read_shots(spark, str(path), "b8", lay).count() == 1000
+    sh.write_shots_packed(shots.filter("shot_id < 10"), hits.filter("shot_id < 10"), str(path), "b8", lay, overwrite=True)
+    assert sh.read_shots(spark, str(path), "b8", lay).count() == 10
+    assert not list(path.glob("_temporary*"))
+
+
+def test_shot_source_through_the_plain_reader(spark, tmp_path):
+    lay = sh.Layout(0, 8, 1)
+    sh.write_shots(spark.range(3).withColumnRenamed("id", "shot_id"), spark.createDataFrame([(1, "L", 0), (2, "D", 5)], "shot_id bigint, kind string, idx int"), str(tmp_path / "a"), "b8", lay)
+    read = spark.read.format("shots").option("encoding", "b8").option("n_det", 8).option("n_obs", 1)
+    assert rows(read.load(f"file://{tmp_path}/a"), "shot_id", "kind", "idx") == [(1, "L", 0), (2, "D", 5)]
+    assert rows(read.load(f"file://{tmp_path}/a/*.b8"), "shot_id", "kind", "idx") == [(1, "L", 0), (2, "D", 5)]
+    for bad, options in ((f"{tmp_path}/a", {}), (f"file://{tmp_path}/none", {}), (f"file://{tmp_path}/a", {"n_det": "20"}), (f"file://{tmp_path}/a", {"encoding": "r8"})):
+        with pytest.raises(Exception):
+            read.options(**options).load(bad).collect()
 
 
 def brute(key, dist, rim):
