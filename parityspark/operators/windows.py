@@ -36,10 +36,16 @@ def round_differences(bits: DataFrame, n_rounds: int) -> DataFrame:
 
 def assign_windows(hits: DataFrame, commit: int, window: int) -> DataFrame:
     """Every window covering a hit's round, and whether the hit is in the window's commit region (WIN7)."""
+    return covering_windows(hits, commit, window)
+
+
+def covering_windows(rows: DataFrame, commit: int, window: int, outer: bool = False) -> DataFrame:
+    """Rows with a ``round_id``, once for every window that covers it; ``outer`` keeps rows in no window, with a NULL one."""
     r = F.col("round_id")
     first = F.greatest(F.lit(0), F.ceil((r - window + 1) / commit).cast("int"))
     last = F.floor(r / commit).cast("int")
-    covered = hits.withColumn("win", F.explode(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))))
+    explode = F.explode_outer if outer else F.explode
+    covered = rows.withColumn("win", explode(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))))
     return covered.withColumn("in_commit", r < F.col("win") * commit + commit)
 
 

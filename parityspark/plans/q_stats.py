@@ -397,10 +397,13 @@ def _(fx):
     return st.expand_tasks(t, ["alpha", "beta"])
 
 
-@query("win10_progress_eta", f"""
+ETA_SQL = f"""
   SELECT t.strong_id, max_shots - s AS shots_left, COALESCE(max_errors - e, e) AS errors_left,
          ROUND(LEAST((max_shots - s) * sec / s, CASE WHEN e > 0 AND max_errors IS NOT NULL THEN (max_errors - e) * sec / e ELSE (max_shots - s) * sec / s END) / 60 / 4, 6) AS minutes_left
-  FROM ({TASKS_SQL}) t JOIN (SELECT strong_id, CAST(SUM(shots) AS BIGINT) AS s, CAST(SUM(errors) AS BIGINT) AS e, SUM(seconds) AS sec FROM fx_stats GROUP BY 1) x ON t.strong_id = x.strong_id""")
+  FROM ({TASKS_SQL}) t JOIN (SELECT strong_id, CAST(SUM(shots) AS BIGINT) AS s, CAST(SUM(errors) AS BIGINT) AS e, SUM(seconds) AS sec FROM fx_stats GROUP BY 1) x ON t.strong_id = x.strong_id"""
+
+
+@query("win10_progress_eta", ETA_SQL)
 def _(fx):
     out = st.progress_eta(tasks(fx), st.combine_stats(fx.fx_stats), workers=4)
     return out.withColumn("minutes_left", F.round("minutes_left", 6))

@@ -7,7 +7,7 @@ from ..operators import samplers as sp
 from ..operators import stats as st
 from ..streaming import jobs as sj
 from .q_events import mask
-from .q_stats import FOLD_SQL, TASKS_SQL, flat, rich, tasks
+from .q_stats import ETA_SQL, FOLD_SQL, TASKS_SQL, flat, rich, tasks
 from .registry import query
 
 
@@ -21,7 +21,7 @@ def feed(fx, df, order, start, parts=3):
         part = df if lo is None else df.filter(key > lo)
         (part if hi is None else part.filter(key <= hi)).write.mode("append").parquet(src)
         start(fx.spark.readStream.schema(df.schema).parquet(src), sink, check)
-    return sink
+    return sink, check
 
 
 @query("str1_stream_m2d", """
@@ -30,7 +30,7 @@ def feed(fx, df, order, start, parts=3):
 def _(fx):
     shots = fx.fx_meas.groupBy("shot_id").agg(F.collect_list("meas").alias("meas"))
     expected = fx.fx_det.select("det", F.col("post_flag").alias("expect"))
-    sink = feed(fx, shots, "shot_id", lambda s, out, check: sj.stream_m2d(s, fx.fx_det_def, expected, out, check))
+    sink, _ = feed(fx, shots, "shot_id", lambda s, out, check: sj.stream_m2d(s, fx.fx_det_def, expected, out, check))
     return sj.results(fx.spark, sink, "events").select("shot_id", "det")
 
 
@@ -38,25 +38,32 @@ def _(fx):
   SELECT shot_id, COUNT(*) AS n_hits, bool_or(det IN (SELECT det FROM fx_det WHERE post_flag = 1)) AS dropped FROM fx_hits GROUP BY 1""")
 def _(fx):
     shots = fx.fx_hits.groupBy("shot_id").agg(F.collect_list("det").alias("dets"))
-    sink = feed(fx, shots, "shot_id", lambda s, out, check: sj.stream_postselect(s, mask(fx), out, check))
+    sink, _ = feed(fx, shots, "shot_id", lambda s, out, check: sj.stream_postselect(s, mask(fx), out, check))
     part = lambda name: sj.results(fx.spark, sink, name).select("shot_id", F.size("dets").cast("bigint").alias("n_hits"), F.lit(name == "dropped").alias("dropped"))
     return part("kept").unionByName(part("dropped"))
 
 
 @query("str3_stream_combine", FOLD_SQL.replace("MIN(decoder) AS decoder, MIN(json_metadata) AS json_metadata, ", ""))
 def _(fx):
-    sink = feed(fx, rich(fx), "seq", sj.stream_combine)
-    total = sj.combined(fx.spark, sink)
+    _, check = feed(fx, rich(fx), "seq", sj.stream_combine)
+    total = sj.combined(fx.spark, check)
     return flat(total.withColumns({"decoder": F.lit(""), "json_metadata": F.lit("")})).drop("decoder", "json_metadata")
 
 
-@query("str4_stream_stop_rule", """
-  SELECT strong_id, seq FROM (SELECT strong_id, seq, COALESCE(SUM(shots) OVER w, 0) AS s, COALESCE(SUM(errors) OVER w, 0) AS e FROM fx_stats
-    WINDOW w AS (PARTITION BY strong_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) WHERE s < 3000 AND e < 150""")
+TAKEN_SQL = """SELECT * FROM (SELECT strong_id, seq, shots, errors, COALESCE(SUM(shots) OVER w, 0) AS s, COALESCE(SUM(errors) OVER w, 0) AS e FROM fx_stats
+    WINDOW w AS (PARTITION BY strong_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) WHERE s < 3000 AND e < 150"""
+
+
+@query("str4_stream_stop_rule", f"""
+  WITH t AS ({TAKEN_SQL})
+  SELECT 'accepted' AS output, strong_id, seq, shots, errors FROM t
+  UNION ALL SELECT 'budget', strong_id, NULL, CAST(GREATEST(3000 - SUM(shots), 0) AS BIGINT), CAST(GREATEST(150 - SUM(errors), 0) AS BIGINT) FROM t GROUP BY strong_id""")
 def _(fx):
     rows = fx.fx_stats.select("strong_id", "seq", "shots", "errors")
-    sink = feed(fx, rows, "seq", lambda s, out, check: sj.stream_stop_rule(s, 3000, 150, out, check))
-    return sj.results(fx.spark, sink, "accepted").select("strong_id", "seq")
+    sink, check = feed(fx, rows, "seq", lambda s, out, check: sj.stream_stop_rule(s, 3000, 150, out, check))
+    taken = sj.results(fx.spark, sink, "accepted").select(F.lit("accepted").alias("output"), "strong_id", "seq", "shots", "errors")
+    left = sj.budgets(fx.spark, check, 3000, 150)
+    return taken.unionByName(left.select(F.lit("budget").alias("output"), "strong_id", F.lit(None).cast("bigint").alias("seq"), F.col("shots_left").alias("shots"), F.col("errors_left").alias("errors")))
 
 
 @query("str5_stream_windowed_rounds", """
@@ -67,26 +74,32 @@ def _(fx):
     rounds = by_round.withColumn("ts", F.timestamp_add("SECOND", F.col("round_id"), start))
     # A row far in the future moves the watermark past every shot, which closes them.
     end = fx.spark.createDataFrame([(-1, 9, [])], "shot_id bigint, round_id int, dets array<int>").withColumn("ts", F.timestamp_add("DAY", F.lit(1), start))
-    sink = feed(
+    sink, _ = feed(
         fx, rounds.select("shot_id", "round_id", "dets", "ts").unionByName(end), "round_id",
         lambda s, out, check: sj.stream_windowed_rounds(s, 2, 3, "1 minute", 60_000, out, check),
     )
     return sj.results(fx.spark, sink, "windows").select("shot_id", "det", "win", "in_commit")
 
 
-@query("str6_stream_progress", f"""
-  SELECT t.strong_id, max_shots - s AS shots_left, COALESCE(max_errors - e, e) AS errors_left
-  FROM ({TASKS_SQL}) t JOIN (SELECT strong_id, CAST(SUM(shots) AS BIGINT) AS s, CAST(SUM(errors) AS BIGINT) AS e FROM fx_stats GROUP BY 1) x ON t.strong_id = x.strong_id""")
+@query("str6_stream_progress", ETA_SQL)
+def _(fx):
+    rows = fx.fx_stats.select("strong_id", "seq", "shots", "errors", "seconds")
+    _, check = feed(fx, rows, "seq", lambda s, out, check: sj.stream_progress(s, tasks(fx), 4, out, check))
+    return sj.progress(fx.spark, check, tasks(fx), 4).withColumn("minutes_left", F.round("minutes_left", 6))
+
+
+@query("str6_progress_rows", f"SELECT strong_id, shots_left, errors_left, minutes_left FROM ({ETA_SQL})")
 def _(fx):
+    # The rows that the batches wrote, the last one of each task.
     rows = fx.fx_stats.select("strong_id", "seq", "shots", "errors", "seconds")
-    sink = feed(fx, rows, "seq", lambda s, out, check: sj.stream_progress(s, tasks(fx), 4, out, check))
-    return sj.latest(fx.spark, sink, "status", ["strong_id"]).drop("minutes_left")
+    sink, _ = feed(fx, rows, "seq", lambda s, out, check: sj.stream_progress(s, tasks(fx), 4, out, check))
+    return sj.latest(fx.spark, sink, "status", ["strong_id"]).withColumn("minutes_left", F.round("minutes_left", 6))
 
 
 @query("str7_stream_round_hits", "SELECT date_trunc('hour', ts) AS window_start, CAST(user_id % 24 AS INT) AS det, COUNT(*) AS n FROM events GROUP BY 1, 2".replace("date_trunc('hour', ts)", "strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S')"))
 def _(fx):
     hits = fx.events.select(F.col("ts").cast("timestamp").alias("ts"), (F.col("user_id") % 24).cast("int").alias("det"))
-    sink = feed(fx, hits, "ts", lambda s, out, check: sj.stream_round_hits(s, 60, "2 hours", out, check))
+    sink, _ = feed(fx, hits, "ts", lambda s, out, check: sj.stream_round_hits(s, 60, "2 hours", out, check))
     counts = sj.latest(fx.spark, sink, "counts", ["window_start", "det"])
     return counts.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
 

@@ -1,33 +1,44 @@
 """Structured Streaming jobs.
 
 Jobs without cross-row order run the batch operators on each micro-batch and replace the folder of that
-batch id, so a repeated batch leaves one result. Running totals use Spark's own stateful aggregation; only
-the round buffer needs a custom state handler.
+batch id, so a repeated batch leaves one result. Running totals use Spark's own stateful aggregation, whose current
+values are read from the state store and not from what the batches wrote. The stop rule keeps a budget a task in keyed state,
+the round buffer the open windows of a shot.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import events as ev
 from ..operators import stats as st
 from ..operators import windows as wn
+from ..shipping import ship
+
+#: Keyed state with several variables needs this store.
+KEYED_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
 
 def run_available(
     stream: DataFrame, outputs: Callable[[DataFrame, int], dict[str, DataFrame]], sink: str, checkpoint: str, mode: str = "append",
-    reread: bool = False,
+    reread: bool = False, conf: dict[str, str] | None = None,
 ) -> None:
     """Process what has arrived, one result folder per output and batch id, and stop; the checkpoint resumes.
 
-    ``reread`` keeps a batch that its outputs scan several times, so the stream's plan runs once.
+    ``reread`` keeps a batch that its outputs scan several times, so the stream's plan runs once. ``conf`` holds while the query runs;
+    the checkpoint remembers its state store.
     """
+    spark = stream.sparkSession
 
     def write(batch: DataFrame, batch_id: int) -> None:
         if reread:
@@ -37,8 +48,14 @@ def run_available(
         if reread:
             batch.unpersist()
 
-    q = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
+    before = {k: spark.conf.get(k, None) for k in conf or {}}
+    for k, v in (conf or {}).items():
+        spark.conf.set(k, v)
+    try:
+        stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def results(spark: SparkSession, sink: str, name: str) -> DataFrame:
@@ -47,12 +64,26 @@ def results(spark: SparkSession, sink: str, name: str) -> DataFrame:
 
 
 def latest(spark: SparkSession, sink: str, name: str, key: list[str]) -> DataFrame:
-    """Last row written per key."""
+    """Last row written per key. Reads all batches; for running totals see ``current_sums``."""
     rows = results(spark, sink, name)
     rest = [c for c in rows.columns if c not in (*key, "batch")]
     return rows.groupBy(*key).agg(F.max_by(F.struct(*rest), "batch").alias("_r")).select(*key, "_r.*")
 
 
+def current_sums(spark: SparkSession, checkpoint: str, names: list[str]) -> DataFrame:
+    """Keys and sums of a stream's aggregation as its state store holds them after the last batch.
+
+    The store has one row a key, so the cost does not grow with the number of batches. ``names`` are the sums in their order.
+    """
+    state = spark.read.format("statestore").load(checkpoint)
+    # Buffers of several sums share their names, so they are numbered first; some sums keep a second one that says whether they are empty.
+    keys, value = state.schema["key"].dataType.fieldNames(), state.schema["value"].dataType
+    numbered = T.StructType([T.StructField(f"_{i}", f.dataType) for i, f in enumerate(value.fields)])
+    sums = [f"_{i}" for i, f in enumerate(value.fields) if not f.name.lower().startswith("isempty")]
+    state = state.select("key", F.col("value").cast(numbered).alias("value"))
+    return state.select(*[F.col(f"key.{k}").alias(k) for k in keys], *[F.col(f"value.{c}").alias(n) for c, n in zip(sums, names, strict=True)])
+
+
 def stream_m2d(meas: DataFrame, det_def: DataFrame, expected: DataFrame | None, sink: str, checkpoint: str) -> None:
     """Detection events of a stream with one row per shot (shot_id, meas array); nothing crosses batches (STR1)."""
 
@@ -88,87 +119,152 @@ def stream_combine(stats: DataFrame, sink: str, checkpoint: str) -> None:
     run_available(_running_totals(stats), lambda batch, _: {"totals": batch}, sink, checkpoint, mode="update")
 
 
-def combined(spark: SparkSession, sink: str) -> DataFrame:
-    """Current totals of ``stream_combine`` as task statistics."""
-    rows = latest(spark, sink, "totals", ["strong_id", "name"])
+def combined(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """Current totals of ``stream_combine`` as task statistics, read from its state."""
+    sums = ["shots", "errors", "discards", "seconds"]
+    rows = current_sums(spark, checkpoint, [*sums, "n"]).toDF("strong_id", "name", *sums, "n")
     kept = F.when((F.col("name") != "") & (F.col("n") > 0), F.struct("name", "n"))
     return rows.groupBy("strong_id").agg(
-        *[F.sum(c).alias(c) for c in ("shots", "errors", "discards", "seconds")],
-        F.map_from_entries(F.array_sort(F.collect_list(kept))).alias("custom_counts"),
+        *[F.sum(c).alias(c) for c in sums], F.map_from_entries(F.array_sort(F.collect_list(kept))).alias("custom_counts"),
     )
 
 
-def stream_stop_rule(batches: DataFrame, max_shots: int, max_errors: int, sink: str, checkpoint: str) -> None:
-    """Accept each task's batches until a limit is met and ignore the rest (STR4).
+#: Rows of one task, packed: totals first, so that a block whose rows all fit, or none, is never looked into.
+BLOCK = "strong_id string, shots bigint, errors bigint, seqs array<bigint>, each_shots array<bigint>, each_errors array<bigint>"
+BLOCK_ROWS = 4096
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (strong_id, seq, shots, errors) of each arriving batch as one block a task, sums added up."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch]).group_by("strong_id", use_threads=False).aggregate([
+            ("shots", "sum"), ("errors", "sum"), ("seq", "list"), ("shots", "list"), ("errors", "list"),
+        ])
+        names = ["strong_id", "shots_sum", "errors_sum", "seq_list", "shots_list", "errors_list"]
+        ready = table.select(names).rename_columns(["strong_id", "shots", "errors", "seqs", "each_shots", "each_errors"])
+        for chunk in ready.to_batches(max_chunksize=BLOCK_ROWS):
+            yield chunk.cast(_BLOCK_ARROW)
+
+
+_BLOCK_ARROW = pa.schema([("strong_id", pa.string()), ("shots", pa.int64()), ("errors", pa.int64()), *[(c, pa.list_(pa.int64())) for c in ("seqs", "each_shots", "each_errors")]])
+
+
+class StopRule(StatefulProcessor):
+    """Used budget of one task as value state; accepts rows in order of ``seq`` while both limits are unmet.
 
-    The used budget of every task is a small table carried from one batch to the next; inside a batch the
-    running sums are distributed, so one task may hold most of the input.
+    A task whose arriving sums all stay below its limits takes everything unsorted, one that has met a limit takes nothing. Only the batch in
+    which a limit is met looks at single rows, as number arrays, and that happens once in the life of a task.
     """
 
-    def accept(batch: DataFrame, batch_id: int) -> dict[str, DataFrame]:
-        spark = batch.sparkSession
-        first = batch.groupBy("strong_id").agg((F.min("seq") - 1).alias("seq"))
-        if batch_id == 0:
-            used = None
-            rows = batch
-        else:
-            used = spark.read.parquet(f"{sink}/used/batch={batch_id - 1}")
-            # What a task used before enters its running sums as one leading row.
-            lead = first.join(used, "strong_id").select("strong_id", "seq", "shots", "errors", F.lit(True).alias("_lead"))
-            rows = batch.withColumn("_lead", F.lit(False)).unionByName(lead)
-        taken = wn.limit_collection(rows, max_shots, max_errors)
-        if used is not None:
-            taken = taken.filter("NOT _lead").drop("_lead")
-        spent = taken.groupBy("strong_id").agg(F.sum("shots").alias("shots"), F.sum("errors").alias("errors"))
-        both = spent if used is None else used.unionByName(spent)
-        now = both.groupBy("strong_id").agg(F.sum("shots").alias("shots"), F.sum("errors").alias("errors"))
-        return {"accepted": taken, "used": now}
-
-    run_available(batches, accept, sink, checkpoint, reread=True)
-
-
-def _complete_windows(shot: int, start: int, top: int, held: list, commit: int, window: int, close: bool) -> tuple[int, list, list]:
-    """Rows of the windows that are complete (all that hold hits, when closing), and what stays buffered."""
-    out = []
-    while held if close else top >= start + window - 1:
-        out += [(shot, d, start // commit, r < start + commit, False) for r, d in held if r < start + window]
-        start += commit
-        held = [(r, d) for r, d in held if r >= start]
-    return start, held, out
+    def __init__(self, max_shots: int | None, max_errors: int | None):
+        self.most = tuple(np.iinfo(np.int64).max if m is None else m for m in (max_shots, max_errors))
+
+    def init(self, handle) -> None:
+        self.used = handle.getValueState("used", "shots bigint, errors bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        old = self.used.get()
+        shots, errors = (0, 0) if old is None else (int(old[0]), int(old[1]))
+        if shots >= self.most[0] or errors >= self.most[1]:
+            for _ in rows:
+                pass
+            yield self._row(key, [], [], [], shots, errors)
+            return
+        blocks = pd.concat(list(rows), ignore_index=True)
+        columns = [np.concatenate([np.asarray(x, np.int64) for x in blocks[c]]) for c in ("seqs", "each_shots", "each_errors")]
+        s, e = shots + int(blocks["shots"].sum()), errors + int(blocks["errors"].sum())
+        if s >= self.most[0] or e >= self.most[1]:
+            order = np.argsort(columns[0], kind="stable")
+            columns = [c[order] for c in columns]
+            before = [start + np.cumsum(c) - c for start, c in zip((shots, errors), columns[1:], strict=True)]
+            taken = int(np.argmin(np.append((before[0] < self.most[0]) & (before[1] < self.most[1]), False)))
+            columns = [c[:taken] for c in columns]
+            s, e = shots + int(columns[1].sum()), errors + int(columns[2].sum())
+        self.used.update((s, e))
+        yield self._row(key, *columns, s, e)
+
+    def _row(self, key, seqs, shots, errors, s: int, e: int) -> pd.DataFrame:
+        return pd.DataFrame({
+            "strong_id": [key[0]], "seqs": [list(seqs)], "each_shots": [list(shots)], "each_errors": [list(errors)], "shots_used": [s], "errors_used": [e],
+        })
+
+    def close(self) -> None:
+        pass
+
+
+def stream_stop_rule(batches: DataFrame, max_shots: int | None, max_errors: int | None, sink: str, checkpoint: str) -> None:
+    """Accept each task's batches (strong_id, seq, shots, errors) until a limit is met and ignore the rest (STR4).
+
+    Writes ``accepted`` rows and, for every task that a batch touched, its remaining ``budgets``. Rows are packed into blocks with their sums where
+    they arrive, before the shuffle. A task's rows of one trigger meet in one place, as arrays of numbers; the source's
+    maxFilesPerTrigger or maxBytesPerTrigger bounds them.
+    """
+    ship(batches.sparkSession)
+    packed = batches.select(*[F.col(c).cast(t).alias(c) for c, t in (("strong_id", "string"), ("seq", "bigint"), ("shots", "bigint"), ("errors", "bigint"))]).mapInArrow(_pack, BLOCK)
+    schema = "strong_id string, seqs array<bigint>, each_shots array<bigint>, each_errors array<bigint>, shots_used bigint, errors_used bigint"
+    ruled = packed.groupBy("strong_id").transformWithStateInPandas(StopRule(max_shots, max_errors), schema, "update", "none")
+
+    def split(batch: DataFrame, _: int) -> dict[str, DataFrame]:
+        row = F.explode(F.arrays_zip(F.col("seqs").alias("seq"), F.col("each_shots").alias("shots"), F.col("each_errors").alias("errors")))
+        return {"accepted": batch.select("strong_id", row.alias("r")).select("strong_id", "r.*"), "budgets": budget_left(batch.select("strong_id", "shots_used", "errors_used"), max_shots, max_errors)}
+
+    run_available(ruled, split, sink, checkpoint, mode="update", reread=True, conf=KEYED_STORE)
+
+
+def budget_left(used: DataFrame, max_shots: int | None, max_errors: int | None) -> DataFrame:
+    """(strong_id, shots_left, errors_left): never below 0, NULL without a limit."""
+    left = [F.greatest(F.lit(m).cast("bigint") - F.col(u), F.lit(0).cast("bigint")) if m is not None else F.lit(None).cast("bigint") for m, u in ((max_shots, "shots_used"), (max_errors, "errors_used"))]
+    return used.select("strong_id", left[0].alias("shots_left"), left[1].alias("errors_left"))
+
+
+def budgets(spark: SparkSession, checkpoint: str, max_shots: int | None, max_errors: int | None) -> DataFrame:
+    """Remaining budget of every task that ``stream_stop_rule`` has seen, read from its state."""
+    state = spark.read.format("statestore").option("stateVarName", "used").load(checkpoint)
+    return budget_left(state.select("key.strong_id", F.col("value.shots").alias("shots_used"), F.col("value.errors").alias("errors_used")), max_shots, max_errors)
 
 
 def stream_windowed_rounds(rounds: DataFrame, commit: int, window: int, delay: str, patience_ms: int, sink: str, checkpoint: str) -> None:
     """Emit each shot's windows as its rounds complete; a round older than the committed ones goes to ``late`` (STR5).
 
     ``rounds(shot_id, round_id, dets array, ts)``. A shot is closed ``patience_ms`` after its last round in
-    event time. State per shot is what one window can hold.
+    event time. Windows are numbered in columns before the state (WIN7); the state of a shot is its open windows' hits as arrays, filtered at once.
     """
 
     def buffer(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        shot = int(key[0])
-        start, top, rounds_held, dets_held = state.get if state.exists else (0, -1, [], [])
-        held = list(zip(rounds_held, dets_held))
+        done, top, *held = state.get if state.exists else (0, -1, [], [], [])
+        held = [np.asarray(h, kind) for h, kind in zip(held, (np.int64, np.int64, bool), strict=True)]
+        late = np.zeros(0, np.int64)
         if state.hasTimedOut:
-            out = _complete_windows(shot, start, top, held, commit, window, True)[2]
+            closed = np.ones(len(held[0]), bool)
             state.remove()
         else:
-            late, last = [], 0
-            for pdf in batches:
-                for r, dets, at in zip(pdf["round_id"], pdf["dets"], pdf["ts"]):
-                    top, last = max(top, int(r)), max(last, int(at.timestamp() * 1000))
-                    if r < start:
-                        late += [(shot, int(d), -1, False, True) for d in dets]
-                    else:
-                        held += [(int(r), int(d)) for d in dets]
-            start, held, out = _complete_windows(shot, start, top, held, commit, window, False)
-            out = late + out
-            state.update((start, top, [r for r, _ in held], [d for _, d in held]))
-            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs() + 1) + patience_ms)
-        if out:
-            yield pd.DataFrame(out, columns=["shot_id", "det", "win", "in_commit", "late"])
-
-    out = rounds.withWatermark("ts", delay).groupBy("shot_id").applyInPandasWithState(
-        buffer, "shot_id bigint, det int, win int, in_commit boolean, late boolean", "start int, top int, rounds array<int>, dets array<int>",
+            new = pd.concat(list(batches), ignore_index=True)
+            dets = [np.asarray(d, np.int64) if d is not None else late for d in new["dets"]]
+            at = np.repeat(np.arange(len(new)), [len(d) for d in dets])
+            det = np.concatenate(dets) if dets else late
+            round_id, win = new["round_id"].to_numpy(np.int64), new["win"].fillna(-1).to_numpy(np.int64)
+            behind = (round_id < done * commit)[at]
+            late = det[behind & new["last"].to_numpy(bool)[at]]
+            fresh = ~behind & (win[at] >= done)
+            held = [np.concatenate([h, x[fresh]]) for h, x in zip(held, (win[at], det, new["in_commit"].fillna(False).to_numpy(bool)[at]), strict=True)]
+            top = max(top, int(round_id.max()))
+            done = max(done, (top - window + 1) // commit + 1)
+            closed = held[0] < done
+            state.update((done, top, *[h[~closed].tolist() for h in held]))
+            state.setTimeoutTimestamp(max(int(new["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs() + 1) + patience_ms)
+        win, det, flag = (h[closed] for h in held)
+        if len(win) + len(late):
+            yield pd.DataFrame({
+                "shot_id": int(key[0]), "det": np.concatenate([late, det]), "win": np.concatenate([np.full(len(late), -1), win]),
+                "in_commit": np.concatenate([np.zeros(len(late), bool), flag]), "late": np.arange(len(late) + len(win)) < len(late),
+            })
+
+    # Every row of a round is copied to the windows that cover it; ``last`` marks one of the copies.
+    numbered = wn.covering_windows(rounds, commit, window, outer=True).withColumn("last", F.coalesce(F.col("win") == F.floor(F.col("round_id") / commit), F.lit(True)))
+    out = numbered.withWatermark("ts", delay).groupBy("shot_id").applyInPandasWithState(
+        buffer, "shot_id bigint, det int, win int, in_commit boolean, late boolean", "done int, top int, wins array<int>, dets array<int>, flags array<boolean>",
         "append", GroupStateTimeout.EventTimeTimeout,
     )
     split = lambda batch, _: {"windows": batch.filter("NOT late").drop("late"), "late": batch.filter("late").select("shot_id", "det")}
@@ -186,6 +282,12 @@ def stream_progress(stats: DataFrame, tasks: DataFrame, workers: int, sink: str,
     run_available(sums, status, sink, checkpoint, mode="update")
 
 
+def progress(spark: SparkSession, checkpoint: str, tasks: DataFrame, workers: int) -> DataFrame:
+    """Current status of every task that ``stream_progress`` has seen, from the sums in its state."""
+    sums = current_sums(spark, checkpoint, ["shots", "errors", "seconds"]).toDF("strong_id", "shots", "errors", "seconds")
+    return st.progress_eta(tasks.join(sums.select("strong_id"), "strong_id", "left_semi"), sums, workers)
+
+
 def stream_round_hits(hits: DataFrame, minutes: int, delay: str, sink: str, checkpoint: str) -> None:
     """Detection events per detector and tumbling window of event time (STR7)."""
     counts = hits.withWatermark("ts", delay).groupBy(F.window("ts", f"{minutes} minutes").alias("w"), "det").agg(F.count("*").alias("n"))

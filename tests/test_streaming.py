@@ -1,5 +1,8 @@
 """Streams against their batch form, across resumed runs."""
 
+import random
+import shutil
+
 from pyspark.sql import functions as F
 
 from parityspark.operators import stats as st
@@ -17,7 +20,7 @@ def test_running_totals_resume_without_counting_twice(spark, tmp_path):
         sj.stream_combine(spark.readStream.schema(STATS).parquet(src), sink, check)
     want = st.fold_stats(spark.createDataFrame(data, STATS))
     show = lambda df: sorted((r.strong_id, r.shots, r.errors, r.seconds, r.custom_counts) for r in df.collect())
-    assert show(sj.combined(spark, sink)) == show(want)
+    assert show(sj.combined(spark, check)) == show(want)
 
 
 def test_late_rounds_go_to_their_own_output(spark, tmp_path):
@@ -34,3 +37,49 @@ def test_late_rounds_go_to_their_own_output(spark, tmp_path):
     windows = sorted((r.win, r.det, r.in_commit) for r in sj.results(spark, sink, "windows").collect())
     assert late == [(1, 2)]
     assert windows == [(0, 3, True), (0, 7, True), (0, 9, False), (1, 9, True), (1, 13, True)]
+
+
+def run_stop_rule(spark, tmp_path, parts, most):
+    src, sink, check = (str(tmp_path / x) for x in ("in", "out", "check"))
+    schema = "strong_id string, seq bigint, shots bigint, errors bigint"
+    for part in parts:
+        spark.createDataFrame(part, schema).repartition(3).write.mode("append").parquet(src)
+        sj.stream_stop_rule(spark.readStream.schema(schema).parquet(src), *most, sink, check)
+    return sink, check
+
+
+def test_stop_rule_takes_rows_in_order_and_tells_what_is_left(spark, tmp_path):
+    rng = random.Random(11)
+    rows = [(k, i, rng.randrange(0, 30), rng.randrange(0, 3)) for i in range(600) for k in ("hot", "hot", "b", f"t{i % 7}") if rng.random() < 0.5]
+    rows = [(k, n, s, e) for n, (k, _, s, e) in enumerate(rows)]
+    parts = [rows[:250], rows[250:260], rows[260:]]
+    for most in ((900, 60), (None, 25), (10**9, None)):
+        home = tmp_path / f"limits-{most[0]}-{most[1]}"
+        sink, check = run_stop_rule(spark, home, parts, most)
+        want, used = [], {}
+        for part in parts:
+            for k, n, s, e in part:
+                a, b = used.get(k, (0, 0))
+                if (most[0] is None or a < most[0]) and (most[1] is None or b < most[1]):
+                    want.append((k, n, s, e))
+                    a, b = a + s, b + e
+                used[k] = (a, b)
+        assert sorted((r.strong_id, r.seq, r.shots, r.errors) for r in sj.results(spark, sink, "accepted").collect()) == sorted(want)
+        left = {k: tuple(None if m is None else max(0, m - u) for m, u in zip(most, v)) for k, v in used.items()}
+        for table in (sj.budgets(spark, check, *most), sj.latest(spark, sink, "budgets", ["strong_id"])):
+            assert {r.strong_id: (r.shots_left, r.errors_left) for r in table.collect()} == left
+
+
+def test_current_totals_do_not_read_the_batches(spark, tmp_path):
+    src, sink, check = (str(tmp_path / x) for x in ("in", "out", "check"))
+    data = [("a" if i % 3 else "b", "d", "{}", 10 + i, i % 4, 0, 1.0, {"k": i % 2}) for i in range(50)]
+    for i, row in enumerate(data):
+        spark.createDataFrame([row], STATS).coalesce(1).write.mode("append").parquet(f"{src}")
+    stream = spark.readStream.schema(STATS).option("maxFilesPerTrigger", 1).parquet(src)
+    sj.stream_combine(stream, sink, check)
+    shutil.rmtree(sink)  # 50 batches were written, none is needed
+    want = st.fold_stats(spark.createDataFrame(data, STATS))
+    show = lambda df: sorted((r.strong_id, r.shots, r.errors, r.seconds, r.custom_counts) for r in df.collect())
+    got = sj.combined(spark, check)
+    assert show(got) == show(want)
+    assert sj.current_sums(spark, check, ["shots", "errors", "discards", "seconds", "n"]).count() == 4
