@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import bits
 from ..functions import numeric as num
 from .parity import xor_reduce
+from .parity_sets import ParitySets
 
 # Joins in this module carry no broadcast hints: the planner broadcasts a side when its measured size is
 # below spark.sql.autoBroadcastJoinThreshold and shuffles (with skew splitting) when it is not.
@@ -19,13 +20,19 @@ def measurements_to_events(
     """Detection events: parity of the measurements in each definition, against the noiseless value (JN1).
 
     ``det_def(det, meas)`` lists each definition's measurements, ``expected(det, expect)`` the noiseless
-    parities. A definition without measurements can only fire where its expectation is 1.
+    parities. A definition without measurements can only fire where its expectation is 1. Jobs that count or mask
+    events take ``measured_events`` instead, which never unrolls the expected ones.
     """
-    fired = meas_hits.join(det_def, "meas").select("shot_id", out)
-    if expected is not None:
-        ones = expected.filter(F.col("expect") == 1).agg(F.collect_list(out).alias("ones"))
-        fired = fired.unionByName(shots.select("shot_id", F.explode(ones.scalar()).alias(out)))
-    return xor_reduce(fired, ["shot_id", out])
+    if expected is None:
+        return xor_reduce(meas_hits.join(det_def, "meas").select("shot_id", out), ["shot_id", out])
+    as_det = lambda df: df.withColumnRenamed(out, "det")
+    return measured_events(shots, meas_hits, as_det(det_def), as_det(expected)).rows().withColumnRenamed("det", out)
+
+
+def measured_events(shots: DataFrame, meas_hits: DataFrame, det_def: DataFrame, expected: DataFrame) -> ParitySets:
+    """Detection events as the detectors expected to fire and each shot's difference from them."""
+    fired = xor_reduce(meas_hits.join(det_def, "meas").select("shot_id", "det"), ["shot_id", "det"])
+    return ParitySets(shots.select("shot_id"), fired, expected.filter(F.col("expect") == 1).select("det").distinct())
 
 
 def apply_sweep(events: DataFrame, sweep_hits: DataFrame, sweep_effect: DataFrame) -> DataFrame:
@@ -128,17 +135,25 @@ def postselect_obs_mask(tasks: DataFrame, n_obs: int, expr: str) -> DataFrame:
     return chosen.groupBy("task_id").agg((mask if bits.words_for(n_obs) else F.coalesce(mask, F.lit(0).cast("long"))).alias("obs_mask"))
 
 
-def predict_discards(shots: DataFrame, hits: DataFrame, mask: DataFrame) -> DataFrame:
+def masked_shots(hits: DataFrame | ParitySets, mask: DataFrame) -> DataFrame:
+    """Shots in which a masked detector fired."""
+    return hits.within(mask).any() if isinstance(hits, ParitySets) else hits.join(mask, "det", "left_semi").select("shot_id").distinct()
+
+
+def predict_discards(shots: DataFrame, hits: DataFrame | ParitySets, mask: DataFrame) -> DataFrame:
     """One boolean per shot: did any masked detector fire (FLT4)?"""
-    bad = hits.join(mask, "det", "left_semi").select("shot_id").distinct().withColumn("_bad", F.lit(True))
+    bad = masked_shots(hits, mask).withColumn("_bad", F.lit(True))
     return shots.select("shot_id").join(bad, "shot_id", "left").select(
         "shot_id", F.coalesce("_bad", F.lit(False)).alias("discarded")
     )
 
 
-def postselect_shots(shots: DataFrame, hits: DataFrame, mask: DataFrame) -> dict[str, DataFrame]:
-    """Split shots and hits into kept and dropped (FLT5)."""
-    bad = hits.join(mask, "det", "left_semi").select("shot_id").distinct()
+def postselect_shots(shots: DataFrame, hits: DataFrame | ParitySets, mask: DataFrame) -> dict[str, DataFrame | ParitySets]:
+    """Split shots and hits into kept and dropped (FLT5); parity sets stay parity sets."""
+    bad = masked_shots(hits, mask)
+    if isinstance(hits, ParitySets):
+        kept, dropped = shots.join(bad, "shot_id", "left_anti"), shots.join(bad, "shot_id", "left_semi")
+        return {"kept_shots": kept, "dropped_shots": dropped, "kept_hits": hits.of(kept), "dropped_hits": hits.of(dropped)}
     return {
         "kept_shots": shots.join(bad, "shot_id", "left_anti"),
         "dropped_shots": shots.join(bad, "shot_id", "left_semi"),
@@ -209,9 +224,9 @@ def unmatched_bases(outer: DataFrame, inner: DataFrame) -> DataFrame:
     return lone.unionByName(twice)
 
 
-def count_detection_events(hits: DataFrame, shots: DataFrame, n_det: int) -> DataFrame:
+def count_detection_events(hits: DataFrame | ParitySets, shots: DataFrame, n_det: int) -> DataFrame:
     """Detection events, detectors checked and their ratio, over all shots before discarding (AGG7)."""
-    events = hits.agg(F.count("*").alias("n"))
+    events = hits.total() if isinstance(hits, ParitySets) else hits.agg(F.count("*").alias("n"))
     return shots.agg(
         F.first(events.scalar()).alias("detection_events"), (F.count("*") * n_det).alias("detectors_checked")
     ).withColumn(
@@ -219,8 +234,10 @@ def count_detection_events(hits: DataFrame, shots: DataFrame, n_det: int) -> Dat
     )
 
 
-def hits_per_shot(hits: DataFrame, shots: DataFrame) -> DataFrame:
+def hits_per_shot(hits: DataFrame | ParitySets, shots: DataFrame) -> DataFrame:
     """Hamming weight of every shot, 0 included."""
+    if isinstance(hits, ParitySets):
+        return hits.sizes().withColumnRenamed("n", "hw")
     # Sum markers over the union instead of an outer join: one shuffle, combined map-side.
     return (
         hits.select("shot_id", F.lit(1).alias("_h"), F.lit(0).alias("_s"))

@@ -15,6 +15,7 @@ from ..lineage import cut, drop
 from .events import pair_hits_on_edges
 from .model import component_edges, merge_parallel_edges, observable_count
 from .parity import xor_probability, xor_reduce
+from .parity_sets import ParitySets
 
 
 # ---- construction -------------------------------------------------------------------------------
@@ -120,10 +121,8 @@ def normalize_negative_edges(edges: DataFrame) -> dict[str, DataFrame]:
 
 
 def toggle_base_hits(shots: DataFrame, hits: DataFrame, base_hits: DataFrame) -> DataFrame:
-    """XOR the toggled nodes into every shot; the list is bounded by the graph, so each shot carries it once."""
-    nodes = base_hits.agg(F.collect_list("det")).scalar()
-    flips = shots.select("shot_id", F.explode(nodes).alias("det"))
-    return xor_reduce(hits.select("shot_id", "det").unionByName(flips), ["shot_id", "det"])
+    """XOR the toggled nodes into every shot, as rows; ``ParitySets`` counts and masks without them."""
+    return ParitySets(shots.select("shot_id"), hits.select("shot_id", "det"), base_hits.select("det")).rows()
 
 
 def to_graph_tables(edges: DataFrame, boundary_node: int) -> dict[str, DataFrame]:

@@ -15,6 +15,7 @@ from ..operators import graph as gr
 from ..operators import model as md
 from ..operators import stats as st
 from ..operators import windows as wn
+from ..operators.parity_sets import ParitySets
 from ..sources import shots as sh
 from ..sources import stats_csv as sc
 from ..sources import text_models as tm
@@ -37,16 +38,14 @@ def model_tables(lines: DataFrame) -> dict[str, DataFrame]:
 def model_paths(errors: DataFrame, targets: DataFrame, n_obs: int | None = None) -> dict[str, DataFrame]:
     """Matching edges with integer weights of one sign, the shortest paths between their nodes, and what the sign change adds.
 
-    ``base`` has one row: the detectors every shot toggles, and the weight, observables and scale of every solution.
+    ``toggles`` are the detectors that every shot toggles; ``base`` has one row with the weight, observables and scale of every solution.
     """
     edges = cut(md.quantize_weights(md.edges_from_model(errors, targets, n_obs), WEIGHT_LEVELS).select("u", "v", F.col("q").alias("w"), "obs_mask", "scale"), "quantised")
     even = gr.normalize_negative_edges(edges)
     graph = cut(even["edges"].select("u", F.coalesce("v", F.lit(BOUNDARY)).alias("v"), "w", "obs_mask"), "edges")
-    # At most one detector for each node of the model.
-    flips = even["base_hits"].agg(F.array_sort(F.collect_list(F.col("det").cast("int"))).alias("flips"))
     scale = edges.agg(F.coalesce(F.max("scale"), F.lit(1.0)))
-    base = even["base"].select("base_w", "base_obs", flips.scalar().alias("flips"), scale.scalar().alias("scale"))
-    return {"edges": graph, "paths": gr.matching_paths(graph, BOUNDARY), "base": cut(base, "base")}
+    base = even["base"].select("base_w", "base_obs", scale.scalar().alias("scale"))
+    return {"edges": graph, "toggles": cut(even["base_hits"].select(F.col("det").cast("int").alias("det")), "toggles"), "paths": gr.matching_paths(graph, BOUNDARY), "base": cut(base, "base")}
 
 
 def predict(
@@ -68,16 +67,12 @@ def predict(
     else:
         dropped = shots.limit(0)
     model = model_paths(tables["errors"], tables["targets"], max(layout.n_obs, md.observable_count(tables["targets"])))
-    flips, base_obs, base_w, scale = model["base"].select("flips", "base_obs", "base_w", "scale").first()
-    per_shot = dc.shot_syndromes(hits)
-    if flips:
-        toggled = F.array(*[F.lit(d) for d in flips])
-        key = F.coalesce("key", F.array().cast("array<int>"))
-        per_shot = shots.select("shot_id").join(per_shot, "shot_id", "left").select(
-            "shot_id", F.array_sort(F.concat(F.array_except(key, toggled), F.array_except(toggled, key))).alias("key")
-        ).filter(F.size("key") > 0)
-    per_shot = cut(per_shot, "syndromes")
-    solved = dc.predictions(shots, per_shot, dc.decode(dc.distinct_syndromes(per_shot), model["paths"], BOUNDARY))
+    base_obs, base_w, scale = model["base"].select("base_obs", "base_w", "scale").first()
+    per_shot = cut(dc.shot_syndromes(hits), "syndromes")
+    if model["toggles"].isEmpty():
+        solved = dc.predictions(shots, per_shot, dc.decode(dc.distinct_syndromes(per_shot), model["paths"], BOUNDARY))
+    else:
+        solved = _toggled_predictions(shots, per_shot, model["toggles"], model["paths"])
     m = bits.Masks.of(solved, "pred_mask")
     found = solved.select(
         "shot_id", F.when(F.col("pred_mask").isNotNull(), m.xor(F.col("pred_mask"), m.value(base_obs))).alias("pred_mask"), ((F.col("w") + base_w) / scale).alias("w"), "reason"
@@ -85,6 +80,24 @@ def predict(
     return {"predictions": found, "discards": dropped.select("shot_id")}
 
 
+def _toggled_predictions(shots: DataFrame, per_shot: DataFrame, toggles: DataFrame, paths: DataFrame) -> DataFrame:
+    """Predictions where every shot toggles the same detectors: only distinct syndromes are toggled, never shots."""
+    nothing = F.array().cast("array<int>")
+    known = dc.distinct_syndromes(per_shot).select("key").unionByName(shots.sparkSession.range(1).select(nothing.alias("key")))
+    named = cut(known.withColumn("shot_id", F.monotonically_increasing_id()), "recorded-keys")
+    sets = ParitySets(named.select("shot_id"), named.select("shot_id", F.explode("key").alias("det")), toggles)
+    true_keys = cut(named.join(dc.shot_syndromes(sets.rows()).withColumnRenamed("key", "true_key"), "shot_id", "left").select("key", "true_key"), "true-keys")
+    decoded = dc.decode(true_keys.filter("true_key IS NOT NULL").select(F.col("true_key").alias("key")), paths, BOUNDARY).withColumnRenamed("key", "true_key")
+    zero = bits.Masks.of(decoded, "obs").zero()
+    # A syndrome that the toggles cancel has nothing to match.
+    whole = true_keys.join(decoded, "true_key", "left").select(
+        "key", F.when(F.col("true_key").isNull(), F.lit(0.0)).otherwise(F.col("w")).alias("w"), F.when(F.col("true_key").isNull(), zero).otherwise(F.col("obs")).alias("obs"),
+        F.when(F.col("true_key").isNull(), "empty").otherwise(F.col("reason")).alias("reason"),
+    )
+    every = shots.select("shot_id").join(per_shot, "shot_id", "left").select("shot_id", F.coalesce("key", nothing).alias("key"))
+    return dc.predictions(shots, every, whole)
+
+
 def count_mistakes(
     spark: SparkSession, path: str, fmt: str, layout: sh.Layout, actual: DataFrame, model_lines: DataFrame
 ) -> DataFrame:

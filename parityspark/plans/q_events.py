@@ -38,9 +38,16 @@ def mask(fx):
     return fx.fx_det.filter("post_flag = 1").select("det")
 
 
+def expected(fx):
+    return fx.fx_det.select("det", F.col("post_flag").alias("expect"))
+
+
 def events(fx):
-    expected = fx.fx_det.select("det", F.col("post_flag").alias("expect"))
-    return ev.measurements_to_events(fx.fx_shots, fx.fx_meas, fx.fx_det_def, expected)
+    return ev.measurements_to_events(fx.fx_shots, fx.fx_meas, fx.fx_det_def, expected(fx))
+
+
+def event_sets(fx):
+    return ev.measured_events(fx.fx_shots, fx.fx_meas, fx.fx_det_def, expected(fx))
 
 
 def scored(fx, postmask=2):
@@ -51,7 +58,7 @@ def scored(fx, postmask=2):
 
 def failed_shots(fx):
     """How many shots failed, and how many were postselected away, starting from raw measurements."""
-    bad = ev.predict_discards(fx.fx_shots, events(fx), mask(fx)).filter("discarded")
+    bad = ev.predict_discards(fx.fx_shots, event_sets(fx), mask(fx)).filter("discarded")
     return ev.count_mistakes(
         ev.score_predictions(fx.fx_shots.select("shot_id", "pred_mask"), fx.fx_shots.select("shot_id", "obs_mask"), 0, bad)
     )
@@ -130,6 +137,17 @@ def _(fx):
     return ev.count_detection_events(fx.fx_hits, fx.fx_shots, 24)
 
 
+@query("agg7_complement", f"""
+  SELECT n AS detection_events, c AS detectors_checked, n / c AS detection_fraction FROM (SELECT (SELECT COUNT(*) FROM ({EVENTS_SQL})) AS n, (SELECT COUNT(*) * 24 FROM fx_shots) AS c)""")
+def _(fx):
+    return ev.count_detection_events(event_sets(fx), fx.fx_shots, 24)
+
+
+@query("agg7_complement_weights", f"SELECT s.shot_id, COUNT(e.det) AS hw FROM fx_shots s LEFT JOIN ({EVENTS_SQL}) e ON e.shot_id = s.shot_id GROUP BY 1")
+def _(fx):
+    return ev.hits_per_shot(event_sets(fx), fx.fx_shots)
+
+
 @query("agg8_count_mistake_combos", f"""
   SELECT CONCAT('obs_mistake_mask=', CASE WHEN (mistake_mask & 1) <> 0 THEN 'E' ELSE '_' END,
                 CASE WHEN (mistake_mask & 2) <> 0 THEN 'E' ELSE '_' END) AS combo, COUNT(*) AS n
@@ -234,6 +252,24 @@ def _(fx):
     return ev.predict_discards(fx.fx_shots, fx.fx_hits, mask(fx))
 
 
+@query("flt4_complement", f"""
+  WITH e AS ({EVENTS_SQL}) SELECT s.shot_id, EXISTS (SELECT 1 FROM e JOIN fx_det d USING (det) WHERE d.round_id = 2 AND e.shot_id = s.shot_id) AS discarded FROM fx_shots s""")
+def _(fx):
+    return ev.predict_discards(fx.fx_shots, event_sets(fx), fx.fx_det.filter("round_id = 2").select("det"))
+
+
+@query("flt5_complement", f"""
+  WITH e AS ({EVENTS_SQL}), x AS (SELECT shot_id, det FROM (SELECT * FROM e UNION ALL SELECT shot_id, det FROM fx_hits) GROUP BY 1, 2 HAVING COUNT(*) % 2 = 1),
+  bad AS (SELECT DISTINCT x.shot_id FROM x JOIN fx_det d USING (det) WHERE d.round_id = 2)
+  SELECT shot_id, det, shot_id NOT IN (SELECT shot_id FROM bad) AS kept FROM x WHERE shot_id IN (SELECT shot_id FROM fx_shots)""")
+def _(fx):
+    # Events with a second set of hits toggled in, split and only then unrolled.
+    sets = event_sets(fx).xor(fx.fx_hits)
+    parts = ev.postselect_shots(fx.fx_shots.select("shot_id"), sets, fx.fx_det.filter("round_id = 2").select("det"))
+    out = lambda name, kept: parts[name].rows().select("shot_id", "det", F.lit(kept).alias("kept"))
+    return out("kept_hits", True).unionByName(out("dropped_hits", False))
+
+
 @query("flt5_postselect_shots", """
   WITH bad AS (SELECT DISTINCT h.shot_id FROM fx_hits h JOIN fx_det d USING (det) WHERE d.post_flag = 1)
   SELECT 'hit' AS row_type, h.shot_id, h.det AS val, h.shot_id NOT IN (SELECT shot_id FROM bad) AS kept FROM fx_hits h

@@ -448,3 +448,49 @@ def test_two_level_renumbering(spark):
     hits = spark.createDataFrame([(0, d) for d in range(4)], "shot_id bigint, det int")
     got = rows(ev.route_two_level(hits, det, base, 2, 1, 2).select("det", "stream", "idx"), "det")
     assert got == [(0, "inner", 0), (1, "outer", 1), (2, "inner", 3), (3, "outer", 3)]
+
+
+def test_parity_sets_agree_with_their_rows(spark):
+    from parityspark.operators.parity_sets import ParitySets
+
+    rng = random.Random(2)
+    shots = spark.createDataFrame([(i,) for i in range(40)], "shot_id bigint")
+    draw = lambda p: {(s, d) for s in range(30) for d in range(12) if rng.random() < p}
+    for base in ([], [3], list(range(0, 12, 2)), list(range(12))):
+        one, two = draw(0.2), draw(0.1)
+        frame = lambda x: spark.createDataFrame(sorted(x), "shot_id bigint, det int")
+        sets = ParitySets(shots, frame(one), spark.createDataFrame([(d,) for d in base], "det int")).xor(frame(two))
+        want = {(s, d) for s in range(40) for d in range(12) if ((s, d) in one) ^ ((s, d) in two) ^ (d in base)}
+        assert rows(sets.rows(), "shot_id", "det") == sorted(want)
+        assert sets.total().first().n == len(want)
+        assert {r.shot_id: r.n for r in sets.sizes().collect()} == {s: sum(x == s for x, _ in want) for s in range(40)}
+        mask = spark.createDataFrame([(1,), (2,), (99,)], "det int")
+        assert {r.shot_id for r in sets.within(mask).any().collect()} == {s for s, d in want if d in (1, 2)}
+        assert rows(sets.of(shots.filter("shot_id < 5")).rows(), "shot_id", "det") == sorted(x for x in want if x[0] < 5)
+
+
+def test_toggled_predictions_cover_shots_without_hits_and_cancelled_ones(spark):
+    from parityspark.plans import jobs
+
+    lines = ["error(0.8) D0 D1 L0", "error(0.1) D0 L1", "error(0.1) D1", "error(0.05) D2 L2", "error(0.2) D1 D2"]
+    model = spark.createDataFrame([(0, i, x) for i, x in enumerate(lines)], "model_id int, seq bigint, line string")
+    tables = jobs.model_tables(model)
+    paths = jobs.model_paths(tables["errors"], tables["targets"])
+    base_obs, base_w = paths["base"].select("base_obs", "base_w").first()
+    shots = spark.range(5).withColumnRenamed("id", "shot_id")
+    hits = spark.createDataFrame([(1, 0), (2, 0), (2, 1), (3, 2), (4, 0), (4, 1), (4, 2)], "shot_id bigint, det int")
+    got = {r.shot_id: r for r in jobs._toggled_predictions(shots, dc.shot_syndromes(hits), paths["toggles"], paths["paths"]).collect()}
+    probs = [(0.8, {0, 1}, 1), (0.1, {0}, 2), (0.1, {1}, 0), (0.05, {2}, 4), (0.2, {1, 2}, 0)]
+    for shot in range(5):
+        want = {r.det for r in hits.filter(F.col("shot_id") == shot).collect()}
+        best = None
+        for pick in itertools.product((0, 1), repeat=5):
+            flips, obs, p = set(), 0, 1.0
+            for on, (q, dets, o) in zip(pick, probs):
+                p *= q if on else 1 - q
+                if on:
+                    flips, obs = flips ^ dets, obs ^ o
+            if flips == want and (best is None or p > best[0]):
+                best = (p, obs)
+        assert got[shot].pred_mask ^ base_obs == best[1]
+    assert got[2].reason == "empty" and got[0].reason == "exact"
