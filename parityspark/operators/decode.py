@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import wraps
+from functools import reduce, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -286,24 +286,30 @@ def window_paths(edges: DataFrame, det_rounds: DataFrame, n_nodes: int, starts:
 
 def decode_windowed(
     shots: DataFrame, hits: DataFrame, edges: DataFrame, det_rounds: DataFrame, n_nodes: int, n_rounds: int, commit: int, window: int,
-    no_boundary_commit: bool = False,
+    no_boundary_commit: bool = False, exempt: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """Sliding-window decoding: decode a window, commit the edges touching its first ``commit`` rounds, XOR them
     back into the hits, advance (DEC7).
 
-    The loop runs over windows, of which there are few; every step treats all shots. Returns the predicted
+    Boundary edges of the detectors in ``exempt(det)``, or all with ``no_boundary_commit``, are never committed. The loop runs over windows, of
+    which there are few; every step treats all shots. Hits are laid out by round once and only read again, a window's rounds at a time; what moves
+    from window to window is the seam, the toggles of committed edges at rounds that are still to come. Returns the predicted
     observables per shot and the hits left over.
     """
     starts = list(range(0, n_rounds, commit))
     paths = window_paths(edges, det_rounds, n_nodes, starts, window)
-    rounds = det_rounds.select("det", "round_id")
+    rounds = cut(det_rounds.select("det", "round_id"), "det-rounds")
     # Of parallel edges a shortest path takes the lightest, on ties the one with the smaller observables.
     weights = edges.select("u", F.coalesce("v", F.lit(-1)).alias("v"), "w", F.col("obs_mask").cast("bigint").alias("obs_mask")).groupBy(
         F.least("u", "v").alias("lo"), F.greatest("u", "v").alias("hi")).agg(F.min_by("obs_mask", F.struct("w", "obs_mask")).alias("obs_mask"))
-    state = cut(hits.select("shot_id", "det"), "window-hits")
-    flips = None
+    weights = cut(weights, "window-edges")
+    placed = hits.select("shot_id", "det").join(rounds, "det").select("shot_id", "det", "round_id")
+    laid = cut(placed.repartitionByRange("round_id", "shot_id").sortWithinPartitions("round_id"), "hits-by-round")
+    seam = laid.limit(0)
+    flips, toggles = [], []
     for i, start in enumerate(starts):
-        here = state.join(rounds, "det").filter(F.col("round_id").between(start, start + window - 1))
+        inside = F.col("round_id").between(start, start + window - 1)
+        here = cut(xor_reduce(laid.filter(inside).unionByName(seam.filter(inside)), ["shot_id", "det", "round_id"]), "window-hits")
         active = here.filter(F.col("round_id") < start + commit).select("shot_id").distinct()
         off = i * n_nodes
         sliced = here.join(active, "shot_id", "left_semi").select("shot_id", (F.col("det") + off).alias("det"))
@@ -316,30 +322,40 @@ def decode_windowed(
         ends = steps.join(rounds.select(F.col("det").alias("lo"), F.col("round_id").alias("_r1")), "lo", "left").join(
             rounds.select(F.col("det").alias("hi"), F.col("round_id").alias("_r2")), "hi", "left"
         )
-        keep = (F.coalesce(F.col("_r1") < start + commit, F.lit(False))) | (F.coalesce(F.col("_r2") < start + commit, F.lit(False)))
+        ends = ends.filter(F.coalesce(F.col("_r1") < start + commit, F.lit(False)) | F.coalesce(F.col("_r2") < start + commit, F.lit(False)))
         if no_boundary_commit:
-            keep = keep & (F.col("lo") >= 0)
-        done = ends.filter(keep).join(weights, ["lo", "hi"], "left").select("key", "lo", "hi", F.coalesce("obs_mask", F.lit(0).cast("bigint")).alias("obs"))
+            ends = ends.filter("lo >= 0")
+        elif exempt is not None:
+            # The boundary is the lower end of its edges.
+            ends = ends.join(exempt.select(F.col("det").alias("hi"), F.lit(-1).alias("lo")).distinct(), ["lo", "hi"], "left_anti")
+        done = ends.join(weights, ["lo", "hi"], "left").select("key", "lo", "hi", F.coalesce("obs_mask", F.lit(0).cast("bigint")).alias("obs"))
         per_key = done.groupBy("key").agg(F.collect_list(F.struct("lo", "hi", "obs")).alias("es"))
         applied = cut(per_shot.select("shot_id", "key").join(per_key, "key").select("shot_id", F.explode("es").alias("e")).select("shot_id", "e.*"), "window-applied")
-        flips = applied.select("shot_id", "obs") if flips is None else flips.unionByName(applied.select("shot_id", "obs"))
-        toggles = applied.select("shot_id", F.explode(F.array("lo", "hi")).alias("det")).filter("det >= 0")
-        state = cut(xor_reduce(state.unionByName(toggles), ["shot_id", "det"]), "window-hits")
-    total = flips.groupBy("shot_id").agg(F.bit_xor("obs").alias("_o"))
+        flips.append(applied.groupBy("shot_id").agg(F.bit_xor("obs").alias("obs")))
+        ended = applied.select("shot_id", F.explode(F.array("lo", "hi")).alias("det")).filter("det >= 0").join(rounds, "det")
+        toggled = cut(xor_reduce(ended, ["shot_id", "det", "round_id"]), "window-toggles")
+        toggles.append(toggled)
+        later = seam.unionByName(toggled).filter(F.col("round_id") >= start + commit)
+        before, seam = seam, cut(xor_reduce(later, ["shot_id", "det", "round_id"]), "seam")
+        drop(here, per_shot, solved, before)
+    every = lambda parts: reduce(DataFrame.unionByName, parts)
+    total = every(flips).groupBy("shot_id").agg(F.bit_xor("obs").alias("_o"))
     pred = shots.select("shot_id").join(total, "shot_id", "left").select("shot_id", F.coalesce("_o", F.lit(0).cast("bigint")).alias("pred_mask"))
-    return {"predictions": pred, "left": state}
+    left = xor_reduce(every([laid, *toggles]), ["shot_id", "det", "round_id"]).select("shot_id", "det")
+    return {"predictions": pred, "left": cut(left, "left-over")}
 
 
 def decode_two_level(
     shots: DataFrame, routed: DataFrame, inner_edges: DataFrame, inner_rounds: DataFrame, inner_nodes: int, n_rounds: int, commit: int, window: int,
-    outer_dist: DataFrame, boundary: int = -1,
+    outer_dist: DataFrame, boundary: int = -1, exempt: DataFrame | None = None,
 ) -> DataFrame:
     """Inner windowed pass without boundary commits, unexplained hits to the outer pass, XOR of both (DEC8).
 
-    ``routed(shot_id, stream, idx, outer_idx)`` carries each hit's number in its stream and in the outer code.
+    ``routed(shot_id, stream, idx, outer_idx)`` carries each hit's number in its stream and in the outer code. With ``exempt(det)`` only the
+    boundary edges of these inner detectors stay uncommitted.
     """
     inner_hits = xor_reduce(routed.filter("stream = 'inner'").select("shot_id", F.col("idx").alias("det")), ["shot_id", "det"])
-    inner = decode_windowed(shots, inner_hits, inner_edges, inner_rounds, inner_nodes, n_rounds, commit, window, True)
+    inner = decode_windowed(shots, inner_hits, inner_edges, inner_rounds, inner_nodes, n_rounds, commit, window, exempt is None, exempt)
     # Only hits that were recorded can move on; bits created by a partial commit stay in the inner code.
     left = inner["left"].withColumnRenamed("det", "idx")
     moved = routed.filter("stream = 'inner'").join(left, ["shot_id", "idx"], "left_semi").select("shot_id", F.col("outer_idx").alias("det"))

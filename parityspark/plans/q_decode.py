@@ -137,23 +137,82 @@ def null_rim(df):
     return df.withColumn("v", F.when(F.col("v") != BOUNDARY, F.col("v")))
 
 
-@query("dec7_decode_windowed")
+def windows_sql(first: str, edges: str, per_round: int, starts: list[int], commit: int, window: int, exempt: str = "FALSE", rounds: int = 24) -> str:
+    """Windowed decoding unrolled into CTEs ending in flips(shot_id, obs) and rest(shot_id, det).
+
+    ``first`` and ``edges`` name tables (shot_id, det) and (u, v, w, obs_mask) with boundary 24; ``exempt`` says which boundary edges d stay open.
+    """
+    out, now = [], first
+    for i, start in enumerate(starts):
+        lo, hi, done = start * per_round, (start + window) * per_round, (start + commit) * per_round
+        inside = f"det >= {lo} AND det < {hi}"
+        out.append(f"syn{i} AS (SELECT shot_id, list(det ORDER BY det) AS key FROM {now} WHERE {inside} AND shot_id IN (SELECT shot_id FROM {now} WHERE det >= {lo} AND det < {done}) GROUP BY 1)")
+        out.append(f"edge{i} AS (SELECT * FROM {edges} WHERE u >= {lo} AND u < {hi} AND (v = 24 OR (v >= {lo} AND v < {hi})))")
+        out.append(f"""done{i} AS (WITH RECURSIVE {matching_sql(rounds, f"edge{i}", f"SELECT * FROM syn{i}")}, {PAIRS_SQL}, walk AS (SELECT src, node, node AS cur FROM paths WHERE src <> node
+    UNION ALL SELECT w.src, w.node, p.prev FROM walk w JOIN paths p ON p.src = w.src AND p.node = w.cur WHERE w.cur <> w.src),
+  steps AS (SELECT w.src, w.node, LEAST(p.prev, w.cur) AS u, GREATEST(p.prev, w.cur) AS v FROM walk w JOIN paths p ON p.src = w.src AND p.node = w.cur WHERE w.cur <> w.src)
+  SELECT k, s.u AS u, s.v AS v FROM pairs q JOIN steps s ON s.src = q.a AND s.node = CASE WHEN q.b < 0 THEN 24 ELSE q.b END GROUP BY 1, 2, 3 HAVING COUNT(*) % 2 = 1)""")
+        out.append(f"""app{i} AS (SELECT shot_id, d.u, d.v, e.obs_mask AS obs FROM syn{i} y JOIN done{i} d ON d.k = y.key JOIN edge{i} e ON e.u = d.u AND e.v = d.v
+    WHERE (d.u < {done} OR (d.v <> 24 AND d.v < {done})) AND NOT (d.v = 24 AND ({exempt})))""")
+        out.append(f"h{i + 1} AS (SELECT shot_id, det FROM (SELECT shot_id, det FROM {now} UNION ALL SELECT shot_id, u FROM app{i} UNION ALL SELECT shot_id, v FROM app{i} WHERE v < 24) GROUP BY 1, 2 HAVING COUNT(*) % 2 = 1)")
+        now = f"h{i + 1}"
+    every = " UNION ALL ".join(f"SELECT shot_id, obs FROM app{i}" for i in range(len(starts)))
+    return ", ".join(out) + f", flips AS (SELECT shot_id, CAST(bit_xor(obs) AS BIGINT) AS obs FROM ({every}) GROUP BY 1), rest AS (SELECT * FROM {now})"
+
+
+WINDOWED_OUT = """SELECT s.shot_id, COALESCE(obs, 0) AS pred_mask, COALESCE(r.t, '') AS still_open
+  FROM fx_shots s LEFT JOIN flips f ON f.shot_id = s.shot_id LEFT JOIN (SELECT shot_id, string_agg(CAST(det AS VARCHAR), ' ' ORDER BY det) AS t FROM rest GROUP BY 1) r ON r.shot_id = s.shot_id"""
+
+
+def windowed_out(fx, out):
+    rest = out["left"].groupBy("shot_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("det")), lambda d: d.cast("string")), " ").alias("t"))
+    return out["predictions"].join(rest, "shot_id", "left").select("shot_id", "pred_mask", F.coalesce("t", F.lit("")).alias("still_open"))
+
+
+@query("dec7_decode_windowed", f"WITH {windows_sql('fx_hits', 'fx_edge', 4, [0, 2, 4], 2, 4, rounds=16)} {WINDOWED_OUT}")
 def _(fx):
-    out = dc.decode_windowed(fx.fx_shots, fx.fx_hits, null_rim(fx.fx_edge), fx.fx_det, 24, 6, 2, 4)
-    return out["predictions"]
+    return windowed_out(fx, dc.decode_windowed(fx.fx_shots, fx.fx_hits, null_rim(fx.fx_edge), fx.fx_det, 24, 6, 2, 4))
 
 
-@query("dec8_decode_two_level")
+@query("dec7_exempt_boundary", f"WITH {windows_sql('fx_hits', 'fx_edge', 4, [0, 2, 4], 2, 4, 'd.u % 4 = 3', rounds=16)} {WINDOWED_OUT}")
+def _(fx):
+    exempt = fx.fx_det.filter("base_det = 3").select("det")
+    return windowed_out(fx, dc.decode_windowed(fx.fx_shots, fx.fx_hits, null_rim(fx.fx_edge), fx.fx_det, 24, 6, 2, 4, exempt=exempt))
+
+
+#: Detectors of bases 0 and 1 make the inner code, numbered round * 2 + base; every detector has a number in the outer code.
+INNER_NO, OUTER_NO = "(det // 4) * 2 + det % 4", "(det // 12) * 4 + det % 4"
+TWO_LEVEL = f"""num AS (SELECT det, CASE WHEN det % 4 < 2 THEN {INNER_NO} END AS i, {OUTER_NO} AS o FROM fx_det),
+  ie AS (SELECT LEAST(a.i, COALESCE(b.i, 24)) AS u, GREATEST(a.i, COALESCE(b.i, 24)) AS v, w, obs_mask FROM fx_edge JOIN num a ON a.det = u LEFT JOIN num b ON b.det = v WHERE a.i IS NOT NULL AND (v = 24 OR b.i IS NOT NULL)),
+  oe AS (SELECT u, v, MIN({{'w': w, 'o': obs_mask}}).w AS w, MIN({{'w': w, 'o': obs_mask}}).o AS obs_mask FROM (
+    SELECT LEAST(a.o, COALESCE(b.o, 24)) AS u, GREATEST(a.o, COALESCE(b.o, 24)) AS v, w, obs_mask FROM fx_edge JOIN num a ON a.det = fx_edge.u LEFT JOIN num b ON b.det = fx_edge.v) WHERE u <> v GROUP BY 1, 2),
+  ih AS (SELECT shot_id, i AS det FROM fx_hits JOIN num USING (det) WHERE i IS NOT NULL),
+  {windows_sql('ih', 'ie', 2, [0, 2, 4], 2, 4, 'TRUE', rounds=12)},
+  oh AS (SELECT shot_id, det FROM (
+    SELECT shot_id, o AS det FROM fx_hits JOIN num USING (det) WHERE i IS NULL
+    UNION ALL SELECT h.shot_id, n.o FROM fx_hits h JOIN num n ON n.det = h.det JOIN rest r ON r.shot_id = h.shot_id AND r.det = n.i) GROUP BY 1, 2 HAVING COUNT(*) % 2 = 1),
+  osyn AS (SELECT shot_id, list(det ORDER BY det) AS key FROM oh GROUP BY 1),
+  outer_best AS (WITH {matching_sql(8, "oe", "SELECT * FROM osyn")} SELECT k, obs FROM best)"""
+
+
+@query("dec8_decode_two_level", f"""WITH {TWO_LEVEL}
+  SELECT s.shot_id, CAST(xor(COALESCE(f.obs, 0), COALESCE(b.obs, 0)) AS BIGINT) AS pred_mask
+  FROM fx_shots s LEFT JOIN flips f ON f.shot_id = s.shot_id LEFT JOIN osyn y ON y.shot_id = s.shot_id LEFT JOIN outer_best b ON b.k = y.key""")
 def _(fx):
     from .q_events import base_map
 
     routed = ev.route_two_level(fx.fx_hits, fx.fx_det, base_map(fx), 2, 2, 4)
-    outer_no = fx.fx_det.select("det", (F.floor(F.col("round_id") / 3) * 4 + F.col("base_det")).cast("int").alias("outer_idx"))
-    both = cut(routed.join(outer_no, "det").select("shot_id", "stream", "idx", "outer_idx"), "routed")
-    inner_edges = null_rim(fx.fx_edge.filter("u < 12 AND (v < 12 OR v = 24)"))
-    inner_rounds = fx.fx_det.filter("base_det < 2").select((F.col("round_id") * 2 + F.col("base_det")).alias("det"), "round_id")
-    outer = gr.matching_paths(fx.fx_edge.filter("u < 8 AND (v < 8 OR v = 24)"), BOUNDARY)
-    return dc.decode_two_level(fx.fx_shots, both, inner_edges, inner_rounds, 12, 6, 2, 4, outer, BOUNDARY)
+    outer_no = (F.floor(F.col("round_id") / 3) * 4 + F.col("base_det")).cast("int")
+    inner_no = F.when(F.col("base_det") < 2, F.col("round_id") * 2 + F.col("base_det"))
+    numbers = cut(fx.fx_det.select("det", "round_id", inner_no.alias("i"), outer_no.alias("o")), "numbers")
+    both = cut(routed.join(numbers.select("det", F.col("o").alias("outer_idx")), "det").select("shot_id", "stream", "idx", "outer_idx"), "routed")
+    of = lambda c, end: numbers.select(F.col("det").alias(c), F.col("i").alias(f"i{end}"), F.col("o").alias(f"o{end}"))
+    ends = cut(fx.fx_edge.join(of("u", 1), "u").join(of("v", 2), "v", "left"), "renumbered")
+    inner = ends.filter(f"i1 IS NOT NULL AND (v = {BOUNDARY} OR i2 IS NOT NULL)").select(F.col("i1").alias("u"), F.col("i2").alias("v"), "w", "obs_mask")
+    far = F.coalesce("o2", F.lit(BOUNDARY))
+    outer = ends.select(F.least("o1", far).alias("u"), F.greatest("o1", far).alias("v"), "w", "obs_mask").filter("u <> v").groupBy("u", "v").agg(F.min(F.struct("w", "obs_mask")).alias("e")).select("u", "v", "e.*")
+    rounds = numbers.filter("i IS NOT NULL").select(F.col("i").alias("det"), "round_id")
+    return dc.decode_two_level(fx.fx_shots, both, inner, rounds, 12, 6, 2, 4, gr.matching_paths(outer, BOUNDARY), BOUNDARY)
 
 
 @query("dec9_decode_correlated")
