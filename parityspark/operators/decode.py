@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import bits
 from ..lineage import cut, drop
 from .graph import connected_components, matching_paths, path_edges
-from .matching import DENSE_HITS, by_size, lowered_costs, matrix, solutions, unfold
+from .matching import DENSE_HITS, by_size, matrix, solutions, unfold
 from .parity import xor_reduce
 
 
@@ -50,8 +50,8 @@ def carries_observables(decoder):
     return run
 
 
-def _hit_costs(syndromes: DataFrame, dist: DataFrame, boundary: int) -> DataFrame:
-    """Cost lists of each syndrome in the order the matching expects (boundary first, then pairs)."""
+def _asked(syndromes: DataFrame, boundary: int) -> DataFrame:
+    """Rows (key, ..., pos, src, node): the costs that the matching of each syndrome expects, boundary first, then pairs."""
     k = F.size("key")
     last = k - 1
     ends = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(i.alias("pos"), F.get("key", i).alias("src"), F.lit(boundary).alias("node")))
@@ -63,14 +63,22 @@ def _hit_costs(syndromes: DataFrame, dist: DataFrame, boundary: int) -> DataFram
             lambda j: F.struct((k + i * k - F.floor(i * (i + 1) / 2).cast("int") + j - i - 1).alias("pos"), F.get("key", i).alias("src"), F.get("key", j).alias("node")),
         )).otherwise(empty),
     ))
-    asked = syndromes.select("key", F.explode(F.concat(ends, pairs)).alias("_c")).select("key", "_c.*")
-    costs = asked.join(dist.select("src", "node", F.col("dist").cast("double").alias("dist"), "obs"), ["src", "node"], "left")
+    return syndromes.withColumn("_c", F.explode(F.concat(ends, pairs))).select(*syndromes.columns, "_c.*")
+
+
+def _listed(costs: DataFrame) -> DataFrame:
+    """(key, d, o): cost lists of each syndrome in order of ``pos``."""
     listed = costs.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pos", "dist", "obs"))).alias("_l"))
     return listed.select(
         "key", F.transform("_l", lambda c: c["dist"]).alias("d"), F.transform("_l", lambda c: F.coalesce(c["obs"], F.lit(0).cast("bigint"))).alias("o")
     )
 
 
+def _hit_costs(syndromes: DataFrame, dist: DataFrame, boundary: int) -> DataFrame:
+    asked = _asked(syndromes.select("key"), boundary)
+    return _listed(asked.join(dist.select("src", "node", F.col("dist").cast("double").alias("dist"), "obs"), ["src", "node"], "left"))
+
+
 _SOLVED = "key array<int>, w double, obs bigint, a array<int>, b array<int>"
 
 
@@ -367,12 +375,47 @@ def decode_two_level(
     ).select("shot_id", F.col("inner_mask").bitwiseXOR(F.coalesce("outer_mask", F.lit(0).cast("bigint"))).alias("pred_mask"))
 
 
+def overridden_paths(named: DataFrame, low: DataFrame, paths: DataFrame, boundary: int) -> DataFrame:
+    """(kid, src, node, dist, obs): shortest paths from each syndrome's hits to its hits and the boundary when some edges get cheaper.
+
+    ``named(kid, key)`` and ``low(kid, lo, hi, low_w, obs)`` describe one graph a syndrome, all kept in one table. Only paths through a cheaper edge can
+    improve, so each round extends the labels improved in the last one by a cheaper edge and from its end by the unchanged path table, until none
+    improves. Of equal lengths the smaller observables stay.
+    """
+    moves = low.select("kid", F.col("lo").alias("u"), F.col("hi").alias("v"), "low_w", F.col("obs").alias("move_obs"))
+    moves = moves.unionByName(moves.select("kid", F.col("v").alias("u"), F.col("u").alias("v"), "low_w", "move_obs"))
+    moves = cut(moves.filter(F.col("u") != boundary), "moves")
+    hits = named.select("kid", F.explode("key").alias("src"))
+    targets = hits.withColumnRenamed("src", "node").unionByName(moves.select("kid", F.col("u").alias("node"))).unionByName(moves.select("kid", F.col("v").alias("node")))
+    targets = cut(targets.unionByName(named.select("kid", F.lit(boundary).alias("node"))).distinct(), "targets")
+    known = paths.select("src", "node", F.col("dist").cast("double").alias("dist"), F.col("obs").cast("bigint").alias("obs"))
+    inside = lambda df: df.join(targets, ["kid", "node"], "left_semi")
+    # From the end of a cheaper edge onwards; the boundary leads nowhere else.
+    onwards = known.select(F.col("src").alias("v"), "node", F.col("dist").alias("rest"), F.col("obs").alias("rest_obs"))
+    hop = inside(moves.select("kid", "v").distinct().join(onwards, "v"))
+    stop = named.select("kid", F.lit(boundary).alias("v"), F.lit(boundary).alias("node"), F.lit(0.0).alias("rest"), F.lit(0).cast("bigint").alias("rest_obs"))
+    hop = cut(hop.select("kid", "v", "node", "rest", "rest_obs").unionByName(stop), "hops")
+    labels = cut(inside(hits.join(known, "src")).select("kid", "src", "node", "dist", "obs", F.lit(1).alias("fresh")), "labels")
+    while True:
+        step = labels.filter("fresh = 1").join(moves, (labels["kid"] == moves["kid"]) & (labels["node"] == moves["u"])).select(
+            labels["kid"], "src", "v", (F.col("dist") + F.col("low_w")).alias("dist"), F.col("obs").bitwiseXOR(F.col("move_obs")).alias("obs")
+        ).groupBy("kid", "src", "v").agg(F.min(F.struct("dist", "obs")).alias("s"))
+        found = step.join(hop, ["kid", "v"]).select(
+            "kid", "src", "node", (F.col("s.dist") + F.col("rest")).alias("dist"), F.col("s.obs").bitwiseXOR(F.col("rest_obs")).alias("obs"), F.lit(1).alias("fresh")
+        )
+        best = labels.withColumn("fresh", F.lit(0)).unionByName(found).groupBy("kid", "src", "node").agg(F.min(F.struct("dist", "obs", "fresh")).alias("l"))
+        before, labels = labels, cut(best.select("kid", "src", "node", "l.*"), "labels")
+        drop(before)
+        if labels.filter("fresh = 1").isEmpty():
+            return labels.drop("fresh")
+
+
 def decode_correlated(syndromes: DataFrame, paths: DataFrame, edges: DataFrame, implied: DataFrame, boundary: int = -1) -> DataFrame:
     """Second pass with the weights implied by the first pass's edges (DEC9).
 
-    ``implied(cu, cv, au, av, w)`` names nodes with ``boundary`` for the boundary. Per syndrome only the ends
-    of the cheaper edges are added to its hits; distances among these few nodes come from the path table and
-    are then relaxed through the cheaper edges. Syndromes without a cheaper edge keep the first pass's answer.
+    ``implied(cu, cv, au, av, w)`` names nodes with ``boundary`` for the boundary. Each syndrome with a cheaper edge gets its own shortest paths, all
+    of them relaxed together (``overridden_paths``), and is matched again, few hits inside a task, more by rounds of joins. Syndromes without a
+    cheaper edge keep the first pass's answer.
     """
     first = cut(decode(syndromes, paths, boundary), "first-pass")
     used = solution_edges(matched_pairs(first.filter("reason = 'exact'")), paths, boundary)
@@ -385,41 +428,17 @@ def decode_correlated(syndromes: DataFrame, paths: DataFrame, edges: DataFrame,
     # A cheaper edge can only matter where it beats the edge's own weight.
     low = used.join(rules, ["u", "v"]).groupBy("key", "lo", "hi").agg(F.min("low_w").alias("low_w")).join(known, ["lo", "hi"]).filter("low_w < w")
     low = cut(low.select("key", "lo", "hi", "low_w", "obs"), "cheaper")
-    per_key = low.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("lo", "hi", "low_w", "obs"))).alias("low"))
-    ends = F.flatten(F.transform("low", lambda e: F.array(e["lo"], e["hi"])))
-    extra = F.filter(F.array_sort(F.array_distinct(ends)), lambda n: n != boundary)
-    work = per_key.withColumn("nodes", F.concat("key", F.array_except(extra, F.col("key"))))
-    # Cost list over hits and cheaper ends, in the same layout as for the plain matching.
-    costs = _hit_costs(work.select(F.col("nodes").alias("key")).distinct(), paths, boundary).withColumnRenamed("key", "nodes")
-    table = work.join(costs, "nodes").select(
-        "key", "nodes", "d", "o", F.transform("low", lambda e: e["lo"]).alias("lo"), F.transform("low", lambda e: e["hi"]).alias("hi"),
-        F.transform("low", lambda e: e["low_w"]).alias("lw"), F.transform("low", lambda e: e["obs"]).alias("lobs"),
-    )
-
-    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k, rows in by_size(batch, "key"):
-                hits = matrix(batch, "key", rows, np.int64)
-                rim, pair = np.empty((len(rows), k)), np.empty((len(rows), k, k))
-                rim_obs, pair_obs = np.empty((len(rows), k), dtype=np.int64), np.empty((len(rows), k, k), dtype=np.int64)
-                for at, row in enumerate(rows):
-                    one = np.array([row])
-                    nodes = matrix(batch, "nodes", one, np.int64)[0]
-                    r, d = unfold(matrix(batch, "d", one, np.float64), len(nodes))
-                    ro, do = unfold(matrix(batch, "o", one, np.int64), len(nodes))
-                    d[0][np.arange(len(nodes)), np.arange(len(nodes))] = 0.0
-                    where = {int(n): i for i, n in enumerate(nodes)}
-                    cheaper = []
-                    for lo, hi, w, obs in zip(*(matrix(batch, c, one, t)[0] for c, t in (("lo", np.int64), ("hi", np.int64), ("lw", np.float64), ("lobs", np.int64)))):
-                        a, b = (hi, lo) if lo == boundary else (lo, hi)
-                        cheaper.append((where[int(a)], -1 if b == boundary else where[int(b)], float(w), int(obs)))
-                    d2, o2, r2, ro2 = lowered_costs(d[0], do[0], r[0], ro[0], cheaper)
-                    rim[at], pair[at], rim_obs[at], pair_obs[at] = r2[:k], d2[:k, :k], ro2[:k], o2[:k, :k]
-                yield solutions(batch, "key", rows, hits, rim, pair, rim_obs, pair_obs)
-
-    second = table.mapInArrow(solve, _SOLVED).select("key", "w", "obs", F.lit("correlated").alias("reason"))
-    rest = first.select("key", "w", "obs", "reason").join(per_key.select("key"), "key", "left_anti")
-    return rest.unionByName(second)
+    named = cut(low.select("key").distinct().withColumn("kid", F.monotonically_increasing_id()), "cheaper-keys")
+    dist = overridden_paths(named, low.join(named, "key").drop("key"), paths, boundary)
+    asked = _asked(named.select("key", "kid"), boundary).join(dist, ["kid", "src", "node"], "left")
+    costs = cut(_listed(asked), "second-costs")
+    second = _exact(costs.filter(F.size("key") <= DENSE_HITS).mapInArrow(_solve, _SOLVED))
+    many = costs.filter(F.size("key") > DENSE_HITS)
+    if not many.isEmpty():
+        second = second.unionByName(_exact(_by_rounds(many)))
+    told = second.select("key", "w", "obs", F.lit("correlated").alias("reason"))
+    rest = first.select("key", "w", "obs", "reason").join(named.select("key"), "key", "left_anti")
+    return rest.unionByName(told)
 
 
 # ---- decoder plug-ins ---------------------------------------------------------------------------

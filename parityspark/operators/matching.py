@@ -1,7 +1,7 @@
 """Minimum-weight matching of small clusters, vectorised over the rows of an Arrow batch.
 
 Rows with the same number of hits k are solved together: a table over subsets of hits is filled for all of
-them at once, subset by subset. Plain decoding sends only rows of at most DENSE_HITS hits here; ``decode._by_rounds`` takes larger ones. Costs arrive as one flat list per row, the k boundary costs first and then
+them at once, subset by subset. Rows of at most DENSE_HITS hits come here; ``decode._by_rounds`` takes larger ones. Costs arrive as one flat list per row, the k boundary costs first and then
 the pairs (0,1), (0,2), ..., (k-2,k-1).
 """
 
@@ -12,8 +12,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-# Cells of the subset table held at once, and the hits up to which the table is filled densely; above, only the
-# sets that candidate pairs can reach are kept. Both ways are exact and break ties alike.
+# Cells of the subset table held at once, and the hits up to which a row is solved inside a task; more go to rounds of joins.
+# Both ways are exact and break ties alike.
 _TABLE_CELLS = 1 << 22
 DENSE_HITS = 12
 
@@ -52,47 +52,6 @@ def solve_subsets(rim: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.nda
     return best[:, -1], mate
 
 
-def solve_reachable(rim: np.ndarray, pair: np.ndarray) -> tuple[float, np.ndarray]:
-    """``solve_subsets`` for one row of many hits: rim (k,) and pair (k, k).
-
-    A pair that costs no less than both ends' way to the boundary is never taken, so hits far apart do not meet and
-    few of the 2^k sets of open hits are reached.
-    """
-    k = len(rim)
-    states: dict[int, tuple[float, tuple]] = {(1 << k) - 1: (0.0, ())}
-    for low in range(k):
-        ways = [(-1, rim[low])] if np.isfinite(rim[low]) else []
-        ways += [(int(j), pair[low, j]) for j in np.flatnonzero(pair[low, low + 1 :] < rim[low] + rim[low + 1 :]) + low + 1]
-        after: dict[int, tuple[float, tuple]] = {}
-        for open_, (w, taken) in states.items():
-            if not open_ >> low & 1:
-                options = [(open_, (w, taken))]
-            else:
-                rest = open_ ^ (1 << low)
-                options = [(rest if j < 0 else rest ^ (1 << j), (w + float(c), (*taken, (low, j)))) for j, c in ways if j < 0 or rest >> j & 1]
-            for left, found in options:
-                if left not in after or found < after[left]:
-                    after[left] = found
-        states = after
-    mate = np.full(k, -1, dtype=np.int64)
-    if 0 not in states:
-        return np.inf, mate
-    total, taken = states[0]
-    for low, j in taken:
-        mate[low] = j
-        if j >= 0:
-            mate[j] = low
-    return total, mate
-
-
-def solve(rim: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Best total and partners of every row, by the way that suits the number of hits."""
-    if rim.shape[1] <= DENSE_HITS:
-        return solve_subsets(rim, pair)
-    each = [solve_reachable(r, p) for r, p in zip(rim, pair)]
-    return np.array([t for t, _ in each]), np.array([m for _, m in each])
-
-
 def unfold(flat: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Flat cost lists to boundary (B, k) and symmetric pair (B, k, k) arrays."""
     pair = np.full((len(flat), k, k), np.inf if flat.dtype.kind == "f" else 0, dtype=flat.dtype)
@@ -122,7 +81,7 @@ def matrix(batch: pa.RecordBatch, name: str, rows: np.ndarray, dtype) -> np.ndar
 
 def solutions(batch: pa.RecordBatch, key_col: str, rows: np.ndarray, hits: np.ndarray, rim, pair, rim_obs, pair_obs) -> pa.RecordBatch:
     """Solve the given rows and lay the answer out as (key, w, obs, a[], b[]); infeasible rows get NULL."""
-    total, mate = solve(rim, pair)
+    total, mate = solve_subsets(rim, pair)
     ok = np.isfinite(total)
     k = hits.shape[1]
     r = np.arange(len(rows))[:, None]
@@ -144,29 +103,3 @@ def solutions(batch: pa.RecordBatch, key_col: str, rows: np.ndarray, hits: np.nd
         ],
         names=[key_col, "w", "obs", "a", "b"],
     )
-
-
-def lowered_costs(base: np.ndarray, base_obs: np.ndarray, rim: np.ndarray, rim_obs: np.ndarray, low: list[tuple[int, int, float, int]]):
-    """Shortest distances among a few nodes when some edges get cheaper.
-
-    ``base`` holds the distances before; only paths through a cheaper edge can improve, so relaxing over the
-    ends of those edges is enough. A cheaper boundary edge has second end -1.
-    """
-    d, o, r, ro = base.copy(), base_obs.copy(), rim.copy(), rim_obs.copy()
-    for u, v, w, obs in low:
-        if v < 0:
-            if w < r[u]:
-                r[u], ro[u] = w, obs
-        elif w < d[u, v]:
-            d[u, v] = d[v, u] = w
-            o[u, v] = o[v, u] = obs
-    for m in range(len(d)):
-        via = d[:, m, None] + d[None, m, :]
-        better = via < d
-        d = np.where(better, via, d)
-        o = np.where(better, o[:, m, None] ^ o[None, m, :], o)
-    via = d + r[None, :]
-    pick = via.argmin(axis=1) if len(d) else np.zeros(0, dtype=int)
-    at = np.arange(len(d))
-    better = via[at, pick] < r
-    return d, o, np.where(better, via[at, pick], r), np.where(better, o[at, pick] ^ ro[pick], ro)

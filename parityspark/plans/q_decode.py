@@ -215,7 +215,37 @@ def _(fx):
     return dc.decode_two_level(fx.fx_shots, both, inner, rounds, 12, 6, 2, 4, gr.matching_paths(outer, BOUNDARY), BOUNDARY)
 
 
-@query("dec9_decode_correlated")
+def correlated_sql(relax: int = 8, rounds: int = 16) -> str:
+    """Second pass over cheaper edges as CTEs after matching_sql and the pairs, ending in again(k, w, obs).
+
+    An edge (u - 1, v) of the first solution halves the weight of (u, v).
+    """
+    out = f"""{PAIRS_SQL}, walk AS (SELECT src, node, node AS cur FROM paths WHERE src <> node
+    UNION ALL SELECT w.src, w.node, p.prev FROM walk w JOIN paths p ON p.src = w.src AND p.node = w.cur WHERE w.cur <> w.src),
+  steps AS (SELECT w.src, w.node, LEAST(p.prev, w.cur) AS u, GREATEST(p.prev, w.cur) AS v FROM walk w JOIN paths p ON p.src = w.src AND p.node = w.cur WHERE w.cur <> w.src),
+  used AS (SELECT k, s.u AS u, s.v AS v FROM pairs q JOIN steps s ON s.src = q.a AND s.node = CASE WHEN q.b < 0 THEN 24 ELSE q.b END GROUP BY 1, 2, 3 HAVING COUNT(*) % 2 = 1),
+  low AS (SELECT k, e.u, e.v, e.w / 2 AS w, CAST(e.obs_mask AS BIGINT) AS o FROM used JOIN fx_edge e ON used.u = e.u - 1 AND used.v = e.v),
+  mv AS (SELECT k, u AS a, v AS b, w, o FROM low UNION ALL SELECT k, v, u, w, o FROM low WHERE v <> 24),
+  seen AS (SELECT DISTINCT k FROM low), hit AS (SELECT k, unnest(k) AS src FROM seen),
+  tg AS (SELECT k, src AS node FROM hit UNION SELECT k, a FROM mv UNION SELECT k, b FROM mv UNION SELECT k, 24 FROM seen),
+  hop AS (SELECT m.k, m.b AS v, p.node, CAST(p.dist AS DOUBLE) AS d, p.obs AS o FROM (SELECT DISTINCT k, b FROM mv) m JOIN paths p ON p.src = m.b JOIN tg ON tg.k = m.k AND tg.node = p.node
+    UNION ALL SELECT k, 24, 24, CAST(0 AS DOUBLE), 0 FROM seen),
+  l0 AS (SELECT h.k, h.src, p.node, {{'d': CAST(p.dist AS DOUBLE), 'o': p.obs}} AS s FROM hit h JOIN paths p ON p.src = h.src JOIN tg ON tg.k = h.k AND tg.node = p.node)"""
+    for r in range(relax):
+        out += f""", x{r} AS (SELECT l.k, l.src, m.b AS v, MIN({{'d': l.s.d + m.w, 'o': xor(l.s.o, m.o)}}) AS s FROM l{r} l JOIN mv m ON m.k = l.k AND m.a = l.node GROUP BY 1, 2, 3),
+  l{r + 1} AS (SELECT k, src, node, MIN(s) AS s FROM (SELECT * FROM l{r} UNION ALL SELECT x.k, x.src, h.node, {{'d': x.s.d + h.d, 'o': xor(x.s.o, h.o)}} FROM x{r} x JOIN hop h ON h.k = x.k AND h.v = x.v) GROUP BY 1, 2, 3)"""
+    out += f""", opt2 AS (SELECT l.k, l.src, CASE WHEN l.node = 24 THEN -1 ELSE l.node END AS b, CASE WHEN l.node = 24 THEN 0::BIGINT ELSE 1::BIGINT << l.node END AS bit, s.d AS d, s.o AS o
+    FROM l{relax} l WHERE l.node = 24 OR (l.src < l.node AND list_contains(l.k, l.node))),
+  n0 AS (SELECT k, CAST(list_sum([1::BIGINT << d FOR d IN k]) AS BIGINT) AS rem, {{'w': CAST(0 AS DOUBLE), 'c': CAST([] AS STRUCT(a INT, b INT)[]), 'o': 0::BIGINT}} AS s FROM seen)"""
+    for r in range(rounds):
+        out += f""", n{r + 1} AS (SELECT x.k, rem & ~((1::BIGINT << low) | bit) AS rem, MIN({{'w': s.w + d, 'c': list_append(s.c, {{'a': low, 'b': b}}), 'o': xor(s.o, q.o)}}) AS s
+    FROM (SELECT k, rem, s, CAST(bit_count((rem & -rem) - 1) AS INT) AS low FROM n{r} WHERE rem <> 0) x JOIN opt2 q ON q.k = x.k AND q.src = low AND (b = -1 OR (rem & bit) <> 0) GROUP BY 1, 2)"""
+    done = " UNION ALL ".join(f"SELECT k, s FROM n{r + 1} WHERE rem = 0" for r in range(rounds))
+    return out + f", again AS (SELECT k, s.w AS w, s.o AS obs FROM (SELECT k, MIN(s) AS s FROM ({done}) GROUP BY 1))"
+
+
+@query("dec9_decode_correlated", f"""WITH RECURSIVE {matching_sql(rounds=16)}, {correlated_sql()}
+  SELECT {KEY_TEXT} AS key, w, obs, 'correlated' AS reason FROM again UNION ALL SELECT {KEY_TEXT}, w, obs, 'exact' FROM best WHERE k NOT IN (SELECT k FROM seen)""")
 def _(fx):
     # Each edge implies its neighbour at half the neighbour's weight.
     e = fx.fx_edge.select("u", "v", "w")

@@ -11,7 +11,7 @@ from parityspark import ordered
 from parityspark.operators import decode as dc
 from parityspark.operators import events as ev
 from parityspark.operators import graph as gr
-from parityspark.operators.matching import solve_reachable, solve_subsets
+from parityspark.operators.matching import solve_subsets
 from parityspark.operators import model as md
 from parityspark.operators import parity as pa
 from parityspark.operators import stats as st
@@ -185,18 +185,6 @@ def test_large_syndromes_are_answered(spark):
     assert {k: r.reason for k, r in got.items()} == {15: "exact", 2: "exact"} and got[15].w == 7 * 4 + 7 and got[2].w == 2
 
 
-def test_reachable_sets_agree_with_the_full_table():
-    rng = np.random.default_rng(4)
-    for k in (1, 2, 5, 8):
-        rim, pair = rng.integers(1, 9, (40, k)).astype(float), rng.integers(1, 9, (40, k, k)).astype(float)
-        pair = np.minimum(pair, pair.transpose(0, 2, 1))
-        rim[rng.random((40, k)) < 0.2] = np.inf
-        total, mate = solve_subsets(rim, pair)
-        for i in range(40):
-            t, m = solve_reachable(rim[i], pair[i])
-            assert t == total[i] and (not np.isfinite(t) or (m == mate[i]).all())
-
-
 def test_rounds_in_spark_agree_with_the_tables(spark):
     rng = np.random.default_rng(5)
     cases, want = [], {}
@@ -206,7 +194,7 @@ def test_rounds_in_spark_agree_with_the_tables(spark):
         rim[rng.random(k) < 0.3] = np.inf
         if n == 3:
             rim[:], pair[0, :], pair[:, 0] = np.inf, np.inf, np.inf
-        total, mate = solve_reachable(rim, pair)
+        total, mate = (x[0] for x in solve_subsets(rim[None], pair[None]))
         key = [100 * n + i for i in range(k)]
         flat = [*rim, *pair[np.triu_indices(k, 1)]]
         obs = [int(x) for x in rng.integers(0, 8, len(flat))]
@@ -494,3 +482,16 @@ def test_toggled_predictions_cover_shots_without_hits_and_cancelled_ones(spark):
                 best = (p, obs)
         assert got[shot].pred_mask ^ base_obs == best[1]
     assert got[2].reason == "empty" and got[0].reason == "exact"
+
+
+def test_correlated_rounds_agree_with_the_tables(spark, monkeypatch):
+    edges = graph(spark, 4, 9)
+    rng = random.Random(8)
+    implied = spark.createDataFrame([(rng.randrange(9), rng.randrange(9), r.u, r.v, r.w * rng.choice([0.0, 0.25, 0.5])) for r in edges.collect() for _ in range(4)], "cu int, cv int, au int, av int, w double")
+    paths = gr.matching_paths(edges, 99)
+    frame = spark.createDataFrame([(sorted(rng.sample(range(9), k)),) for k in (1, 2, 3, 4, 5, 6, 7, 8, 9, 4, 4)], "key array<int>").distinct()
+    show = lambda: sorted((tuple(r.key), r.w, r.obs, r.reason) for r in dc.decode_correlated(frame, paths, edges, implied, 99).collect())
+    inside = show()
+    assert sum(r[3] == "correlated" for r in inside) > 3
+    monkeypatch.setattr(dc, "DENSE_HITS", 2)
+    assert [(k, w) for k, w, _, _ in show()] == [(k, w) for k, w, _, _ in inside]
