@@ -8,7 +8,8 @@ meeting an ordinary token; a token takes the best of its own score and its stems
 
 Scoring: one pass over a text finds all its maximal scoring segments in linear time. A segment of score S in a text of n
 tokens is expected E = n exp(-lambda S) times by chance, where lambda solves sum p(s) exp(lambda s) = 1 over clean
-text; the significant segments are put together by the sum statistic of extreme-value theory. A logistic curve over that
+text; the significant segments are put together by the sum statistic of extreme-value theory, and a text without one is judged by the
+extreme-value probability of its best segment, so that weak signs count for something. A logistic curve over that
 evidence, fitted on all labelled distinct texts by histogram, turns it into the probability of the toxic label.
 
 Null and empty texts have no tokens and get the score of a text without evidence. Rows without doc_id or label are not
@@ -89,14 +90,19 @@ def segments(at: np.ndarray, gain: np.ndarray, ordinary: float) -> list[tuple[in
 
 
 def evidence(found: list[tuple[int, int, float]], n: int, rate: float) -> tuple[float, list[tuple[int, int, float]]]:
-    """Evidence of a text and its significant segments, the strongest first.
+    """Evidence of a text, at least 0, and its significant segments, the strongest first.
 
     The r best segments together weigh sum(lambda S - ln n) + ln r!: the sum statistic of r segments, whose order is free.
     """
     base = math.log(max(n, 2))
     strong = sorted((x for x in found if rate * x[2] - base > -math.log(SIGNIFICANT)), key=lambda x: (-x[2], x[0]))
-    total = sum(rate * s - base for *_, s in strong)
-    return (max(0.0, total + math.lgamma(len(strong) + 1)) if strong else 0.0), strong
+    if not found:
+        return 0.0, strong
+    if not strong:
+        # The best passage still has its extreme-value probability, 1 - exp(-E) for E expected ones of its score.
+        expected = math.exp(min(base - rate * max(x[2] for x in found), 700.0))
+        return -math.log(-math.expm1(-expected)), strong
+    return max(0.0, sum(rate * s - base for *_, s in strong) + math.lgamma(len(strong) + 1)), strong
 
 
 def score_text(text: bytes | None, memo: Memo, scores: Scores) -> tuple[int, float, list[tuple[int, int, float]]]:
@@ -230,7 +236,7 @@ def calibrate(scanned: DataFrame, marks: DataFrame) -> tuple[float, float]:
 
 def score(scanned: DataFrame, curve: tuple[float, float]) -> DataFrame:
     """The scanned rows with ``score``, the probability of the toxic label."""
-    return scanned.withColumn("score", 1 / (1 + F.exp(-(curve[0] + curve[1] * F.least("evidence", F.lit(float(MOST_EVIDENCE)))))))
+    return scanned.withColumn("score", 1 / (1 + F.exp(-(curve[0] + curve[1] * F.col("evidence")))))
 
 
 def detect(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -579,3 +579,20 @@ def test_cascade_is_exact_over_its_universe(n, m, seed):
     h1, h2 = (rng.integers(0, 1 << 63, n + m, dtype=np.uint64) for _ in range(2))
     listed = np.arange(n + m) < n
     assert (op10_url_filter.member(op10_url_filter.build_levels(h1, h2, listed), h1, h2) == listed).all()
+
+
+# --- evidence below significance --------------------------------------------------------------------------------
+
+
+def test_weak_passages_count_and_join_the_significant_ones_without_a_step():
+    steps = [op1_toxicity.evidence([(0, 0, s / 20)], 1000, 1.0) for s in range(0, 400)]
+    values = [e for e, _ in steps]
+    assert values == sorted(values) and values[0] < 1e-6 and all(b - a < 0.06 for a, b in zip(values, values[1:]))
+    assert [bool(strong) for _, strong in steps] == [s / 20 - np.log(1000) > -np.log(op1_toxicity.SIGNIFICANT) for s in range(0, 400)]
+    assert op1_toxicity.evidence([], 0, 1.0) == op1_toxicity.evidence([], 10**7, 1.0) == (0.0, [])
+
+
+def test_scores_do_not_tie_above_the_histogram(spark):
+    rows = spark.createDataFrame([(1, 61.0), (2, 80.0), (3, 0.0)], "doc_id long, evidence double")
+    got = {r.doc_id: r.score for r in op1_toxicity.score(rows, (-5.0, 0.1)).collect()}
+    assert got[3] < got[1] < got[2] < 1
