@@ -293,9 +293,13 @@ def preprocess(stats: DataFrame, fn: Callable[[DataFrame], DataFrame]) -> DataFr
     return fold_stats(stats.transform(fn))
 
 
-def pending_tasks(tasks: DataFrame, existing: DataFrame) -> DataFrame:
-    """Shots and errors still to collect per task; finished tasks are dropped (JN8)."""
-    have = existing.select("strong_id", F.col("shots").alias("_s"), F.col("errors").alias("_e"))
+def pending_tasks(tasks: DataFrame, existing: DataFrame, error_key: str | None = None) -> DataFrame:
+    """Shots and errors still to collect per task; finished tasks are dropped (JN8).
+
+    With ``error_key`` that custom count stands for the errors; a task without it has none.
+    """
+    errors = F.col("errors") if error_key is None else F.coalesce(F.try_element_at("custom_counts", F.lit(error_key)), F.lit(0))
+    have = existing.select("strong_id", F.col("shots").alias("_s"), errors.alias("_e"))
     twice = F.count("*") > 1
     one = tasks.groupBy("strong_id").agg(
         F.when(twice, F.raise_error(F.concat(F.lit("task given twice: "), F.col("strong_id"))).cast("bigint"))

@@ -389,6 +389,14 @@ def _(fx):
     return st.pending_tasks(tasks(fx), st.combine_stats(fx.fx_stats))
 
 
+@query("jn8_pending_by_count", f"""
+  SELECT * FROM (SELECT t.strong_id, max_shots - COALESCE(s, 0) AS shots_left, LEAST(COALESCE(max_errors, max_shots), max_shots) - COALESCE(e, 0) AS errors_left
+    FROM ({TASKS_SQL}) t LEFT JOIN (SELECT strong_id, CAST(SUM(shots) AS BIGINT) AS s, CAST(SUM(CASE WHEN seq % 3 <> 0 THEN seq % 4 ELSE 0 END) AS BIGINT) AS e FROM fx_stats GROUP BY 1) x ON t.strong_id = x.strong_id)
+  WHERE shots_left > 0 AND errors_left > 0""")
+def _(fx):
+    return st.pending_tasks(tasks(fx), st.fold_stats(rich(fx)), error_key="y")
+
+
 @query("jn9_expand_tasks", """
   SELECT seq, k AS decoder FROM fx_stats, (SELECT unnest(['alpha', 'beta']) AS k) WHERE d >= 4
   UNION ALL SELECT seq, decoder FROM fx_stats WHERE d < 4""")
