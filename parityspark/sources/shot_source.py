@@ -26,7 +26,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.dataset as pads
 import pyarrow.fs as pafs
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
@@ -227,6 +226,9 @@ class ShotReader(DataSourceReader):
         if self.view == "files":
             return [Ranges([])]
         if self.index:
+            # Every planning step runs in a process of its own; only this one needs the module.
+            import pyarrow.dataset as pads
+
             fs, name = open_path(self.index)
             rows = pads.dataset(name, filesystem=fs, format="parquet").to_table().to_pylist()
             ranges = sorted((Range(r["file"], r["start"], r["size"], r["file_shots"], r["at"]) for r in rows), key=lambda r: (r.file, r.start))
