@@ -6,12 +6,14 @@ one grouped reduction per round and stop at a fixpoint.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import bits
 from ..functions import numeric as num
-from ..lineage import cut, drop
+from ..lineage import cut, drop, new_path
 from .events import pair_hits_on_edges
 from .model import component_edges, merge_parallel_edges, observable_count
 from .parity import xor_probability, xor_reduce
@@ -204,26 +206,62 @@ def simplest_location(locations: DataFrame) -> DataFrame:
 # ---- components ---------------------------------------------------------------------------------
 
 
+#: Groups of up to this many nodes and links together are settled by a fold over the group's own array.
+FOLD_ROWS = 256
+
+
 def connected_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """Smallest node of each node's component: nodes(grp, node), links(grp, u, v) in one direction.
 
+    Rows are counted per group first. A group of up to FOLD_ROWS rows is gathered once and its links are
+    united one after the other inside a column expression; larger groups go through rounds of joins.
+    """
+    rows = cut(nodes.select("grp", F.col("node").alias("u"), F.col("node").alias("v")).unionByName(links.select("grp", "u", "v").filter("u <> v")), "links")
+    large = cut(rows.groupBy("grp").agg(F.count("*").alias("n")).filter(F.col("n") > FOLD_ROWS).select("grp"), "large-groups")
+    if large.isEmpty():
+        return _fold_components(rows)
+    small = _fold_components(rows.join(large, "grp", "left_anti"))
+    return small.unionByName(_components_by_rounds(rows.join(large, "grp", "left_semi")))
+
+
+def _fold_components(rows: DataFrame) -> DataFrame:
+    """Components of small groups: every link gives the higher of its ends' labels, wherever it stands, the value of the lower."""
+    ends = F.collect_set(F.struct("u", "v")).alias("ends")
+    both = F.flatten(F.transform("ends", lambda e: F.array(e.u, e.v)))
+    at = lambda node: F.array_position("nodes", node).cast("int")
+
+    def unite(labels: Column, link: Column) -> Column:
+        a, b = F.element_at(labels, link.i), F.element_at(labels, link.j)
+        return F.when(a == b, labels).otherwise(F.transform(labels, lambda x: F.when(x == F.greatest(a, b), F.least(a, b)).otherwise(x)))
+
+    grouped = rows.groupBy("grp").agg(ends).withColumn("nodes", F.array_sort(F.array_distinct(both)))
+    placed = grouped.withColumn("links", F.transform(F.filter("ends", lambda e: e.u != e.v), lambda e: F.struct(at(e.u).alias("i"), at(e.v).alias("j"))))
+    labelled = placed.select("grp", "nodes", F.aggregate("links", F.col("nodes"), unite).alias("labels"))
+    return labelled.select("grp", F.explode(F.arrays_zip("nodes", "labels")).alias("_z")).select("grp", F.col("_z.nodes").alias("node"), F.col("_z.labels").alias("label"))
+
+
+def _components_by_rounds(rows: DataFrame) -> DataFrame:
+    """Components of large groups; (node, node) rows stand for the nodes themselves.
+
     Every round takes the smallest label of the neighbourhood and then that label's label, so chains of n
-    nodes settle in about log n rounds.
+    nodes settle in about log n rounds. Groups in which no label moved are finished and leave the rounds.
     """
-    both = cut(links.select("grp", "u", "v").unionByName(links.select("grp", F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "links")
-    labels = cut(nodes.select("grp", "node", F.col("node").alias("label")), "labels")
-    own = F.lit(None).cast(labels.schema["label"].dataType)
+    both = cut(rows.unionByName(rows.filter("u <> v").select("grp", F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "links")
+    labels = both.filter("u = v").select("grp", F.col("u").alias("node"), F.col("u").alias("label"))
+    done = []
     while True:
-        near = both.join(labels.select("grp", F.col("node").alias("v"), "label"), ["grp", "v"]).select("grp", F.col("u").alias("node"), "label", own.alias("old"))
-        low = near.unionByName(labels.select("grp", "node", "label", F.col("label").alias("old"))).groupBy("grp", "node").agg(
-            F.min("label").alias("label"), F.max("old").alias("old")
+        near = both.join(labels.select("grp", F.col("node").alias("v"), "label"), ["grp", "v"])
+        low = cut(
+            near.groupBy("grp", F.col("u").alias("node")).agg(F.min("label").alias("label"), F.max(F.when(F.col("u") == F.col("v"), F.col("label"))).alias("old")), "low"
         )
-        low = cut(low, "low")
         jump = low.select("grp", F.col("node").alias("label"), F.col("label").alias("_up"))
         moved = cut(low.join(jump, ["grp", "label"]).select("grp", "node", F.least("label", "_up").alias("label"), "old"), "labels")
-        labels = moved.select("grp", "node", "label")
-        if moved.filter("label <> old").isEmpty():
-            return labels
+        drop(low)
+        active = moved.filter("label <> old").select("grp").distinct()
+        if active.isEmpty():
+            return reduce(DataFrame.unionByName, [*done, moved.select("grp", "node", "label")])
+        done.append(moved.join(active, "grp", "left_anti").select("grp", "node", "label"))
+        labels = moved.join(active, "grp", "left_semi").select("grp", "node", "label")
 
 
 def hit_components(hits: DataFrame, edges: DataFrame) -> DataFrame:
@@ -262,7 +300,8 @@ def pair_distances(
     """Shortest paths between nodes: dist, hops, predecessor and observable parity (MDL15).
 
     Ties go to fewer hops, then to the smaller predecessor. Only labels improved in the last round are
-    extended, until none improves; a negative weight raises, as a cycle through it would never end (see
+    extended and only improved ones are written, one layer a round, until none improves; the layers are merged
+    once at the end. A negative weight raises, as a cycle through it would never end (see
     ``normalize_negative_edges``). No path continues through the boundary node. With ``rims(node, rim)``, boundary distances,
     a label longer than both ends' rims together is dropped as soon as it appears (see ``matching_paths``).
     """
@@ -282,27 +321,35 @@ def pair_distances(
         sym = cut(sym.join(of("v", "rim_v"), "v", "left"), "adjacency")
         limits = cut(of("src", "rim_src"), "rims")
     m = bits.Masks.of(edges, "obs_mask")
-    label = F.struct("dist", "hops", "prev", "obs", "fresh")
-    labels = cut(
-        start.select("src", F.col("src").alias("node"), F.lit(0).cast("bigint").alias("dist"), F.lit(0).alias("hops"), F.col("src").alias("prev"),
-                     m.zero().alias("obs"), F.lit(1).alias("fresh")),
-        "paths",
+    spark, home = edges.sparkSession, new_path(edges.sparkSession, "paths")
+    kinds = sym.select(F.coalesce("u", "v").alias("node"), (F.lit(0).cast("bigint") + F.col("w")).alias("dist")).schema
+    own = F.col("src").cast(kinds["node"].dataType)
+    first = start.select(
+        "src", own.alias("node"), F.lit(0).cast(kinds["dist"].dataType).alias("dist"), F.lit(0).alias("hops"), own.alias("prev"), m.zero().alias("obs")
     )
+    at = lambda folder: spark.read.schema(first.schema).parquet(folder).select(*first.columns)
+    label = F.struct("dist", "hops", "prev", "obs", "fresh")
+    layer = 0
+    first.write.parquet(f"{home}/layer=0")
     while True:
-        front = labels.filter("fresh = 1").join(sym, F.col("node") == F.col("u"))
+        front = at(f"{home}/layer={layer}")
+        if front.isEmpty():
+            break
+        reached = front.join(sym, F.col("node") == F.col("u"))
         if rims is not None:
             useful = F.coalesce(F.col("dist") + F.col("w") <= F.col("rim_src") + F.col("rim_v"), F.lit(True))
-            front = front.join(limits, "src", "left").filter(useful)
-        step = front.select(
+            reached = reached.join(limits, "src", "left").filter(useful)
+        step = reached.select(
             "src", F.col("v").alias("node"), (F.col("dist") + F.col("w")).alias("dist"), (F.col("hops") + 1).alias("hops"), F.col("u").alias("prev"),
             m.xor(F.col("obs"), F.col("obs_mask").cast(m.type)).alias("obs"), F.lit(1).alias("fresh"),
         )
-        best = labels.withColumn("fresh", F.lit(0)).unionByName(step).groupBy("src", "node").agg(F.min(label).alias("_l"))
-        before, labels = labels, cut(best.select("src", "node", "_l.*"), "paths")
-        drop(before)
-        if labels.filter("fresh = 1").isEmpty():
-            break
-    return labels.drop("fresh")
+        best = at(home).withColumn("fresh", F.lit(0)).unionByName(step).groupBy("src", "node").agg(F.min(label).alias("_l"))
+        layer += 1
+        best.filter("_l.fresh = 1").select("src", "node", "_l.*").drop("fresh").write.parquet(f"{home}/layer={layer}")
+    layers = at(home)
+    merged = cut(layers.groupBy("src", "node").agg(F.min(F.struct("dist", "hops", "prev", "obs")).alias("_l")).select("src", "node", "_l.*"), "paths")
+    drop(layers)
+    return merged
 
 
 def matching_paths(edges: DataFrame, boundary: int) -> DataFrame:

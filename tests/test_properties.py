@@ -414,6 +414,33 @@ def test_components_follow_long_chains(spark):
     assert rows(gr.hit_components(hits, edges).select("cluster", "size"), "cluster") == [(0, 100), (101, n - 101)]
 
 
+@pytest.mark.parametrize("fold_rows", [256, 6, 0])
+def test_components_folded_and_in_rounds_agree(spark, monkeypatch, fold_rows):
+    monkeypatch.setattr(gr, "FOLD_ROWS", fold_rows)
+    rnd = random.Random(fold_rows)
+    nodes, links, want = [], [], {}
+    for g in range(12):
+        n = rnd.randint(1, 14)
+        label = list(range(n))
+        nodes += [(g, i) for i in range(n)] + [(g, 0)]
+        for _ in range(rnd.randint(0, n)):
+            u, v = rnd.randrange(n), rnd.randrange(n)
+            links += [(g, u, v)] * rnd.randint(1, 2)
+            lo, hi = sorted((label[u], label[v]))
+            label = [lo if x == hi else x for x in label]
+        want.update({(g, i): x for i, x in enumerate(label)})
+    found = gr.connected_components(spark.createDataFrame(nodes, "grp int, node int"), spark.createDataFrame(links, "grp int, u int, v int")).collect()
+    assert {(r.grp, r.node): r.label for r in found} == want and len(found) == len(want)
+    assert gr.connected_components(spark.createDataFrame([], "grp int, node int"), spark.createDataFrame([], "grp int, u int, v int")).count() == 0
+
+
+def test_distances_of_real_weights_and_improved_labels(spark):
+    """A long cheap way beats a short dear one in a later round; weights need not be whole numbers."""
+    edges = spark.createDataFrame([(0, 5, 9.5, 1), (0, 1, 0.5, 0), (1, 2, 0.5, 1), (2, 3, 0.5, 0), (3, 4, 0.5, 1), (4, 5, 0.5, 1)], "u int, v int, w double, obs_mask bigint")
+    found = {r.node: (r.dist, r.hops, r.prev, r.obs) for r in gr.pair_distances(edges, 99, sources=spark.createDataFrame([(0,)], "src int")).collect()}
+    assert found[5] == (2.5, 5, 4, 1) and found[4] == (2.0, 4, 3, 0) and len(found) == 6
+
+
 def test_text_round_trip(spark):
     lines = [(0, 0, "error[x\\Cy\\B](0.25) D0 ^ D1 L2"), (0, 1, "detector(1, 2.5) D7"), (0, 2, "# nothing"), (0, 3, "repeat 3 {"), (0, 4, "  shift_detectors 1"), (0, 5, "}")]
     m = tm.read_model_text(spark.createDataFrame(lines, "model_id int, seq bigint, line string"))
