@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -113,7 +113,8 @@ def collect(
     """Statistics of recorded shots for every unfinished task and decoder (PIPE3).
 
     ``tasks(strong_id, shot_id range lo..hi, decoder, max_shots, max_errors)`` name their recorded shots;
-    ``recorded(decoder)`` gives predictions (shot_id, pred_mask, obs_mask, seconds).
+    ``recorded(decoder)`` gives predictions (shot_id, part, pred_mask, obs_mask, seconds). A NULL prediction of a kept
+    shot is an error without a mistake pattern.
     """
     todo = st.expand_tasks(tasks.join(st.pending_tasks(tasks, existing).select("strong_id"), "strong_id", "left_semi"), decoders)
     bad = hits.join(mask, "det", "left_semi").select("shot_id").distinct().withColumn("_bad", F.lit(True))
@@ -125,11 +126,12 @@ def collect(
         m = bits.Masks.of(rows, "pred_mask")
         mistake = m.xor(F.col("pred_mask"), F.col("obs_mask"))
         kept = F.col("_bad").isNull()
+        wrong = F.coalesce(m.any(mistake), F.lit(True))
         # Statistics of one shot: totals plus the counts of fired detectors and of each mistake combination.
         one = rows.select(
             F.concat("strong_id", F.lit("/"), "decoder").alias("strong_id"), "decoder", F.lit(1).cast("bigint").alias("shots"),
-            (kept & m.any(mistake)).cast("bigint").alias("errors"), (~kept).cast("bigint").alias("discards"), "seconds",
-            F.coalesce("hw", F.lit(0)).alias("detection_events"), F.when(kept & m.any(mistake), mistake).alias("mistake"),
+            (kept & wrong).cast("bigint").alias("errors"), (~kept).cast("bigint").alias("discards"), "seconds",
+            F.coalesce("hw", F.lit(0)).alias("detection_events"), F.when(kept & wrong, mistake).alias("mistake"),
         )
         out = one if out is None else out.unionByName(one)
     label = lambda m: ev.mistake_label(m, n_obs, bits.Masks.of(out, "mistake"))
@@ -143,6 +145,51 @@ def collect(
     return folded.withColumn("custom_counts", F.map_from_entries(F.concat(basics, "_c"))).drop("_c", "_d")
 
 
+def decode_tasks(shots: DataFrame, hits: DataFrame, models: DataFrame, decoder: Callable[[DataFrame, DataFrame, int], DataFrame] = dc.decode) -> DataFrame:
+    """Predictions of the shots of many tasks, each under its own task's model, in one decoding.
+
+    ``shots(shot_id, part)``, ``hits(shot_id, part, det)`` and ``models(part, u, v, w, obs_mask)`` name the task in ``part``; a NULL ``v``
+    is the boundary. Nodes of all models get numbers of their own, so that the models lie side by side in one graph
+    and no work is per task on the driver. A hit on a detector that its model does not know makes its shot infeasible.
+    """
+    named = models.select("part", F.col("u").alias("det")).unionByName(models.filter("v IS NOT NULL").select("part", F.col("v").alias("det")))
+    numbered = st.global_index(named.unionByName(hits.select("part", "det")).distinct(), ["part", "det"], "node")
+    nodes = cut(numbered.select("part", "det", F.col("node").cast("int").alias("node")), "task-nodes")
+    end = lambda c: nodes.select("part", F.col("det").alias(c), F.col("node").alias(f"_{c}"))
+    graph = models.join(end("u"), ["part", "u"]).join(end("v"), ["part", "v"], "left")
+    edges = cut(graph.select(F.col("_u").alias("u"), F.coalesce("_v", F.lit(BOUNDARY)).alias("v"), "w", "obs_mask"), "task-edges")
+    fired = hits.join(nodes, ["part", "det"]).select("shot_id", F.col("node").alias("det"))
+    per_shot = cut(dc.shot_syndromes(fired), "syndromes")
+    return dc.predictions(shots, per_shot, decoder(dc.distinct_syndromes(per_shot), gr.matching_paths(edges, BOUNDARY), BOUNDARY))
+
+
+def collect_decoding(
+    tasks: DataFrame, existing: DataFrame, decoders: Mapping[str, Callable[[DataFrame, DataFrame, int], DataFrame] | None], shots: DataFrame, hits: DataFrame,
+    models: DataFrame, mask: DataFrame, n_obs: int, n_det: int,
+) -> DataFrame:
+    """Statistics of recorded shots, decoded here, for every unfinished task and decoder (PIPE3).
+
+    ``shots(shot_id, part, obs_mask, seconds)``; tasks as in ``collect``, models as in ``decode_tasks``, with the detectors of postselection in ``mask``.
+    ``decoders`` gives each name a function such as ``decode.decode``, or None to predict no flip (DEC10). Finished tasks and shots that postselection drops
+    are never decoded.
+    """
+    left = tasks.join(st.pending_tasks(tasks, existing).select("strong_id"), "strong_id", "left_semi").select("part").distinct()
+    wanted = cut(shots.join(left, "part", "left_semi").select("shot_id", "part", "obs_mask", "seconds"), "recorded-shots")
+    part_hits = cut(hits.join(wanted.select("shot_id", "part"), "shot_id"), "recorded-hits")
+    bad = part_hits.join(mask, "det", "left_semi").select("shot_id").distinct()
+    kept, kept_hits = wanted.join(bad, "shot_id", "left_anti"), part_hits.join(bad, "shot_id", "left_anti")
+    own_models = models.join(left, "part", "left_semi")
+    m = bits.Masks.of(wanted, "obs_mask")
+
+    def recorded(name: str) -> DataFrame:
+        if decoders[name] is None:
+            return wanted.withColumn("pred_mask", m.zero())
+        found = decode_tasks(kept.select("shot_id", "part"), kept_hits, own_models, decoders[name])
+        return wanted.join(found.select("shot_id", "pred_mask"), "shot_id", "left")
+
+    return collect(tasks, existing, list(decoders), recorded, part_hits.select("shot_id", "det"), mask, n_obs, n_det)
+
+
 def combine(spark: SparkSession, paths: Sequence[str], order: str = "metadata", strip: bool = False) -> DataFrame:
     """Folded statistics of several sources in a chosen order (PIPE4)."""
     total = sc.read_task_stats(spark, paths, strict=True)

@@ -235,6 +235,43 @@ def _(fx):
     return found.agg(F.count("*").alias("n_edges"), F.bit_xor("obs").alias("obs")).select("n_edges", left.alias("open_detectors"), "obs")
 
 
+def undetectable_sql(variant: int, where: str, obs: str) -> str:
+    """Length of the shortest closed walk of odd observable parity, found apart from the operator: walks over (node, parity) from every
+    node, where the boundary is a node like others; an edge met again with the other observables is a second edge."""
+    return f"""SELECT {variant} AS variant, (WITH RECURSIVE e AS (SELECT u, v, {obs} AS o FROM fx_edge WHERE {where}), adj AS (SELECT u, v, o FROM e UNION SELECT v, u, o FROM e),
+    walk AS (SELECT u AS s, u AS node, 0 AS o, 0 AS n FROM adj UNION SELECT w.s, b.v, xor(w.o, b.o), w.n + 1 FROM walk w JOIN adj b ON b.u = w.node WHERE w.n < 8)
+    SELECT CAST(MIN(n) AS BIGINT) FROM walk WHERE node = s AND o = 1) AS n_edges"""
+
+
+#: Filters and observables of the edge fixture: whole; each edge twice with different observables; only edges between odd and even nodes; a chain with bridges over four edges.
+UNDETECTABLE = [
+    ("TRUE", "CAST(obs_mask AS INT)"), ("TRUE", "unnest([0, 1])"), ("(u + v) % 2 = 1", "CAST(obs_mask AS INT)"), ("v - u IN (1, 4)", "CASE WHEN v - u = 4 THEN 1 ELSE 0 END"),
+]
+
+
+@query("mdl17_lengths", " UNION ALL ".join(f"SELECT variant, n_edges, CAST(0 AS BIGINT) AS open_detectors, n_edges IS NOT NULL AS flips FROM ({undetectable_sql(i, w, o)})" for i, (w, o) in enumerate(UNDETECTABLE)))
+def _(fx):
+    out = None
+    for i, (where, obs) in enumerate(UNDETECTABLE):
+        value = F.explode(F.array(F.lit(0), F.lit(1))) if "unnest" in obs else F.expr(obs)
+        edges = fx.fx_edge.filter(where).withColumn("o", value).select("u", F.when(F.col("v") != BOUNDARY, F.col("v")).alias("v"), F.col("o").cast("bigint").alias("obs_mask"))
+        found = gr.shortest_undetectable(edges)
+        left = pa.xor_reduce(found.select(F.explode("dets").alias("d")), ["d"]).agg(F.count("*")).scalar()
+        row = found.agg(F.count("*").alias("n_edges"), (F.bit_xor("obs") != 0).alias("flips")).select(F.lit(i).alias("variant"), "n_edges", left.alias("open_detectors"), "flips")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query("mdl18_pairs_of_mechanisms", """
+  WITH net AS (SELECT err_id, kind, idx FROM fx_tgt GROUP BY 1, 2, 3 HAVING COUNT(*) % 2 = 1),
+  m AS (SELECT DISTINCT COALESCE(bit_or(1::BIGINT << idx) FILTER (kind = 'D'), 0) AS d, COALESCE(bit_or(1::BIGINT << idx) FILTER (kind = 'L'), 0) AS o FROM net GROUP BY err_id)
+  SELECT CASE WHEN COUNT(*) > 0 THEN CAST(2 AS BIGINT) END AS n_mechanisms, CAST(0 AS BIGINT) AS open_detectors, COUNT(*) > 0 AS flips FROM m a JOIN m b ON a.d = b.d AND a.o < b.o WHERE a.d <> 0""")
+def _(fx):
+    found = gr.undetectable_hyper(gr.hyperedges(fx.fx_tgt).filter(F.size("dets") > 0), 6, 5)
+    left = pa.xor_reduce(found.select(F.explode("dets").alias("d")), ["d"]).agg(F.count("*")).scalar()
+    return found.agg(F.count("*").alias("n_mechanisms"), (F.bit_xor("obs") != 0).alias("flips")).select("n_mechanisms", left.alias("open_detectors"), "flips")
+
+
 @query("mdl18_undetectable_hyper", """
   SELECT '' AS dets, CAST(1 AS BIGINT) AS obs WHERE EXISTS (
     SELECT err_id FROM (SELECT err_id, kind, idx FROM fx_tgt GROUP BY 1, 2, 3 HAVING COUNT(*) % 2 = 1) GROUP BY 1 HAVING COUNT(*) FILTER (kind = 'D') = 0 AND COUNT(*) FILTER (kind = 'L') = 1)""")

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bits
 from ..lineage import new_path
+from ..operators import decode as dc
 from ..sources import shots as sh
 from ..sources import stats_csv as sc
 from . import jobs
@@ -79,6 +80,14 @@ def _(fx):
     return jobs.count_mistakes(fx.spark, shot_file(fx, "b8"), "b8", LAYOUT, actual, model_lines(fx))
 
 
+def limited_tasks(fx):
+    # Eight tasks share the shots; a task is finished when its earlier shots reach its limit.
+    per = fx.fx_stats.groupBy("d").agg(F.sum("shots").alias("s"))
+    named = per.select(F.concat(F.lit("task-"), "d").alias("strong_id"), F.col("d").alias("part"), F.lit(None).cast("string").alias("decoder"), F.lit(10**6).cast("bigint").alias("max_shots"), F.lit(None).cast("bigint").alias("max_errors"), "s")
+    existing = named.select("strong_id", F.when(F.col("s") % 3 < 2, 0).otherwise(10**6).cast("bigint").alias("shots"), F.lit(0).cast("bigint").alias("errors"))
+    return named.drop("s"), existing
+
+
 PREDICTIONS = {"as-recorded": "pred_mask", "vacuous": "0"}
 
 
@@ -92,20 +101,45 @@ def _collect_sql(name, pred):
 
 @query("pipe3_collect", " UNION ALL ".join(_collect_sql(n, p) for n, p in PREDICTIONS.items()))
 def _(fx):
-    # Eight tasks share the shots; a task is finished when its earlier shots reach its limit.
-    per = fx.fx_stats.groupBy("d").agg(F.sum("shots").alias("s"))
-    named = per.select(F.concat(F.lit("task-"), "d").alias("strong_id"), F.col("d").alias("part"), F.lit(None).cast("string").alias("decoder"), F.lit(10**6).cast("bigint").alias("max_shots"), F.lit(None).cast("bigint").alias("max_errors"), "s")
-    existing = named.select("strong_id", F.when(F.col("s") % 3 < 2, 0).otherwise(10**6).cast("bigint").alias("shots"), F.lit(0).cast("bigint").alias("errors"))
+    tasks, existing = limited_tasks(fx)
 
     def recorded(name):
         pred = F.col("pred_mask") if name == "as-recorded" else F.lit(0)
         return fx.fx_shots.select("shot_id", (F.col("shot_id") % 8).alias("part"), pred.alias("pred_mask"), "obs_mask", (F.col("shot_id") % 7).cast("double").alias("seconds"))
 
-    stats = jobs.collect(named.drop("s"), existing, list(PREDICTIONS), recorded, fx.fx_hits, mask(fx), 2, 24)
+    return flat_collected(jobs.collect(tasks, existing, list(PREDICTIONS), recorded, fx.fx_hits, mask(fx), 2, 24))
+
+
+def flat_collected(stats):
     count = lambda k: F.coalesce(F.try_element_at("custom_counts", F.lit(k)), F.lit(0)).cast("bigint")
     return stats.select("strong_id", "decoder", "shots", "errors", "discards", "seconds", count("detection_events").alias("detection_events"), count("obs_mistake_mask=_E").alias("second_only"))
 
 
+def _part_model_sql(odd: int) -> str:
+    """Best matchings of the kept shots of tasks with an odd or even number, under the weights of these tasks."""
+    syndromes = f"SELECT list(det ORDER BY det) AS key FROM fx_hits WHERE shot_id % 2 = {odd} AND shot_id NOT IN ({POST}) GROUP BY shot_id"
+    edges = f"(SELECT u, v, CAST(w * (1 + {odd} * ((u + v) % 3)) AS BIGINT) AS w, obs_mask FROM fx_edge)"
+    return f"SELECT {odd} AS odd, k, obs FROM (WITH {matching_sql(edges=edges, syndromes=syndromes)} SELECT k, obs FROM best)"
+
+
+@query("pipe3_collect_decoding", f"""
+  WITH solved AS ({_part_model_sql(0)} UNION ALL {_part_model_sql(1)}), todo AS (SELECT CONCAT('task-', CAST(d AS VARCHAR)) AS strong_id, d AS part FROM fx_stats GROUP BY 1, 2 HAVING SUM(shots) % 3 < 2),
+  syn AS (SELECT shot_id, list(det ORDER BY det) AS key FROM fx_hits GROUP BY 1),
+  pred AS (SELECT s.shot_id, s.shot_id % 8 AS part, s.obs_mask, COALESCE(len(key), 0) AS n, b.shot_id IS NOT NULL AS bad, COALESCE(m.obs, 0) AS exact, 0 AS none
+    FROM fx_shots s LEFT JOIN syn USING (shot_id) LEFT JOIN ({POST}) b ON b.shot_id = s.shot_id LEFT JOIN solved m ON m.odd = s.shot_id % 2 AND m.k = syn.key),
+  each AS (SELECT shot_id, part, obs_mask, n, bad, 'exact' AS decoder, exact AS p FROM pred UNION ALL SELECT shot_id, part, obs_mask, n, bad, 'vacuous', none FROM pred)
+  SELECT CONCAT(strong_id, '/', decoder) AS strong_id, decoder, COUNT(*) AS shots, COUNT(*) FILTER (NOT bad AND p <> obs_mask) AS errors, COUNT(*) FILTER (bad) AS discards, CAST(SUM(shot_id % 7) AS DOUBLE) AS seconds,
+    CAST(SUM(n) AS BIGINT) AS detection_events, COUNT(*) FILTER (NOT bad AND xor(p, obs_mask) = 2) AS second_only FROM each JOIN todo USING (part) GROUP BY 1, 2""")
+def _(fx):
+    tasks, existing = limited_tasks(fx)
+    edges = fx.fx_edge.select("u", F.when(F.col("v") != BOUNDARY, F.col("v")).alias("v"), "w", "obs_mask", ((F.col("u") + F.col("v")) % 3).alias("far"))
+    parts = tasks.select(F.col("part").cast("bigint").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(1))).alias("odd")).filter("part % 2 = odd")
+    weighted = edges.withColumn("odd", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("w", (F.col("w") * (1 + F.col("odd") * F.col("far"))).cast("bigint"))
+    models = weighted.join(parts, "odd").select("part", "u", "v", "w", "obs_mask")
+    shots = fx.fx_shots.select("shot_id", (F.col("shot_id") % 8).cast("bigint").alias("part"), F.col("obs_mask").cast("bigint").alias("obs_mask"), (F.col("shot_id") % 7).cast("double").alias("seconds"))
+    return flat_collected(jobs.collect_decoding(tasks, existing, {"exact": dc.decode, "vacuous": None}, shots, fx.fx_hits, models, mask(fx), 2, 24))
+
+
 def stat_files(fx):
     new, old = new_path(fx.spark, "combine-new"), new_path(fx.spark, "combine-old")
     whole = rich(fx).withColumn("seconds", F.floor("seconds").cast("double"))
@@ -142,3 +176,13 @@ def _(fx):
 def _(fx):
     log = decode_log(fx).withColumn("task_id", F.col("shot_id") % 5)
     return jobs.evaluate(log, 40)["histogram"].withColumn("mean_us", F.round("mean_us", 6))
+
+
+@query("pipe6_evaluate_summary", """
+  WITH log AS (SELECT s.shot_id, s.shot_id % 5 AS task_id, CAST(COALESCE(h.hw, 0) AS BIGINT) AS hw, (s.shot_id * 37 + 11) % 500 AS us, s.pred_mask, s.obs_mask FROM fx_shots s LEFT JOIN (SELECT shot_id, COUNT(*) AS hw FROM fx_hits GROUP BY 1) h ON h.shot_id = s.shot_id),
+  cut AS (SELECT *, hw > 0 AND pred_mask <> obs_mask AS wrong, COALESCE(SUM(CASE WHEN hw > 0 AND pred_mask <> obs_mask THEN 1 ELSE 0 END) OVER (PARTITION BY task_id ORDER BY shot_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM log)
+  SELECT COUNT(*) FILTER (wrong) AS errors, COUNT(*) AS trials, COUNT(*) FILTER (hw = 0) AS trivial, ROUND(AVG(us), 6) AS mean_us, ROUND(AVG(us) FILTER (hw > 0), 6) AS mean_us_nontrivial, ROUND(COUNT(*) FILTER (wrong) / COUNT(*), 9) AS rate
+  FROM cut WHERE b < 40""")
+def _(fx):
+    summary = jobs.evaluate(decode_log(fx).withColumn("task_id", F.col("shot_id") % 5), 40)["summary"]
+    return summary.withColumns({c: F.round(c, d) for c, d in (("mean_us", 6), ("mean_us_nontrivial", 6), ("rate", 9))})

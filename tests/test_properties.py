@@ -522,3 +522,23 @@ def test_correlated_rounds_agree_with_the_tables(spark, monkeypatch):
     assert sum(r[3] == "correlated" for r in inside) > 3
     monkeypatch.setattr(dc, "DENSE_HITS", 2)
     assert [(k, w) for k, w, _, _ in show()] == [(k, w) for k, w, _, _ in inside]
+
+
+def test_tasks_decoded_together_under_their_own_models(spark):
+    from parityspark.plans import jobs
+
+    # Same hits, different models: task 0 goes through the boundary, task 1 along its middle edge, task 2 has no way.
+    models = [(0, 1, None, 1, 1), (0, 2, None, 1, 0), (0, 1, 2, 9, 0), (1, 1, None, 9, 1), (1, 2, None, 9, 0), (1, 1, 2, 1, 0), (2, 1, None, 1, 1)]
+    models = spark.createDataFrame(models, "part int, u int, v int, w bigint, obs_mask bigint")
+    shots = spark.createDataFrame([(s, s % 3) for s in range(9)], "shot_id bigint, part int")
+    hits = spark.createDataFrame([(s, s % 3, d) for s in range(6) for d in (1, 2)], "shot_id bigint, part int, det int")
+    found = {r.shot_id: (r.pred_mask, r.w) for r in jobs.decode_tasks(shots, hits, models).collect()}
+    assert found == {s: ([(1, 2.0), (0, 1.0), (None, None)][s % 3] if s < 6 else (0, 0.0)) for s in range(9)}
+    tasks = spark.createDataFrame([(f"t{p}", p, None, 100, None) for p in range(3)], "strong_id string, part int, decoder string, max_shots bigint, max_errors bigint")
+    have = spark.createDataFrame([("t1", 100, 0)], "strong_id string, shots bigint, errors bigint")
+    recorded = shots.select("shot_id", "part", F.lit(0).cast("bigint").alias("obs_mask"), F.lit(1.0).alias("seconds"))
+    nothing = spark.createDataFrame([], "det int")
+    out = jobs.collect_decoding(tasks, have, {"exact": dc.decode, "none": None}, recorded, hits.select("shot_id", "det"), models, nothing, 1, 3)
+    got = {r.strong_id: (r.shots, r.errors, r.discards, r.custom_counts.get("obs_mistake_mask=E", 0)) for r in out.collect()}
+    # An infeasible shot is an error without a pattern; the finished task is left out.
+    assert got == {"t0/exact": (3, 2, 0, 2), "t0/none": (3, 0, 0, 0), "t2/exact": (3, 2, 0, 0), "t2/none": (3, 0, 0, 0)}
