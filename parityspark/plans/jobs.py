@@ -80,6 +80,29 @@ def predict(
     return {"predictions": found, "discards": dropped.select("shot_id")}
 
 
+def predict_to_files(
+    spark: SparkSession, path: str, fmt: str, layout: sh.Layout, model_lines: DataFrame, out: str, out_fmt: str, kept_out: str | None = None, kept_fmt: str | None = None,
+    shots: DataFrame | None = None, postselect_coord: int | None = None,
+) -> dict[str, DataFrame]:
+    """PIPE1 with its results as shot files: one record of ``layout.n_obs`` predicted bits per kept shot, in shot order.
+
+    With ``kept_out`` the kept shots themselves are written too, record by record beside their predictions. Records have no room for
+    "no prediction": an infeasible shot is written without flips and listed in ``infeasible`` (shot_id, pos), pos being its record's number.
+    """
+    made = predict(spark, path, fmt, layout, model_lines, shots, postselect_coord)
+    found = cut(made["predictions"], "predictions")
+    # Kept shots are numbered anew, because encodings in groups of 64 have no gaps.
+    placed = cut(st.global_index(found.select("shot_id", "pred_mask", "reason"), ["shot_id"], "pos"), "placed")
+    records = placed.select(F.col("pos").alias("shot_id"))
+    m = bits.Masks.of(placed, "pred_mask")
+    flips = placed.select(F.col("pos").alias("shot_id"), F.lit("L").alias("kind"), F.explode(m.indices(F.col("pred_mask")).cast("array<int>")).alias("idx"))
+    sh.write_shots(records, flips, out, out_fmt, sh.Layout(n_obs=layout.n_obs))
+    if kept_out is not None:
+        recorded = sh.read_shots(spark, path, fmt, layout).join(placed.select("shot_id", "pos"), "shot_id")
+        sh.write_shots(records, recorded.select(F.col("pos").alias("shot_id"), "kind", "idx"), kept_out, kept_fmt or fmt, layout)
+    return {"infeasible": placed.filter("reason = 'infeasible'").select("shot_id", "pos"), "discards": made["discards"]}
+
+
 def _toggled_predictions(shots: DataFrame, per_shot: DataFrame, toggles: DataFrame, paths: DataFrame) -> DataFrame:
     """Predictions where every shot toggles the same detectors: only distinct syndromes are toggled, never shots."""
     nothing = F.array().cast("array<int>")

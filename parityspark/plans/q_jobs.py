@@ -63,6 +63,25 @@ def _(fx):
     return kept.unionByName(out["discards"].select("shot_id", F.lit(True).alias("discarded"), *none))
 
 
+@query("pipe1_predict_to_files", f"""
+  WITH {predicted_sql(f"SELECT shot_id FROM fx_shots WHERE shot_id NOT IN ({POST})")},
+  placed AS (SELECT shot_id, pred_mask, ROW_NUMBER() OVER (ORDER BY shot_id) - 1 AS pos FROM predicted),
+  flip AS (SELECT unnest([0, 1]) AS idx)
+  SELECT 'predicted' AS file, pos, 'L' AS kind, idx FROM placed, flip WHERE (pred_mask >> idx) & 1 = 1
+  UNION ALL SELECT 'kept', pos, 'D', det FROM placed JOIN fx_hits USING (shot_id)
+  UNION ALL SELECT 'kept', pos, 'L', idx FROM placed JOIN fx_shots USING (shot_id), flip WHERE (obs_mask >> idx) & 1 = 1
+  UNION ALL SELECT 'records', COUNT(*), NULL, NULL FROM placed UNION ALL SELECT 'discarded', COUNT(*), NULL, NULL FROM ({POST})""")
+def _(fx):
+    out, kept = new_path(fx.spark, "predicted"), new_path(fx.spark, "kept")
+    made = jobs.predict_to_files(fx.spark, shot_file(fx, "b8"), "b8", LAYOUT, model_lines(fx), out, "b8", kept, "r8", fx.fx_shots.select("shot_id"), postselect_coord=3)
+    flips = sh.Layout(n_obs=LAYOUT.n_obs)
+    read = lambda name, path, fmt, layout: sh.read_shots(fx.spark, path, fmt, layout).select(F.lit(name).alias("file"), F.col("shot_id").alias("pos"), "kind", F.col("idx").cast("int").alias("idx"))
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("kind", "string"), ("idx", "int"))]
+    total = lambda name, df: df.agg(F.count("*").alias("pos")).select(F.lit(name).alias("file"), "pos", *none)
+    both = read("predicted", out, "b8", flips).unionByName(read("kept", kept, "r8", LAYOUT))
+    return both.unionByName(total("records", sh.count_shots(fx.spark, out, "b8", flips))).unionByName(total("discarded", made["discards"]))
+
+
 @query("pipe1_wide_observables", f"""
   WITH {predicted_sql(f"SELECT shot_id FROM fx_shots WHERE shot_id NOT IN ({POST})", FAR_OBS)}
   SELECT shot_id, CASE pred_mask WHEN 0 THEN '' WHEN 1 THEN '70' WHEN 2 THEN '130' ELSE '70 130' END AS observables, ROUND(w, 6) AS w, reason FROM predicted""")

@@ -542,3 +542,21 @@ def test_tasks_decoded_together_under_their_own_models(spark):
     got = {r.strong_id: (r.shots, r.errors, r.discards, r.custom_counts.get("obs_mistake_mask=E", 0)) for r in out.collect()}
     # An infeasible shot is an error without a pattern; the finished task is left out.
     assert got == {"t0/exact": (3, 2, 0, 2), "t0/none": (3, 0, 0, 0), "t2/exact": (3, 2, 0, 0), "t2/none": (3, 0, 0, 0)}
+
+
+def test_predictions_as_files_name_infeasible_shots(spark, tmp_path):
+    """Shot 2 alone is postselected away; shot 3 hits a detector without errors, so that nothing explains it."""
+    from parityspark.plans import jobs
+
+    lines = ["error(0.1) D0 L0", "error(0.01) D1 L1", "error(0.05) D0 D1", "detector(0, 0, 0, 0) D0", "detector(0, 0, 1, 0) D1", "detector(0, 0, 0, 1) D2", "detector(0, 0, 0, 0) D3"]
+    model = spark.createDataFrame([(0, i, x) for i, x in enumerate(lines)], "model_id int, seq bigint, line string")
+    shots = spark.createDataFrame([(i,) for i in range(5)], "shot_id bigint")
+    hits = spark.createDataFrame([(0, "D", 0), (1, "D", 1), (2, "D", 2), (3, "D", 3), (4, "L", 1)], "shot_id bigint, kind string, idx int")
+    layout = sh.Layout(0, 4, 2)
+    src, out, kept = (str(tmp_path / n) for n in ("src", "out", "kept"))
+    sh.write_shots(shots, hits, src, "b8", layout)
+    made = jobs.predict_to_files(spark, src, "b8", layout, model, out, "01", kept, "01", shots, postselect_coord=3)
+    # Records of shots 0, 1, 3 and 4: D1 alone is likelier by its own error (0.01) than by two others (0.05 times 0.1).
+    assert [r.value for r in spark.read.text(out).collect()] == ["10", "01", "00", "00"]
+    assert [r.value for r in spark.read.text(kept).collect()] == ["100000", "010000", "000100", "000001"]
+    assert rows(made["infeasible"], "shot_id") == [(3, 2)] and rows(made["discards"], "shot_id") == [(2,)]
