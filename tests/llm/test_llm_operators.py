@@ -125,14 +125,69 @@ def test_language_is_predicted_on_held_out_rows(docs, empty):
     assert op2_language_id.predict(empty, model).count() == 0
 
 
-def test_language_scores_are_naive_bayes(docs):
+def plain_bayes(some, t):
+    """Language and posterior of ``t`` by counts taken here, one n-gram at a time."""
+    def bucket(g):
+        return int(list(op2_language_id.ngrams(np.array([ord(c) for c in g], np.uint32), 1 << 16))[len(g) - 1][0])
+
+    def cut(x):
+        x = re.sub(r"[\W\d_]+", " ", (x or "").lower()).strip()
+        return [bucket(f" {x} "[i : i + n]) for n in (1, 2, 3) for i in range(len(x) + 3 - n)] if x else []
+
+    counts, docs_of = {}, Counter(lang for _, lang in some)
+    for x, lang in some:
+        counts.setdefault(lang, Counter()).update(cut(x))
+    total = {}
+    for lang, c in counts.items():
+        size = sum(c.values()) + 0.5 * (1 << 16)
+        total[lang] = np.log(docs_of[lang] / len(some)) + sum(np.log((c[g] + 0.5) / size) for g in cut(t))
+    best = min(total, key=lambda x: (-total[x], x))
+    return best, 1 / sum(np.exp(v - total[best]) for v in total.values())
+
+
+def test_language_scores_equal_plain_naive_bayes(spark, monkeypatch):
+    some = [(text("en" if i % 3 else "de", i, 12), "en" if i % 3 else "de") for i in range(12)] + [("la casa del río", "es"), ("fa", "it"), ("", "en"), (None, "de")]
+    asked = ["casa", "der fluss", "the house by der fluss", "x", "fa la", text("de", 90, 30), "Éa 3 é"]
+    learn = spark.createDataFrame(some, "text string, lang string")
+    ask = spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string")
+    for block in (256, 1, 3):
+        monkeypatch.setattr(op2_language_id, "BLOCK", block)
+        got = {r.doc_id: r for r in op2_language_id.predict(ask, op2_language_id.train(learn)).collect()}
+        for i, t in enumerate(asked):
+            lang, score = plain_bayes(some, t)
+            assert (got[i].lang_pred, got[i].score) == (lang, pytest.approx(score, rel=1e-4)), (block, t)
+
+
+def test_sparse_batch_is_the_same_in_pieces(monkeypatch):
+    table = np.random.default_rng(3).normal(size=(1 << 16, 3)).astype(np.float32)
+    texts = [text("de", 3).encode(), None, b"", ("ab " * 4000).encode(), b"77", text("en", 4).encode()]
+    whole, n = op2_language_id.batch_sums(texts, table)
+    monkeypatch.setattr(op2_language_id, "GATHERED", 21)
+    pieces, m = op2_language_id.batch_sums(texts, table)
+    assert np.allclose(whole, pieces) and list(n) == list(m) and n[1] == n[2] == n[4] == 0 and n[3] > 10_000
+
+
+def test_texts_in_unlearned_languages_and_letter_junk_go(spark):
+    def made(lang, seed, n=120):
+        # Syllables of one language in words of their own, so that no text repeats another.
+        rng = np.random.default_rng(seed)
+        parts = {"en": "th er on an re he in ed nd ha at en es of or nt ea ti to it st", "de": "ch ei un en er ge sch st ich der die ung lich keit zu mit ver auf"}[lang].split()
+        return " ".join("".join(rng.choice(parts, rng.integers(2, 4))) for _ in range(n))
+
+    learn = [(i, made("en" if i % 2 else "de", i), "en" if i % 2 else "de") for i in range(400)]
+    foreign = [
+        "в начале было слово и слово было у человека который жил на берегу реки и каждый день ходил смотреть на воду " * 4,
+        "alussa oli sana ja sana oli ihmisen luona joka asui joen rannalla ja käveli joka päivä katsomaan vettä eikä kukaan tiennyt mistä hän oli tullut " * 3,
+        " ".join("".join(np.random.default_rng(7).permutation(list("abcdefghijklmnopqrstuvwxyz"))[:k]) for k in list(range(3, 9)) * 20),
+    ]
+    rest = [(1000 + i, t, lang) for i, (t, lang) in enumerate([(x, None) for x in foreign] + [(made("de", 801), None), (made("en", 802, 9000), None), ("77 !", "en"), (None, "de"), (None, None)])]
+    docs = spark.createDataFrame(learn + rest + rest[3:4], "doc_id long, text string, lang string").withColumn("row", F.lit("x")).withColumn("score", F.lit(7))
     model = op2_language_id.train(docs)
-    sample = text("de", 3)
-    counts = Counter(int(b) for ids in op2_language_id.ngrams(op2_language_id.characters(sample.encode()), model.logp.shape[1]) for b in ids)
-    total = [model.prior[k] + sum(n * model.logp[k, b] for b, n in counts.items()) for k in range(len(model.languages))]
-    lang, score = model.predict(sample.encode())
-    assert model.languages[int(np.argmax(total))] == lang
-    assert score == pytest.approx(1 / sum(np.exp(np.array(total) - max(total))))
+    kept = op2_language_id.keep(docs, op2_language_id.with_floors(docs, model))
+    assert kept.columns == docs.columns
+    got = [r.doc_id for r in kept.collect()]
+    assert sorted(got) == [*range(400), 1003, 1003, 1004]
+    assert {1000, 1001, 1002} < {r.doc_id for r in op2_language_id.keep(docs, model).collect()}
 
 
 # --- quality classifier -------------------------------------------------------------------------------------------
