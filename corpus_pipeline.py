@@ -15,8 +15,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the corpus names, by a model learned from the documents that name one."""
-    return op2_language_id.keep(docs, op2_language_id.train(docs))
+    """Documents that look like a language the corpus names, by a model and floors learned from the documents that name one."""
+    return op2_language_id.keep(docs, op2_language_id.with_floors(docs, op2_language_id.train(docs)))
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
