@@ -5,8 +5,9 @@ vote pattern (at most 3 ** number of rules rows, whatever the input), expectatio
 estimates every rule's vote probabilities given a good or a bad document, and the posterior probability of "good" decides,
 instead of asking that all rules pass.
 
-Null text counts as no words. Repeated rows are judged each for itself; extra columns are not read. A corpus without
-documents gives the starting accuracies.
+Null text counts as no words, and texts of any length are counted whole. Repeated rows are judged each for itself, and weigh in the
+estimates as often as they occur; extra columns are not read. A posterior of exactly one half keeps the document. A corpus without documents
+gives the starting accuracies.
 """
 
 from __future__ import annotations
@@ -134,15 +135,22 @@ class Model:
 #: Expected vote probabilities (bad, abstain, good) of a rule given a good and given a bad document: good documents break few
 #: rules, bad ones break some and pass most.
 EXPECTED = ((0.02, 0.08, 0.9), (0.3, 0.15, 0.55))
-STRENGTH = 0.5  # weight of that expectation against the corpus
+PSEUDO = 10.0  # documents of each class that this expectation stands for, and documents behind the prior; a corpus outvotes them
+
+
+def _ratio(p: np.ndarray) -> np.ndarray:
+    """Log ratio of each rule's votes given good and given bad, no vote speaking against its own side."""
+    ratio = np.log(p[:, 0]) - np.log(p[:, 1])
+    ratio[:, 0], ratio[:, 2] = np.minimum(ratio[:, 0], 0), np.maximum(ratio[:, 2], 0)
+    return ratio
 
 
 def fit(patterns: dict[tuple[int, ...], int], n_rules: int, rounds: int = 100) -> Model:
     """Expectation-maximisation over vote patterns and their counts.
 
-    Each rule starts from EXPECTED and keeps it as a Dirichlet prior worth STRENGTH of a class's documents (plus one), so two
-    classes cannot settle on one odd cluster and call the rest good. As usual in weak supervision, rules are held to be better
-    than chance: a bad vote never speaks for a document, nor a good vote against it. Votes are independent given the class.
+    Each rule starts from EXPECTED and keeps it as a Dirichlet prior worth PSEUDO documents of either class, whatever the corpus. As usual in
+    weak supervision, rules are held to be no worse than chance, in every round: a bad vote never speaks for a document, nor a good vote
+    against it, so two classes cannot settle on one odd cluster and call the rest good. Votes are independent given the class.
     """
     keys = sorted(patterns)
     x = np.array(keys, int).reshape(len(keys), n_rules) + 1
@@ -150,16 +158,14 @@ def fit(patterns: dict[tuple[int, ...], int], n_rules: int, rounds: int = 100) -
     expected = np.array(EXPECTED)
     p, prior = np.array([expected] * n_rules), 0.9
     for _ in range(rounds if n.sum() else 0):
-        good = np.log(prior) + sum(np.log(p[r, 0, x[:, r]]) for r in range(n_rules))
-        bad = np.log1p(-prior) + sum(np.log(p[r, 1, x[:, r]]) for r in range(n_rules))
-        q = n / (1 + np.exp(np.clip(bad - good, -700, 700)))
-        prior = (q.sum() + 9) / (n.sum() + 10)
+        ratio = _ratio(p)
+        odds = np.log(prior) - np.log1p(-prior) + sum(ratio[r, x[:, r]] for r in range(n_rules))
+        q = n / (1 + np.exp(np.clip(-odds, -700, 700)))
+        prior = (q.sum() + 0.9 * PSEUDO) / (n.sum() + PSEUDO)
         for k, c in enumerate((q, n - q)):
-            weight = STRENGTH * c.sum() + 1
             for r in range(n_rules):
-                p[r, k] = [(c[x[:, r] == v].sum() + weight * expected[k, v]) / (c.sum() + weight) for v in range(3)]
-    ratio = np.log(p[:, 0]) - np.log(p[:, 1])
-    ratio[:, 0], ratio[:, 2] = np.minimum(ratio[:, 0], 0), np.maximum(ratio[:, 2], 0)
+                p[r, k] = [(c[x[:, r] == v].sum() + PSEUDO * expected[k, v]) / (c.sum() + PSEUDO) for v in range(3)]
+    ratio = _ratio(p)
     return Model(float(np.log(prior) - np.log1p(-prior)), tuple(tuple(map(float, w)) for w in ratio))
 
 

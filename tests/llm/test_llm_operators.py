@@ -457,6 +457,55 @@ def test_em_learns_a_rule_that_is_often_wrong():
     assert min(spread[:3]) > spread[3]
 
 
+def plain_em(votes, n_rules, rounds=100):
+    """Prior log odds and log ratios, one document at a time."""
+    expected = ((0.02, 0.08, 0.9), (0.3, 0.15, 0.55))
+    table = {(r, c, v): expected[c][v + 1] for r in range(n_rules) for c in (0, 1) for v in (-1, 0, 1)}
+    prior = 0.9
+
+    def ratio(r, v):
+        x = float(np.log(table[r, 0, v] / table[r, 1, v]))
+        return min(x, 0.0) if v < 0 else max(x, 0.0) if v > 0 else x
+
+    for _ in range(rounds):
+        weight = [{(r, v): ratio(r, v) for v in (-1, 0, 1)} for r in range(n_rules)]
+        good = []
+        for doc in votes:
+            odds = np.log(prior / (1 - prior)) + sum(weight[r][r, v] for r, v in enumerate(doc))
+            good.append(1 / (1 + np.exp(-odds)))
+        prior = (sum(good) + 9) / (len(votes) + 10)
+        for c, share in ((0, good), (1, [1 - g for g in good])):
+            for r in range(n_rules):
+                for v in (-1, 0, 1):
+                    seen = sum(s for s, doc in zip(share, votes) if doc[r] == v)
+                    table[r, c, v] = (seen + 10 * expected[c][v + 1]) / (sum(share) + 10)
+    return np.log(prior / (1 - prior)), [[ratio(r, v) for v in (-1, 0, 1)] for r in range(n_rules)]
+
+
+def test_em_equals_a_plain_version():
+    rng = np.random.default_rng(8)
+    votes = [tuple(int(v) for v in rng.choice([-1, 0, 1], 3, p=[0.7, 0.2, 0.1] if i % 5 == 0 else [0.05, 0.15, 0.8])) for i in range(120)]
+    model = op6_quality_rules.fit(Counter(votes), 3)
+    prior, weight = plain_em(votes, 3)
+    assert model.prior == pytest.approx(prior) and np.allclose(model.weight, weight)
+
+
+def test_em_lets_a_large_corpus_outvote_the_expectation():
+    # The last rule speaks against seven good documents of ten, far from what is expected of a rule.
+    def corpus(size):
+        rng = np.random.default_rng(5)
+        patterns = Counter()
+        for _ in range(size):
+            good = rng.random() < 0.7
+            vote = lambda right: 1 if (rng.random() < right) == good else -1
+            patterns[(vote(0.95), vote(0.95), vote(0.95), int(rng.choice([-1, 1], p=[0.7, 0.3])))] += 1
+        return op6_quality_rules.fit(patterns, 4)
+
+    small, large = corpus(20), corpus(20_000)
+    assert abs(large.weight[3][0]) < 0.1 < abs(small.weight[3][0])
+    assert large.weight[0][0] == pytest.approx(np.log(0.05 / 0.95), abs=0.2)
+
+
 # --- n-gram join ------------------------------------------------------------------------------------------------
 
 
