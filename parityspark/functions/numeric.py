@@ -136,11 +136,12 @@ def fit_line_y_at_x(x: Column, y: Column, x0: float, extra: float) -> dict[str,
 
 
 def rescale(v: Column, scale: str, invert: bool = False) -> Column:
-    """Axis transform: linear, log or sqrt, and back (FN8)."""
+    """Axis transform: linear, log or sqrt, and back (FN8). The logarithm of 0 is -inf, below it NaN."""
     if scale == "linear":
         return v.cast("double")
     if scale == "log":
-        return F.exp(v) if invert else F.log(v)
+        # F.log gives NULL at 0 and below, which would pass for a missing value.
+        return F.exp(v) if invert else F.when(v == 0, NEG_INF()).when(v < 0, F.lit(float("nan"))).otherwise(F.log(v))
     if scale == "sqrt":
         return F.pow(v, 2) if invert else F.sqrt(v)
     raise ValueError(f"unknown scale {scale!r}")

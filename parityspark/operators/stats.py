@@ -267,7 +267,8 @@ def curve_table(points: DataFrame, group: Sequence[str], x: str, label: str | No
 def line_fit_curves(points: DataFrame, group: Sequence[str], x_scale: str, y_scale: str, n: int = 1000) -> DataFrame:
     """Least-squares line per curve on rescaled axes, extended tenfold both ways and sampled at ``n`` points (FN20)."""
     usable = points.filter("best IS NOT NULL AND NOT isnan(best)")
-    xs, ys = num.rescale(F.col("x"), x_scale), num.rescale(F.col("best"), y_scale)
+    # What has no place on the axis, such as 0 on a logarithmic one, takes no part in the fit.
+    xs, ys = (F.when(F.abs(c) < float("inf"), c) for c in (num.rescale(F.col("x"), x_scale), num.rescale(F.col("best"), y_scale)))
     fits = (
         usable.withColumns({"_x": xs, "_y": ys})
         .groupBy(*group)

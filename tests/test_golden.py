@@ -236,3 +236,12 @@ def test_undecodable_component(spark):
     edges = spark.createDataFrame([(0, 1, 1, 0), (2, 3, 1, 0), (2, None, 1, 0)], "u int, v int, w bigint, obs_mask bigint")
     hits = spark.createDataFrame([(0, 0), (0, 1), (1, 0), (2, 2), (3, 9)], "shot_id bigint, det int")
     assert table(gr.undecodable_shots(hits, edges), "shot_id") == [(1, 1), (3, 1)]
+
+
+def test_logarithms_of_zero_and_below_are_no_missing_values(spark):
+    got = one(spark, *[num.rescale(F.lit(v), "log") for v in (0.0, -0.0, -1.0, 1.0)])
+    assert got[0] == got[1] == -math.inf and math.isnan(got[2]) and got[3] == 0.0
+    assert one(spark, num.rescale(F.lit(None).cast("double"), "log"))[0] is None
+    points = spark.createDataFrame([("a", float(x), float(x)) for x in (0, 1, 2, 4)], "g string, x double, best double")
+    ends = [(r.x, r.y) for r in st.line_fit_curves(points, ["g"], "log", "log", 3).collect()]
+    assert len(ends) == 3 and all(x == pytest.approx(y) and math.isfinite(x) for x, y in ends)
