@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bits
 from ..functions import numeric as num
-from .parity import xor_reduce
+from .parity import packs, toggles, unpacked, words, xor_items, xor_reduce, xor_words
 from .parity_sets import ParitySets
 
 # Joins in this module carry no broadcast hints: the planner broadcasts a side when its measured size is
@@ -24,21 +24,32 @@ def measurements_to_events(
     events take ``measured_events`` instead, which never unrolls the expected ones.
     """
     if expected is None:
-        return xor_reduce(meas_hits.join(det_def, "meas").select("shot_id", out), ["shot_id", out])
+        return _fired(meas_hits, det_def, out)
     as_det = lambda df: df.withColumnRenamed(out, "det")
     return measured_events(shots, meas_hits, as_det(det_def), as_det(expected)).rows().withColumnRenamed("det", out)
 
 
 def measured_events(shots: DataFrame, meas_hits: DataFrame, det_def: DataFrame, expected: DataFrame) -> ParitySets:
     """Detection events as the detectors expected to fire and each shot's difference from them."""
-    fired = xor_reduce(meas_hits.join(det_def, "meas").select("shot_id", "det"), ["shot_id", "det"])
-    return ParitySets(shots.select("shot_id"), fired, expected.filter(F.col("expect") == 1).select("det").distinct())
+    return ParitySets(shots.select("shot_id"), _fired(meas_hits, det_def, "det"), expected.filter(F.col("expect") == 1).select("det").distinct())
+
+
+def _fired(meas_hits: DataFrame, det_def: DataFrame, out: str) -> DataFrame:
+    """Definitions with an odd number of set measurements in a shot."""
+    if not packs(det_def, out):
+        return xor_reduce(meas_hits.join(det_def, "meas").select("shot_id", out), ["shot_id", out])
+    flips = toggles(meas_hits, det_def.select("meas", out), "meas", [], out)
+    return unpacked(xor_words(flips, ["shot_id"]), ["shot_id"], out, det_def.schema[out].dataType.simpleString())
 
 
 def apply_sweep(events: DataFrame, sweep_hits: DataFrame, sweep_effect: DataFrame) -> DataFrame:
     """XOR the detectors controlled by each shot's sweep bits into its events (JN2)."""
-    flips = sweep_hits.join(sweep_effect, "sweep").select("shot_id", "det")
-    return xor_reduce(events.select("shot_id", "det").unionByName(flips), ["shot_id", "det"])
+    if not (packs(events, "det") and packs(sweep_effect, "det")):
+        flips = sweep_hits.join(sweep_effect, "sweep").select("shot_id", "det")
+        return xor_reduce(events.select("shot_id", "det").unionByName(flips), ["shot_id", "det"])
+    # At most a row for each of a word's events and of a shot's sweep bits.
+    both = words(events, ["shot_id"], "det").unionByName(toggles(sweep_hits, sweep_effect.select("sweep", "det"), "sweep", [], "det"))
+    return unpacked(xor_words(both, ["shot_id"], dealt=True), ["shot_id"], "det", events.schema["det"].dataType.simpleString())
 
 
 def align_records(a: DataFrame, b: DataFrame, strict: bool = False) -> DataFrame:
@@ -56,15 +67,18 @@ def align_records(a: DataFrame, b: DataFrame, strict: bool = False) -> DataFrame
 
 def replay_errors(err_hits: DataFrame, targets: DataFrame) -> DataFrame:
     """Detectors and observables flipped by recorded mechanism firings (JN4)."""
-    # Cancel a mechanism's own repeated targets once, before the join multiplies them by the shots.
-    net = xor_reduce(targets, ["err_id", "kind", "idx"])
-    return xor_reduce(err_hits.join(net, "err_id"), ["shot_id", "kind", "idx"])
+    if not packs(targets, "idx"):
+        return xor_reduce(err_hits.join(xor_reduce(targets, ["err_id", "kind", "idx"]), "err_id"), ["shot_id", "kind", "idx"])
+    # A shot has a row for each of its firings and their words.
+    flips = toggles(err_hits, targets.select("err_id", "kind", "idx"), "err_id", ["kind"], "idx")
+    flipped = xor_words(flips, ["shot_id", "kind"], dealt=True)
+    return unpacked(flipped, ["shot_id", "kind"], "idx", targets.schema["idx"].dataType.simpleString())
 
 
 def syndrome_of(fault_hits: DataFrame, checks: DataFrame, boundary: DataFrame | None = None) -> DataFrame:
     """Batch matrix-vector product over GF(2); boundary rows stay 0 (JN5). checks(row, col), faults(shot_id, col)."""
     rows = checks if boundary is None else checks.join(boundary.select(F.col("node").alias("row")), "row", "left_anti")
-    return xor_reduce(fault_hits.join(rows, "col"), ["shot_id", "row"])
+    return xor_items(fault_hits.join(rows, "col"), ["shot_id"], "row")
 
 
 def score_predictions(pred: DataFrame, actual: DataFrame, obs_postmask: int = 0, discards: DataFrame | None = None) -> DataFrame:
@@ -314,4 +328,4 @@ def leftover_events(inner: DataFrame, committed: DataFrame, outer: DataFrame) ->
     """Inner events the inner pass did not explain, XORed into the outer set (SET6)."""
     keys = ["shot_id", "det"]
     left = inner.join(committed.select(*keys), keys, "left_anti").select(*keys)
-    return xor_reduce(left.unionByName(outer.select(*keys)), keys)
+    return xor_items(left.unionByName(outer.select(*keys)), ["shot_id"], "det")

@@ -16,7 +16,7 @@ from ..functions import numeric as num
 from ..lineage import cut, drop, new_path
 from .events import pair_hits_on_edges
 from .model import component_edges, merge_parallel_edges, observable_count
-from .parity import xor_probability, xor_reduce
+from .parity import packs, words, xor_probability, xor_reduce, xor_words
 from .parity_sets import ParitySets
 
 
@@ -287,8 +287,12 @@ def undecodable_shots(hits: DataFrame, edges: DataFrame) -> DataFrame:
     located = hits.select("shot_id", F.col("det").alias("node")).join(parts.select("node", F.col("label").alias("_part")), "node", "left").withColumn(
         "label", F.coalesce("_part", "node")
     )
-    odd = located.join(rim, "label", "left_anti").groupBy("shot_id", "label").agg(F.count("*").alias("n")).filter("n % 2 = 1")
-    return odd.groupBy("shot_id").agg(F.count("*").alias("odd_parts"))
+    closed = located.join(rim, "label", "left_anti")
+    if not packs(closed, "label"):
+        odd = xor_reduce(closed, ["shot_id", "label"])
+        return odd.groupBy("shot_id").agg(F.count("*").alias("odd_parts"))
+    odd = xor_words(words(closed, ["shot_id"], "label"), ["shot_id"], dealt=True)
+    return odd.groupBy("shot_id").agg(F.sum(F.bit_count("_bits").cast("bigint")).alias("odd_parts"))
 
 
 # ---- shortest paths -----------------------------------------------------------------------------

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .parity import xor_reduce
+from .parity import packs, unpacked, words, xor_items, xor_words
 
 
 @dataclass(frozen=True)
@@ -25,7 +25,7 @@ class ParitySets:
 
     def xor(self, hits: DataFrame) -> ParitySets:
         """Sets with the bits ``hits(shot_id, det)`` toggled; repeats cancel."""
-        toggled = xor_reduce(self.diff.select("shot_id", "det").unionByName(hits.select("shot_id", "det")), ["shot_id", "det"])
+        toggled = xor_items(self.diff.select("shot_id", "det").unionByName(hits.select("shot_id", "det")), ["shot_id"], "det")
         return ParitySets(self.shots, toggled, self.base)
 
     def within(self, mask: DataFrame) -> ParitySets:
@@ -62,9 +62,17 @@ class ParitySets:
         return self.sizes().filter("n > 0").select("shot_id")
 
     def rows(self) -> DataFrame:
-        """The sets as rows (shot_id, det): every shot meets the base, dealt by hashed slots of its bits."""
-        n = self._base_size()
+        """The sets as rows (shot_id, det): every shot meets the words of the base, dealt by hashed slots."""
+        if packs(self.base, "det") and packs(self.diff, "det"):
+            base = xor_words(words(self.base, [], "det"), [])
+            asked = self._met(base, "_word").select("shot_id", "_word", "_bits")
+            both = words(self.diff, ["shot_id"], "det").unionByName(asked)
+            return unpacked(xor_words(both, ["shot_id"], dealt=True), ["shot_id"], "det", self.diff.schema["det"].dataType.simpleString())
+        return xor_items(self.diff.select("shot_id", "det").unionByName(self._met(self.base, "det").select("shot_id", "det")), ["shot_id"], "det")
+
+    def _met(self, base: DataFrame, key: str) -> DataFrame:
+        """Every shot with every row of ``base``."""
+        n = base.agg(F.count("*")).scalar()
         slot = F.when(n > 0, F.sequence(F.lit(0).cast("bigint"), n - 1))
         asked = self.shots.select("shot_id", F.explode(slot).alias("_slot"))
-        held = self.base.select("det", F.pmod(F.xxhash64("det"), n).alias("_slot"))
-        return xor_reduce(self.diff.select("shot_id", "det").unionByName(asked.join(held, "_slot").select("shot_id", "det")), ["shot_id", "det"])
+        return asked.join(base.withColumn("_slot", F.pmod(F.xxhash64(key), n)), "_slot")

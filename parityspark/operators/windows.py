@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..ordered import running_sums
-from .parity import xor_reduce
+from .parity import xor_items
 
 
 def truncate_at_k_errors(log: DataFrame, k: int) -> DataFrame:
@@ -31,7 +31,7 @@ def round_differences(bits: DataFrame, n_rounds: int) -> DataFrame:
     A set bit flips its own round and the next one; parity of these flips needs no ordering.
     """
     flips = bits.select("shot_id", "check", F.explode(F.array(F.col("round_id"), F.col("round_id") + 1)).alias("round_id"))
-    return xor_reduce(flips.filter(F.col("round_id") < n_rounds), ["shot_id", "check", "round_id"])
+    return xor_items(flips.filter(F.col("round_id") < n_rounds), ["shot_id", "check"], "round_id", dealt=True)
 
 
 def assign_windows(hits: DataFrame, commit: int, window: int) -> DataFrame:

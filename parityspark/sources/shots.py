@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import lineage
-from ..operators.parity import xor_reduce
+from ..operators.parity import xor_items
 from ..shipping import ship
 from .shot_source import ShotSource, session_options
 
@@ -102,7 +102,7 @@ def parse_shot_lines(lines: DataFrame, fmt: str, layout: Layout, dedup: str = "x
         hits = _parse_dets(lines, layout)
     else:
         hits = _canonical({"01": _parse_01, "hits": _parse_hits}[fmt](lines, layout), layout)
-    return hits if dedup == "keep" or fmt == "01" else xor_reduce(hits, ["shot_id", "kind", "idx"])
+    return hits if dedup == "keep" or fmt == "01" else xor_items(hits, ["shot_id", "kind"], "idx")
 
 
 def shot_lines(shots: DataFrame, hits: DataFrame, fmt: str, layout: Layout) -> DataFrame:

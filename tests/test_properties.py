@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 
 import numpy as np
 import pytest
@@ -560,3 +561,37 @@ def test_predictions_as_files_name_infeasible_shots(spark, tmp_path):
     assert [r.value for r in spark.read.text(out).collect()] == ["10", "01", "00", "00"]
     assert [r.value for r in spark.read.text(kept).collect()] == ["100000", "010000", "000100", "000001"]
     assert rows(made["infeasible"], "shot_id") == [(3, 2)] and rows(made["discards"], "shot_id") == [(2,)]
+
+
+def test_items_in_words_agree_with_counting_them(spark):
+    rng = random.Random(5)
+    data = [(rng.randrange(4), rng.choice("ab"), rng.choice([None, -(2**31), 2**31 - 1, -33, -32, -1, 0, 31, 32, 63, 64, 1000])) for _ in range(400)]
+    hits = spark.createDataFrame(data, "shot_id bigint, kind string, idx int")
+    keys = ["shot_id", "kind"]
+    for of in ("int", "bigint", "string", "double"):
+        typed = hits.withColumn("idx", F.col("idx").cast(of))
+        got = pa.xor_items(typed, keys, "idx")
+        assert got.schema == typed.schema
+        show = lambda df: sorted(map(tuple, df.collect()), key=repr)
+        assert show(got) == show(pa.xor_reduce(typed, [*keys, "idx"])) != []
+    text = hits.select(*keys, F.col("idx").cast("string").alias("idx"))
+    a, b = (hits.filter(F.abs(F.hash("shot_id", "kind", "idx")) % 5 != n) for n in (0, 1))
+    as_text = lambda df: df.join(text, ["shot_id", "kind"], "left_semi").select("shot_id", F.col("idx").cast("string").alias("idx"))
+    want = sorted(map(tuple, pa.is_subset(as_text(a), as_text(b), "shot_id", "idx").collect()))
+    assert sorted(map(tuple, pa.is_subset(a, b, "shot_id", "idx").collect())) == want
+
+
+def test_parity_of_shots_holds_words_and_not_hits(spark):
+    """The tables that tasks hold have one row a word, so they do not grow with the hits of a shot."""
+    hits = spark.range(1000).select((F.col("id") % 10).alias("shot_id"), (F.col("id") % 24).cast("int").alias("det"))
+    effect = spark.range(96).select((F.col("id") % 24).cast("int").alias("det"), (F.col("id") % 32).cast("int").alias("sweep"))
+    sweep = hits.select("shot_id", F.col("det").alias("sweep"))
+    targets = effect.select(F.col("sweep").alias("err_id"), F.lit("D").alias("kind"), F.col("det").alias("idx"))
+    jobs = [
+        ev.apply_sweep(hits, sweep, effect), ev.replay_errors(sweep.withColumnRenamed("sweep", "err_id"), targets),
+        wn.round_differences(hits.withColumns({"check": F.lit(0), "round_id": F.col("det")}), 24), pa.is_subset(hits, hits, "shot_id", "det"),
+        gr.toggle_base_hits(hits.select("shot_id").distinct(), hits, effect.select("det").distinct()),
+    ]
+    for job in jobs:
+        plan = job._jdf.queryExecution().executedPlan().toString()
+        assert any("_word" in keys for keys in re.findall(r"HashAggregate\(keys=\[([^\]]*)\]", plan))
