@@ -225,46 +225,79 @@ def budgets(spark: SparkSession, checkpoint: str, max_shots: int | None, max_err
     return budget_left(state.select("key.strong_id", F.col("value.shots").alias("shots_used"), F.col("value.errors").alias("errors_used")), max_shots, max_errors)
 
 
+#: Neighbouring shots that share a state of the round buffer, and so a call and its array operations.
+SHOT_BLOCK = 1024
+
+
+def _placed(values: np.ndarray, known: np.ndarray, ids: np.ndarray, empty: int) -> np.ndarray:
+    """Values of the ids already known, among all ids; ``empty`` for the rest."""
+    out = np.full(len(ids), empty, np.int64)
+    out[np.searchsorted(ids, known)] = values
+    return out
+
+
 def stream_windowed_rounds(rounds: DataFrame, commit: int, window: int, delay: str, patience_ms: int, sink: str, checkpoint: str) -> None:
     """Emit each shot's windows as its rounds complete; a round older than the committed ones goes to ``late`` (STR5).
 
     ``rounds(shot_id, round_id, dets array, ts)``. A shot is closed ``patience_ms`` after its last round in
-    event time. Windows are numbered in columns before the state (WIN7); the state of a shot is its open windows' hits as arrays, filtered at once.
+    event time. Windows are numbered in columns before the state (WIN7). A state holds SHOT_BLOCK neighbouring shots, each with its own
+    progress and end, and the hits of their open windows as arrays: one call serves a block, so calls do not grow with the shots.
     """
 
     def buffer(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        done, top, *held = state.get if state.exists else (0, -1, [], [], [])
-        held = [np.asarray(h, kind) for h, kind in zip(held, (np.int64, np.int64, bool), strict=True)]
-        late = np.zeros(0, np.int64)
+        # Open shots of the block in order of their ids, then the hits of open windows.
+        held = state.get if state.exists else [[]] * 8
+        ids, done, top, due, *hits = (np.asarray(x, kind) for x, kind in zip(held, (*[np.int64] * 7, bool), strict=True))
+        now = state.getCurrentWatermarkMs()
+        late = np.zeros((2, 0), np.int64)
         if state.hasTimedOut:
-            closed = np.ones(len(held[0]), bool)
-            state.remove()
+            met = np.zeros(len(ids), bool)
         else:
             new = pd.concat(list(batches), ignore_index=True)
-            dets = [np.asarray(d, np.int64) if d is not None else late for d in new["dets"]]
-            at = np.repeat(np.arange(len(new)), [len(d) for d in dets])
-            det = np.concatenate(dets) if dets else late
-            round_id, win = new["round_id"].to_numpy(np.int64), new["win"].fillna(-1).to_numpy(np.int64)
-            behind = (round_id < done * commit)[at]
-            late = det[behind & new["last"].to_numpy(bool)[at]]
-            fresh = ~behind & (win[at] >= done)
-            held = [np.concatenate([h, x[fresh]]) for h, x in zip(held, (win[at], det, new["in_commit"].fillna(False).to_numpy(bool)[at]), strict=True)]
-            top = max(top, int(round_id.max()))
-            done = max(done, (top - window + 1) // commit + 1)
-            closed = held[0] < done
-            state.update((done, top, *[h[~closed].tolist() for h in held]))
-            state.setTimeoutTimestamp(max(int(new["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs() + 1) + patience_ms)
-        win, det, flag = (h[closed] for h in held)
-        if len(win) + len(late):
+            shot, round_id = new["shot_id"].to_numpy(np.int64), new["round_id"].to_numpy(np.int64)
+            known, ids = ids, np.union1d(ids, shot)
+            done, top, due = (_placed(x, known, ids, empty) for x, empty in ((done, 0), (top, -1), (due, 0)))
+            at = np.searchsorted(ids, shot)
+            met = np.zeros(len(ids), bool)
+            met[at] = True
+            hit = new["det"].notna().to_numpy()
+            det, win = new["det"].fillna(-1).to_numpy(np.int64), new["win"].fillna(-1).to_numpy(np.int64)
+            behind = round_id < done[at] * commit
+            gone = hit & behind & new["last"].to_numpy(bool)
+            late = np.stack([shot[gone], det[gone]])
+            fresh = hit & ~behind & (win >= done[at])
+            hits = [np.concatenate([h, x[fresh]]) for h, x in zip(hits, (shot, win, det, new["in_commit"].fillna(False).to_numpy(bool)), strict=True)]
+            np.maximum.at(top, at, round_id)
+            done = np.where(met, np.maximum(done, (top - window + 1) // commit + 1), done)
+            seen = np.full(len(ids), now + 1)
+            np.maximum.at(seen, at, new["ms"].to_numpy(np.int64))
+            due = np.where(met, seen + patience_ms, due)
+        # Shots without a row in this batch end when the watermark has passed their time.
+        over = ~met & (due < now)
+        place = np.searchsorted(ids, hits[0])
+        closed = over[place] | (hits[1] < done[place])
+        ids, done, top, due = (x[~over] for x in (ids, done, top, due))
+        if len(ids):
+            state.update(tuple(x.tolist() for x in (ids, done, top, due, *[h[~closed] for h in hits])))
+            state.setTimeoutTimestamp(int(due.min()))
+        elif state.exists:
+            state.remove()
+        shot, win, det, flag = (h[closed] for h in hits)
+        n = late.shape[1]
+        if n + len(shot):
             yield pd.DataFrame({
-                "shot_id": int(key[0]), "det": np.concatenate([late, det]), "win": np.concatenate([np.full(len(late), -1), win]),
-                "in_commit": np.concatenate([np.zeros(len(late), bool), flag]), "late": np.arange(len(late) + len(win)) < len(late),
+                "shot_id": np.concatenate([late[0], shot]), "det": np.concatenate([late[1], det]), "win": np.concatenate([np.full(n, -1), win]),
+                "in_commit": np.concatenate([np.zeros(n, bool), flag]), "late": np.arange(n + len(shot)) < n,
             })
 
-    # Every row of a round is copied to the windows that cover it; ``last`` marks one of the copies.
+    # Every row of a round is copied to the windows that cover it; ``last`` marks one of the copies. A round without hits still moves its shot on.
     numbered = wn.covering_windows(rounds, commit, window, outer=True).withColumn("last", F.coalesce(F.col("win") == F.floor(F.col("round_id") / commit), F.lit(True)))
-    out = numbered.withWatermark("ts", delay).groupBy("shot_id").applyInPandasWithState(
-        buffer, "shot_id bigint, det int, win int, in_commit boolean, late boolean", "done int, top int, wins array<int>, dets array<int>, flags array<boolean>",
+    flat = numbered.withWatermark("ts", delay).select(
+        F.floor(F.col("shot_id") / SHOT_BLOCK).alias("block"), "shot_id", "round_id", F.explode_outer("dets").alias("det"), "win", "in_commit", "last", "ts", F.unix_millis("ts").alias("ms"),
+    )
+    out = flat.groupBy("block").applyInPandasWithState(
+        buffer, "shot_id bigint, det int, win int, in_commit boolean, late boolean",
+        "ids array<bigint>, done array<bigint>, top array<bigint>, due array<bigint>, shots array<bigint>, wins array<bigint>, dets array<bigint>, flags array<boolean>",
         "append", GroupStateTimeout.EventTimeTimeout,
     )
     split = lambda batch, _: {"windows": batch.filter("NOT late").drop("late"), "late": batch.filter("late").select("shot_id", "det")}

@@ -83,3 +83,26 @@ def test_current_totals_do_not_read_the_batches(spark, tmp_path):
     got = sj.combined(spark, check)
     assert show(got) == show(want)
     assert sj.current_sums(spark, check, ["shots", "errors", "discards", "seconds", "n"]).count() == 4
+
+
+def test_blocks_of_shots_buffer_rounds_as_single_shots_do(spark, tmp_path, monkeypatch):
+    rng = random.Random(3)
+    schema = "shot_id bigint, round_id int, dets array<int>, at bigint"
+    # Shots go on at their own pace, some stay away long enough to be closed and come back, some repeat old rounds.
+    parts = [[(s, max(0, 2 * b + rng.randrange(-3, 3)), rng.choice([None, [], [s % 7], [s % 7, 9]]), 100 * b + rng.randrange(60)) for s in range(-3, 40) if rng.random() < 0.6] for b in range(5)]
+    parts.append([(10**6, 0, [], 10**6)])
+    got = {}
+    for block in (1, 16):
+        monkeypatch.setattr(sj, "SHOT_BLOCK", block)
+        src, sink, check = (str(tmp_path / f"{x}-{block}") for x in ("in", "out", "check"))
+        stored = []
+        for part in parts:
+            df = spark.createDataFrame(part, schema).select("shot_id", "round_id", "dets", F.timestamp_seconds("at").alias("ts"))
+            df.coalesce(2).write.mode("append").parquet(src)
+            sj.stream_windowed_rounds(spark.readStream.schema(df.schema).parquet(src), 2, 3, "20 seconds", 90_000, sink, check)
+            stored.append(spark.read.format("statestore").load(check).count())
+        show = lambda name: sorted(map(tuple, sj.results(spark, sink, name).drop("batch").collect()))
+        got[block] = show("windows"), show("late"), stored
+    assert got[1][:2] == got[16][:2] and all(got[16][:2])
+    # One state a block of shots that are open: what the job does is not a call a shot.
+    assert max(got[16][2]) <= 4 < max(got[1][2])
