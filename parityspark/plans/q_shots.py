@@ -34,7 +34,7 @@ def _(fx):
     path = new_path(fx.spark, "table-function")
     sh.write_shots(fx.fx_shots, hits(fx), path, "b8", LAYOUT)
     sh.register_functions(fx.spark)
-    sh.scan_packed(fx.spark, path, "b8", LAYOUT, "chunks").createOrReplaceTempView("shot_chunk")
+    sh.table_pieces(fx.spark, path, "b8", LAYOUT).createOrReplaceTempView("shot_chunk")
     return fx.spark.sql(f"""
       SELECT first_shot + t.shot AS shot_id, CASE WHEN t.pos < {LAYOUT.n_det} THEN 'D' ELSE 'L' END AS kind, t.pos % {LAYOUT.n_det} AS idx
       FROM shot_chunk, LATERAL decode_b8(content, {LAYOUT.bits}) t""")

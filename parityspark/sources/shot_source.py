@@ -8,7 +8,7 @@ Options: ``encoding``; ``n_meas``, ``n_det``, ``n_obs``; ``split_bytes`` and ``p
 whose ranges cannot be read without the position at which each begins (see ``shots.index_runs``). The option ``view`` says what is read:
 
 * ``hits`` (default): shot_id, kind, idx
-* ``chunks``: first_shot, content; whole records of a range, at most CHUNK bytes a row (b8, ptb64)
+* ``chunks``: first_shot, content; whole records of a range, at most CHUNK bytes a row, or the option ``piece_bytes`` if it is less (b8, ptb64)
 * ``ranges``: first_shot, shots; from file lengths alone (b8, ptb64)
 * ``advance``: file, start, size, total; how far the bytes of a range move on (r8)
 * ``files``: file, shots, bytes; what the last write into the folder committed
@@ -30,7 +30,9 @@ import pyarrow.fs as pafs
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-CHUNK = 4 << 20
+# Bytes fetched and bytes decoded at a time. A set bit takes some 60 bytes while its piece is turned into rows, so a piece is small.
+FETCH = 4 << 20
+CHUNK = 128 << 10
 SPLIT = 128 << 20
 LEAST_SPLIT = 64 << 10
 MANIFEST = "_manifest.json"
@@ -216,7 +218,7 @@ class ShotReader(DataSourceReader):
     def __init__(self, path: str, shape: Shape, view: str, options: dict[str, str]):
         self.path, self.shape, self.view = path, shape, view
         self.split, self.parallelism = int(options.get("split_bytes", SPLIT)), int(options.get("parallelism", 1))
-        self.index = options.get("index")
+        self.index, self.piece = options.get("index"), int(options.get("piece_bytes", FETCH))
         if view == "hits" and shape.encoding == "r8" and not self.index:
             raise ValueError("hits of r8 files need the option index, see index_runs")
         if shape.encoding == "r8" and view in ("chunks", "ranges") or shape.encoding != "r8" and view == "advance":
@@ -258,7 +260,9 @@ class ShotReader(DataSourceReader):
             for offset, data in self._pieces(r):
                 first = r.first + offset // shape.align * shape.per
                 if self.view == "chunks":
-                    yield pa.RecordBatch.from_pydict({"first_shot": [first], "content": [data.tobytes()]})
+                    step = max(shape.align, self.piece // shape.align * shape.align)
+                    starts = range(0, len(data), step)
+                    yield pa.RecordBatch.from_pydict({"first_shot": [first + s // shape.align * shape.per for s in starts], "content": [data[s : s + step].tobytes() for s in starts]})
                 else:
                     shot, pos, at = shape.positions(data, first, at)
                     yield shape.hits(shot, pos)
@@ -266,9 +270,12 @@ class ShotReader(DataSourceReader):
     def _pieces(self, r: Range) -> Iterator[tuple[int, np.ndarray]]:
         fs, _ = open_path(self.path)
         step = max(self.shape.align, CHUNK // self.shape.align * self.shape.align)
+        fetch = max(step, FETCH // step * step)
         with fs.open_input_file(r.file) as f:
-            for offset in range(0, r.size, step):
-                yield offset, np.frombuffer(f.read_at(min(step, r.size - offset), r.start + offset), dtype=np.uint8)
+            for start in range(0, r.size, fetch):
+                block = np.frombuffer(f.read_at(min(fetch, r.size - start), r.start + start), dtype=np.uint8)
+                for at in range(0, len(block), step):
+                    yield start + at, block[at : at + step]
 
     def _manifest(self) -> Iterator[pa.RecordBatch]:
         fs, base = open_path(self.path)

@@ -210,6 +210,15 @@ def read_shots(spark: SparkSession, path: str, fmt: str, layout: Layout, dedup:
     return scan_packed(spark, path, fmt, layout, "hits", **options)
 
 
+#: Bytes a row for the table function: Spark hands it 100 rows at a time and keeps all that they return.
+TABLE_PIECE = 2048
+
+
+def table_pieces(spark: SparkSession, path: str, fmt: str, layout: Layout) -> DataFrame:
+    """Pieces (first_shot, content) of packed files as small as a table function needs them."""
+    return scan_packed(spark, path, fmt, layout, "chunks", piece_bytes=str(TABLE_PIECE))
+
+
 class DecodeB8:
     """Table function over a piece of a packed file: a row (shot, pos) for every set bit (UDTF1)."""
 
@@ -221,7 +230,7 @@ class DecodeB8:
 
 
 def register_functions(spark: SparkSession) -> None:
-    """Make ``decode_b8(content, bits)`` available to SQL, for use with the data source's view ``chunks``."""
+    """Make ``decode_b8(content, bits)`` available to SQL, for use with ``table_pieces``."""
     ship(spark)
     spark.udtf.register("decode_b8", F.udtf(DecodeB8, returnType="shot bigint, pos int"))
 

@@ -595,3 +595,24 @@ def test_parity_of_shots_holds_words_and_not_hits(spark):
     for job in jobs:
         plan = job._jdf.queryExecution().executedPlan().toString()
         assert any("_word" in keys for keys in re.findall(r"HashAggregate\(keys=\[([^\]]*)\]", plan))
+
+
+@pytest.mark.parametrize("fmt", ["b8", "ptb64", "r8"])
+def test_packed_reader_hands_over_small_pieces(tmp_path, fmt):
+    """Dense records of 2 MB: no batch of rows grows with the range."""
+    from parityspark.sources import shot_source
+
+    shape = shot_source.Shape(fmt, 0, 64, 0)
+    data = np.zeros(1 << 21, np.uint8) if fmt == "r8" else np.full(1 << 21, 255, np.uint8)
+    (tmp_path / f"a.{fmt}").write_bytes(data.tobytes())
+    reader = shot_source.ShotReader(f"file://{tmp_path}", shape, "chunks" if fmt == "b8" else "hits", {"piece_bytes": "2000", "index": "none"})
+    sizes = [(b.num_rows, b.nbytes) for b in reader.read(shot_source.Ranges([shot_source.Range(str(tmp_path / f"a.{fmt}"), 0, len(data))]))]
+    assert max(size for _, size in sizes) < 32 << 20
+    if fmt == "b8":
+        pieces = [r for b in reader.read(shot_source.Ranges([shot_source.Range(str(tmp_path / "a.b8"), 0, len(data))])) for r in b.to_pylist()]
+        assert max(len(p["content"]) for p in pieces) == 2000 and sum(len(p["content"]) for p in pieces) == len(data)
+        assert [p["first_shot"] for p in pieces] == np.cumsum([0] + [len(p["content"]) // 8 for p in pieces])[:-1].tolist()
+    elif fmt == "ptb64":
+        assert sum(n for n, _ in sizes) == 8 * len(data)
+    else:
+        assert sum(n for n, _ in sizes) == len(data) // 65 * 64 + len(data) % 65
