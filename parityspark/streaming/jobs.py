@@ -2,8 +2,8 @@
 
 Jobs without cross-row order run the batch operators on each micro-batch and replace the folder of that
 batch id, so a repeated batch leaves one result. Running totals use Spark's own stateful aggregation, whose current
-values are read from the state store and not from what the batches wrote. The stop rule keeps a budget a task in keyed state,
-the round buffer the open windows of a shot.
+values are read from the state store and not from what the batches wrote. The stop rule keeps the budgets of a group of tasks
+in keyed state, the round buffer the open windows of a block of shots.
 """
 
 from __future__ import annotations
@@ -12,7 +12,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -129,66 +128,48 @@ def combined(spark: SparkSession, checkpoint: str) -> DataFrame:
     )
 
 
-#: Rows of one task, packed: totals first, so that a block whose rows all fit, or none, is never looked into.
-BLOCK = "strong_id string, shots bigint, errors bigint, seqs array<bigint>, each_shots array<bigint>, each_errors array<bigint>"
-BLOCK_ROWS = 4096
-
-
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (strong_id, seq, shots, errors) of each arriving batch as one block a task, sums added up."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        table = pa.Table.from_batches([batch]).group_by("strong_id", use_threads=False).aggregate([
-            ("shots", "sum"), ("errors", "sum"), ("seq", "list"), ("shots", "list"), ("errors", "list"),
-        ])
-        names = ["strong_id", "shots_sum", "errors_sum", "seq_list", "shots_list", "errors_list"]
-        ready = table.select(names).rename_columns(["strong_id", "shots", "errors", "seqs", "each_shots", "each_errors"])
-        for chunk in ready.to_batches(max_chunksize=BLOCK_ROWS):
-            yield chunk.cast(_BLOCK_ARROW)
-
-
-_BLOCK_ARROW = pa.schema([("strong_id", pa.string()), ("shots", pa.int64()), ("errors", pa.int64()), *[(c, pa.list_(pa.int64())) for c in ("seqs", "each_shots", "each_errors")]])
+#: Groups of tasks, by hash, that share a state of the stop rule. Fixed, as a checkpoint keeps them.
+TASK_GROUPS = 4096
 
 
 class StopRule(StatefulProcessor):
-    """Used budget of one task as value state; accepts rows in order of ``seq`` while both limits are unmet.
+    """Used budgets of a group of tasks as one value state; accepts each task's rows in order of ``seq`` while both limits are unmet.
 
-    A task whose arriving sums all stay below its limits takes everything unsorted, one that has met a limit takes nothing. Only the batch in
-    which a limit is met looks at single rows, as number arrays, and that happens once in the life of a task.
+    One call serves all tasks of the group that a batch touches, on arrays sorted by task and ``seq``.
     """
 
     def __init__(self, max_shots: int | None, max_errors: int | None):
         self.most = tuple(np.iinfo(np.int64).max if m is None else m for m in (max_shots, max_errors))
 
     def init(self, handle) -> None:
-        self.used = handle.getValueState("used", "shots bigint, errors bigint")
+        self.used = handle.getValueState("used", "tasks array<string>, shots array<bigint>, errors array<bigint>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         old = self.used.get()
-        shots, errors = (0, 0) if old is None else (int(old[0]), int(old[1]))
-        if shots >= self.most[0] or errors >= self.most[1]:
-            for _ in rows:
-                pass
-            yield self._row(key, [], [], [], shots, errors)
-            return
-        blocks = pd.concat(list(rows), ignore_index=True)
-        columns = [np.concatenate([np.asarray(x, np.int64) for x in blocks[c]]) for c in ("seqs", "each_shots", "each_errors")]
-        s, e = shots + int(blocks["shots"].sum()), errors + int(blocks["errors"].sum())
-        if s >= self.most[0] or e >= self.most[1]:
-            order = np.argsort(columns[0], kind="stable")
-            columns = [c[order] for c in columns]
-            before = [start + np.cumsum(c) - c for start, c in zip((shots, errors), columns[1:], strict=True)]
-            taken = int(np.argmin(np.append((before[0] < self.most[0]) & (before[1] < self.most[1]), False)))
-            columns = [c[:taken] for c in columns]
-            s, e = shots + int(columns[1].sum()), errors + int(columns[2].sum())
-        self.used.update((s, e))
-        yield self._row(key, *columns, s, e)
-
-    def _row(self, key, seqs, shots, errors, s: int, e: int) -> pd.DataFrame:
-        return pd.DataFrame({
-            "strong_id": [key[0]], "seqs": [list(seqs)], "each_shots": [list(shots)], "each_errors": [list(errors)], "shots_used": [s], "errors_used": [e],
-        })
+        tasks, *used = ([], [], []) if old is None else (list(x) for x in old)
+        new = pd.concat(list(rows), ignore_index=True)
+        named, touched = pd.factorize(new["strong_id"], use_na_sentinel=False)
+        touched = [None if pd.isna(t) else t for t in touched]
+        place = {t: i for i, t in enumerate(tasks)}
+        tasks += [t for t in touched if t not in place]
+        place = {t: i for i, t in enumerate(tasks)}
+        used = [np.concatenate([np.asarray(u, np.int64), np.zeros(len(tasks) - len(u), np.int64)]) for u in used]
+        at = np.asarray([place[t] for t in touched])[named]
+        seq, *counts = (new[c].to_numpy(np.int64) for c in ("seq", "shots", "errors"))
+        order = np.lexsort((seq, at))
+        at, seq, counts = at[order], seq[order], [c[order] for c in counts]
+        first = np.flatnonzero(np.diff(at, prepend=-1))
+        lengths = np.diff(np.append(first, len(at)))
+        # What came before a row: its task's earlier rows, and what the task had used.
+        earlier = lambda c: (t := np.cumsum(c) - c) - np.repeat(t[first], lengths)
+        met = np.logical_or.reduce([u[at] + earlier(c) >= m for u, c, m in zip(used, counts, self.most, strict=True)])
+        taken = (earlier(met.astype(np.int64)) == 0) & ~met
+        for u, c in zip(used, counts, strict=True):
+            np.add.at(u, at[taken], c[taken])
+        self.used.update((tasks, *[u.tolist() for u in used]))
+        names = np.asarray(tasks, object)
+        yield pd.DataFrame({"strong_id": names[at[taken]], "seq": seq[taken], "shots": counts[0][taken], "errors": counts[1][taken], "budget": False})
+        yield pd.DataFrame({"strong_id": names[at[first]], "seq": -1, "shots": used[0][at[first]], "errors": used[1][at[first]], "budget": True})
 
     def close(self) -> None:
         pass
@@ -197,18 +178,17 @@ class StopRule(StatefulProcessor):
 def stream_stop_rule(batches: DataFrame, max_shots: int | None, max_errors: int | None, sink: str, checkpoint: str) -> None:
     """Accept each task's batches (strong_id, seq, shots, errors) until a limit is met and ignore the rest (STR4).
 
-    Writes ``accepted`` rows and, for every task that a batch touched, its remaining ``budgets``. Rows are packed into blocks with their sums where
-    they arrive, before the shuffle. A task's rows of one trigger meet in one place, as arrays of numbers; the source's
-    maxFilesPerTrigger or maxBytesPerTrigger bounds them.
+    Writes ``accepted`` rows and, for every task that a batch touched, its remaining ``budgets``. The rows that one trigger brings for a group of
+    tasks meet in one place, as arrays of numbers; the source's maxFilesPerTrigger or maxBytesPerTrigger bounds them.
     """
     ship(batches.sparkSession)
-    packed = batches.select(*[F.col(c).cast(t).alias(c) for c, t in (("strong_id", "string"), ("seq", "bigint"), ("shots", "bigint"), ("errors", "bigint"))]).mapInArrow(_pack, BLOCK)
-    schema = "strong_id string, seqs array<bigint>, each_shots array<bigint>, each_errors array<bigint>, shots_used bigint, errors_used bigint"
-    ruled = packed.groupBy("strong_id").transformWithStateInPandas(StopRule(max_shots, max_errors), schema, "update", "none")
+    rows = batches.select(*[F.col(c).cast(t).alias(c) for c, t in (("strong_id", "string"), ("seq", "bigint"), ("shots", "bigint"), ("errors", "bigint"))])
+    grouped = rows.withColumn("tasks", F.pmod(F.xxhash64("strong_id"), F.lit(TASK_GROUPS)).cast("int")).groupBy("tasks")
+    ruled = grouped.transformWithStateInPandas(StopRule(max_shots, max_errors), "strong_id string, seq bigint, shots bigint, errors bigint, budget boolean", "update", "none")
 
     def split(batch: DataFrame, _: int) -> dict[str, DataFrame]:
-        row = F.explode(F.arrays_zip(F.col("seqs").alias("seq"), F.col("each_shots").alias("shots"), F.col("each_errors").alias("errors")))
-        return {"accepted": batch.select("strong_id", row.alias("r")).select("strong_id", "r.*"), "budgets": budget_left(batch.select("strong_id", "shots_used", "errors_used"), max_shots, max_errors)}
+        used = batch.filter("budget").select("strong_id", F.col("shots").alias("shots_used"), F.col("errors").alias("errors_used"))
+        return {"accepted": batch.filter("NOT budget").drop("budget"), "budgets": budget_left(used, max_shots, max_errors)}
 
     run_available(ruled, split, sink, checkpoint, mode="update", reread=True, conf=KEYED_STORE)
 
@@ -222,7 +202,8 @@ def budget_left(used: DataFrame, max_shots: int | None, max_errors: int | None)
 def budgets(spark: SparkSession, checkpoint: str, max_shots: int | None, max_errors: int | None) -> DataFrame:
     """Remaining budget of every task that ``stream_stop_rule`` has seen, read from its state."""
     state = spark.read.format("statestore").option("stateVarName", "used").load(checkpoint)
-    return budget_left(state.select("key.strong_id", F.col("value.shots").alias("shots_used"), F.col("value.errors").alias("errors_used")), max_shots, max_errors)
+    each = state.select(F.explode(F.arrays_zip("value.tasks", "value.shots", "value.errors")).alias("u"))
+    return budget_left(each.select(F.col("u.tasks").alias("strong_id"), F.col("u.shots").alias("shots_used"), F.col("u.errors").alias("errors_used")), max_shots, max_errors)
 
 
 #: Neighbouring shots that share a state of the round buffer, and so a call and its array operations.

@@ -106,3 +106,12 @@ def test_blocks_of_shots_buffer_rounds_as_single_shots_do(spark, tmp_path, monke
     assert got[1][:2] == got[16][:2] and all(got[16][:2])
     # One state a block of shots that are open: what the job does is not a call a shot.
     assert max(got[16][2]) <= 4 < max(got[1][2])
+
+
+def test_stop_rule_calls_do_not_grow_with_the_tasks(spark, tmp_path):
+    parts = [[(f"t{i}" if i % 900 else None, i, 10, i % 3) for i in range(n, 20000, 4)] for n in range(2)]
+    sink, check = run_stop_rule(spark, tmp_path, parts, (10, None))
+    assert sj.results(spark, sink, "accepted").count() == len({k for part in parts for k, *_ in part})
+    assert sj.budgets(spark, check, 10, None).agg(F.count("*"), F.sum("shots_left")).first() == (len({k for part in parts for k, *_ in part}), 0)
+    # Groups of tasks are the states, whatever the number of tasks.
+    assert spark.read.format("statestore").option("stateVarName", "used").load(check).count() <= sj.TASK_GROUPS < len(parts[0])
