@@ -168,6 +168,8 @@ def postselect_shots(shots: DataFrame, hits: DataFrame | ParitySets, mask: DataF
     if isinstance(hits, ParitySets):
         kept, dropped = shots.join(bad, "shot_id", "left_anti"), shots.join(bad, "shot_id", "left_semi")
         return {"kept_shots": kept, "dropped_shots": dropped, "kept_hits": hits.of(kept), "dropped_hits": hits.of(dropped)}
+    # One row a shot, hashed; the hits pass by it unsorted.
+    bad = bad.hint("shuffle_hash")
     return {
         "kept_shots": shots.join(bad, "shot_id", "left_anti"),
         "dropped_shots": shots.join(bad, "shot_id", "left_semi"),

@@ -50,3 +50,14 @@ def test_no_unbounded_shortcuts_in_the_package():
 
 def test_every_query_has_an_operator_behind_it():
     assert len(catalog.callables()) == len(ENTRIES) > 170
+
+
+def test_postselection_does_not_sort_the_hits(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(ENTRIES["flt5_postselect_shots"].build(Fixtures(spark, SF_DIR)))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    joined = [line for line in text.splitlines() if "[shot_id" in line and "Join" in line]
+    assert joined and not [line for line in joined if "SortMergeJoin" in line]
