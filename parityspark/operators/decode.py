@@ -300,9 +300,9 @@ def decode_windowed(
     back into the hits, advance (DEC7).
 
     Boundary edges of the detectors in ``exempt(det)``, or all with ``no_boundary_commit``, are never committed. The loop runs over windows, of
-    which there are few; every step treats all shots. Hits are laid out by round once and only read again, a window's rounds at a time; what moves
-    from window to window is the seam, the toggles of committed edges at rounds that are still to come. Returns the predicted
-    observables per shot and the hits left over.
+    which there are few; every step treats all shots. Hits are laid out once, one row for the hits that a window adds to a shot; a row is read when its window
+    comes, and what is still open after the commit is handed on as the shot's row. So hits are never grouped again, and what a solution toggles is found once
+    a syndrome. Returns the predicted observables per shot and the hits left over.
     """
     starts = list(range(0, n_rounds, commit))
     paths = window_paths(edges, det_rounds, n_nodes, starts, window)
@@ -311,19 +311,31 @@ def decode_windowed(
     weights = edges.select("u", F.coalesce("v", F.lit(-1)).alias("v"), "w", F.col("obs_mask").cast("bigint").alias("obs_mask")).groupBy(
         F.least("u", "v").alias("lo"), F.greatest("u", "v").alias("hi")).agg(F.min_by("obs_mask", F.struct("w", "obs_mask")).alias("obs_mask"))
     weights = cut(weights, "window-edges")
-    placed = hits.select("shot_id", "det").join(rounds, "det").select("shot_id", "det", "round_id")
-    laid = cut(placed.repartitionByRange("round_id", "shot_id").sortWithinPartitions("round_id"), "hits-by-round")
-    seam = laid.limit(0)
-    flips, toggles = [], []
+    # A hit is one number, its round above its detector, which arrays compare and hash as they are.
+    item = lambda det, r: F.shiftleft(F.col(r).cast("bigint"), 32) + F.col(det)
+    det_of = lambda x: x.bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+    nothing = F.array().cast("array<bigint>")
+    r = F.col("round_id")
+    first = F.greatest(F.lit(0), F.ceil((r - window + 1) / commit)).cast("int")
+    win = F.when((first <= F.floor(r / commit)) & (first < len(starts)), first).otherwise(-1)
+    placed = hits.select("shot_id", "det").join(rounds, "det").select("shot_id", win.alias("win"), item("det", "round_id").alias("item"))
+    # Dealt to their rows first: repeats cancel there, and no second shuffle gathers them.
+    once = xor_reduce(placed.repartition("shot_id", "win"), ["shot_id", "win", "item"])
+    laid = cut(once.groupBy("shot_id", "win").agg(F.collect_list("item").alias("hits")).sortWithinPartitions("win"), "hits-by-window")
+    flips, left = [], [laid.filter("win < 0").select("shot_id", "hits")]
+    carry = None
     for i, start in enumerate(starts):
-        inside = F.col("round_id").between(start, start + window - 1)
-        here = cut(xor_reduce(laid.filter(inside).unionByName(seam.filter(inside)), ["shot_id", "det", "round_id"]), "window-hits")
-        active = here.filter(F.col("round_id") < start + commit).select("shot_id").distinct()
+        open_from = (start + commit) << 32
         off = i * n_nodes
-        sliced = here.join(active, "shot_id", "left_semi").select("shot_id", (F.col("det") + off).alias("det"))
-        per_shot = cut(shot_syndromes(sliced), "window-syndromes")
+        here = laid.filter(F.col("win") == i).select("shot_id", "hits")
+        if carry is not None:
+            here = here.unionByName(carry).groupBy("shot_id").agg(F.flatten(F.collect_list("hits")).alias("hits"))
+        key = F.when(F.array_min("hits") < open_from, F.array_sort(F.transform("hits", lambda x: det_of(x) + off)))
+        here = cut(here.select("shot_id", "hits", key.alias("key")), "window-hits")
+        active, idle = here.filter("key IS NOT NULL"), here.filter("key IS NULL")
+        keys = cut(distinct_syndromes(active), "window-syndromes")
         own = paths.filter((F.col("src") >= off) & (F.col("src") < off + n_nodes))
-        solved = cut(decode(distinct_syndromes(per_shot), own, -1), "window-solved")
+        solved = cut(decode(keys, own, -1), "window-solved")
         steps = solution_edges(matched_pairs(solved), own).select(
             "key", F.when(F.col("u") < 0, -1).otherwise(F.col("u") - off).alias("lo"), F.when(F.col("v") < 0, -1).otherwise(F.col("v") - off).alias("hi")
         )
@@ -336,21 +348,32 @@ def decode_windowed(
         elif exempt is not None:
             # The boundary is the lower end of its edges.
             ends = ends.join(exempt.select(F.col("det").alias("hi"), F.lit(-1).alias("lo")).distinct(), ["lo", "hi"], "left_anti")
-        done = ends.join(weights, ["lo", "hi"], "left").select("key", "lo", "hi", F.coalesce("obs_mask", F.lit(0).cast("bigint")).alias("obs"))
-        per_key = done.groupBy("key").agg(F.collect_list(F.struct("lo", "hi", "obs")).alias("es"))
-        applied = cut(per_shot.select("shot_id", "key").join(per_key, "key").select("shot_id", F.explode("es").alias("e")).select("shot_id", "e.*"), "window-applied")
-        flips.append(applied.groupBy("shot_id").agg(F.bit_xor("obs").alias("obs")))
-        ended = applied.select("shot_id", F.explode(F.array("lo", "hi")).alias("det")).filter("det >= 0").join(rounds, "det")
-        toggled = cut(xor_reduce(ended, ["shot_id", "det", "round_id"]), "window-toggles")
-        toggles.append(toggled)
-        later = seam.unionByName(toggled).filter(F.col("round_id") >= start + commit)
-        before, seam = seam, cut(xor_reduce(later, ["shot_id", "det", "round_id"]), "seam")
-        drop(here, per_shot, solved, before)
+        done = ends.join(weights, ["lo", "hi"], "left")
+        # The observables of an edge go with one of its ends; the boundary is no hit.
+        side = lambda det, at, obs: F.struct(F.when(F.col(det) >= 0, item(det, at)).alias("item"), obs.alias("obs"))
+        zero = F.lit(0).cast("bigint")
+        sides = done.select("key", F.explode(F.array(side("lo", "_r1", zero), side("hi", "_r2", F.coalesce("obs_mask", zero)))).alias("e"))
+        each = sides.groupBy("key", "e.item").agg(F.bit_xor("e.obs").alias("obs"), F.count("*").alias("_n"))
+        effects = each.groupBy("key").agg(F.bit_xor("obs").alias("obs"), F.collect_list(F.when(F.col("_n") % 2 == 1, F.col("item"))).alias("toggles"))
+        t = F.coalesce("toggles", nothing)
+        moved = active.join(effects, "key", "left").select(
+            "shot_id", F.concat(F.array_except("hits", t), F.array_except(t, F.col("hits"))).alias("hits"), F.coalesce("obs", zero).alias("obs")
+        )
+        after = cut(moved.unionByName(idle.select("shot_id", "hits", zero.alias("obs"))), "window-after")
+        flips.append(after.filter("obs <> 0").select("shot_id", "obs"))
+        left.append(after.select("shot_id", F.filter("hits", lambda x: x < open_from).alias("hits")))
+        carry = after.select("shot_id", F.filter("hits", lambda x: x >= open_from).alias("hits")).filter("size(hits) > 0")
+        drop(here, keys, solved)
     every = lambda parts: reduce(DataFrame.unionByName, parts)
-    total = every(flips).groupBy("shot_id").agg(F.bit_xor("obs").alias("_o"))
-    pred = shots.select("shot_id").join(total, "shot_id", "left").select("shot_id", F.coalesce("_o", F.lit(0).cast("bigint")).alias("pred_mask"))
-    left = xor_reduce(every([laid, *toggles]), ["shot_id", "det", "round_id"]).select("shot_id", "det")
-    return {"predictions": pred, "left": cut(left, "left-over")}
+    shown = shots.select("shot_id")
+    if carry is None:
+        pred = shown.withColumn("pred_mask", F.lit(0).cast("bigint"))
+    else:
+        left.append(carry)
+        total = every(flips).groupBy("shot_id").agg(F.bit_xor("obs").alias("_o"))
+        pred = shown.join(total, "shot_id", "left").select("shot_id", F.coalesce("_o", F.lit(0).cast("bigint")).alias("pred_mask"))
+    kind = hits.schema["det"].dataType
+    return {"predictions": pred, "left": every(left).select("shot_id", F.explode("hits").alias("_x")).select("shot_id", det_of(F.col("_x")).cast(kind).alias("det"))}
 
 
 def decode_two_level(

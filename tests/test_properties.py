@@ -245,6 +245,31 @@ def test_one_wide_window_equals_global_decoding(spark):
     assert out["left"].isEmpty()
 
 
+def test_windowed_decoding_moves_shots_and_not_hits(spark, monkeypatch):
+    edges = graph(spark, 5)
+    rim = edges.withColumn("v", F.when(F.col("v") != 99, F.col("v")))
+    rounds = spark.range(8).select(F.col("id").cast("int").alias("det"), F.floor(F.col("id") / 2).cast("int").alias("round_id"))
+    rnd = random.Random(4)
+    # Hit (0, 7) is recorded twice and cancels; detector 8 has no round.
+    once = [(s, d) for s in range(40) for d in range(8) if rnd.random() < 0.4 and (s, d) != (0, 7)]
+    hits = spark.createDataFrame([*once, (0, 7), (0, 7), (1, 8)], "shot_id bigint, det int")
+    shots = spark.range(40).withColumnRenamed("id", "shot_id")
+    written, plain = [], dc.cut
+    monkeypatch.setattr(dc, "cut", lambda df, label="step": written.append((label, plain(df, label))) or written[-1][1])
+    monkeypatch.setattr(dc, "drop", lambda *tables: None)
+    out = dc.decode_windowed(shots, hits, rim, rounds, 8, 4, 1, 2)
+    # One written row a shot and window at most, and every hit laid out once.
+    for label, table in written:
+        if "shot_id" in table.columns and label != "hits-by-window":
+            assert table.count() == table.select("shot_id").distinct().count() > 0, label
+    laid = dict(written)["hits-by-window"]
+    assert laid.groupBy("shot_id", "win").count().filter("count > 1").isEmpty()
+    assert laid.agg(F.sum(F.size("hits"))).first()[0] == len(once)
+    # Edges explain hits: what they toggle is what was recorded, up to the hits left over.
+    assert out["predictions"].count() == 40
+    assert out["left"].groupBy("shot_id", "det").count().filter("count > 1").isEmpty()
+
+
 def test_two_level_decoding_without_inner_hits_is_the_outer_decoder(spark):
     edges = graph(spark, 6)
     paths = gr.pair_distances(edges, 99)
