@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bits
 from ..functions import numeric as num
+from ..lineage import cut
 from .parity import packs, toggles, unpacked, words, xor_items, xor_reduce, xor_words
 from .parity_sets import ParitySets
 
@@ -164,12 +165,14 @@ def predict_discards(shots: DataFrame, hits: DataFrame | ParitySets, mask: DataF
 
 def postselect_shots(shots: DataFrame, hits: DataFrame | ParitySets, mask: DataFrame) -> dict[str, DataFrame | ParitySets]:
     """Split shots and hits into kept and dropped (FLT5); parity sets stay parity sets."""
-    bad = masked_shots(hits, mask)
     if isinstance(hits, ParitySets):
+        # Both halves read the sets and the dropped shots as written, not the work that made them.
+        hits = ParitySets(hits.shots, cut(hits.diff, "differences"), cut(hits.base, "base"))
+        bad = cut(masked_shots(hits, mask), "dropped")
         kept, dropped = shots.join(bad, "shot_id", "left_anti"), shots.join(bad, "shot_id", "left_semi")
         return {"kept_shots": kept, "dropped_shots": dropped, "kept_hits": hits.of(kept), "dropped_hits": hits.of(dropped)}
     # One row a shot, hashed; the hits pass by it unsorted.
-    bad = bad.hint("shuffle_hash")
+    bad = masked_shots(hits, mask).hint("shuffle_hash")
     return {
         "kept_shots": shots.join(bad, "shot_id", "left_anti"),
         "dropped_shots": shots.join(bad, "shot_id", "left_semi"),
