@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..lineage import cut
@@ -52,6 +52,8 @@ def unroll(rows: DataFrame, key: str, counters: dict[str, Column]) -> Unrolled:
     """Follow ``counters`` through rows(key, seq, name, reps, ...) whose blocks open with ``reps`` and close with ``}``."""
     opens, closes = F.col("reps").isNotNull(), F.col("name") == "}"
     fits = largest_group(rows, [key]) <= MAX_WINDOW_GROUP
+    if fits:
+        return _unroll_in_windows(rows, key, counters)
     work = rows.withColumns({f"_c_{c}": v for c, v in counters.items()})
     work = running_sums(work, [key], ["seq"], {"_before": opens.cast("int") - closes.cast("int")}, fits=fits)
     work = work.withColumn("_lvl", F.least(F.col("_before"), F.col("_before") + opens.cast("int") - closes.cast("int")))
@@ -94,6 +96,53 @@ def unroll(rows: DataFrame, key: str, counters: dict[str, Column]) -> Unrolled:
             f"open{level}", F.when(F.col("_lvl") >= level, F.col(f"open{level}"))
         )
 
+    return _placed(work, original, depth, counters, reps_below)
+
+
+def _unroll_in_windows(rows: DataFrame, key: str, counters: dict[str, Column]) -> Unrolled:
+    """``unroll`` where each key's rows fit a task: one shuffle, and what a block knows of its ends reaches its rows through windows, without joins."""
+    opens, closes = F.col("reps").isNotNull(), F.col("name") == "}"
+    turn = opens.cast("int") - closes.cast("int")
+    ahead = Window.partitionBy(key).orderBy("seq")
+    earlier, so_far = ahead.rowsBetween(Window.unboundedPreceding, -1), ahead.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    to_come = Window.partitionBy(key).orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = lambda df, values: df.withColumns({n: F.coalesce(F.sum(v).over(earlier), F.lit(0)) for n, v in values.items()})
+    levelled = lambda df: sums(df, {"_before": turn}).withColumn("_lvl", F.least(F.col("_before"), F.col("_before") + turn))
+    # Only the ends of blocks change the level, which is highest behind an opening.
+    ends = sums(rows.filter(opens | closes).select(key, "seq", "reps", "name"), {"_before": turn})
+    depth = max(int(ends.agg(F.max(F.col("_before") + turn)).first()[0] or 0), 0)
+    levels = range(1, depth + 1)
+    starts = {level: opens & (F.col("_lvl") == level - 1) for level in levels}
+    inside = {level: F.col("_lvl") >= level for level in levels}
+    # The block that a row is in is the last one opened at that level.
+    opened = lambda level, value: F.last(F.when(starts[level], value), ignorenulls=True).over(so_far)
+    work = levelled(rows.withColumns({f"_c_{c}": v for c, v in counters.items()}))
+    one = F.lit(1).cast("bigint")
+    work = work.withColumns({f"_reps{level}": opened(level, F.col("reps")) for level in levels})
+    work = work.withColumns({f"_reps{level}": F.when(inside[level], F.col(f"_reps{level}")).otherwise(one) for level in levels})
+
+    def reps_below(level: int) -> Column:
+        out = one
+        for deeper in range(level + 1, depth + 1):
+            out = out * F.col(f"_reps{deeper}")
+        return out
+
+    work = sums(work, {f"_r_{c}_{level}": F.col(f"_c_{c}") * reps_below(level) for c in counters for level in range(depth + 1)})
+    begun, ended = {f"open{level}": opened(level, F.col("seq")) for level in levels}, {}
+    for level in levels:
+        end = closes & (F.col("_lvl") == level - 1)
+        for c in counters:
+            begun[f"_p_{c}_{level}"] = opened(level, F.col(f"_r_{c}_{level - 1}"))
+            begun[f"_q_{c}_{level}"] = opened(level, F.col(f"_r_{c}_{level}"))
+            ended[f"_end_{c}_{level}"] = F.last(F.when(end, F.col(f"_r_{c}_{level}")), ignorenulls=True).over(to_come)
+    work = work.withColumns(begun).withColumns(ended)
+    return _placed(work, rows.columns, depth, counters, reps_below)
+
+
+def _placed(work: DataFrame, columns: list[str], depth: int, counters: dict[str, Column], reps_below) -> Unrolled:
+    """Base and steps of every counter from the sums before a row, at its blocks' openings (_p, _q) and at their ends."""
+    levels = range(1, depth + 1)
+    opened = [F.when(F.col("_lvl") >= level, F.col(f"open{level}")).alias(f"open{level}") for level in levels]
     out: dict[str, Column] = {"mult": reps_below(0)}
     for level in levels:
         out[f"reps{level}"] = F.col(f"_reps{level}")
@@ -109,5 +158,4 @@ def unroll(rows: DataFrame, key: str, counters: dict[str, Column]) -> Unrolled:
             base = base + F.when(inside, entry).otherwise(F.lit(0))
             out[f"{c}_step{level}"] = F.when(inside, F.col(f"_end_{c}_{level}") - F.col(f"_q_{c}_{level}")).otherwise(F.lit(0))
         out[f"{c}_base"] = base
-    keep = original + [f"open{level}" for level in levels]
-    return Unrolled(work.select(*keep, *[v.alias(k) for k, v in out.items()]), depth, tuple(counters))
+    return Unrolled(work.select(*columns, *opened, *[v.alias(k) for k, v in out.items()]), depth, tuple(counters))

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import bits
+from ..lineage import cut
 from ..operators import model as md
 from ..sources import text_models as tm
 from .registry import query
@@ -271,7 +272,7 @@ def _(fx):
   SELECT f.model_id, 1, CASE WHEN name = 'logical_observable' THEN targets ELSE array_to_string([CASE WHEN x LIKE 'D%' THEN CONCAT('D', CAST(CAST(x[2:] AS BIGINT) + j AS VARCHAR)) ELSE x END FOR x IN string_split(targets, ' ')], ' ') END
   FROM flat f JOIN (SELECT model_id, SUM(jump) AS j FROM ev GROUP BY 1) t ON t.model_id = f.model_id""")
 def _(fx):
-    m = model(fx)
+    m = cut(model(fx), "parsed")
     flat = md.flatten_model(md.concat_models(m, m))
     end = m.groupBy("model_id").agg(F.max("seq").alias("hi"))
     return flat.join(end, "model_id").select("model_id", (F.col("path")[0] > F.col("hi")).cast("int").alias("part"), F.array_join("targets", " ").alias("targets"))

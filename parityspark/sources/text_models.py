@@ -28,13 +28,16 @@ def _numbers(text: Column) -> Column:
 
 
 def _parse(lines: DataFrame, key: str, upper: bool) -> DataFrame:
-    part = lambda i: F.regexp_extract("line", _LINE, i)
+    part = lambda i: F.regexp_extract("line", _LINE, i).alias(f"_p{i}")
+    blank = F.trim(F.regexp_replace("line", "#.*$", "")) == ""
+    # Each part is cut out once, however often the columns below name it.
+    parts = lines.filter(~blank).select(key, "seq", "line", *[part(i) for i in range(1, 5)])
+    part = lambda i: F.col(f"_p{i}")
     name = F.upper(part(1)) if upper else F.lower(part(1))
     words = F.filter(F.split(F.trim(part(4)), r"\s+"), lambda t: t != "")
-    blank = F.trim(F.regexp_replace("line", "#.*$", "")) == ""
     repeat = F.lower(part(1)) == "repeat"
     known = F.when(part(1) == "", F.raise_error(F.concat(F.lit("cannot read line: "), "line")).cast("string")).otherwise(name)
-    return lines.filter(~blank).select(
+    return parts.select(
         key,
         "seq",
         known.alias("name"),

@@ -5,9 +5,12 @@ import re
 
 import pytest
 
+from parityspark.operators import blocks
+from parityspark.operators import model as md
 from parityspark.plans import catalog
 from parityspark.plans.fixtures import Fixtures
 from parityspark.plans.registry import ENTRIES
+from parityspark.sources import text_models
 
 SF_DIR = "/root/testdata/sf0.001"
 PACKAGE = pathlib.Path(__file__).parent.parent / "parityspark"
@@ -68,3 +71,14 @@ def test_splitting_parity_sets_works_them_out_once(spark):
     text = plan(ENTRIES["flt5_complement"].build(fx))
     # The halves meet shots and written tables; the measurements behind the sets are not read again.
     assert "o_orderkey" in text and "l_orderkey" not in text
+
+
+def test_blocks_of_models_that_fit_a_task_need_one_shuffle_and_no_join(spark, monkeypatch):
+    body = ["error(0.1) D0", "repeat 3 {", "shift_detectors(1, 2) 2", "repeat 2 {", "detector(1) D1", "shift_detectors(0, 1) 1", "}", "}", "repeat 2 {", "error(0.2) D0 D5", "}", "detector(0, 0) D0"]
+    lines = spark.createDataFrame([(m, 2 * i, t) for m in range(3) for i, t in enumerate(body[m:] if m < 2 else body * 2)], "model_id int, seq bigint, line string")
+    shown = lambda: [sorted(map(str, f(text_models.read_model_text(lines)).collect())) for f in (md.flatten_model, md.total_shift, md.model_counts)]
+    u, _ = md.unroll_model(text_models.read_model_text(lines))
+    assert u.depth == 2 and plan(u.rows).count("Exchange hashpartitioning") == 1 and "Join" not in plan(u.rows)
+    near = shown()
+    monkeypatch.setattr(blocks, "MAX_WINDOW_GROUP", 0)
+    assert shown() == near and len(near[0]) > 30
