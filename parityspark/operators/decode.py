@@ -13,9 +13,12 @@ from pyspark.sql import functions as F
 from ..functions import bits
 from ..lineage import cut, drop
 from .graph import connected_components, matching_paths, path_edges
-from .matching import DENSE_HITS, by_size, matrix, solutions, unfold
+from .matching import _TABLE_CELLS, DENSE_HITS, by_size, matrix, solutions, unfold
 from .parity import xor_reduce
 
+# Nodes of a syndrome's own graph up to which its paths are one row; a row then holds at most about a thousand costs.
+WIDEST_GRAPH = 32
+
 
 def shot_syndromes(hits: DataFrame) -> DataFrame:
     """Sorted hit list of every shot that has hits; a list holds each detector of the model at most once."""
@@ -433,11 +436,114 @@ def overridden_paths(named: DataFrame, low: DataFrame, paths: DataFrame, boundar
             return labels.drop("fresh")
 
 
-def decode_correlated(syndromes: DataFrame, paths: DataFrame, edges: DataFrame, implied: DataFrame, boundary: int = -1) -> DataFrame:
+def _relaxed(base: np.ndarray, base_obs: np.ndarray, k: int, moves: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Costs from each row's first ``k`` nodes to its nodes and, last, the boundary when ``moves`` (row, from, to, cost, obs) are added to base (B, t, t + 1).
+
+    The rounds of ``overridden_paths`` for the rows of an Arrow batch, with the same sums in the same order and the same choice between equal lengths.
+    """
+    b, t, width = base.shape
+    better = lambda d, o, than, than_obs: (d < than) | ((d == than) & (o < than_obs) & np.isfinite(d))
+    dist, obs = base[:, :k].copy(), base_obs[:, :k].copy()
+    fresh = np.isfinite(dist)
+    row, u, v, cost, flip = moves
+    # The n-th move of a row is taken with the n-th of the others, so that no row is written twice at once.
+    nth = np.arange(len(row)) - np.searchsorted(row, row)
+    turns = [np.flatnonzero(nth == n) for n in range(int(nth.max(initial=-1)) + 1)]
+    used = np.unique(v)
+    while fresh.any():
+        at, at_obs = np.full((b, k, width), np.inf), np.zeros((b, k, width), np.int64)
+        for m in turns:
+            r, f, to = row[m], u[m], v[m]
+            d = np.where(fresh[r, :, f], dist[r, :, f] + cost[m][:, None], np.inf)
+            o = obs[r, :, f] ^ flip[m][:, None]
+            now, now_obs = at[r, :, to], at_obs[r, :, to]
+            won = better(d, o, now, now_obs)
+            at[r, :, to], at_obs[r, :, to] = np.where(won, d, now), np.where(won, o, now_obs)
+        fresh = np.zeros_like(fresh)
+        for to in used:
+            if to == t:
+                # The boundary leads nowhere else.
+                d, o, part = at[:, :, t:], at_obs[:, :, t:], slice(t, None)
+            else:
+                d, o, part = at[:, :, to, None] + base[:, None, to], at_obs[:, :, to, None] ^ base_obs[:, None, to], slice(None)
+            won = better(d, o, dist[:, :, part], obs[:, :, part])
+            dist[:, :, part], obs[:, :, part] = np.where(won, d, dist[:, :, part]), np.where(won, o, obs[:, :, part])
+            fresh[:, :, part] |= won
+    return dist, obs
+
+
+def _relax(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        hits, ends, known = (np.asarray(batch.column(c).value_lengths()) for c in ("key", "nodes", "known"))
+        shapes = hits.astype(np.int64) << 32 | ends
+        for shape in np.unique(shapes):
+            k, t = int(shape >> 32), int(shape & 0xFFFFFFFF)
+            every = np.flatnonzero(shapes == shape)
+            size = max(1, _TABLE_CELLS // (t * (t + 1)))
+            for at in range(0, len(every), size):
+                rows = every[at : at + size]
+                some = batch.take(pa.array(rows))
+                flat = lambda c: some.column(c).flatten()  # noqa: B023, E731
+                of = lambda part, name: part.field(name).to_numpy(zero_copy_only=False)
+                base, base_obs = np.full((len(rows), t * (t + 1)), np.inf), np.zeros((len(rows), t * (t + 1)), np.int64)
+                cells, owner = flat("known"), np.repeat(np.arange(len(rows)), known[rows])
+                base[owner, of(cells, "pos")], base_obs[owner, of(cells, "pos")] = of(cells, "dist"), of(cells, "obs")
+                steps, mover = flat("moves"), np.repeat(np.arange(len(rows)), np.asarray(some.column("moves").value_lengths()))
+                d, o = _relaxed(
+                    base.reshape(-1, t, t + 1), base_obs.reshape(-1, t, t + 1), k,
+                    [mover, of(steps, "u"), of(steps, "v"), of(steps, "w"), of(steps, "obs")],
+                )
+                i, j = np.triu_indices(k, 1)
+                costs = np.concatenate([d[:, :, t], d[:, i, j]], axis=1)
+                flips = np.where(np.isfinite(costs), np.concatenate([o[:, :, t], o[:, i, j]], axis=1), 0)
+                offsets = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * costs.shape[1])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        some.column("key"),
+                        pa.ListArray.from_arrays(offsets, pa.array(costs.ravel(), mask=~np.isfinite(costs).ravel())),
+                        pa.ListArray.from_arrays(offsets, pa.array(flips.ravel())),
+                    ],
+                    names=["key", "d", "o"],
+                )
+
+
+def _overridden_costs(cheaper: DataFrame, paths: DataFrame, boundary: int, widest: int) -> DataFrame:
+    """(key, d, o): the cost lists of syndromes whose graphs get cheaper edges, cheaper(key, lo, hi, low_w, obs).
+
+    A syndrome is one row with its hits, the ends of its edges and the known paths between them, relaxed in batches; those of more than
+    ``widest`` nodes go through ``overridden_paths``.
+    """
+    edge = F.struct("lo", "hi", "low_w", "obs")
+    rows = cheaper.groupBy("key").agg(F.collect_list(edge).alias("edges"))
+    ends = F.concat(F.transform("edges", lambda e: e["lo"]), F.transform("edges", lambda e: e["hi"]))
+    others = F.array_except(ends, F.concat("key", F.array(F.lit(boundary))))
+    rows = cut(rows.withColumn("nodes", F.concat("key", others)).withColumn("kid", F.monotonically_increasing_id()), "cheaper-rows")
+    few, many = rows.filter(F.size("nodes") <= widest), rows.filter(F.size("nodes") > widest)
+    t = F.size("nodes")
+    known = paths.select("src", "node", F.col("dist").cast("double").alias("dist"), F.col("obs").cast("bigint").alias("obs"))
+    from_ = few.select("kid", "nodes", F.posexplode("nodes").alias("_i", "src"))
+    pairs = from_.select("kid", "src", (F.col("_i") * (t + 1)).alias("_row"), F.posexplode(F.concat("nodes", F.array(F.lit(boundary)))).alias("_j", "node"))
+    found = pairs.join(known, ["src", "node"]).select("kid", F.struct((F.col("_row") + F.col("_j")).alias("pos"), "dist", "obs").alias("c"))
+    listed = found.groupBy("kid").agg(F.collect_list("c").alias("known"))
+    place = lambda x: F.when(x == boundary, t).otherwise(F.array_position("nodes", x).cast("int") - 1)
+    move = lambda a, b: F.transform("edges", lambda e: F.struct(place(e[a]).alias("u"), place(e[b]).alias("v"), e["low_w"].alias("w"), e["obs"].alias("obs")))
+    moves = F.filter(F.concat(move("lo", "hi"), move("hi", "lo")), lambda m: m["u"] != t)
+    none = F.array().cast("array<struct<pos:int,dist:double,obs:bigint>>")
+    joined = few.select("kid", "key", "nodes", moves.alias("moves")).join(listed, "kid", "left").select("key", "nodes", "moves", F.coalesce("known", none).alias("known"))
+    out = joined.mapInArrow(_relax, "key array<int>, d array<double>, o array<bigint>")
+    if many.isEmpty():
+        return out
+    named = many.select("kid", "key")
+    low = many.select("kid", F.explode("edges").alias("e")).select("kid", "e.*")
+    asked = _asked(named.select("key", "kid"), boundary).join(overridden_paths(named, low, paths, boundary), ["kid", "src", "node"], "left")
+    return out.unionByName(_listed(asked))
+
+
+def decode_correlated(syndromes: DataFrame, paths: DataFrame, edges: DataFrame, implied: DataFrame, boundary: int = -1, widest: int = WIDEST_GRAPH) -> DataFrame:
     """Second pass with the weights implied by the first pass's edges (DEC9).
 
-    ``implied(cu, cv, au, av, w)`` names nodes with ``boundary`` for the boundary. Each syndrome with a cheaper edge gets its own shortest paths, all
-    of them relaxed together (``overridden_paths``), and is matched again, few hits inside a task, more by rounds of joins. Syndromes without a
+    ``implied(cu, cv, au, av, w)`` names nodes with ``boundary`` for the boundary. Each syndrome with a cheaper edge gets its own shortest paths, up
+    to ``widest`` nodes in batches of rows and beyond that all in one keyed table (``overridden_paths``), and is matched again, few hits inside a task, more by rounds of joins. Syndromes without a
     cheaper edge keep the first pass's answer.
     """
     first = cut(decode(syndromes, paths, boundary), "first-pass")
@@ -451,16 +557,13 @@ def decode_correlated(syndromes: DataFrame, paths: DataFrame, edges: DataFrame,
     # A cheaper edge can only matter where it beats the edge's own weight.
     low = used.join(rules, ["u", "v"]).groupBy("key", "lo", "hi").agg(F.min("low_w").alias("low_w")).join(known, ["lo", "hi"]).filter("low_w < w")
     low = cut(low.select("key", "lo", "hi", "low_w", "obs"), "cheaper")
-    named = cut(low.select("key").distinct().withColumn("kid", F.monotonically_increasing_id()), "cheaper-keys")
-    dist = overridden_paths(named, low.join(named, "key").drop("key"), paths, boundary)
-    asked = _asked(named.select("key", "kid"), boundary).join(dist, ["kid", "src", "node"], "left")
-    costs = cut(_listed(asked), "second-costs")
+    costs = cut(_overridden_costs(low, paths, boundary, widest), "second-costs")
     second = _exact(costs.filter(F.size("key") <= DENSE_HITS).mapInArrow(_solve, _SOLVED))
     many = costs.filter(F.size("key") > DENSE_HITS)
     if not many.isEmpty():
         second = second.unionByName(_exact(_by_rounds(many)))
     told = second.select("key", "w", "obs", F.lit("correlated").alias("reason"))
-    rest = first.select("key", "w", "obs", "reason").join(named.select("key"), "key", "left_anti")
+    rest = first.select("key", "w", "obs", "reason").join(costs.select("key"), "key", "left_anti")
     return rest.unionByName(told)
 
 

@@ -550,6 +550,21 @@ def test_correlated_rounds_agree_with_the_tables(spark, monkeypatch):
     assert [(k, w) for k, w, _, _ in show()] == [(k, w) for k, w, _, _ in inside]
 
 
+def test_overridden_graphs_relaxed_as_rows_equal_the_rounds(spark):
+    # Small whole weights leave many ties, which both ways must break alike.
+    rng = random.Random(31)
+    ends = {(a, b): (rng.choice([2, 4, 6]), rng.randrange(8)) for a in range(12) for b in rng.sample([*range(a + 1, 13), 99], min(3, 13 - a))}
+    edges = spark.createDataFrame([(u, v, w, o) for (u, v), (w, o) in ends.items()], "u int, v int, w bigint, obs_mask bigint")
+    pairs = list(ends)
+    implied = spark.createDataFrame([(*rng.choice(pairs), *p, ends[p][0] * rng.choice([0.0, 0.5])) for p in pairs for _ in range(9)], "cu int, cv int, au int, av int, w double")
+    paths = gr.matching_paths(edges, 99)
+    frame = spark.createDataFrame([(sorted(rng.sample(range(13), k)),) for k in (1, 2, 3, 4, 5, 6, 7, 8) for _ in range(8)], "key array<int>").distinct()
+    show = lambda widest: sorted(map(str, dc.decode_correlated(frame, paths, edges, implied, 99, widest).select("key", "w", "obs", "reason").collect()))
+    as_rows = show(32)
+    assert sum("correlated" in r for r in as_rows) > 20
+    assert as_rows == show(0) == show(7)
+
+
 def test_tasks_decoded_together_under_their_own_models(spark):
     from parityspark.plans import jobs
 
