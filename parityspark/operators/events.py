@@ -90,10 +90,15 @@ def score_predictions(pred: DataFrame, actual: DataFrame, obs_postmask: int = 0,
     mistake mask is NULL. Masks are BIGINT or arrays of words; ``obs_postmask`` is a Python number of any size.
     """
     pred, actual = bits.alike(pred, "pred_mask", actual, "obs_mask")
-    m = bits.Masks.of(actual, "obs_mask")
+    return score_aligned(actual.join(pred, "shot_id", "left"), obs_postmask, discards)
+
+
+def score_aligned(aligned: DataFrame, obs_postmask: int = 0, discards: DataFrame | None = None) -> DataFrame:
+    """``score_predictions`` of rows that hold both masks, of one kind."""
+    m = bits.Masks.of(aligned, "obs_mask")
     # A NULL prediction gives a NULL mistake, as it does between numbers.
     mistake = F.when(F.col("pred_mask").isNotNull(), m.xor(F.col("obs_mask"), F.col("pred_mask")))
-    joined = actual.join(pred, "shot_id", "left").withColumn("mistake_mask", mistake)
+    joined = aligned.withColumn("mistake_mask", mistake)
     discard: Column = F.coalesce(m.any(m.both(F.col("mistake_mask"), m.value(obs_postmask))), F.lit(False))
     if discards is not None:
         joined = joined.join(discards.select("shot_id", F.lit(True).alias("_d")).distinct(), "shot_id", "left")

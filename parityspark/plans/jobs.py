@@ -126,8 +126,10 @@ def count_mistakes(
 ) -> DataFrame:
     """Shots, errors and discards of decoding shot files against their recorded observables (PIPE2)."""
     pred = predict(spark, path, fmt, layout, model_lines, actual.select("shot_id"))["predictions"]
-    aligned = ev.align_records(pred.select("shot_id", "pred_mask"), actual, strict=True)
-    return ev.count_mistakes(ev.score_predictions(aligned.select("shot_id", "pred_mask"), aligned.select("shot_id", "obs_mask")))
+    pred, actual = bits.alike(pred.select("shot_id", "pred_mask"), "pred_mask", actual.select("shot_id", "obs_mask"), "obs_mask")
+    # The filter reads ``side``, so that a shot on one side only is an error.
+    aligned = ev.align_records(pred, actual, strict=True).filter("side IS NULL").drop("side")
+    return ev.count_mistakes(ev.score_aligned(aligned))
 
 
 def collect(

@@ -82,3 +82,7 @@ def test_blocks_of_models_that_fit_a_task_need_one_shuffle_and_no_join(spark, mo
     near = shown()
     monkeypatch.setattr(blocks, "MAX_WINDOW_GROUP", 0)
     assert shown() == near and len(near[0]) > 30
+
+
+def test_predictions_meet_the_truth_once(spark):
+    assert plan(ENTRIES["pipe2_count_mistakes"].build(Fixtures(spark, SF_DIR))).count("FullOuter") == 1
