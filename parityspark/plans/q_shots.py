@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..lineage import new_path
+from ..operators.parity import xor_items
 from ..ordered import global_index
 from ..sources import shots as sh
 from .registry import query
@@ -14,8 +15,10 @@ ALL_SQL = """
 
 
 def hits(fx):
+    # The rows of fx_hits, cancelled as bits of words. Few lines of a scan share a shot, so they are dealt to their shots first.
+    det = xor_items(fx.fx_hit_raw, ["shot_id"], "det", dealt=True)
     obs = fx.fx_shots.select("shot_id", F.lit("L").alias("kind"), F.explode(F.filter(F.array(F.lit(0), F.lit(1)), lambda i: F.getbit(F.col("obs_mask"), i) == 1)).alias("idx"))
-    return fx.fx_hits.select("shot_id", F.lit("D").alias("kind"), F.col("det").alias("idx")).unionByName(obs)
+    return det.select("shot_id", F.lit("D").alias("kind"), F.col("det").alias("idx")).unionByName(obs)
 
 
 def round_trip(fx, fmt):

@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import lineage
-from ..operators.parity import xor_items
 from ..shipping import ship
 from .shot_source import ShotSource, session_options
 
@@ -78,31 +77,59 @@ def _parse_01(lines: DataFrame, layout: Layout) -> DataFrame:
     return lines.select("shot_id", F.posexplode(F.split(width, "")).alias("pos", "_b")).filter("_b = '1'").select("shot_id", "pos")
 
 
-def _parse_hits(lines: DataFrame, layout: Layout) -> DataFrame:
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once a row, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _cancelled(pos: Column) -> Column:
+    """The members of an array that occur an odd number of times; a line without repeats is only looked at for them."""
+    odd = lambda s, starts: F.transform(
+        F.filter(starts, lambda at, i: (F.coalesce(F.get(starts, i + 1), F.size(s)) - at) % 2 == 1), lambda at: F.get(s, at)
+    )
+    begins = lambda s: F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, F.greatest(i - 1, F.lit(0)))))
+    runs = _let(F.sort_array(pos), lambda s: _let(begins(s), lambda starts: odd(s, starts)))
+    return F.when(F.size(F.array_distinct(pos)) == F.size(pos), pos).otherwise(runs)
+
+
+def _hits_of(lines: DataFrame, pos: Column, layout: Layout, dedup: str) -> DataFrame:
+    """Hits of lines whose positions are an array; a shot is one line, so its repeats cancel there and nothing is shuffled."""
+    each = lines.select("shot_id", pos.alias("_p"))
+    # Not explode: the filter that it puts below itself would parse every line a second time.
+    flat = each.select("shot_id", F.explode_outer(F.col("_p") if dedup == "keep" else _cancelled(F.col("_p"))).alias("pos"))
+    return _canonical(flat.filter("pos IS NOT NULL"), layout)
+
+
+def _parse_hits(lines: DataFrame, layout: Layout, dedup: str) -> DataFrame:
     clean = _checked(F.trim("value"), F.trim("value").rlike("[^0-9,]"), "not a list of hits")
-    each = lines.filter(F.trim("value") != "").select("shot_id", F.explode(F.split(clean, ",")).alias("_h"))
-    pos = F.col("_h").cast("int")
-    return each.select("shot_id", F.when((pos >= layout.bits) | pos.isNull(), F.raise_error(F.concat(F.lit("hit out of range: "), "_h")).cast("int")).otherwise(pos).alias("pos"))
+    fail = lambda h: F.raise_error(F.concat(F.lit("hit out of range: "), h)).cast("int")
+    place = lambda h: F.when((h.cast("int") >= layout.bits) | h.cast("int").isNull(), fail(h)).otherwise(h.cast("int"))
+    each = F.when(F.trim("value") == "", F.array().cast("array<string>")).otherwise(F.split(clean, ","))
+    return _hits_of(lines, F.transform(each, place), layout, dedup)
+
 
+def _parse_dets(lines: DataFrame, layout: Layout, dedup: str) -> DataFrame:
+    # One word at a time: a pattern that repeats a group over the whole line needs a stack as deep as the line is long.
+    wrong = ~F.col("value").rlike(r"^shot(\s|$)") | F.col("value").rlike(r"\s(?=\S)(?![MDL][0-9]+(\s|$))")
+    clean = _checked(F.col("value"), wrong, "not a shot line")
 
-def _parse_dets(lines: DataFrame, layout: Layout) -> DataFrame:
-    clean = _checked(F.col("value"), ~F.col("value").rlike(r"^shot(\s+[MDL][0-9]+)*\s*$"), "not a shot line")
-    word = lambda group: F.regexp_extract_all(clean, F.lit("([MDL])([0-9]+)"), F.lit(group))
-    each = lines.select("shot_id", F.explode(F.arrays_zip(word(1).alias("kind"), word(2).alias("idx"))).alias("_h")).select("shot_id", "_h.kind", F.col("_h.idx").cast("int").alias("idx"))
-    limit = F.coalesce(*[F.when(F.col("kind") == k, F.lit(n)) for k, n in layout.counts.items()])
-    return each.withColumn("idx", F.when(F.col("idx") >= limit, F.raise_error(F.concat(F.lit("index out of range: "), "kind", F.col("idx").cast("string"))).cast("int")).otherwise(F.col("idx")))
+    def place(h):
+        kind, idx = F.substring(h, 1, 1), F.ltrim(h, F.lit("MDL")).cast("int")
+        limit = F.coalesce(*[F.when(kind == k, F.lit(n)) for k, n in layout.counts.items()])
+        fail = F.raise_error(F.concat(F.lit("index out of range: "), h)).cast("int")
+        return F.when(idx >= limit, fail).otherwise(layout.position_of(kind, idx))
+
+    return _hits_of(lines, F.transform(F.regexp_extract_all(clean, F.lit("([MDL][0-9]+)"), F.lit(1)), place), layout, dedup)
 
 
 def parse_shot_lines(lines: DataFrame, fmt: str, layout: Layout, dedup: str = "xor") -> DataFrame:
     """Hits of text lines(shot_id, value) (SRC1, SRC3, SRC4).
 
-    ``dedup='xor'`` cancels repeated indices, ``'keep'`` leaves them as written.
+    ``dedup='xor'`` cancels repeated indices, ``'keep'`` leaves them as written. A line is one shot.
     """
-    if fmt == "dets":
-        hits = _parse_dets(lines, layout)
-    else:
-        hits = _canonical({"01": _parse_01, "hits": _parse_hits}[fmt](lines, layout), layout)
-    return hits if dedup == "keep" or fmt == "01" else xor_items(hits, ["shot_id", "kind"], "idx")
+    if fmt == "01":
+        return _canonical(_parse_01(lines, layout), layout)
+    return {"hits": _parse_hits, "dets": _parse_dets}[fmt](lines, layout, dedup)
 
 
 def shot_lines(shots: DataFrame, hits: DataFrame, fmt: str, layout: Layout) -> DataFrame:

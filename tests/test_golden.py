@@ -3,6 +3,8 @@
 import hashlib
 import json
 import math
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -93,6 +95,23 @@ def test_text_records(spark, tmp_path):
             sh.parse_shot_lines(spark.createDataFrame([(0, bad)], "shot_id bigint, value string"), fmt, lay).collect()
 
 
+def test_repeats_cancel_inside_their_line(spark):
+    lay, r = sh.Layout(3, 24, 2), random.Random(5)
+    rows = [(i, [k + str(r.randrange(n)) for k, n in (r.choice([("M", 3), ("D", 24), ("L", 2)]) for _ in range(r.randrange(12)))]) for i in range(200)]
+    rows.append((200, ["D7", "D8", "D7"] * 20_001))
+    written = Counter((i, w[0], int(w[1:])) for i, ws in rows for w in ws)
+    at = {"M": 0, "D": 3, "L": 27}
+    texts = {"dets": [(i, " ".join(["shot", *ws])) for i, ws in rows], "hits": [(i, ",".join(str(at[w[0]] + int(w[1:])) for w in ws)) for i, ws in rows]}
+    for fmt, lines in texts.items():
+        parse = lambda dedup: sh.parse_shot_lines(spark.createDataFrame(lines, "shot_id bigint, value string"), fmt, lay, dedup)
+        assert Counter(map(tuple, parse("keep").collect())) == written
+        assert Counter(map(tuple, parse("xor").collect())) == Counter(k for k, n in written.items() if n % 2)
+        assert "Exchange" not in parse("xor")._jdf.queryExecution().executedPlan().toString()
+    for bad in ("shotD1", "shot D1 x", "shot D1 D", " shot D1", "shot D1D2", "shot D24", "shot M1 L2"):
+        with pytest.raises(Exception):
+            sh.parse_shot_lines(spark.createDataFrame([(0, bad)], "shot_id bigint, value string"), "dets", lay).collect()
+
+
 def test_packed_bytes(spark, tmp_path):
     bits = "00001111001101"
     lay = sh.Layout(len(bits), 0, 0)
