@@ -3,7 +3,7 @@
 Words are judged in their context: ``classify_in_context`` counts word trigrams of trusted text, across word and line borders, with two start
 marks before each text, and interpolates trigram, bigram and unigram with the spelling of the word as the lowest order. Words are 64-bit hashes of
 what stands between blanks. Counts are tables that grow with trusted text; the trigrams of every document, added up inside it, are joined
-with them by hash, none is gathered or left out. A trusted text knows its own trigrams, so one trusted document in HELD_OUT, by doc_id, is not
+with them by hash, in rounds by the middle word, none is gathered or left out. A trusted text knows its own trigrams, so one trusted document in HELD_OUT, by doc_id, is not
 counted and the fence is drawn from these alone; without any there is no fence and every document with words is kept.
 
 The spelling is a model over characters inside words, four at a time, with three start marks before and one end mark after each word; ``classify``
@@ -27,15 +27,20 @@ Without trusted text there is no fence and every document with words is kept.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..lineage import cut
+from ..lineage import cut, drop, settled
 from ..shipping import ship
-from .common import map_rows, remainder, utf8, word_hashes
+from .common import Memo, map_rows, remainder, utf8
 
 START, END, OTHER = "\x02", "\x03", "\x01"
 FENCE, GRAIN = 3.0, 1000  # bins per unit of log perplexity
@@ -45,12 +50,15 @@ BROADCAST_ROWS = 4_000_000
 KEPT_WORDS = 300_000
 LONGEST_KEPT = 64
 HELD_OUT = 10
-_CLEAN = str.maketrans({START: OTHER, END: OTHER})
+SLICES = 16  # most rounds in which the trigrams of all documents are looked up, by their middle word
+COUNT_SLICES = 4  # most rounds in which those of trusted text are counted
+SLICE_WORDS = 500_000  # words that are worth a round
+CHUNK, CHUNK_BYTES = 4096, 16_000_000  # documents, and bytes of text, whose words share a dictionary
 MASK = {3: (1 << 48) - 1, 2: (1 << 32) - 1, 1: (1 << 16) - 1}
 
 
 def words(text: bytes | None) -> list[str]:
-    return text.decode().translate(_CLEAN).split() if text else []
+    return text.decode().replace(START, OTHER).replace(END, OTHER).split() if text else []
 
 
 def grams(some: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -67,7 +75,7 @@ def _gathered(docs: DataFrame, distinct: bool) -> DataFrame:
     ship(docs.sparkSession)
 
     def count(batches):
-        tally: dict[str, int] = {}
+        tally: Counter[str] = Counter()
 
         def settle():
             if not tally:
@@ -81,8 +89,7 @@ def _gathered(docs: DataFrame, distinct: bool) -> DataFrame:
         held = 0
         for batch in batches:
             for text in utf8(batch, "text"):
-                for w in words(text):
-                    tally[w] = tally.get(w, 0) + 1
+                tally.update(words(text))
                 held += len(text or b"")
                 if held > 64_000_000 or len(tally) > KEPT_WORDS:
                     yield from settle()
@@ -96,9 +103,18 @@ def _gathered(docs: DataFrame, distinct: bool) -> DataFrame:
 # --- the model --------------------------------------------------------------------------------------------------
 
 
+def _rare(counts: DataFrame) -> np.ndarray:
+    """How many n-grams occur once to four times."""
+    return np.array([x or 0 for x in counts.agg(*[F.sum((F.col("n") == k).cast("long")) for k in (1, 2, 3, 4)]).first()])
+
+
 def _discounts(counts: DataFrame) -> tuple[float, float, float]:
-    """The three discounts of one order, from how many n-grams occur once to four times."""
-    n1, n2, n3, n4 = (x or 0 for x in counts.agg(*[F.sum((F.col("n") == k).cast("long")) for k in (1, 2, 3, 4)]).first())
+    return _discounts_of(_rare(counts))
+
+
+def _discounts_of(rare: np.ndarray) -> tuple[float, float, float]:
+    """The three discounts of one order."""
+    n1, n2, n3, n4 = rare.tolist()
     y = n1 / (n1 + 2 * n2) if n1 + n2 else 0.5
     raw = [1 - 2 * y * n2 / n1 if n1 else 0.5, 2 - 3 * y * n3 / n2 if n2 else 1.0, 3 - 4 * y * n4 / n3 if n3 else 1.5]
     return tuple(min(max(d, 0.05), k) for d, k in zip(raw, (0.95, 1.95, 2.95)))
@@ -270,61 +286,158 @@ def classify(docs: DataFrame, labels: DataFrame, broadcast_rows: int = BROADCAST
 # --- words in context -------------------------------------------------------------------------------------------
 
 
-def _trigrams(text: bytes | None, known: dict) -> Counter:
-    ids = [0, 0, *(known[w.encode()] for w in words(text))]
-    return Counter(zip(ids, ids[1:], ids[2:]))
+def _hashes(most: int = 500_000) -> Memo:
+    return Memo(lambda w: xxhash.xxh3_64_intdigest(w.encode()), most)
 
 
 def _signed(some: list[int]) -> np.ndarray:
     return np.array(some, np.uint64).view(np.int64)
 
 
-def _columns(tally: dict, n: str) -> dict:
-    return {c: _signed([t[i] for t in tally]) for i, c in enumerate("uvw")} | {n: np.fromiter(tally.values(), np.int64, len(tally))}
+def _ids(text: bytes | None, known: Memo) -> np.ndarray:
+    return _signed([known[w] for w in words(text)])
+
+
+def _trigrams(texts: list[np.ndarray], part: tuple[int, int] = (0, 1)) -> tuple[np.ndarray, ...]:
+    """(place, u, v, w, k): the different word trigrams of each text and how often it has them; only those whose
+    middle word is in one part of so many."""
+    sizes = np.array([len(x) for x in texts], np.int64)
+    start = np.zeros(2, np.int64)
+    line = np.concatenate([y for x in texts for y in (start, x)] or [start])
+    u, v, w = line[:-2], line[1:-1], line[2:]
+    place = np.repeat(np.arange(len(texts)), sizes + 2)[2:] if len(texts) else np.empty(0, np.int64)
+    # The two trigrams that end in a start mark belong to no text.
+    inside = np.ones(len(w), bool)
+    ends = np.cumsum(sizes + 2)[:-1]
+    inside[ends - 2] = inside[ends - 1] = False
+    if part[1] > 1:
+        inside &= v % part[1] == part[0]
+    place, u, v, w = place[inside], u[inside], v[inside], w[inside]
+    order = np.lexsort((w, v, u, place))
+    place, u, v, w = place[order], u[order], v[order], w[order]
+    new = np.ones(len(w), bool)
+    new[1:] = (place[1:] != place[:-1]) | (u[1:] != u[:-1]) | (v[1:] != v[:-1]) | (w[1:] != w[:-1])
+    at = np.flatnonzero(new)
+    return place[at], u[at], v[at], w[at], np.diff(np.append(at, len(w)))
+
+
+def _packed(texts: list[np.ndarray]) -> dict[str, bytes]:
+    """Texts as a dictionary of their words, the most frequent first, and the planes of low to high bytes of every word's place in it."""
+    line = np.concatenate([np.empty(0, np.int64), *texts])
+    word, where, n = np.unique(line, return_inverse=True, return_counts=True)
+    order = np.argsort(-n, kind="stable")
+    rank = np.empty(len(word), np.uint32)
+    rank[order] = np.arange(len(word), dtype=np.uint32)
+    planes = rank[where].astype("<u4").view(np.uint8).reshape(-1, 4).T
+    return {"word": word[order].tobytes(), "place": planes.tobytes()}
+
+
+def _unpacked(sizes: list[int], word: bytes, place: bytes) -> list[np.ndarray]:
+    planes = np.ascontiguousarray(np.frombuffer(place, np.uint8).reshape(4, -1).T)
+    line = np.frombuffer(word, np.int64)[planes.view("<u4").ravel()]
+    return np.split(line, np.cumsum(sizes)[:-1]) if sizes else []
+
+
+def _as_ids(docs: DataFrame) -> DataFrame:
+    """(chunk, row, doc_id, lang, size, word, place): the hashes of all words in their order, some documents a row."""
+    ship(docs.sparkSession)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = T._parse_datatype_string(f"chunk long, row array<long>, doc_id array<{kind}>, lang array<string>, size array<int>, word binary, place binary")
+    target = to_arrow_schema(schema)
 
+    def run(batches):
+        known = _hashes()
+        for batch in batches:
+            sizes = np.cumsum([len(t or b"") for t in utf8(batch, "text")], dtype=np.int64)
+            group = np.maximum(np.arange(batch.num_rows) // CHUNK, sizes // CHUNK_BYTES)
+            starts = np.unique(group, return_index=True)[1]
+            for start, end in zip(starts, [*starts[1:], batch.num_rows]):
+                some = batch.slice(start, end - start)
+                texts = [_ids(t, known) for t in utf8(some, "text")]
+                out = {c: pa.array([some.column(c).to_pylist()], target.field(c).type) for c in ("row", "doc_id", "lang")}
+                out |= {"chunk": some.column("row")[:1], "size": pa.array([[len(x) for x in texts]], target.field("size").type)}
+                out |= {c: pa.array([x], pa.binary()) for c, x in _packed(texts).items()}
+                yield pa.RecordBatch.from_pydict(out, schema=target)
+
+    rows = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), "text", F.monotonically_increasing_id().alias("row"))
+    return rows.mapInArrow(run, schema)
+
+
+def _picked(held: DataFrame, trusted: DataFrame) -> DataFrame:
+    """(size, word, place) of the documents in ``trusted`` alone; texts stay in their chunks."""
+    each = held.select("chunk", F.posexplode("doc_id").alias("at", "doc_id"))
+    chosen = each.join(trusted, "doc_id", "left_semi").groupBy("chunk").agg(F.collect_list("at").alias("at"))
 
-def _counted(docs: DataFrame) -> DataFrame:
-    """(u, v, w, n): counts of word trigrams of all texts, summed per task before they are dealt."""
-    ship(docs.sparkSession)
+    def make():
+        def step(batch):
+            out = {"size": [], "word": [], "place": []}
+            for at, *packed in zip(*(batch.column(c).to_pylist() for c in ("at", "size", "word", "place"))):
+                texts = _unpacked(*packed)
+                mine = [texts[i] for i in at]
+                for c, x in ({"size": [len(x) for x in mine]} | _packed(mine)).items():
+                    out[c].append(x)
+            return out
 
-    def count(batches):
-        known, tally = word_hashes(), Counter()
+        return step
+
+    return map_rows(held.join(chosen, "chunk").select("at", "size", "word", "place"), "size array<int>, word binary, place binary", make)
+
+
+def _of_chunks(held: DataFrame, schema: str, make: Callable) -> DataFrame:
+    """Columns that ``make(texts, rows)`` finds in each chunk."""
+    ship(held.sparkSession)
+    target = to_arrow_schema(T._parse_datatype_string(schema))
+    names = [c for c in ("size", "word", "place", "row") if c in held.columns]
+
+    def run(batches):
         for batch in batches:
-            for text in utf8(batch, "text"):
-                tally.update(_trigrams(text, known))
-                if len(tally) > KEPT_WORDS:
-                    yield pa.RecordBatch.from_pydict(_columns(tally, "n"))
-                    tally.clear()
-        yield pa.RecordBatch.from_pydict(_columns(tally, "n"))
+            for i in range(batch.num_rows):
+                one = [batch.column(c)[i].as_py() for c in names]
+                yield pa.RecordBatch.from_pydict(make(_unpacked(*one[:3]), one[3:]), schema=target)
 
-    rows = docs.select("text").mapInArrow(count, "u long, v long, w long, n long")
-    return rows.groupBy("u", "v", "w").agg(F.sum("n").alias("n"))
+    return held.select(*names).mapInArrow(run, schema)
 
 
-def _of_rows(docs: DataFrame) -> DataFrame:
-    """(row, u, v, w, k): the word trigrams of each document and how often it has them."""
+def _counted(picked: DataFrame, part: int = 0, parts: int = 1) -> DataFrame:
+    """(u, v, w, n): counts of the word trigrams with a middle word of this part."""
 
-    def make():
-        known = word_hashes()
+    def make(texts, _):
+        _, u, v, w, k = _trigrams(texts, (part, parts))
+        return {"u": u, "v": v, "w": w, "n": k}
 
-        def step(batch):
-            parts, held = [], batch.column("row").to_pylist()
-            for row, text in zip(held, utf8(batch, "text")):
-                tally = _trigrams(text, known)
-                parts.append({"row": np.full(len(tally), row, np.int64)} | _columns(tally, "k"))
-            return {c: np.concatenate([p[c] for p in parts]) if parts else np.empty(0, np.int64) for c in ("row", "u", "v", "w", "k")}
+    return _of_chunks(picked, "u long, v long, w long, n long", make).groupBy("u", "v", "w").agg(F.sum("n").alias("n"))
 
-        return step
 
-    return map_rows(docs.select("row", "text"), "row long, u long, v long, w long, k long", make)
+def _of_rows(held: DataFrame, part: int, parts: int) -> DataFrame:
+    """(row, u, v, w, k): the word trigrams of each document with a middle word of this part, and how often it has them."""
+
+    def make(texts, rows):
+        place, u, v, w, k = _trigrams(texts, (part, parts))
+        return {"row": np.array(rows[0], np.int64)[place], "u": u, "v": v, "w": w, "k": k}
+
+    return _of_chunks(held, "row long, u long, v long, w long, k long", make)
+
 
+def _pairs(held: DataFrame, part: int, parts: int) -> DataFrame:
+    """(v, w): the different word pairs of all documents with a first word of this part."""
 
-def _spelled(docs: DataFrame, table: DataFrame, broadcast_rows: int) -> DataFrame:
-    """(w, s): the log probability of each distinct word's spelling."""
+    def make(texts, _):
+        _, _, v, w, _ = _trigrams(texts, (part, parts))
+        at = np.lexsort((w, v))
+        v, w = v[at], w[at]
+        new = np.ones(len(w), bool)
+        new[1:] = (v[1:] != v[:-1]) | (w[1:] != w[:-1])
+        return {"v": v[new], "w": w[new]}
+
+    return _of_chunks(held, "v long, w long", make).distinct()
+
+
+def _distinct_words(docs: DataFrame) -> DataFrame:
+    """(w, word): each distinct word and its hash."""
     ship(docs.sparkSession)
 
     def distinct(batches):
-        known, seen = word_hashes(), set()
+        known, seen = _hashes(), set()
         for batch in batches:
             new = {w for text in utf8(batch, "text") for w in words(text)} - seen
             if len(seen) > KEPT_WORDS:
@@ -333,12 +446,31 @@ def _spelled(docs: DataFrame, table: DataFrame, broadcast_rows: int) -> DataFram
             some = list(new)
             for i in range(0, len(some), 20_000):
                 part = some[i : i + 20_000]
-                yield pa.RecordBatch.from_pydict({"w": _signed([known[x.encode()] for x in part]), "word": pa.array(part, pa.string())})
+                yield pa.RecordBatch.from_pydict({"w": _signed([known[x] for x in part]), "word": pa.array(part, pa.string())})
+
+    return docs.select("text").mapInArrow(distinct, "w long, word string").distinct()
+
+
+def _grams_of(each: DataFrame) -> DataFrame:
+    """(gram, n): counts of the n-grams of words that occur n times."""
+
+    def make():
+        def step(batch):
+            some = batch.column("word").to_pylist()
+            keys, sizes = grams(some) if some else (np.empty(0, np.int64), np.empty(0, np.int64))
+            return {"gram": keys, "n": np.repeat(batch.column("n").to_numpy(), sizes)}
+
+        return step
+
+    return map_rows(each.select("word", "n"), "gram long, n long", make).groupBy("gram").agg(F.sum("n").alias("n"))
+
 
-    each = cut(docs.select("text").mapInArrow(distinct, "w long, word string").distinct(), "words")
+def _spelled(each: DataFrame, table: DataFrame, broadcast_rows: int) -> DataFrame:
+    """(w, s): the log probability of the spelling of each word in (w, word)."""
+    ship(each.sparkSession)
     if table.count() <= broadcast_rows:
         rows = table.sort("gram").toArrow()
-        shared = docs.sparkSession.sparkContext.broadcast((rows.column("gram").to_numpy(), rows.column("logp").to_numpy()))
+        shared = each.sparkSession.sparkContext.broadcast((rows.column("gram").to_numpy(), rows.column("logp").to_numpy()))
 
         def make():
             known = Known(*shared.value)
@@ -357,9 +489,9 @@ def _spelled(docs: DataFrame, table: DataFrame, broadcast_rows: int) -> DataFram
     return map_rows(each, "w long, gram long", cut_up).join(table, "gram").groupBy("w").agg(F.sum(F.col("logp").cast("double")).alias("s"))
 
 
-def _interpolated(rows: DataFrame, counts: DataFrame, keys: list[str]) -> DataFrame:
+def _interpolated(rows: DataFrame, counts: DataFrame, keys: list[str], d: tuple[float, float, float]) -> DataFrame:
     """``rows`` with the probability p of the order below turned into that of the order with these keys, the last of which is the word."""
-    d, n, lower = _discounts(counts), F.col("n"), F.col("p")
+    n, lower = F.col("n"), F.col("p")
     sums = counts.groupBy(*keys[:-1]).agg(F.sum("n").alias("total"), (F.sum(_discount(n, d)) / F.sum("n")).alias("rest"))
     if len(keys) == 1:
         total, rest = sums.first()
@@ -371,20 +503,49 @@ def _interpolated(rows: DataFrame, counts: DataFrame, keys: list[str]) -> DataFr
     return rows.withColumn("p", p).drop("n", "total", "rest")
 
 
-def classify_in_context(docs: DataFrame, labels: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """(doc_id, lang, n_grams, perplexity, fence, kept) of every document, per word and by words in their order; n_grams counts words."""
-    docs = cut(docs.select("doc_id", "lang", "text", F.monotonically_increasing_id().alias("row")), "rows")
-    trusted = cut(_trusted(labels), "trusted")
-    out = F.coalesce(remainder(F.col("doc_id"), HELD_OUT) == 0, F.lit(False))
-    counted = docs.join(trusted.filter(~out).hint("merge"), "doc_id", "left_semi")
-    spelled = _spelled(docs, _characters(docs, counted), broadcast_rows)
-    three = cut(_counted(counted), "trigrams")
-    two = cut(three.groupBy("v", "w").agg(F.count("*").alias("n")), "bigrams")
-    one = cut(two.groupBy("w").agg(F.count("*").alias("n")), "unigrams")
-    held = cut(_of_rows(docs), "held")
-    first = _interpolated(spelled.select("w", F.exp("s").alias("p")), one, ["w"])
-    second = _interpolated(held.select("v", "w").distinct().join(first, "w"), two, ["v", "w"])
-    third = _interpolated(held.join(cut(second, "second"), ["v", "w"]), three, ["u", "v", "w"])
-    sums = third.groupBy("row").agg(F.sum(F.log("p") * F.col("k")).alias("s"), F.sum("k").alias("n"))
-    scored = docs.select("row", "doc_id", "lang").join(sums, "row", "left").withColumns({"n": F.coalesce("n", F.lit(0)), "log_perplexity": -F.col("s") / F.col("n")})
-    return _judged(cut(scored.select("doc_id", "lang", "n", "log_perplexity"), "scored"), trusted.filter(out), DEVIATIONS * WORD_SPREAD)
+def classify_in_context(docs: DataFrame, labels: DataFrame, broadcast_rows: int = BROADCAST_ROWS, slices: int | None = None) -> DataFrame:
+    """(doc_id, lang, n_grams, perplexity, fence, kept) of every document, per word and by words in their order; n_grams counts words.
+
+    A trigram, its context and its suffix share the middle word, so trigrams are counted and looked up in rounds by that word, and only the
+    sums of a document's log probabilities stay from each.
+    """
+    with settled(docs.sparkSession):
+        trusted = cut(_trusted(labels), "trusted")
+        out = F.coalesce(remainder(F.col("doc_id"), HELD_OUT) == 0, F.lit(False))
+        held = cut(_as_ids(docs), "held", compression="zstd")
+        n_words = held.agg(F.sum(F.octet_length("place").cast("long"))).first()[0] or 0
+        slices = slices or max(1, min(SLICES, n_words // 4 // SLICE_WORDS))
+        counts = min(slices, COUNT_SLICES)
+        picked = cut(_picked(held, trusted.filter(~out)), "picked", compression="zstd")
+        each = cut(_distinct_words(docs), "words", compression="zstd")
+        often = _of_chunks(picked, "w long, n long", lambda texts, _: dict(zip("wn", np.unique(np.concatenate([np.empty(0, np.int64), *texts]), return_counts=True))))
+        quads = cut(_grams_of(each.join(often.groupBy("w").agg(F.sum("n").alias("n")), "w")), "order4")
+        universe = cut(_grams_of(each.withColumn("n", F.lit(1).cast("long"))).select("gram"), "universe")
+        table = cut(probabilities(universe, quads), "logp")
+        rare2 = rare3 = np.zeros(4, np.int64)
+        parts = []
+        for part in range(counts):
+            three = cut(_counted(picked, part, counts), "trigrams")
+            two = cut(three.groupBy("v", "w").agg(F.count("*").alias("n")), "bigrams")
+            rare3, rare2 = rare3 + _rare(three), rare2 + _rare(two)
+            parts.append(cut(two.groupBy("w").agg(F.count("*").alias("n")), "unigrams"))
+            drop(three, two)
+        one = cut(reduce(DataFrame.unionByName, parts).groupBy("w").agg(F.sum("n").alias("n")), "unigrams")
+        first = cut(_interpolated(_spelled(each, table, broadcast_rows).select("w", F.exp("s").alias("p")), one, ["w"], _discounts(one)), "first")
+        drop(each, one, *parts)
+        d2, d3 = _discounts_of(rare2), _discounts_of(rare3)
+        found = []
+        for part in range(slices):
+            three = cut(_counted(picked, part, slices), "trigrams")
+            two = cut(three.groupBy("v", "w").agg(F.count("*").alias("n")), "bigrams")
+            second = cut(_interpolated(_pairs(held, part, slices).join(first, "w"), two, ["v", "w"], d2), "second")
+            drop(two)
+            third = _interpolated(_of_rows(held, part, slices).join(second, ["v", "w"]), three, ["u", "v", "w"], d3)
+            found.append(cut(third.groupBy("row").agg(F.sum(F.log("p") * F.col("k")).alias("s"), F.sum("k").alias("n")), "sums"))
+            drop(three, second)
+        sums = reduce(DataFrame.unionByName, found).groupBy("row").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+        rows = held.select(F.explode(F.arrays_zip("row", "doc_id", "lang")).alias("d")).select("d.*")
+        scored = rows.join(sums, "row", "left").withColumns({"n": F.coalesce("n", F.lit(0)), "log_perplexity": -F.col("s") / F.col("n")})
+        scored = cut(scored.select("doc_id", "lang", "n", "log_perplexity"), "scored")
+        drop(held, picked, first, *found)
+    return _judged(scored, trusted.filter(out), DEVIATIONS * WORD_SPREAD)

@@ -6,6 +6,7 @@ import json
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -15,6 +16,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from parityspark import lineage
 from parityspark.llm import (
     graphs, op1_toxicity, op2_language_id, op3_quality_classifier, op4_sharding, op5_byte_bpe, op6_quality_rules, op7_ngram_jaccard,
     op8_quotation_linking, op9_decontamination, op10_url_filter,
@@ -274,6 +276,31 @@ def trigram_perplexity(trusted, t):
     return lambda v: np.exp(-np.mean([np.log(p(g, v)) for w in [["", "", *t.split()]] for g in zip(w, w[1:], w[2:])]))
 
 
+def test_texts_of_a_chunk_come_back():
+    texts = [np.array(x, np.int64) for x in ([5, -7, 5, 5], [], [2**62], list(range(70_000)), [])]
+    packed = op3_quality_classifier._packed(texts)
+    back = op3_quality_classifier._unpacked([len(x) for x in texts], packed["word"], packed["place"])
+    assert [x.tolist() for x in back] == [x.tolist() for x in texts]
+    got = Counter()
+    for part in range(3):
+        for place, u, v, w, k in zip(*(x.tolist() for x in op3_quality_classifier._trigrams(texts, (part, 3)))):
+            assert v % 3 == part
+            got[place, u, v, w] += k
+    assert got == Counter((i, *g) for i, x in enumerate(texts) for line in [[0, 0, *x.tolist()]] for g in zip(line, line[1:], line[2:]))
+
+
+def test_perplexity_leaves_little_on_disk(spark):
+    """Every document's trigrams cross the disk in rounds, and tables go when they were read."""
+    some = [(i, " ".join(f"w{(i * j * 7919) % 9973}" for j in range(1, 200)), "en") for i in range(500)]
+    docs = spark.createDataFrame(some, "doc_id long, text string, lang string")
+    marks = spark.createDataFrame([(i, 1) for i in range(200)], "doc_id long, quality int")
+    folder = Path(lineage.shared_dir(spark).removeprefix("file:")) / spark.sparkContext.applicationId
+    before = set(folder.glob("*")) if folder.exists() else set()
+    op3_quality_classifier.classify_in_context(docs, marks, slices=2).count()
+    left = {p.name.rsplit("-", 1)[0] for p in set(folder.glob("*")) - before if any(p.glob("part-*"))}
+    assert not left & {"held", "picked", "rows", "words", "trigrams", "bigrams", "unigrams", "first", "second", "sums"}
+
+
 def test_perplexity_knows_the_order_of_words(spark, empty):
     phrases = ["the cat sat on the mat", "a dog ran over the hill", "we saw the cat run", "the hill was green and the dog slept", "on the mat a cat slept"]
     some = [(i, " ".join(phrases[(i * k + k) % 5] for k in range(1, 8)), "en") for i in range(60)]
@@ -292,6 +319,9 @@ def test_perplexity_knows_the_order_of_words(spark, empty):
     assert got[101].perplexity > 3 * got[100].perplexity and got[100].kept and not got[102].kept and got[103].perplexity is None
     by_spelling = {r.doc_id: r.perplexity for r in op3_quality_classifier.classify(docs, marks).collect()}
     assert by_spelling[100] == pytest.approx(by_spelling[101])
+    rounds = {r.doc_id: r for r in op3_quality_classifier.classify_in_context(docs, marks, slices=3).collect()}
+    assert {i: r.kept for i, r in rounds.items()} == {i: r.kept for i, r in got.items()}
+    assert all(r.n_grams == got[i].n_grams and (r.perplexity or 0) == pytest.approx(got[i].perplexity or 0, rel=1e-6) for i, r in rounds.items())
     assert op3_quality_classifier.classify_in_context(empty, marks).count() == 0
     assert {r.kept for r in op3_quality_classifier.classify_in_context(docs, marks.limit(0)).collect() if r.n_grams} == {True}
 
