@@ -147,6 +147,15 @@ def rescale(v: Column, scale: str, invert: bool = False) -> Column:
     raise ValueError(f"unknown scale {scale!r}")
 
 
+def round_half_away(v: Column, digits: int) -> Column:
+    """ROUND as DuckDB has it on doubles: the value times a power of ten, as a double, goes to the nearest whole number, halves away from zero.
+
+    F.round goes by the shortest decimal of the value, and differs where that product meets a half or leaves one.
+    """
+    scaled = F.round(v * 10.0**digits) / 10.0**digits
+    return F.when(F.abs(scaled) < float("inf"), scaled).otherwise(v)
+
+
 def combine_limits(a: Column, b: Column) -> Column:
     """Smaller of two limits; NULL stands for no limit (FN11)."""
     return F.least(a, b)

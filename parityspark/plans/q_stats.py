@@ -239,8 +239,8 @@ def _(fx):
 def _(fx):
     s = F.col("seconds")
     return fx.fx_stats.select(
-        "seq", num.rescale(s, "linear").alias("linear"), F.round(num.rescale(s, "log"), 9).alias("log"), F.round(num.rescale(s, "sqrt"), 9).alias("sqrt"),
-        F.round(num.rescale(s / 100, "log", True), 9).alias("unlog"), F.round(num.rescale(s, "sqrt", True), 6).alias("unsqrt"),
+        "seq", num.rescale(s, "linear").alias("linear"), num.round_half_away(num.rescale(s, "log"), 9).alias("log"), num.round_half_away(num.rescale(s, "sqrt"), 9).alias("sqrt"),
+        num.round_half_away(num.rescale(s / 100, "log", True), 9).alias("unlog"), num.round_half_away(num.rescale(s, "sqrt", True), 6).alias("unsqrt"),
     )
 
 

@@ -264,3 +264,11 @@ def test_logarithms_of_zero_and_below_are_no_missing_values(spark):
     points = spark.createDataFrame([("a", float(x), float(x)) for x in (0, 1, 2, 4)], "g string, x double, best double")
     ends = [(r.x, r.y) for r in st.line_fit_curves(points, ["g"], "log", "log", 3).collect()]
     assert len(ends) == 3 and all(x == pytest.approx(y) and math.isfinite(x) for x, y in ends)
+
+
+def test_rounding_follows_the_scaled_double(spark):
+    # As DuckDB rounds; F.round gives ...286.
+    assert one(spark, num.round_half_away(num.rescale(F.lit(712.91) / 100, "log", True), 9))[0] == 1247.753483287
+    assert one(spark, *[num.round_half_away(F.lit(v), d) for v, d in ((-2.5, 0), (0.125, 2), (1e300, 9), (-math.inf, 9))])[:4] == (-3.0, 0.13, 1e300, -math.inf)
+    got = one(spark, num.round_half_away(F.lit(math.nan), 9), num.round_half_away(F.lit(None).cast("double"), 9))
+    assert math.isnan(got[0]) and got[1] is None
