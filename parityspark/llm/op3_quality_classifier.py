@@ -27,11 +27,12 @@ Without trusted text there is no fence and every document with words is kept.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,7 +41,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..lineage import cut, drop, settled
 from ..shipping import ship
-from .common import Memo, map_rows, remainder, utf8
+from .common import map_rows, mix, remainder, utf8
 
 START, END, OTHER = "\x02", "\x03", "\x01"
 FENCE, GRAIN = 3.0, 1000  # bins per unit of log perplexity
@@ -49,11 +50,13 @@ WORD_SPREAD = 3.0  # the deviation of one word's log probability that is allowed
 BROADCAST_ROWS = 4_000_000
 KEPT_WORDS = 300_000
 LONGEST_KEPT = 64
+PIECE = 50_000
 HELD_OUT = 10
-SLICES = 16  # most rounds in which the trigrams of all documents are looked up, by their middle word
+SLICES = 24  # most rounds in which the trigrams of all documents are looked up, by their middle word
 COUNT_SLICES = 4  # most rounds in which those of trusted text are counted
-SLICE_WORDS = 500_000  # words that are worth a round
-CHUNK, CHUNK_BYTES = 4096, 16_000_000  # documents, and bytes of text, whose words share a dictionary
+SLICE_WORDS = 5_000_000  # words that are worth a round
+BUCKET_WORDS = 1_000_000  # words of a round that are worth a bucket, in buckets of middle words
+CHUNK, CHUNK_BYTES = 8192, 32_000_000  # documents (65,536 at most), and bytes of text, whose words share a dictionary
 MASK = {3: (1 << 48) - 1, 2: (1 << 32) - 1, 1: (1 << 16) - 1}
 
 
@@ -70,6 +73,12 @@ def grams(some: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return keys[codes[3:] != ord(START)].view(np.int64), np.array([len(w) + 1 for w in some], np.int64)
 
 
+def pieces(some: list[str]) -> Iterator[list[str]]:
+    """Words whose n-grams are looked at together."""
+    for i in range(0, len(some), PIECE):
+        yield some[i : i + PIECE]
+
+
 def _gathered(docs: DataFrame, distinct: bool) -> DataFrame:
     """(gram, n): counts of the n-grams of all texts, summed per task before they are dealt."""
     ship(docs.sparkSession)
@@ -166,9 +175,13 @@ class Known:
         self.keys, self.logp, self.kept = keys, logp.astype(np.float64), {}
 
     def _sums(self, some: list[str]) -> np.ndarray:
-        keys, sizes = grams(some)
-        each = self.logp[np.searchsorted(self.keys, keys)]
-        return np.add.reduceat(each, np.cumsum(sizes) - sizes)
+        out = []
+        for piece in pieces(some):
+            keys, sizes = grams(piece)
+            coded = pa.array(keys).dictionary_encode()
+            logp = self.logp[np.searchsorted(self.keys, coded.dictionary.to_numpy())]
+            out.append(np.add.reduceat(logp[coded.indices.to_numpy()], np.cumsum(sizes) - sizes))
+        return np.concatenate(out)
 
     def score(self, texts: list[bytes | None]) -> list[tuple[float, int]]:
         every = [words(t) for t in texts]
@@ -286,191 +299,388 @@ def classify(docs: DataFrame, labels: DataFrame, broadcast_rows: int = BROADCAST
 # --- words in context -------------------------------------------------------------------------------------------
 
 
-def _hashes(most: int = 500_000) -> Memo:
-    return Memo(lambda w: xxhash.xxh3_64_intdigest(w.encode()), most)
+def _split(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """How many words each text has, the place of each word among the different ones, and these."""
+    texts = texts.cast(pa.string()).fill_null("")
+    for mark in (START, END):
+        texts = pc.replace_substring(texts, mark, OTHER)
+    parts = pc.utf8_split_whitespace(texts)
+    ends = np.cumsum(pc.list_value_length(parts).to_numpy(zero_copy_only=False), dtype=np.int64)
+    coded = pc.list_flatten(parts).dictionary_encode()
+    where, some = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+    if "" in some:  # stands before and after blanks at the ends of a text
+        none = some.index("")
+        del some[none]
+        real = where != none
+        ends = np.append(0, np.cumsum(real))[ends]
+        where = where[real]
+        where = where - (where > none)
+    return np.diff(ends, prepend=0), where, some
 
 
 def _signed(some: list[int]) -> np.ndarray:
     return np.array(some, np.uint64).view(np.int64)
 
 
-def _ids(text: bytes | None, known: Memo) -> np.ndarray:
-    return _signed([known[w] for w in words(text)])
+def _hashes(some: list[str]) -> np.ndarray:
+    return _signed([xxhash.xxh3_64_intdigest(w) for w in some])
+
+
+def _windows(sizes: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The line of all texts, two start marks (0) before each and words from 1 on, and where the last words of its trigrams stand."""
+    at = np.arange(2, len(where) + 2) + np.repeat(2 * np.arange(len(sizes)), sizes)
+    line = np.zeros(len(where) + 2 * len(sizes), np.int32)
+    line[at] = where + 1
+    return line, at
 
 
 def _trigrams(texts: list[np.ndarray], part: tuple[int, int] = (0, 1)) -> tuple[np.ndarray, ...]:
     """(place, u, v, w, k): the different word trigrams of each text and how often it has them; only those whose
     middle word is in one part of so many."""
     sizes = np.array([len(x) for x in texts], np.int64)
-    start = np.zeros(2, np.int64)
-    line = np.concatenate([y for x in texts for y in (start, x)] or [start])
-    u, v, w = line[:-2], line[1:-1], line[2:]
-    place = np.repeat(np.arange(len(texts)), sizes + 2)[2:] if len(texts) else np.empty(0, np.int64)
-    # The two trigrams that end in a start mark belong to no text.
-    inside = np.ones(len(w), bool)
-    ends = np.cumsum(sizes + 2)[:-1]
-    inside[ends - 2] = inside[ends - 1] = False
-    if part[1] > 1:
-        inside &= v % part[1] == part[0]
-    place, u, v, w = place[inside], u[inside], v[inside], w[inside]
-    order = np.lexsort((w, v, u, place))
-    place, u, v, w = place[order], u[order], v[order], w[order]
-    new = np.ones(len(w), bool)
-    new[1:] = (place[1:] != place[:-1]) | (u[1:] != u[:-1]) | (v[1:] != v[:-1]) | (w[1:] != w[:-1])
-    at = np.flatnonzero(new)
-    return place[at], u[at], v[at], w[at], np.diff(np.append(at, len(w)))
+    line, at = _windows(sizes, np.arange(sizes.sum()))
+    line = np.concatenate([np.zeros(1, np.int64), *texts])[line]
+    rows = np.stack([np.repeat(np.arange(len(texts)), sizes), line[at - 2], line[at - 1], line[at]])
+    rows, k = np.unique(rows[:, rows[2] % part[1] == part[0]], axis=1, return_counts=True)
+    return *rows, k
+
+
+def _coded(word: np.ndarray, where: np.ndarray) -> tuple[dict[str, bytes], np.ndarray]:
+    """The words that occur, the most frequent first, with the planes of low to high bytes of every word's place among them; and their order."""
+    n = np.bincount(where, minlength=len(word))
+    order = np.argsort(-n, kind="stable")[: np.count_nonzero(n)]
+    rank = np.empty(len(word), "<u4")
+    rank[order] = np.arange(len(order), dtype=np.uint32)
+    planes = np.ascontiguousarray(rank[where].view(np.uint8).reshape(-1, 4).T)
+    return {"word": word[order].tobytes(), "place": pa.compress(planes.tobytes(), "zstd", asbytes=True)}, order
 
 
 def _packed(texts: list[np.ndarray]) -> dict[str, bytes]:
-    """Texts as a dictionary of their words, the most frequent first, and the planes of low to high bytes of every word's place in it."""
-    line = np.concatenate([np.empty(0, np.int64), *texts])
-    word, where, n = np.unique(line, return_inverse=True, return_counts=True)
-    order = np.argsort(-n, kind="stable")
-    rank = np.empty(len(word), np.uint32)
-    rank[order] = np.arange(len(word), dtype=np.uint32)
-    planes = rank[where].astype("<u4").view(np.uint8).reshape(-1, 4).T
-    return {"word": word[order].tobytes(), "place": planes.tobytes()}
+    """Texts as a dictionary of their words and every word's place in it."""
+    return _coded(*np.unique(np.concatenate([np.empty(0, np.int64), *texts]), return_inverse=True))[0]
+
+
+def _places(n: int, place: bytes) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(place, 4 * n, "zstd", asbytes=True), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
 def _unpacked(sizes: list[int], word: bytes, place: bytes) -> list[np.ndarray]:
-    planes = np.ascontiguousarray(np.frombuffer(place, np.uint8).reshape(4, -1).T)
-    line = np.frombuffer(word, np.int64)[planes.view("<u4").ravel()]
+    line = np.frombuffer(word, np.int64)[_places(sum(sizes), place)]
     return np.split(line, np.cumsum(sizes)[:-1]) if sizes else []
 
 
-def _as_ids(docs: DataFrame) -> DataFrame:
-    """(chunk, row, doc_id, lang, size, word, place): the hashes of all words in their order, some documents a row."""
+def _spellings(text: str) -> list[str]:
+    return text.split("\n") if text else []
+
+
+def _as_ids(docs: DataFrame, first: Callable | None = None) -> DataFrame:
+    """(chunk, doc_id, lang, counted, size, word, place, spelling, p): the hashes of all words in their order, some documents a row.
+
+    ``first(words, hashes)`` gives the words' probabilities p, and the spelling is left out then.
+    """
     ship(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = T._parse_datatype_string(f"chunk long, row array<long>, doc_id array<{kind}>, lang array<string>, size array<int>, word binary, place binary")
+    schema = T._parse_datatype_string(f"chunk long, doc_id array<{kind}>, lang array<string>, counted array<boolean>, size array<int>, word binary, place binary, spelling string, p binary")
     target = to_arrow_schema(schema)
 
     def run(batches):
-        known = _hashes()
         for batch in batches:
-            sizes = np.cumsum([len(t or b"") for t in utf8(batch, "text")], dtype=np.int64)
+            sizes = np.cumsum(pc.binary_length(batch.column("text")).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
             group = np.maximum(np.arange(batch.num_rows) // CHUNK, sizes // CHUNK_BYTES)
             starts = np.unique(group, return_index=True)[1]
             for start, end in zip(starts, [*starts[1:], batch.num_rows]):
                 some = batch.slice(start, end - start)
-                texts = [_ids(t, known) for t in utf8(some, "text")]
-                out = {c: pa.array([some.column(c).to_pylist()], target.field(c).type) for c in ("row", "doc_id", "lang")}
-                out |= {"chunk": some.column("row")[:1], "size": pa.array([[len(x) for x in texts]], target.field("size").type)}
-                out |= {c: pa.array([x], pa.binary()) for c, x in _packed(texts).items()}
-                yield pa.RecordBatch.from_pydict(out, schema=target)
-
-    rows = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), "text", F.monotonically_increasing_id().alias("row"))
+                size, where, words_ = _split(some.column("text"))
+                packed, order = _coded(_hashes(words_), where)
+                words_ = [words_[i] for i in order.tolist()]
+                out = {c: pa.array([some.column(c).to_pylist()], target.field(c).type) for c in ("doc_id", "lang", "counted")}
+                out |= {"chunk": some.column("row")[:1], "size": pa.array([size.tolist()], target.field("size").type)}
+                out |= {"spelling": [None if first else "\n".join(words_)], "p": [first(words_, np.frombuffer(packed["word"], np.int64)).tobytes() if first else None]}
+                yield pa.RecordBatch.from_pydict(out | {c: pa.array([x], pa.binary()) for c, x in packed.items()}, schema=target)
+
+    rows = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), "counted", "text", F.monotonically_increasing_id().alias("row"))
     return rows.mapInArrow(run, schema)
 
 
-def _picked(held: DataFrame, trusted: DataFrame) -> DataFrame:
-    """(size, word, place) of the documents in ``trusted`` alone; texts stay in their chunks."""
-    each = held.select("chunk", F.posexplode("doc_id").alias("at", "doc_id"))
-    chosen = each.join(trusted, "doc_id", "left_semi").groupBy("chunk").agg(F.collect_list("at").alias("at"))
-
-    def make():
-        def step(batch):
-            out = {"size": [], "word": [], "place": []}
-            for at, *packed in zip(*(batch.column(c).to_pylist() for c in ("at", "size", "word", "place"))):
-                texts = _unpacked(*packed)
-                mine = [texts[i] for i in at]
-                for c, x in ({"size": [len(x) for x in mine]} | _packed(mine)).items():
-                    out[c].append(x)
-            return out
-
-        return step
-
-    return map_rows(held.join(chosen, "chunk").select("at", "size", "word", "place"), "size array<int>, word binary, place binary", make)
-
-
-def _of_chunks(held: DataFrame, schema: str, make: Callable) -> DataFrame:
-    """Columns that ``make(texts, rows)`` finds in each chunk."""
+def _of_chunks(held: DataFrame, schema: str, make: Callable, *names: str) -> DataFrame:
+    """Columns that ``make(*columns)`` finds in each row."""
     ship(held.sparkSession)
     target = to_arrow_schema(T._parse_datatype_string(schema))
-    names = [c for c in ("size", "word", "place", "row") if c in held.columns]
 
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                one = [batch.column(c)[i].as_py() for c in names]
-                yield pa.RecordBatch.from_pydict(make(_unpacked(*one[:3]), one[3:]), schema=target)
+                yield pa.RecordBatch.from_pydict(make(*(batch.column(c)[i].as_py() for c in names)), schema=target)
 
     return held.select(*names).mapInArrow(run, schema)
 
 
-def _counted(picked: DataFrame, part: int = 0, parts: int = 1) -> DataFrame:
-    """(u, v, w, n): counts of the word trigrams with a middle word of this part."""
+# --- counting and looking up ------------------------------------------------------------------------------------
+
+
+BLOB = "bucket int, counted boolean, chunk long, word binary, p binary, u binary, v binary, w binary, place binary"
 
-    def make(texts, _):
-        _, u, v, w, k = _trigrams(texts, (part, parts))
-        return {"u": u, "v": v, "w": w, "n": k}
 
-    return _of_chunks(picked, "u long, v long, w long, n long", make).groupBy("u", "v", "w").agg(F.sum("n").alias("n"))
+def _dealt(held: DataFrame, part: int, parts: int, buckets: int, all_too: bool) -> DataFrame:
+    """The trigrams of each chunk with a middle word of this part, a row for each bucket of middle words: places in a dictionary of its own.
 
+    Those of the documents that are counted, and those of all documents as well if ``all_too``.
+    """
 
-def _of_rows(held: DataFrame, part: int, parts: int) -> DataFrame:
-    """(row, u, v, w, k): the word trigrams of each document with a middle word of this part, and how often it has them."""
+    def make(chunk, counted, size, word, place, p):
+        word = np.frombuffer(word, np.int64)
+        line, at = _windows(size, _places(sum(size), place))
+        word = np.append(0, word)
+        spread = mix(word.view(np.uint64))
+        bucket = np.where(spread % np.uint64(parts) == part, spread // np.uint64(parts) % np.uint64(buckets), buckets).astype(np.min_scalar_type(buckets))
+        here = bucket[line[at - 1]]
+        order = np.flatnonzero(here < buckets)
+        here = here[order]
+        by = np.argsort(here, kind="stable")
+        order, edges = order[by], np.searchsorted(here[by], np.arange(buckets + 1))
+        text = np.searchsorted(np.cumsum(size), order, "right")
+        trusted = np.array(counted, bool)[text]
+        out = {c: [] for c in target}
+
+        def add(b, mine, text):
+            last = at[mine]
+            three = np.concatenate([line[last - 2], line[last - 1], line[last]])
+            if len(three) * 8 > len(word):
+                used = np.zeros(len(word), bool)
+                used[three] = True
+                used = np.flatnonzero(used)
+                rank = np.empty(len(word), np.int32)
+                rank[used] = np.arange(len(used), dtype=np.int32)
+                three = rank[three]
+            else:
+                used, three = np.unique(three, return_inverse=True)
+            three = three.astype(_width(len(used))).reshape(3, -1)
+            row = {"bucket": b, "counted": text is None, "chunk": chunk, "word": word[used].tobytes()} | {c: x.tobytes() for c, x in zip("uvw", three)}
+            if text is not None:
+                row |= {"p": np.append(0.0, np.frombuffer(p))[used].tobytes(), "place": text.astype(np.uint16).tobytes()}
+            for c in target:
+                out[c].append(row.get(c))
+
+        for b in np.flatnonzero(np.diff(edges)).tolist():
+            here = slice(edges[b], edges[b + 1])
+            if trusted[here].any():
+                add(b, order[here][trusted[here]], None)
+            if all_too:
+                add(b, order[here], text[here])
+        return out
+
+    target = [x.split()[0] for x in BLOB.split(", ")]
+    return _of_chunks(held, BLOB, make, "chunk", "counted", "size", "word", "place", "p")
+
+
+def _width(n: int) -> type:
+    return np.uint16 if n <= 1 << 16 else np.uint32
+
+
+def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys in order and how often each occurs."""
+    keys = np.sort(keys)
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    at = np.flatnonzero(new)
+    return keys[at], np.diff(np.append(at, len(keys)))
+
+
+class Table:
+    """Sorted keys with a last one that nothing has, and where some keys stand; those it does not know get the last place."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = np.append(keys, np.iinfo(np.int64).max)
+
+    def __len__(self):
+        return len(self.keys) - 1
+
+    def find(self, some: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.keys, some)
+        at[self.keys[at] != some] = len(self)
+        return at
+
+
+class Counts:
+    """Counts of trusted trigrams around the middle words of one bucket, and of the bigrams behind them."""
+
+    def __init__(self, blobs: list[tuple[np.ndarray, ...]]):
+        none = np.empty(0, np.int64)
+        words_ = _runs(np.concatenate([none, *(x[0] for x in blobs)]))[0]
+        self.words = Table(words_)
+        u, v, w = (np.concatenate([none, *x]) for x in zip(*([self.words.find(x[0])[y] for y in x[1:]] for x in blobs))) if blobs else (none,) * 3
+        n = self.n = len(words_) + 1
+        pairs = u * n + v
+        contexts = _runs(pairs)[0]
+        self.contexts = Table(contexts)
+        three, self.n3 = _runs(np.searchsorted(contexts, pairs) * n + w)
+        self.before, last = three // n, three % n
+        two, self.n2 = _runs(contexts[self.before] % n * n + last)
+        self.middle, self.last = two // n, two % n
+        self.three, self.two = Table(three), Table(two)
+
+    def firsts(self) -> tuple[np.ndarray, np.ndarray]:
+        """Each last word and how many different words stand before it."""
+        at, n = _runs(self.last)
+        return self.words.keys[at], n
+
+    def discounted(self, d2: np.ndarray, d3: np.ndarray) -> None:
+        """What a count or context adds to a probability; zero, and no change to the lower order, for those at the last place."""
+
+        def parts(group, groups, n, d):
+            off = d[np.minimum(n, 3)]
+            total = np.bincount(group, n, groups)
+            rest = np.bincount(group, off, groups).astype(float)
+            np.divide(rest, total, rest, where=total > 0)
+            return np.append((n - off) / total[group], 0.0), np.where(total > 0, rest, 1.0)
+
+        self.a3, self.r3 = parts(self.before, len(self.contexts) + 1, self.n3, d3)
+        self.a2, self.r2 = parts(self.middle, self.n, self.n2, d2)
+
+    def scores(self, word: np.ndarray, p: np.ndarray, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Log probabilities of trigrams of places in ``word``, whose own probabilities are ``p``."""
+        ids = self.words.find(word)
+        lower = p[w]
+        u, v, w = ids[u], ids[v], ids[w]
+        context = self.contexts.find(u * self.n + v)
+        lower = self.a2[self.two.find(v * self.n + w)] + self.r2[v] * lower
+        return np.log(self.a3[self.three.find(context * self.n + w)] + self.r3[context] * lower)
+
+
+def _read(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, ...]:
+    word = np.frombuffer(batch.column("word")[i].as_py(), np.int64)
+    return word, *(np.frombuffer(batch.column(c)[i].as_py(), _width(len(word))) for c in "uvw")
+
+
+def _in_buckets(blobs: DataFrame, buckets: int, schema: str, make: Callable) -> DataFrame:
+    """Columns that ``make()(counts, rows)`` finds for each bucket: what is counted comes first, then once a batch of other rows and None at the end."""
+    ship(blobs.sparkSession)
+    target = to_arrow_schema(T._parse_datatype_string(schema))
 
-    def make(texts, rows):
-        place, u, v, w, k = _trigrams(texts, (part, parts))
-        return {"row": np.array(rows[0], np.int64)[place], "u": u, "v": v, "w": w, "k": k}
+    def run(batches):
+        step, counted, counts = make(), [], None
+        for batch in batches:
+            first = np.count_nonzero(batch.column("counted").to_numpy(zero_copy_only=False))
+            counted += [_read(batch, i) for i in range(first)]
+            if first < batch.num_rows:
+                if counts is None:
+                    counts, counted = Counts(counted), []
+                yield pa.RecordBatch.from_pydict(step(counts, batch.slice(first)), schema=target)
+        if counted:
+            yield pa.RecordBatch.from_pydict(step(Counts(counted), None), schema=target)
 
-    return _of_chunks(held, "row long, u long, v long, w long, k long", make)
+    return blobs.repartitionById(buckets, "bucket").sortWithinPartitions(F.desc("counted")).mapInArrow(run, schema)
 
 
-def _pairs(held: DataFrame, part: int, parts: int) -> DataFrame:
-    """(v, w): the different word pairs of all documents with a first word of this part."""
+def _orders(picked: DataFrame, part: int, parts: int, buckets: int) -> DataFrame:
+    """(k, w, n): for k 1 how many words stand before w; for k 2 and 3 how many counts of that order are w, up to 4."""
 
-    def make(texts, _):
-        _, _, v, w, _ = _trigrams(texts, (part, parts))
-        at = np.lexsort((w, v))
-        v, w = v[at], w[at]
-        new = np.ones(len(w), bool)
-        new[1:] = (v[1:] != v[:-1]) | (w[1:] != w[:-1])
-        return {"v": v[new], "w": w[new]}
+    def make():
+        def step(counts, _):
+            w, n = counts.firsts()
+            rare = [np.bincount(np.minimum(x, 5), minlength=6)[1:5] for x in (counts.n2, counts.n3)]
+            four = np.arange(1, 5)
+            return {"k": np.repeat([1, 2, 3], [len(w), 4, 4]), "w": np.concatenate([w, four, four]), "n": np.concatenate([n, *rare])}
 
-    return _of_chunks(held, "v long, w long", make).distinct()
+        return step
 
+    return _in_buckets(_dealt(picked, part, parts, buckets, False), buckets, "k int, w long, n long", make).groupBy("k", "w").agg(F.sum("n").alias("n"))
 
-def _distinct_words(docs: DataFrame) -> DataFrame:
-    """(w, word): each distinct word and its hash."""
-    ship(docs.sparkSession)
 
-    def distinct(batches):
-        known, seen = _hashes(), set()
+def _summed(rows: DataFrame) -> DataFrame:
+    """(chunk, s): sums of s over the places in a chunk, as an array by place."""
+    ship(rows.sparkSession)
+    schema = "chunk long, s binary, place binary"
+    target = to_arrow_schema(T._parse_datatype_string(schema))
+
+    def run(batches):
+        sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            new = {w for text in utf8(batch, "text") for w in words(text)} - seen
-            if len(seen) > KEPT_WORDS:
-                seen.clear()
-            seen |= new
-            some = list(new)
-            for i in range(0, len(some), 20_000):
-                part = some[i : i + 20_000]
-                yield pa.RecordBatch.from_pydict({"w": _signed([known[x] for x in part]), "word": pa.array(part, pa.string())})
+            for chunk, s, place in zip(*(batch.column(c).to_pylist() for c in ("chunk", "s", "place"))):
+                s = np.frombuffer(s)
+                place = np.arange(len(s)) if place is None else np.frombuffer(place, np.uint16)
+                old, n = sums.get(chunk, np.empty(0)), int(place[-1]) + 1 if len(place) else 0
+                if n > len(old):
+                    old = np.append(old, np.zeros(n - len(old)))
+                old[place] += s
+                sums[chunk] = old
+        if sums:
+            yield pa.RecordBatch.from_pydict({"chunk": list(sums), "s": [x.tobytes() for x in sums.values()], "place": pa.nulls(len(sums), pa.binary())}, schema=target)
 
-    return docs.select("text").mapInArrow(distinct, "w long, word string").distinct()
+    return rows.repartition("chunk").mapInArrow(run, schema)
 
 
-def _grams_of(each: DataFrame) -> DataFrame:
-    """(gram, n): counts of the n-grams of words that occur n times."""
+def _scored(held: DataFrame, part: int, parts: int, buckets: int, d2: np.ndarray, d3: np.ndarray) -> DataFrame:
+    """(chunk, s, place): each document's sum of the log probabilities of its trigrams with a middle word of this part."""
 
     def make():
-        def step(batch):
-            some = batch.column("word").to_pylist()
-            keys, sizes = grams(some) if some else (np.empty(0, np.int64), np.empty(0, np.int64))
-            return {"gram": keys, "n": np.repeat(batch.column("n").to_numpy(), sizes)}
+        ready = []
+
+        def step(counts, rows):
+            out = {"chunk": [], "s": [], "place": []}
+            if rows is None:
+                return out
+            if not ready:
+                counts.discounted(d2, d3)
+                ready.append(True)
+            for i in range(rows.num_rows):
+                word, *three = _read(rows, i)
+                logs = counts.scores(word, np.frombuffer(rows.column("p")[i].as_py()), *three)
+                place = np.frombuffer(rows.column("place")[i].as_py(), np.uint16)
+                at = np.flatnonzero(np.bincount(place))
+                out["chunk"].append(rows.column("chunk")[i].as_py())
+                out["s"].append(np.bincount(place, logs)[at].tobytes())
+                out["place"].append(at.astype(np.uint16).tobytes())
+            return out
 
         return step
 
-    return map_rows(each.select("word", "n"), "gram long, n long", make).groupBy("gram").agg(F.sum("n").alias("n"))
+    return _summed(_in_buckets(_dealt(held, part, parts, buckets, True), buckets, "chunk long, s binary, place binary", make))
+
+
+# --- characters of words ----------------------------------------------------------------------------------------
+
+
+def _grams_of(picked: DataFrame) -> DataFrame:
+    """(gram, n): counts of the character n-grams of all words."""
+
+    def make(size, place, spelling):
+        some = _spellings(spelling)
+        often, at, n = np.bincount(_places(sum(size), place), minlength=len(some)), [np.empty(0, np.int64)], [np.empty(0)]
+        for i, piece in enumerate(pieces(some)):
+            keys, sizes = grams(piece)
+            coded = pa.array(keys).dictionary_encode()
+            at.append(coded.dictionary.to_numpy())
+            n.append(np.bincount(coded.indices.to_numpy(), np.repeat(often[i * PIECE : i * PIECE + PIECE], sizes)))
+        at, where = np.unique(np.concatenate(at), return_inverse=True)
+        return {"gram": at, "n": np.bincount(where, np.concatenate(n)).astype(np.int64)}
+
+    return _of_chunks(picked, "gram long, n long", make, "size", "place", "spelling").groupBy("gram").agg(F.sum("n").alias("n"))
+
+
+def _universe(docs: DataFrame) -> DataFrame:
+    """(gram): the different character n-grams of all words."""
+    ship(docs.sparkSession)
+
+    def run(batches):
+        seen = np.empty(0, np.int64)
+        for batch in batches:
+            for start in range(0, batch.num_rows, CHUNK):
+                some = _split(batch.column("text").slice(start, CHUNK))[2]
+                new = _runs(np.concatenate([seen[:0], *(_runs(grams(x)[0])[0] for x in pieces(some))]))[0]
+                new = new[~np.isin(new, seen)]
+                seen = np.sort(np.append(seen, new)) if len(seen) < KEPT_WORDS * 10 else new
+                yield pa.RecordBatch.from_pydict({"gram": new})
+
+    return docs.select("text").mapInArrow(run, "gram long").distinct()
 
 
 def _spelled(each: DataFrame, table: DataFrame, broadcast_rows: int) -> DataFrame:
     """(w, s): the log probability of the spelling of each word in (w, word)."""
     ship(each.sparkSession)
     if table.count() <= broadcast_rows:
-        rows = table.sort("gram").toArrow()
-        shared = each.sparkSession.sparkContext.broadcast((rows.column("gram").to_numpy(), rows.column("logp").to_numpy()))
+        shared = _shared(table, "gram", "logp")
 
         def make():
             known = Known(*shared.value)
@@ -489,63 +699,95 @@ def _spelled(each: DataFrame, table: DataFrame, broadcast_rows: int) -> DataFram
     return map_rows(each, "w long, gram long", cut_up).join(table, "gram").groupBy("w").agg(F.sum(F.col("logp").cast("double")).alias("s"))
 
 
-def _interpolated(rows: DataFrame, counts: DataFrame, keys: list[str], d: tuple[float, float, float]) -> DataFrame:
-    """``rows`` with the probability p of the order below turned into that of the order with these keys, the last of which is the word."""
-    n, lower = F.col("n"), F.col("p")
-    sums = counts.groupBy(*keys[:-1]).agg(F.sum("n").alias("total"), (F.sum(_discount(n, d)) / F.sum("n")).alias("rest"))
-    if len(keys) == 1:
-        total, rest = sums.first()
-        total, rest = (F.lit(x).cast("double") for x in (total, rest))
-    else:
-        rows, total, rest = rows.join(sums, keys[:-1], "left"), F.col("total"), F.col("rest")
-    rows = rows.join(counts, keys, "left")
-    p = F.when(total.isNull(), lower).otherwise(F.coalesce((n - _discount(n, d)) / total, F.lit(0.0)) + rest * lower)
-    return rows.withColumn("p", p).drop("n", "total", "rest")
+def _shared(table: DataFrame, *names: str):
+    rows = table.select(*names).sort(names[0]).toArrow()
+    return table.sparkSession.sparkContext.broadcast(tuple(rows.column(c).to_numpy() for c in names))
+
+
+def _with_firsts(docs: DataFrame, one: DataFrame, table: DataFrame, broadcast_rows: int) -> DataFrame:
+    """The documents (doc_id, lang, counted, text) in chunks, with the probability p of each word alone: unigrams above the spelling."""
+    total, *rare = one.agg(F.sum("n"), *[F.sum((F.col("n") == k).cast("long")) for k in (1, 2, 3, 4)]).first()
+    d = np.append(0.0, _discounts_of(np.array([x or 0 for x in rare])))
+    rest = one.agg(F.sum(_discount(F.col("n"), tuple(d[1:].tolist()))) / F.sum("n")).first()[0]
+
+    def p(n, s):
+        return (n - d[np.minimum(n, 3)]) / total + rest * np.exp(s) if total else np.exp(s)
+
+    if max(one.count(), table.count()) <= broadcast_rows:
+        spelling, seen = _shared(table, "gram", "logp"), _shared(one, "w", "n")
+        ready = []
+
+        def first(some, word):
+            if not ready:
+                ready.extend((Known(*spelling.value), Table(seen.value[0]), np.append(seen.value[1], 0)))
+            known, words_, n = ready
+            return p(n[words_.find(word)], known._sums(some)) if some else np.empty(0)
+
+        return cut(_as_ids(docs, first), "held", compression="zstd")
+    held = cut(_as_ids(docs), "spelled", compression="zstd")
+
+    def rows(chunk, word, spelling):
+        some = _spellings(spelling)
+        return {"chunk": [chunk] * len(some), "at": range(len(some)), "w": np.frombuffer(word, np.int64), "word": some}
+
+    asked = _of_chunks(held, "chunk long, at int, w long, word string", rows, "chunk", "word", "spelling")
+    each = cut(asked.select("w", "word").distinct(), "words", compression="zstd")
+    known = _spelled(each, table, broadcast_rows).join(one, "w", "left").select("w", "s", F.coalesce("n", F.lit(0)).alias("n"))
+    answers = asked.select("chunk", "at", "w").join(known, "w").groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("at", "n", "s"))).alias("x"))
+
+    def make(chunk, n, s):
+        return {"chunk": [chunk], "p": [p(np.array(n, np.int64), np.array(s, float)).tobytes()]}
+
+    answers = _of_chunks(answers.select("chunk", F.col("x.n").alias("n"), F.col("x.s").alias("s")), "chunk long, p binary", make, "chunk", "n", "s")
+    out = cut(held.drop("p", "spelling").join(answers, "chunk", "left"), "held", compression="zstd")
+    drop(held, each)
+    return out
 
 
 def classify_in_context(docs: DataFrame, labels: DataFrame, broadcast_rows: int = BROADCAST_ROWS, slices: int | None = None) -> DataFrame:
     """(doc_id, lang, n_grams, perplexity, fence, kept) of every document, per word and by words in their order; n_grams counts words.
 
-    A trigram, its context and its suffix share the middle word, so trigrams are counted and looked up in rounds by that word, and only the
-    sums of a document's log probabilities stay from each.
+    A trigram, its context and its suffix share the middle word, so trigrams are counted and looked up in rounds by that word, in buckets
+    whose counts are arrays in one task, and only the sums of a document's log probabilities stay from each. Unigrams of trusted text and
+    the table of characters are broadcast while each has at most ``broadcast_rows`` rows, beyond that words are joined with them.
     """
-    with settled(docs.sparkSession):
+    spark = docs.sparkSession
+    with settled(spark):
         trusted = cut(_trusted(labels), "trusted")
         out = F.coalesce(remainder(F.col("doc_id"), HELD_OUT) == 0, F.lit(False))
-        held = cut(_as_ids(docs), "held", compression="zstd")
-        n_words = held.agg(F.sum(F.octet_length("place").cast("long"))).first()[0] or 0
-        slices = slices or max(1, min(SLICES, n_words // 4 // SLICE_WORDS))
-        counts = min(slices, COUNT_SLICES)
-        picked = cut(_picked(held, trusted.filter(~out)), "picked", compression="zstd")
-        each = cut(_distinct_words(docs), "words", compression="zstd")
-        often = _of_chunks(picked, "w long, n long", lambda texts, _: dict(zip("wn", np.unique(np.concatenate([np.empty(0, np.int64), *texts]), return_counts=True))))
-        quads = cut(_grams_of(each.join(often.groupBy("w").agg(F.sum("n").alias("n")), "w")), "order4")
-        universe = cut(_grams_of(each.withColumn("n", F.lit(1).cast("long"))).select("gram"), "universe")
+        # Few trusted ids go to the texts, many meet them by doc_id.
+        marks = trusted.filter(~out).withColumn("counted", F.lit(True)).hint("broadcast" if trusted.count() <= broadcast_rows else "merge")
+        marked = docs.select("doc_id", "lang", "text").join(marks, "doc_id", "left").withColumn("counted", F.coalesce("counted", F.lit(False)))
+        picked = cut(_as_ids(marked.filter("counted")), "picked", compression="zstd")
+        universe, quads = cut(_universe(docs), "universe"), cut(_grams_of(picked), "order4")
         table = cut(probabilities(universe, quads), "logp")
-        rare2 = rare3 = np.zeros(4, np.int64)
-        parts = []
-        for part in range(counts):
-            three = cut(_counted(picked, part, counts), "trigrams")
-            two = cut(three.groupBy("v", "w").agg(F.count("*").alias("n")), "bigrams")
-            rare3, rare2 = rare3 + _rare(three), rare2 + _rare(two)
-            parts.append(cut(two.groupBy("w").agg(F.count("*").alias("n")), "unigrams"))
-            drop(three, two)
-        one = cut(reduce(DataFrame.unionByName, parts).groupBy("w").agg(F.sum("n").alias("n")), "unigrams")
-        first = cut(_interpolated(_spelled(each, table, broadcast_rows).select("w", F.exp("s").alias("p")), one, ["w"], _discounts(one)), "first")
-        drop(each, one, *parts)
-        d2, d3 = _discounts_of(rare2), _discounts_of(rare3)
-        found = []
-        for part in range(slices):
-            three = cut(_counted(picked, part, slices), "trigrams")
-            two = cut(three.groupBy("v", "w").agg(F.count("*").alias("n")), "bigrams")
-            second = cut(_interpolated(_pairs(held, part, slices).join(first, "w"), two, ["v", "w"], d2), "second")
-            drop(two)
-            third = _interpolated(_of_rows(held, part, slices).join(second, ["v", "w"]), three, ["u", "v", "w"], d3)
-            found.append(cut(third.groupBy("row").agg(F.sum(F.log("p") * F.col("k")).alias("s"), F.sum("k").alias("n")), "sums"))
-            drop(three, second)
-        sums = reduce(DataFrame.unionByName, found).groupBy("row").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
-        rows = held.select(F.explode(F.arrays_zip("row", "doc_id", "lang")).alias("d")).select("d.*")
-        scored = rows.join(sums, "row", "left").withColumns({"n": F.coalesce("n", F.lit(0)), "log_perplexity": -F.col("s") / F.col("n")})
-        scored = cut(scored.select("doc_id", "lang", "n", "log_perplexity"), "scored")
-        drop(held, picked, first, *found)
+        drop(universe, quads)
+
+        def dealt(rows, most):
+            """Rounds and buckets."""
+            n = rows.agg(F.sum(F.aggregate("size", F.lit(0).cast("long"), lambda x, y: x + y))).first()[0] or 0
+            rounds = slices or max(1, min(most, n // SLICE_WORDS))
+            return rounds, max(spark.sparkContext.defaultParallelism, n // (rounds * BUCKET_WORDS))
+
+        rounds, buckets = dealt(picked, COUNT_SLICES)
+        parts = [cut(_orders(picked, part, rounds, buckets), "unigrams") for part in range(rounds)]
+        orders = reduce(DataFrame.unionByName, parts)
+        rare = {(r.k, r.w): r.n for r in orders.filter("k > 1").groupBy("k", "w").agg(F.sum("n").alias("n")).collect()}
+        d2, d3 = (np.append(0.0, _discounts_of(np.array([rare.get((k, n), 0) for n in range(1, 5)]))) for k in (2, 3))
+        one = cut(orders.filter("k = 1").groupBy("w").agg(F.sum("n").alias("n")), "first")
+        drop(picked, *parts)
+        held = _with_firsts(marked, one, table, broadcast_rows)
+        drop(one, table)
+        rounds, buckets = dealt(held, SLICES)
+        found = [cut(_scored(held, part, rounds, buckets, d2, d3), "sums") for part in range(rounds)]
+
+        def each(doc_id, lang, size, s):
+            s = np.append(np.frombuffer(s or b""), np.zeros(len(size)))[: len(size)]
+            n = np.array(size, np.int64)
+            return {"doc_id": doc_id, "lang": lang, "n": n, "log_perplexity": pa.array(-s / np.maximum(n, 1), mask=n == 0)}
+
+        kind = docs.schema["doc_id"].dataType.simpleString()
+        rows = held.select("chunk", "doc_id", "lang", "size").join(_summed(reduce(DataFrame.unionByName, found)).select("chunk", "s"), "chunk", "left")
+        scored = cut(_of_chunks(rows, f"doc_id {kind}, lang string, n long, log_perplexity double", each, "doc_id", "lang", "size", "s"), "scored")
+        drop(held, *found)
     return _judged(scored, trusted.filter(out), DEVIATIONS * WORD_SPREAD)
