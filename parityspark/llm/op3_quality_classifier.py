@@ -2,8 +2,9 @@
 
 Words are judged in their context: ``classify_in_context`` counts word trigrams of trusted text, across word and line borders, with two start
 marks before each text, and interpolates trigram, bigram and unigram with the spelling of the word as the lowest order. Words are 64-bit hashes of
-what stands between blanks. Counts are tables that grow with trusted text; the trigrams of every document, added up inside it, are joined
-with them by hash, in rounds by the middle word, none is gathered or left out. A trusted text knows its own trigrams, so one trusted document in HELD_OUT, by doc_id, is not
+what stands between blanks. Texts are kept as word places in chunks; the trigrams of all chunks are dealt by their middle word to buckets, in rounds,
+as arrays of places in a dictionary of their own. One task counts the trusted ones of a bucket and looks all others up, none is gathered or left out;
+it holds the trusted trigrams around a frequent middle word together. A trusted text knows its own trigrams, so one trusted document in HELD_OUT, by doc_id, is not
 counted and the fence is drawn from these alone; without any there is no fence and every document with words is kept.
 
 The spelling is a model over characters inside words, four at a time, with three start marks before and one end mark after each word; ``classify``
@@ -52,9 +53,9 @@ KEPT_WORDS = 300_000
 LONGEST_KEPT = 64
 PIECE = 50_000
 HELD_OUT = 10
-SLICES = 24  # most rounds in which the trigrams of all documents are looked up, by their middle word
+SLICES = 16  # most rounds in which the trigrams of all documents are looked up, by their middle word
 COUNT_SLICES = 4  # most rounds in which those of trusted text are counted
-SLICE_WORDS = 5_000_000  # words that are worth a round
+SLICE_WORDS = 4_000_000  # words that are worth a round
 BUCKET_WORDS = 1_000_000  # words of a round that are worth a bucket, in buckets of middle words
 CHUNK, CHUNK_BYTES = 8192, 32_000_000  # documents (65,536 at most), and bytes of text, whose words share a dictionary
 MASK = {3: (1 << 48) - 1, 2: (1 << 32) - 1, 1: (1 << 16) - 1}
@@ -66,9 +67,10 @@ def words(text: bytes | None) -> list[str]:
 
 def grams(some: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """All four-character n-grams of words as 64-bit keys, and how many each word has."""
-    codes = np.frombuffer("".join([f"{START * 3}{w}{END}" for w in some]).encode("utf-32-le"), np.uint32).astype(np.uint64)
-    # Beyond the basic plane, characters share the private-use codes.
-    codes = np.where(codes > 0xFFFF, 0xE000 + codes % 0x1900, codes).astype(np.uint64)
+    codes = np.frombuffer(f"{START * 3}{f'{END}{START * 3}'.join(some)}{END}".encode("utf-32-le"), np.uint32).astype(np.uint64)
+    if codes.max() > 0xFFFF:
+        # Beyond the basic plane, characters share the private-use codes.
+        codes = np.where(codes > 0xFFFF, 0xE000 + codes % 0x1900, codes).astype(np.uint64)
     keys = codes[:-3] << np.uint64(48) | codes[1:-2] << np.uint64(32) | codes[2:-1] << np.uint64(16) | codes[3:]
     return keys[codes[3:] != ord(START)].view(np.int64), np.array([len(w) + 1 for w in some], np.int64)
 
@@ -326,21 +328,26 @@ def _hashes(some: list[str]) -> np.ndarray:
     return _signed([xxhash.xxh3_64_intdigest(w) for w in some])
 
 
-def _windows(sizes: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The line of all texts, two start marks (0) before each and words from 1 on, and where the last words of its trigrams stand."""
-    at = np.arange(2, len(where) + 2) + np.repeat(2 * np.arange(len(sizes)), sizes)
-    line = np.zeros(len(where) + 2 * len(sizes), np.int32)
-    line[at] = where + 1
-    return line, at
+def _line(sizes: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The line of all texts, two start marks (0) before each and words from 1 on, and where the texts begin in it."""
+    sizes = np.asarray(sizes, np.int64)
+    starts = np.cumsum(sizes + 2) - sizes - 2
+    real = np.ones(len(where) + 2 * len(sizes), bool)
+    real[starts] = real[starts + 1] = False
+    line = np.zeros(len(real) + 1, np.int32)
+    line[:-1][real] = where + 1
+    return line, starts
 
 
 def _trigrams(texts: list[np.ndarray], part: tuple[int, int] = (0, 1)) -> tuple[np.ndarray, ...]:
     """(place, u, v, w, k): the different word trigrams of each text and how often it has them; only those whose
     middle word is in one part of so many."""
     sizes = np.array([len(x) for x in texts], np.int64)
-    line, at = _windows(sizes, np.arange(sizes.sum()))
+    line, starts = _line(sizes, np.arange(sizes.sum()))
+    at = np.flatnonzero(line[2:]) + 1  # a middle word stands before a word
+    place = np.searchsorted(starts, at, "right") - 1
     line = np.concatenate([np.zeros(1, np.int64), *texts])[line]
-    rows = np.stack([np.repeat(np.arange(len(texts)), sizes), line[at - 2], line[at - 1], line[at]])
+    rows = np.stack([place, line[at - 1], line[at], line[at + 1]])
     rows, k = np.unique(rows[:, rows[2] % part[1] == part[0]], axis=1, return_counts=True)
     return *rows, k
 
@@ -351,7 +358,8 @@ def _coded(word: np.ndarray, where: np.ndarray) -> tuple[dict[str, bytes], np.nd
     order = np.argsort(-n, kind="stable")[: np.count_nonzero(n)]
     rank = np.empty(len(word), "<u4")
     rank[order] = np.arange(len(order), dtype=np.uint32)
-    planes = np.ascontiguousarray(rank[where].view(np.uint8).reshape(-1, 4).T)
+    places = rank[where]
+    planes = np.stack([(places >> np.uint32(8 * k)).astype(np.uint8) for k in range(4)])
     return {"word": word[order].tobytes(), "place": pa.compress(planes.tobytes(), "zstd", asbytes=True)}, order
 
 
@@ -362,7 +370,11 @@ def _packed(texts: list[np.ndarray]) -> dict[str, bytes]:
 
 def _places(n: int, place: bytes) -> np.ndarray:
     planes = np.frombuffer(pa.decompress(place, 4 * n, "zstd", asbytes=True), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+    out = planes[0].astype(np.uint32)
+    for k in (1, 2, 3):
+        if planes[k].any():
+            out |= planes[k].astype(np.uint32) << np.uint32(8 * k)
+    return out
 
 
 def _unpacked(sizes: list[int], word: bytes, place: bytes) -> list[np.ndarray]:
@@ -374,14 +386,15 @@ def _spellings(text: str) -> list[str]:
     return text.split("\n") if text else []
 
 
-def _as_ids(docs: DataFrame, first: Callable | None = None) -> DataFrame:
-    """(chunk, doc_id, lang, counted, size, word, place, spelling, p): the hashes of all words in their order, some documents a row.
+def _as_ids(docs: DataFrame, first: Callable | None = None, only_counted: bool = False) -> DataFrame:
+    """(chunk, doc_id, lang, counted, size, word, place, spelling, p, grams): the hashes of all words in their order, some documents a row.
 
-    ``first(words, hashes)`` gives the words' probabilities p, and the spelling is left out then.
+    ``first(words, hashes)`` gives the words' probabilities p, and the spelling is left out then. ``only_counted`` leaves out the other
+    documents, but grams has the different character n-grams of all.
     """
     ship(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = T._parse_datatype_string(f"chunk long, doc_id array<{kind}>, lang array<string>, counted array<boolean>, size array<int>, word binary, place binary, spelling string, p binary")
+    schema = T._parse_datatype_string(f"chunk long, doc_id array<{kind}>, lang array<string>, counted array<boolean>, size array<int>, word binary, place binary, spelling string, p binary, grams binary")
     target = to_arrow_schema(schema)
 
     def run(batches):
@@ -392,10 +405,15 @@ def _as_ids(docs: DataFrame, first: Callable | None = None) -> DataFrame:
             for start, end in zip(starts, [*starts[1:], batch.num_rows]):
                 some = batch.slice(start, end - start)
                 size, where, words_ = _split(some.column("text"))
+                every = None
+                if only_counted:
+                    every = _runs(np.concatenate([np.empty(0, np.int64), *(_runs(grams(x)[0])[0] for x in pieces(words_))]))[0].tobytes()
+                    counted = some.column("counted").to_numpy(zero_copy_only=False).astype(bool)
+                    some, where, size = some.filter(pa.array(counted)), where[np.repeat(counted, size)], size[counted]
                 packed, order = _coded(_hashes(words_), where)
                 words_ = [words_[i] for i in order.tolist()]
                 out = {c: pa.array([some.column(c).to_pylist()], target.field(c).type) for c in ("doc_id", "lang", "counted")}
-                out |= {"chunk": some.column("row")[:1], "size": pa.array([size.tolist()], target.field("size").type)}
+                out |= {"chunk": batch.column("row")[start : start + 1], "grams": [every], "size": pa.array([size.tolist()], target.field("size").type)}
                 out |= {"spelling": [None if first else "\n".join(words_)], "p": [first(words_, np.frombuffer(packed["word"], np.int64)).tobytes() if first else None]}
                 yield pa.RecordBatch.from_pydict(out | {c: pa.array([x], pa.binary()) for c, x in packed.items()}, schema=target)
 
@@ -430,22 +448,22 @@ def _dealt(held: DataFrame, part: int, parts: int, buckets: int, all_too: bool)
 
     def make(chunk, counted, size, word, place, p):
         word = np.frombuffer(word, np.int64)
-        line, at = _windows(size, _places(sum(size), place))
+        line, starts = _line(size, _places(sum(size), place))
         word = np.append(0, word)
         spread = mix(word.view(np.uint64))
         bucket = np.where(spread % np.uint64(parts) == part, spread // np.uint64(parts) % np.uint64(buckets), buckets).astype(np.min_scalar_type(buckets))
-        here = bucket[line[at - 1]]
+        here = bucket[line[:-1]]
         order = np.flatnonzero(here < buckets)
+        order = order[line[order + 1] > 0]  # a middle word stands before a word
         here = here[order]
         by = np.argsort(here, kind="stable")
         order, edges = order[by], np.searchsorted(here[by], np.arange(buckets + 1))
-        text = np.searchsorted(np.cumsum(size), order, "right")
+        text = np.searchsorted(starts, order, "right") - 1
         trusted = np.array(counted, bool)[text]
         out = {c: [] for c in target}
 
         def add(b, mine, text):
-            last = at[mine]
-            three = np.concatenate([line[last - 2], line[last - 1], line[last]])
+            three = np.concatenate([line[mine - 1], line[mine], line[mine + 1]])
             if len(three) * 8 > len(word):
                 used = np.zeros(len(word), bool)
                 used[three] = True
@@ -611,8 +629,8 @@ def _summed(rows: DataFrame) -> DataFrame:
     return rows.repartition("chunk").mapInArrow(run, schema)
 
 
-def _scored(held: DataFrame, part: int, parts: int, buckets: int, d2: np.ndarray, d3: np.ndarray) -> DataFrame:
-    """(chunk, s, place): each document's sum of the log probabilities of its trigrams with a middle word of this part."""
+def _scored(held: DataFrame, part: int, parts: int, buckets: int, d2: np.ndarray, d3: np.ndarray, others: list[DataFrame]) -> DataFrame:
+    """(chunk, s, place): each document's sum of the log probabilities of its trigrams with a middle word of this part, and of what other parts have."""
 
     def make():
         ready = []
@@ -636,7 +654,7 @@ def _scored(held: DataFrame, part: int, parts: int, buckets: int, d2: np.ndarray
 
         return step
 
-    return _summed(_in_buckets(_dealt(held, part, parts, buckets, True), buckets, "chunk long, s binary, place binary", make))
+    return _summed(reduce(DataFrame.unionByName, others, _in_buckets(_dealt(held, part, parts, buckets, True), buckets, "chunk long, s binary, place binary", make)))
 
 
 # --- characters of words ----------------------------------------------------------------------------------------
@@ -659,23 +677,6 @@ def _grams_of(picked: DataFrame) -> DataFrame:
     return _of_chunks(picked, "gram long, n long", make, "size", "place", "spelling").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def _universe(docs: DataFrame) -> DataFrame:
-    """(gram): the different character n-grams of all words."""
-    ship(docs.sparkSession)
-
-    def run(batches):
-        seen = np.empty(0, np.int64)
-        for batch in batches:
-            for start in range(0, batch.num_rows, CHUNK):
-                some = _split(batch.column("text").slice(start, CHUNK))[2]
-                new = _runs(np.concatenate([seen[:0], *(_runs(grams(x)[0])[0] for x in pieces(some))]))[0]
-                new = new[~np.isin(new, seen)]
-                seen = np.sort(np.append(seen, new)) if len(seen) < KEPT_WORDS * 10 else new
-                yield pa.RecordBatch.from_pydict({"gram": new})
-
-    return docs.select("text").mapInArrow(run, "gram long").distinct()
-
-
 def _spelled(each: DataFrame, table: DataFrame, broadcast_rows: int) -> DataFrame:
     """(w, s): the log probability of the spelling of each word in (w, word)."""
     ship(each.sparkSession)
@@ -723,7 +724,10 @@ def _with_firsts(docs: DataFrame, one: DataFrame, table: DataFrame, broadcast_ro
             known, words_, n = ready
             return p(n[words_.find(word)], known._sums(some)) if some else np.empty(0)
 
-        return cut(_as_ids(docs, first), "held", compression="zstd")
+        held = cut(_as_ids(docs, first), "held", compression="zstd")
+        spelling.destroy()
+        seen.destroy()
+        return held
     held = cut(_as_ids(docs), "spelled", compression="zstd")
 
     def rows(chunk, word, spelling):
@@ -739,7 +743,7 @@ def _with_firsts(docs: DataFrame, one: DataFrame, table: DataFrame, broadcast_ro
         return {"chunk": [chunk], "p": [p(np.array(n, np.int64), np.array(s, float)).tobytes()]}
 
     answers = _of_chunks(answers.select("chunk", F.col("x.n").alias("n"), F.col("x.s").alias("s")), "chunk long, p binary", make, "chunk", "n", "s")
-    out = cut(held.drop("p", "spelling").join(answers, "chunk", "left"), "held", compression="zstd")
+    out = cut(held.drop("p", "spelling", "grams").join(answers, "chunk", "left"), "held", compression="zstd")
     drop(held, each)
     return out
 
@@ -758,8 +762,9 @@ def classify_in_context(docs: DataFrame, labels: DataFrame, broadcast_rows: int
         # Few trusted ids go to the texts, many meet them by doc_id.
         marks = trusted.filter(~out).withColumn("counted", F.lit(True)).hint("broadcast" if trusted.count() <= broadcast_rows else "merge")
         marked = docs.select("doc_id", "lang", "text").join(marks, "doc_id", "left").withColumn("counted", F.coalesce("counted", F.lit(False)))
-        picked = cut(_as_ids(marked.filter("counted")), "picked", compression="zstd")
-        universe, quads = cut(_universe(docs), "universe"), cut(_grams_of(picked), "order4")
+        picked = cut(_as_ids(marked, only_counted=True), "picked", compression="zstd")
+        universe = cut(_of_chunks(picked, "gram long", lambda x: {"gram": np.frombuffer(x, np.int64)}, "grams").distinct(), "universe")
+        quads = cut(_grams_of(picked), "order4")
         table = cut(probabilities(universe, quads), "logp")
         drop(universe, quads)
 
@@ -779,7 +784,11 @@ def classify_in_context(docs: DataFrame, labels: DataFrame, broadcast_rows: int
         held = _with_firsts(marked, one, table, broadcast_rows)
         drop(one, table)
         rounds, buckets = dealt(held, SLICES)
-        found = [cut(_scored(held, part, rounds, buckets, d2, d3), "sums") for part in range(rounds)]
+        found: list[DataFrame] = []
+        for part in range(rounds):
+            sums = cut(_scored(held, part, rounds, buckets, d2, d3, found), "sums")
+            drop(*found)
+            found = [sums]
 
         def each(doc_id, lang, size, s):
             s = np.append(np.frombuffer(s or b""), np.zeros(len(size)))[: len(size)]
@@ -787,7 +796,7 @@ def classify_in_context(docs: DataFrame, labels: DataFrame, broadcast_rows: int
             return {"doc_id": doc_id, "lang": lang, "n": n, "log_perplexity": pa.array(-s / np.maximum(n, 1), mask=n == 0)}
 
         kind = docs.schema["doc_id"].dataType.simpleString()
-        rows = held.select("chunk", "doc_id", "lang", "size").join(_summed(reduce(DataFrame.unionByName, found)).select("chunk", "s"), "chunk", "left")
+        rows = held.select("chunk", "doc_id", "lang", "size").join(sums.select("chunk", "s"), "chunk", "left")
         scored = cut(_of_chunks(rows, f"doc_id {kind}, lang string, n long, log_perplexity double", each, "doc_id", "lang", "size", "s"), "scored")
         drop(held, *found)
     return _judged(scored, trusted.filter(out), DEVIATIONS * WORD_SPREAD)

@@ -11,6 +11,7 @@ from pathlib import Path
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -301,6 +302,24 @@ def test_perplexity_leaves_little_on_disk(spark):
     assert not left & {"held", "picked", "rows", "words", "trigrams", "bigrams", "unigrams", "first", "second", "sums"}
 
 
+def test_trigrams_move_as_a_few_arrays_a_chunk_and_are_counted_whole(spark):
+    some = [(i, f" w{i % 7} " + " ".join(f"w{(i * j * 7919) % 97}" for j in range(1, 60)), "en", i % 3 > 0) for i in range(200)]
+    docs = spark.createDataFrame(some + [(900, None, "en", True), (901, " ", None, False)], "doc_id long, text string, lang string, counted boolean").repartition(3)
+    held = op3_quality_classifier._as_ids(docs, lambda words, hashes: np.full(len(words), 0.5))
+    want = Counter(g for _, t, _, c in some if c for w in [["", "", *t.split()]] for g in zip(w, w[1:], w[2:]))
+    known = {0: ""} | {xxhash.xxh3_64_intdigest(w.encode()) - (2**64 if xxhash.xxh3_64_intdigest(w.encode()) >> 63 else 0): w for _, t, _, _ in some for w in t.split()}
+    got, n, chunks = Counter(), 0, held.count()
+    for part in range(2):
+        blobs = op3_quality_classifier._dealt(held, part, 2, 4, True).collect()
+        assert len(blobs) <= chunks * 4 * 2
+        for r in blobs:
+            word = np.frombuffer(r.word, np.int64)
+            u, v, w = (word[np.frombuffer(r[c], np.uint16)].tolist() for c in "uvw")
+            n += 0 if r.counted else len(u)
+            got.update(zip(*([known[x] for x in y] for y in (u, v, w))) if r.counted else ())
+    assert got == want and n == sum(len(t.split()) for _, t, _, _ in some)
+
+
 def test_perplexity_knows_the_order_of_words(spark, empty):
     phrases = ["the cat sat on the mat", "a dog ran over the hill", "we saw the cat run", "the hill was green and the dog slept", "on the mat a cat slept"]
     some = [(i, " ".join(phrases[(i * k + k) % 5] for k in range(1, 8)), "en") for i in range(60)]
