@@ -53,11 +53,11 @@ KEPT_WORDS = 300_000
 LONGEST_KEPT = 64
 PIECE = 50_000
 HELD_OUT = 10
-SLICES = 16  # most rounds in which the trigrams of all documents are looked up, by their middle word
+SLICES = 24  # most rounds in which the trigrams of all documents are looked up, by their middle word
 COUNT_SLICES = 4  # most rounds in which those of trusted text are counted
 SLICE_WORDS = 4_000_000  # words that are worth a round
 BUCKET_WORDS = 1_000_000  # words of a round that are worth a bucket, in buckets of middle words
-CHUNK, CHUNK_BYTES = 8192, 32_000_000  # documents (65,536 at most), and bytes of text, whose words share a dictionary
+CHUNK, CHUNK_BYTES = 65_536, 22_000_000  # most documents (16 bits have their places), and bytes of text, whose words share a dictionary
 MASK = {3: (1 << 48) - 1, 2: (1 << 32) - 1, 1: (1 << 16) - 1}
 
 
@@ -386,6 +386,13 @@ def _spellings(text: str) -> list[str]:
     return text.split("\n") if text else []
 
 
+def _starts(ends: np.ndarray) -> list[int]:
+    """Where chunks begin among texts that end at these bytes: about equal ones, none of more than CHUNK documents."""
+    total = int(ends[-1]) if len(ends) else 0
+    even = ends * -(-total // CHUNK_BYTES) // (total + 1)
+    return np.union1d(np.arange(0, len(ends), CHUNK), np.unique(even, return_index=True)[1]).tolist()
+
+
 def _as_ids(docs: DataFrame, first: Callable | None = None, only_counted: bool = False) -> DataFrame:
     """(chunk, doc_id, lang, counted, size, word, place, spelling, p, grams): the hashes of all words in their order, some documents a row.
 
@@ -400,8 +407,7 @@ def _as_ids(docs: DataFrame, first: Callable | None = None, only_counted: bool =
     def run(batches):
         for batch in batches:
             sizes = np.cumsum(pc.binary_length(batch.column("text")).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
-            group = np.maximum(np.arange(batch.num_rows) // CHUNK, sizes // CHUNK_BYTES)
-            starts = np.unique(group, return_index=True)[1]
+            starts = _starts(sizes)
             for start, end in zip(starts, [*starts[1:], batch.num_rows]):
                 some = batch.slice(start, end - start)
                 size, where, words_ = _split(some.column("text"))

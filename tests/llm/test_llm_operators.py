@@ -302,6 +302,14 @@ def test_perplexity_leaves_little_on_disk(spark):
     assert not left & {"held", "picked", "rows", "words", "trigrams", "bigrams", "unigrams", "first", "second", "sums"}
 
 
+def test_chunks_hold_no_more_documents_than_16_bits_count():
+    for sizes in ([3_000_000_000] + [0] * 200_000, [10_000_000] * 6, [0] * 5, [100] * 70_000):
+        starts = op3_quality_classifier._starts(np.cumsum(sizes))
+        assert starts[0] == 0 and starts == sorted(set(starts)) and max(np.diff([*starts, len(sizes)])) <= 65_536
+    assert len(op3_quality_classifier._starts(np.cumsum([10_000_000] * 6))) == 3
+    assert op3_quality_classifier._starts(np.empty(0, np.int64)) == []
+
+
 def test_trigrams_move_as_a_few_arrays_a_chunk_and_are_counted_whole(spark):
     some = [(i, f" w{i % 7} " + " ".join(f"w{(i * j * 7919) % 97}" for j in range(1, 60)), "en", i % 3 > 0) for i in range(200)]
     docs = spark.createDataFrame(some + [(900, None, "en", True), (901, " ", None, False)], "doc_id long, text string, lang string, counted boolean").repartition(3)
